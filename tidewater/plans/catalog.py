@@ -82,3 +82,61 @@ def q_regional_sales(spark, sf_dir):
     d = Driver(spark, sf_dir)
     out = reports.regional_sales(d.orders, d.customers, d.regions)
     return as_bigint(as_double(out, "total_revenue", "avg_order_value"), "active_customers", "total_orders")
+
+
+@register("orders_by_status")
+def q_orders_by_status(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return as_double(reports.orders_by_status(d.orders, "shipped"), "total_amount")
+
+
+@register("order_history_topn")
+def q_order_history_topn(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return as_double(reports.order_history(d.orders, n=3), "total_amount")
+
+
+@register("reorder_check")
+def q_reorder_check(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return reports.reorder_check(d.inventory)
+
+
+@register("browse_category")
+def q_browse_category(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return as_double(reports.browse_category(d.products), "unit_price")
+
+
+@register("tier_region_counts")
+def q_tier_region_counts(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return reports.tier_region_counts(d.customers)
+
+
+@register("product_sales")
+def q_product_sales(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return as_bigint(as_double(reports.product_sales(d.items), "revenue"), "units_sold")
+
+
+# orders are moved into the validity years of the seed codes by a fixed offset
+CODE_DAY_OFFSET = 9496  # 1998-01-01 -> 2024-01-01
+
+
+@register("codes_for_orders")
+def q_codes_for_orders(spark, sf_dir):
+    from ..sources.seed import seed_df
+    d = Driver(spark, sf_dir)
+    shifted = d.orders.withColumn("ordered_at", F.col("ordered_at") + F.expr(f"INTERVAL {CODE_DAY_OFFSET} DAYS"))
+    out = reports.codes_for_orders(shifted, seed_df(spark, "discount_codes"))
+    return as_double(out, "total_amount", "discount_amount")
+
+
+SEARCH_TEXT = "blue widget with a steel bolt"
+
+
+@register("search_products")
+def q_search_products(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return reports.search_products(d.products, SEARCH_TEXT)

@@ -186,3 +186,56 @@ FROM o2 JOIN c ON c.customer_id = o2.customer_id
 JOIN r ON r.region_id = c.region_id
 WHERE {REVENUE}
 GROUP BY r.region_name, r.country"""
+
+SQL["orders_by_status"] = with_(ORDERS) + f"""
+SELECT order_id, customer_id, status, ordered_at, {dbl('total_amount')} AS total_amount
+FROM o WHERE status = 'shipped'"""
+
+SQL["order_history_topn"] = with_(ORDERS) + f"""
+SELECT order_id, customer_id, ordered_at, {dbl('total_amount')} AS total_amount, recency_rank
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY ordered_at DESC, order_id DESC)
+                     AS INTEGER) AS recency_rank FROM o) t
+WHERE recency_rank <= 3"""
+
+SQL["reorder_check"] = with_(ITEMS, INVENTORY) + """
+SELECT warehouse_id, product_id, qty_on_hand, reorder_point FROM inv WHERE qty_on_hand <= reorder_point"""
+
+SQL["browse_category"] = with_(PRODUCTS) + f"""
+SELECT category_id, product_id, sku, product_name, {dbl('unit_price')} AS unit_price FROM p WHERE is_active"""
+
+SQL["tier_region_counts"] = with_(CUSTOMERS) + """
+SELECT tier, region_id, is_active, CAST(COUNT(*) AS BIGINT) AS customers FROM c GROUP BY tier, region_id, is_active"""
+
+SQL["product_sales"] = with_(ITEMS) + f"""
+SELECT product_id, CAST(created_at AS DATE) AS sale_period, CAST(SUM(qty) AS BIGINT) AS units_sold,
+       {dbl('SUM(line_total)')} AS revenue, CAST(COUNT(*) AS BIGINT) AS line_count
+FROM oi GROUP BY product_id, CAST(created_at AS DATE)"""
+
+CODES = """
+codes AS (
+  SELECT * FROM (VALUES
+    ('WELCOME10', 'percent', 10.00, 0.00, 1000, DATE '2024-01-01', DATE '2024-12-31'),
+    ('SAVE50NOW', 'fixed', 50.00, 500.00, 500, DATE '2024-03-01', DATE '2024-06-30'),
+    ('GOLDMEMBER', 'percent', 15.00, 100.00, NULL, DATE '2024-01-01', NULL),
+    ('APAC2024', 'percent', 12.00, 200.00, 250, DATE '2024-04-01', DATE '2024-09-30'))
+    t(code, discount_type, discount_value, min_order_amt, max_uses, valid_from, valid_until))"""
+
+SQL["codes_for_orders"] = with_(ORDERS, CODES) + f"""
+SELECT o.order_id, k.code, k.discount_type, {dbl('o.total_amount')} AS total_amount,
+       {dbl("CASE WHEN k.discount_type = 'percent' THEN ROUND(o.total_amount * CAST(k.discount_value AS DECIMAL(8,2)) * 0.01, 2) ELSE LEAST(CAST(k.discount_value AS DECIMAL(12,2)), o.total_amount) END")} AS discount_amount
+FROM o JOIN codes k
+  ON CAST(o.ordered_at + INTERVAL 9496 DAY AS DATE) >= k.valid_from
+ AND (k.valid_until IS NULL OR CAST(o.ordered_at + INTERVAL 9496 DAY AS DATE) <= k.valid_until)
+ AND o.total_amount >= COALESCE(k.min_order_amt, 0)
+ AND (k.max_uses IS NULL OR 0 < k.max_uses)
+WHERE o.deleted_at IS NULL"""
+
+SQL["search_products"] = """
+WITH q(term) AS (VALUES ('blue'), ('widget'), ('with'), ('steel'), ('bolt')),
+tok AS (SELECT p_partkey AS product_id, p_name AS product_name,
+               unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part)
+SELECT product_id, product_name, CAST(COUNT(DISTINCT tok.term) AS BIGINT) AS matched_terms,
+       CAST(COUNT(*) AS BIGINT) AS hits
+FROM tok JOIN q ON q.term = tok.term
+WHERE length(tok.term) >= 3
+GROUP BY product_id, product_name"""
