@@ -140,3 +140,131 @@ SEARCH_TEXT = "blue widget with a steel bolt"
 def q_search_products(spark, sf_dir):
     d = Driver(spark, sf_dir)
     return reports.search_products(d.products, SEARCH_TEXT)
+
+
+# ---------------------------------------------------------------- integrity
+def _integrity():
+    from ..operators import integrity
+    return integrity
+
+
+@register("check_unique_lineitem")
+def q_check_unique_lineitem(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    return _integrity().check_unique(d.raw("lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
+
+
+FK_CHECKS = [  # (child table, child column, parent table, parent column)
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+]
+
+
+@register("check_foreign_keys")
+def q_check_foreign_keys(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    parts = [_integrity().check_fk(d.raw(ct), cc, d.raw(pt), pc, ct) for ct, cc, pt, pc in FK_CHECKS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("check_rules_orders")
+def q_check_rules_orders(spark, sf_dir):
+    from ..schemas import ORDER_STATUSES, U16, U32, U64
+    integ = _integrity()
+    d = Driver(spark, sf_dir)
+    rules = (integ.not_null_rules(["order_id", "customer_id", "status", "currency", "subtotal",
+                                   "total_amount", "ordered_at"])
+             + integ.domain_rules({"status": ORDER_STATUSES})
+             + integ.range_rules({"order_id": (0, U64), "customer_id": (0, U32), "warehouse_id": (0, U16)},
+                                 lengths={"currency": 3}, decimals={"total_amount": (12, 2)}))
+    return integ.row_checks(d.orders, "orders", rules)
+
+
+@register("check_rules_customers")
+def q_check_rules_customers(spark, sf_dir):
+    from ..schemas import TIERS
+    integ = _integrity()
+    d = Driver(spark, sf_dir)
+    rules = (integ.format_rules({"email": "email", "first_name": "database_name"})
+             + integ.domain_rules({"tier": TIERS})
+             + integ.range_rules({"region_id": (0, 255)}, lengths={"email": 254, "last_name": 80}))
+    return integ.row_checks(d.customers, "customers", rules)
+
+
+PURGE_BEFORE = "1996-01-01"
+
+
+@register("cascade_delete_items")
+def q_cascade_delete_items(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    deleted = d.raw("orders").filter(F.col("o_orderdate") < F.lit(PURGE_BEFORE).cast("timestamp_ntz"))
+    kept = _integrity().cascade_delete(d.raw("lineitem"), "l_orderkey", deleted, "o_orderkey")
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@register("set_null_on_delete_customers")
+def q_set_null_on_delete_customers(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    deleted = d.regions.filter(F.col("country") == "AFRICA")
+    out = _integrity().set_null_on_delete(d.customers, "region_id", deleted, "region_id")
+    return out.select("customer_id", "region_id")
+
+
+@register("check_restrict_customers")
+def q_check_restrict_customers(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    deleted = d.customers.filter(F.col("balance") < 0)
+    return _integrity().check_restrict(d.orders, "customer_id", deleted, "customer_id")
+
+
+@register("remap_key_customers")
+def q_remap_key_customers(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    mapping = d.regions.select(F.col("region_id").alias("old_key"), (F.col("region_id") + 100).alias("new_key"))
+    return _integrity().remap_key(d.customers, "region_id", mapping).select("customer_id", "region_id")
+
+
+# -------------------------------------------------------------------- merge
+UPSERT_NOW = "2024-06-01 00:00:00"
+TARGET_SNAPSHOT = "2024-01-01 00:00:00"
+
+
+@register("upsert_customers")
+def q_upsert_customers(spark, sf_dir):
+    from ..operators.merge import upsert
+    d = Driver(spark, sf_dir)
+    c = d.customers
+    target = (c.filter(F.col("tier") != "household")
+              .select("customer_id", "email", "tier", "is_active",
+                      F.lit(TARGET_SNAPSHOT).cast("timestamp_ntz").alias("updated_at")))
+    source = c.select("customer_id", F.upper("email").alias("email"),
+                      F.when(F.col("balance") >= 5000, F.lit("platinum")).otherwise(F.col("tier")).alias("tier"),
+                      "is_active")
+    return upsert(target, source, "customer_id", ["tier"], touch="updated_at",
+                  now=F.lit(UPSERT_NOW).cast("timestamp_ntz"))
+
+
+@register("mark_migrated")
+def q_mark_migrated(spark, sf_dir):
+    from ..operators.merge import mark_migrated
+    d = Driver(spark, sf_dir)
+    o = d.orders.withColumn("migrated_at", F.when(F.col("status") == "delivered", F.col("ordered_at")))
+    return mark_migrated(o, F.lit(UPSERT_NOW).cast("timestamp_ntz")).select("order_id", "status", "migrated_at")
+
+
+@register("evolve_orders")
+def q_evolve_orders(spark, sf_dir):
+    from pyspark.sql import types as T
+    d = Driver(spark, sf_dir)
+    added = [T.StructField("deleted_at", T.TimestampNTZType(), True),
+             T.StructField("created_by", T.StringType(), True),
+             T.StructField("migrated_at", T.TimestampNTZType(), True)]
+    return _integrity().evolve(d.raw("orders"), added)

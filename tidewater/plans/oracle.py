@@ -239,3 +239,99 @@ SELECT product_id, product_name, CAST(COUNT(DISTINCT tok.term) AS BIGINT) AS mat
 FROM tok JOIN q ON q.term = tok.term
 WHERE length(tok.term) >= 3
 GROUP BY product_id, product_name"""
+
+SQL["check_unique_lineitem"] = """
+SELECT 'lineitem' AS table_name, 'unique' AS rule, 'l_orderkey,l_linenumber' AS column_name,
+       CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS violations, CAST(COUNT(*) AS BIGINT) AS duplicate_keys
+FROM (SELECT COUNT(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+      GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1) d"""
+
+_FK = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+       ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+       ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+       ("nation", "n_regionkey", "region", "r_regionkey")]
+SQL["check_foreign_keys"] = "\nUNION ALL\n".join(
+    f"SELECT '{ct}' AS table_name, 'fk' AS rule, '{cc}->{pc}' AS column_name, "
+    f"CAST(COUNT(*) AS BIGINT) AS violations FROM {ct} x "
+    f"WHERE x.{cc} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pt} y WHERE y.{pc} = x.{cc})"
+    for ct, cc, pt, pc in _FK)
+
+
+def _checks(table: str, source: str, rules: list[tuple[str, str, str]]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{table}' AS table_name, '{r}' AS rule, '{c}' AS column_name, "
+        f"CAST(COALESCE(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM {source}"
+        for r, c, cond in rules)
+
+
+_STATUSES = "'pending','confirmed','processing','shipped','delivered','cancelled','refunded'"
+SQL["check_rules_orders"] = with_(ORDERS) + _checks("orders", "o2", [
+    ("not_null", "order_id", "order_id IS NULL"), ("not_null", "customer_id", "customer_id IS NULL"),
+    ("not_null", "status", "status IS NULL"), ("not_null", "currency", "currency IS NULL"),
+    ("not_null", "subtotal", "subtotal IS NULL"), ("not_null", "total_amount", "total_amount IS NULL"),
+    ("not_null", "ordered_at", "ordered_at IS NULL"),
+    ("domain", "status", f"status IS NOT NULL AND status NOT IN ({_STATUSES})"),
+    ("range", "order_id", "order_id IS NOT NULL AND (order_id < 0 OR CAST(order_id AS HUGEINT) > 18446744073709551615)"),
+    ("range", "customer_id", "customer_id IS NOT NULL AND (customer_id < 0 OR customer_id > 4294967295)"),
+    ("range", "warehouse_id", "warehouse_id IS NOT NULL AND (warehouse_id < 0 OR warehouse_id > 65535)"),
+    ("length", "currency", "currency IS NOT NULL AND length(currency) > 3"),
+    ("decimal", "total_amount", "total_amount IS NOT NULL AND TRY_CAST(total_amount AS DECIMAL(12,2)) IS NULL"),
+])
+
+_EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
+_DBNAME = r"^[a-zA-Z][a-zA-Z0-9_]{0,63}$"
+SQL["check_rules_customers"] = with_(CUSTOMERS) + _checks("customers", "c", [
+    ("format", "email", f"email IS NOT NULL AND NOT regexp_matches(email, '{_EMAIL}')"),
+    ("format", "first_name", f"first_name IS NOT NULL AND NOT regexp_matches(first_name, '{_DBNAME}')"),
+    ("domain", "tier", "tier IS NOT NULL AND tier NOT IN ('standard','silver','gold','platinum')"),
+    ("range", "region_id", "region_id IS NOT NULL AND (region_id < 0 OR region_id > 255)"),
+    ("length", "email", "email IS NOT NULL AND length(email) > 254"),
+    ("length", "last_name", "last_name IS NOT NULL AND length(last_name) > 80"),
+])
+
+SQL["cascade_delete_items"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey
+                  AND o.o_orderdate < TIMESTAMP '1996-01-01 00:00:00')"""
+
+SQL["set_null_on_delete_customers"] = with_(CUSTOMERS, REGIONS) + """
+SELECT c.customer_id,
+       CASE WHEN c.region_id IN (SELECT region_id FROM r WHERE country = 'AFRICA') THEN NULL
+            ELSE c.region_id END AS region_id
+FROM c"""
+
+SQL["check_restrict_customers"] = with_(ORDERS) + """
+SELECT customer_id, CAST(COUNT(*) AS BIGINT) AS child_rows FROM o
+WHERE customer_id IN (SELECT c_custkey FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) < 0)
+GROUP BY customer_id"""
+
+SQL["remap_key_customers"] = with_(CUSTOMERS) + """
+SELECT c.customer_id, COALESCE(m.new_key, c.region_id) AS region_id
+FROM c LEFT JOIN (SELECT n_nationkey AS old_key, n_nationkey + 100 AS new_key FROM nation) m
+  ON c.region_id = m.old_key"""
+
+SQL["upsert_customers"] = with_(CUSTOMERS) + """,
+src AS (SELECT c_custkey AS customer_id, c.email AS email0, upper(c.email) AS email,
+               CASE WHEN CAST(c_acctbal AS DECIMAL(12,2)) >= 5000 THEN 'platinum' ELSE c.tier END AS tier,
+               c.is_active
+        FROM customer JOIN c ON c.customer_id = c_custkey),
+tgt AS (SELECT customer_id, email, tier, is_active, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
+        FROM c WHERE tier <> 'household')
+SELECT COALESCE(t.customer_id, s.customer_id) AS customer_id,
+       CASE WHEN t.customer_id IS NOT NULL THEN t.email ELSE s.email END AS email,
+       CASE WHEN s.customer_id IS NOT NULL THEN s.tier ELSE t.tier END AS tier,
+       CASE WHEN t.customer_id IS NOT NULL THEN t.is_active ELSE s.is_active END AS is_active,
+       CASE WHEN t.customer_id IS NOT NULL AND s.customer_id IS NOT NULL
+              THEN CASE WHEN t.tier IS DISTINCT FROM s.tier THEN TIMESTAMP '2024-06-01 00:00:00' ELSE t.updated_at END
+            WHEN s.customer_id IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00'
+            ELSE t.updated_at END AS updated_at
+FROM tgt t FULL OUTER JOIN src s ON t.customer_id = s.customer_id"""
+
+SQL["mark_migrated"] = with_(ORDERS) + """
+SELECT order_id, status,
+       COALESCE(CASE WHEN status = 'delivered' THEN ordered_at END, TIMESTAMP '2024-06-01 00:00:00') AS migrated_at
+FROM o"""
+
+SQL["evolve_orders"] = """
+SELECT *, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS VARCHAR) AS created_by,
+       CAST(NULL AS TIMESTAMP) AS migrated_at FROM orders"""
