@@ -268,3 +268,34 @@ def q_evolve_orders(spark, sf_dir):
              T.StructField("created_by", T.StringType(), True),
              T.StructField("migrated_at", T.TimestampNTZType(), True)]
     return _integrity().evolve(d.raw("orders"), added)
+
+
+# -------------------------------------------------------------- reservation
+RESERVE_STOCK = 1000
+
+
+def reservation_inputs(spark, sf_dir):
+    """Requests from the event stream (key = user, arrival = event id,
+    qty = whole units of the value); every user that signed up holds a stock
+    of RESERVE_STOCK units."""
+    ev = Driver(spark, sf_dir).raw("events")
+    requests = ev.select(F.col("event_id").alias("request_id"), "user_id",
+                         F.floor("value").cast("int").alias("qty"))
+    inventory = (ev.filter(F.col("event_type") == "signup").select("user_id").distinct()
+                 .select("user_id", F.lit(RESERVE_STOCK).alias("qty_on_hand"), F.lit(0).alias("qty_reserved")))
+    return inventory, requests
+
+
+@register("reserve_requests")
+def q_reserve_requests(spark, sf_dir):
+    from ..operators.reserve import reserve
+    inventory, requests = reservation_inputs(spark, sf_dir)
+    return reserve(inventory, requests, "user_id", "request_id")
+
+
+@register("reserve_inventory")
+def q_reserve_inventory(spark, sf_dir):
+    from ..operators.reserve import reserve, reserved_totals
+    inventory, requests = reservation_inputs(spark, sf_dir)
+    results = reserve(inventory, requests, "user_id", "request_id")
+    return reserved_totals(inventory, results, "user_id")

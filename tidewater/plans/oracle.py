@@ -335,3 +335,32 @@ FROM o"""
 SQL["evolve_orders"] = """
 SELECT *, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS VARCHAR) AS created_by,
        CAST(NULL AS TIMESTAMP) AS migrated_at FROM orders"""
+
+RESERVE_WALK = """
+WITH RECURSIVE req AS (
+  SELECT event_id AS request_id, user_id, CAST(floor(value) AS INTEGER) AS qty,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+  FROM events),
+inv AS (SELECT DISTINCT user_id, 1000 AS qty_on_hand, 0 AS qty_reserved FROM events WHERE event_type = 'signup'),
+start AS (SELECT q.*, COALESCE(i.qty_on_hand - i.qty_reserved, 0) AS a0
+          FROM req q LEFT JOIN inv i ON i.user_id = q.user_id WHERE q.rn = 1),
+walk AS (
+  SELECT user_id, rn, request_id, qty,
+         CASE WHEN a0 >= qty THEN 0 ELSE 1 END AS result,
+         CASE WHEN a0 >= qty THEN a0 - qty ELSE a0 END AS avail
+  FROM start
+  UNION ALL
+  SELECT q.user_id, q.rn, q.request_id, q.qty,
+         CASE WHEN w.avail >= q.qty THEN 0 ELSE 1 END,
+         CASE WHEN w.avail >= q.qty THEN w.avail - q.qty ELSE w.avail END
+  FROM walk w JOIN req q ON q.user_id = w.user_id AND q.rn = w.rn + 1)
+"""
+
+SQL["reserve_requests"] = RESERVE_WALK + """
+SELECT request_id, user_id, qty, CAST(result AS INTEGER) AS result FROM walk"""
+
+SQL["reserve_inventory"] = RESERVE_WALK + """
+SELECT i.user_id, i.qty_on_hand,
+       CAST(i.qty_reserved + COALESCE(t.taken, 0) AS INTEGER) AS qty_reserved
+FROM inv i LEFT JOIN (SELECT user_id, SUM(qty) AS taken FROM walk WHERE result = 0 GROUP BY user_id) t
+  ON t.user_id = i.user_id"""
