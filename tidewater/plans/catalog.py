@@ -299,3 +299,151 @@ def q_reserve_inventory(spark, sf_dir):
     inventory, requests = reservation_inputs(spark, sf_dir)
     results = reserve(inventory, requests, "user_id", "request_id")
     return reserved_totals(inventory, results, "user_id")
+
+
+# ---------------------------------------------------------------------- cdc
+CUSTOMER_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def change_log(spark, sf_dir):
+    """The event stream read as a change log of the customer table:
+    signup -> insert, error -> delete, anything else -> update; the log
+    position is the event id; capture happens ``k`` seconds after commit."""
+    ev = Driver(spark, sf_dir).raw("events")
+    op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select(
+        F.col("event_id").alias("pos"), op.alias("op"), F.lit("customer").alias("table_name"),
+        F.col("user_id").alias("c_custkey"),
+        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("c_name"),
+        F.lit(None).cast("int").alias("c_nationkey"),
+        F.col("value").alias("c_acctbal"),
+        F.upper("event_type").alias("c_mktsegment"),
+        F.col("ts").alias("committed_at"),
+        F.expr("timestampadd(SECOND, CAST(get_json_object(props, '$.k') AS INT), ts)").alias("captured_at"),
+        k.alias("_k"))
+
+
+@register("apply_changes_customers")
+def q_apply_changes_customers(spark, sf_dir):
+    from ..operators.cdc import apply_changes, live, snapshot_target
+    d = Driver(spark, sf_dir)
+    target = snapshot_target(d.raw("customer"))
+    out = apply_changes(target, change_log(spark, sf_dir), "c_custkey", CUSTOMER_COLS)
+    return live(out)
+
+
+@register("cdc_latency")
+def q_cdc_latency(spark, sf_dir):
+    from ..operators.cdc import cdc_latency
+    out = cdc_latency(change_log(spark, sf_dir))
+    return as_double(out.select("pos", "op", "committed_at", "captured_at", "source_latency_s"),
+                     "source_latency_s")
+
+
+# --------------------------------------------------------------- validation
+PARITY_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "partsupp"]
+
+
+def parity_sides(spark, sf_dir):
+    """Source = the driver tables; target = the same tables after a load that
+    has not yet received the pending ('P') orders; partsupp exists nowhere."""
+    from ..sources.tables import try_read_table
+    source = {t: try_read_table(spark, sf_dir, t) for t in PARITY_TABLES}
+    target = dict(source)
+    target["orders"] = source["orders"].filter(F.col("o_orderstatus") != "P")
+    return source, target
+
+
+@register("count_parity")
+def q_count_parity(spark, sf_dir):
+    from ..operators.validate import count_parity
+    source, target = parity_sides(spark, sf_dir)
+    return count_parity(spark, source, target, PARITY_TABLES)
+
+
+@register("cutover_gate")
+def q_cutover_gate(spark, sf_dir):
+    from ..operators.validate import count_parity, cutover_gate
+    source, target = parity_sides(spark, sf_dir)
+    return cutover_gate(count_parity(spark, source, target, PARITY_TABLES))
+
+
+AUDIT_TIME = "2024-06-01 00:00:00"
+
+
+@register("audit_snapshot")
+def q_audit_snapshot(spark, sf_dir):
+    from ..operators.validate import audit_snapshot
+    from ..sources.tables import list_tables, read_table
+    tables = {t: read_table(spark, sf_dir, t) for t in list_tables(spark, sf_dir)}
+    return audit_snapshot(spark, tables, F.lit(AUDIT_TIME).cast("timestamp_ntz"))
+
+
+# --------------------------------------------------------------- monitoring
+PERIOD_S = 3600
+ALARM_THRESHOLD = 150
+ALARM_PERIODS = 2
+
+
+def hourly_max(spark, sf_dir):
+    from ..operators.monitor import period_stat
+    ev = Driver(spark, sf_dir).raw("events")
+    return period_stat(ev, "ts", "value", ["event_type"], PERIOD_S, "Maximum", exact_scale=2)
+
+
+@register("period_stat")
+def q_period_stat(spark, sf_dir):
+    from ..operators.monitor import period_stat
+    ev = Driver(spark, sf_dir).raw("events")
+    avg = period_stat(ev, "ts", "value", ["event_type"], PERIOD_S, "Average", exact_scale=2)
+    mx = hourly_max(spark, sf_dir).select("event_type", "period_start", F.col("value").alias("max_value"))
+    out = avg.withColumnRenamed("value", "avg_value").join(mx, ["event_type", "period_start"])
+    return as_double(out, "avg_value", "max_value")
+
+
+@register("alarm_states")
+def q_alarm_states(spark, sf_dir):
+    from ..operators.monitor import alarm_states
+    st = alarm_states(hourly_max(spark, sf_dir), ["event_type"], PERIOD_S, ALARM_THRESHOLD,
+                      "GreaterThanThreshold", ALARM_PERIODS)
+    return as_double(st, "value")
+
+
+@register("alarm_states_breaching")
+def q_alarm_states_breaching(spark, sf_dir):
+    from ..operators.monitor import alarm_states
+    st = alarm_states(hourly_max(spark, sf_dir), ["event_type"], PERIOD_S, ALARM_THRESHOLD,
+                      "GreaterThanThreshold", ALARM_PERIODS, missing="breaching")
+    return as_double(st, "value")
+
+
+@register("alarm_transitions")
+def q_alarm_transitions(spark, sf_dir):
+    from ..operators.monitor import alarm_states, alarm_transitions
+    st = alarm_states(hourly_max(spark, sf_dir), ["event_type"], PERIOD_S, ALARM_THRESHOLD,
+                      "GreaterThanThreshold", ALARM_PERIODS)
+    return alarm_transitions(st, ["event_type"], PERIOD_S)
+
+
+@register("filter_events")
+def q_filter_events(spark, sf_dir):
+    from ..operators.monitor import filter_events
+    ev = Driver(spark, sf_dir).raw("events")
+    return filter_events(ev, ["error", "signup"], category="event_type")
+
+
+HEALTHY_K = 50
+REQUIRED_HEALTHY = 2
+
+
+@register("health_rollup")
+def q_health_rollup(spark, sf_dir):
+    """Each event's JSON props carry a probe reading k; per type and day:
+    probes, healthy probes (k >= 50) and whether the required minimum is met."""
+    ev = Driver(spark, sf_dir).raw("events")
+    k = F.from_json("props", "k int")["k"]
+    return (ev.groupBy("event_type", F.to_date("ts").alias("day"))
+            .agg(F.count(F.lit(1)).alias("probes"),
+                 F.count(F.when(k >= HEALTHY_K, 1)).alias("healthy"))
+            .withColumn("ready", F.col("healthy") >= REQUIRED_HEALTHY))

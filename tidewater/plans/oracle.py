@@ -364,3 +364,117 @@ SELECT i.user_id, i.qty_on_hand,
        CAST(i.qty_reserved + COALESCE(t.taken, 0) AS INTEGER) AS qty_reserved
 FROM inv i LEFT JOIN (SELECT user_id, SUM(qty) AS taken FROM walk WHERE result = 0 GROUP BY user_id) t
   ON t.user_id = i.user_id"""
+
+CHANGES = """
+ch AS (
+  SELECT event_id AS pos,
+         CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op,
+         user_id AS c_custkey, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS c_name,
+         CAST(NULL AS INTEGER) AS c_nationkey, value AS c_acctbal, upper(event_type) AS c_mktsegment,
+         ts AS committed_at,
+         ts + to_seconds(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS captured_at
+  FROM events)"""
+
+SQL["apply_changes_customers"] = with_(CHANGES) + """,
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY pos DESC) AS rn FROM ch) x
+         WHERE rn = 1),
+t AS (SELECT *, CAST(-1 AS BIGINT) AS _pos FROM customer),
+m AS (
+  SELECT COALESCE(t.c_custkey, l.c_custkey) AS c_custkey,
+         (l.c_custkey IS NOT NULL AND (t.c_custkey IS NULL OR l.pos > t._pos)) AS newer,
+         l.op, l.pos, t._pos AS tpos,
+         t.c_name AS t_name, t.c_nationkey AS t_nation, t.c_acctbal AS t_bal, t.c_mktsegment AS t_seg,
+         l.c_name AS l_name, l.c_nationkey AS l_nation, l.c_acctbal AS l_bal, l.c_mktsegment AS l_seg
+  FROM t FULL OUTER JOIN last l ON t.c_custkey = l.c_custkey)
+SELECT c_custkey,
+       CASE WHEN newer THEN l_name ELSE t_name END AS c_name,
+       CASE WHEN newer THEN l_nation ELSE t_nation END AS c_nationkey,
+       CASE WHEN newer THEN l_bal ELSE t_bal END AS c_acctbal,
+       CASE WHEN newer THEN l_seg ELSE t_seg END AS c_mktsegment,
+       CASE WHEN newer THEN pos ELSE tpos END AS _pos
+FROM m WHERE NOT (newer AND op = 'D')"""
+
+SQL["cdc_latency"] = with_(CHANGES) + """
+SELECT pos, op, committed_at, captured_at,
+       CAST(CAST(CAST(epoch_us(captured_at) - epoch_us(committed_at) AS DECIMAL(20,0)) / 1000000 AS DECIMAL(18,6))
+            AS DOUBLE) AS source_latency_s
+FROM ch"""
+
+_PARITY = [("region", "region"), ("nation", "nation"), ("customer", "customer"), ("supplier", "supplier"),
+           ("part", "part"), ("orders", "orders"), ("lineitem", "lineitem")]
+PARITY = "parity AS (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, (SELECT COUNT(*) FROM {t}) AS source_rows, "
+    + (f"(SELECT COUNT(*) FROM {t} WHERE o_orderstatus <> 'P')" if t == "orders" else f"(SELECT COUNT(*) FROM {t})")
+    + " AS target_rows, TRUE AS ok" for t, _ in _PARITY) + \
+    "\nUNION ALL\nSELECT 'partsupp', NULL, NULL, FALSE)"
+
+SQL["count_parity"] = "WITH " + PARITY + """
+SELECT table_name, CAST(source_rows AS BIGINT) AS source_rows, CAST(target_rows AS BIGINT) AS target_rows,
+       CAST(CASE WHEN ok THEN target_rows - source_rows END AS BIGINT) AS delta,
+       CASE WHEN NOT ok THEN 'ERR' WHEN source_rows = target_rows THEN 'MATCH' ELSE 'MISMATCH' END AS status,
+       CASE WHEN NOT ok THEN 'ERR' WHEN source_rows = target_rows THEN 'MATCH'
+            ELSE CAST(target_rows - source_rows AS VARCHAR) END AS label,
+       table_name AS target_table
+FROM parity"""
+
+SQL["cutover_gate"] = "WITH " + PARITY + """
+SELECT CAST(SUM(CASE WHEN ok AND source_rows = target_rows THEN 1 ELSE 0 END) AS BIGINT) AS passed,
+       CAST(SUM(CASE WHEN ok AND source_rows = target_rows THEN 0 ELSE 1 END) AS BIGINT) AS failed,
+       CAST(COUNT(*) AS BIGINT) AS total,
+       SUM(CASE WHEN ok AND source_rows = target_rows THEN 0 ELSE 1 END) = 0 AS safe_to_cutover
+FROM parity"""
+
+_ALL = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+        "benchmark labels conversations").split()
+SQL["audit_snapshot"] = "\nUNION ALL\n".join(
+    f"SELECT 'post_load_snapshot' AS event, '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count, "
+    f"TIMESTAMP '2024-06-01 00:00:00' AS recorded_at FROM {t}" for t in _ALL)
+
+HOURLY = """
+hourly AS (
+  SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS period_start,
+         MAX(CAST(value AS DECIMAL(18,2))) AS max_value, CAST(COUNT(*) AS BIGINT) AS samples,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) * 100 AS HUGEINT) AS s, COUNT(*) AS c
+  FROM events GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts))"""
+
+SQL["period_stat"] = with_(HOURLY) + """
+SELECT event_type, period_start,
+       CAST(CAST(CAST((s * 20000 + c) // (2 * c) AS DECIMAL(38,0)) * 0.000001 AS DECIMAL(18,6)) AS DOUBLE) AS avg_value,
+       samples, CAST(max_value AS DOUBLE) AS max_value
+FROM hourly"""
+
+ALARM = HOURLY + """,
+b AS (SELECT event_type, CAST(epoch(period_start) // 3600 AS BIGINT) AS slot, max_value AS v, max_value > 150 AS breach
+      FROM hourly),
+bounds AS (SELECT event_type, MIN(slot) AS lo, MAX(slot) AS hi FROM b GROUP BY event_type),
+spine AS (SELECT event_type, lo, unnest(generate_series(lo, hi)) AS slot FROM bounds),
+w AS (SELECT s.event_type, s.slot, s.lo, COUNT(b.slot) AS n, SUM(CASE WHEN b.breach THEN 1 ELSE 0 END) AS nb
+      FROM spine s LEFT JOIN b ON b.event_type = s.event_type AND b.slot BETWEEN s.slot - 1 AND s.slot
+      GROUP BY s.event_type, s.slot, s.lo),
+st AS (SELECT w.event_type, w.slot, make_timestamp(w.slot * 3600 * 1000000) AS period_start,
+              CAST(b.v AS DOUBLE) AS value, w.n, COALESCE(w.nb, 0) AS nb, w.lo,
+              CASE WHEN w.n < 2 THEN 'INSUFFICIENT' WHEN COALESCE(w.nb, 0) = 2 THEN 'ALARM' ELSE 'OK' END AS state
+       FROM w LEFT JOIN b ON b.event_type = w.event_type AND b.slot = w.slot)"""
+
+SQL["alarm_states"] = with_(ALARM) + "SELECT event_type, period_start, value, state FROM st"
+
+SQL["alarm_states_breaching"] = with_(ALARM) + """
+SELECT event_type, period_start, value,
+       CASE WHEN LEAST(2, slot - lo + 1) < 2 THEN 'INSUFFICIENT'
+            WHEN nb + (LEAST(2, slot - lo + 1) - n) = 2 THEN 'ALARM' ELSE 'OK' END AS state
+FROM st"""
+
+SQL["alarm_transitions"] = with_(ALARM) + """
+SELECT event_type, period_start, previous_state, state FROM (
+  SELECT event_type, period_start, state,
+         COALESCE(lag(state) OVER (PARTITION BY event_type ORDER BY slot), 'INSUFFICIENT') AS previous_state
+  FROM st) x
+WHERE (state = 'ALARM' AND previous_state <> 'ALARM') OR (state = 'OK' AND previous_state = 'ALARM')"""
+
+SQL["filter_events"] = "SELECT * FROM events WHERE event_type IN ('error', 'signup')"
+
+SQL["health_rollup"] = """
+SELECT event_type, CAST(ts AS DATE) AS day, CAST(COUNT(*) AS BIGINT) AS probes,
+       CAST(COUNT(CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 1 END) AS BIGINT) AS healthy,
+       COUNT(CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 1 END) >= 2 AS ready
+FROM events GROUP BY event_type, CAST(ts AS DATE)"""
