@@ -86,11 +86,18 @@ def period_stat(metrics: DataFrame, ts: str, value: str, dims: list[str], period
     same plan runs on a stream in append mode.
     """
     v = F.col(value).cast(T.DecimalType(18, exact_scale)) if exact_scale is not None else F.col(value)
-    src = metrics.withWatermark(ts, watermark) if watermark else metrics
+    ntz = isinstance(metrics.schema[ts].dataType, T.TimestampNTZType)
+    src = metrics
+    if watermark:
+        # event-time watermarks need a zoned timestamp; same instants in the session zone
+        if ntz:
+            src = src.withColumn(ts, F.col(ts).cast("timestamp"))
+        src = src.withWatermark(ts, watermark)
     agg = _STATS[statistic](v)
     out = (src.groupBy(*dims, F.window(ts, f"{period_s} seconds").alias("_w"))
            .agg(agg.alias("value"), F.count(F.lit(1)).cast("long").alias("samples")))
-    return out.select(*dims, F.col("_w.start").alias("period_start"), "value", "samples")
+    start = F.col("_w.start").cast("timestamp_ntz") if ntz else F.col("_w.start")
+    return out.select(*dims, start.alias("period_start"), "value", "samples")
 
 
 def alarm_states(stats: DataFrame, dims: list[str], period_s: int, threshold, comparison: str,

@@ -306,10 +306,13 @@ CUSTOMER_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 def change_log(spark, sf_dir):
+    return change_log_of(Driver(spark, sf_dir).raw("events"))
+
+
+def change_log_of(ev):
     """The event stream read as a change log of the customer table:
     signup -> insert, error -> delete, anything else -> update; the log
     position is the event id; capture happens ``k`` seconds after commit."""
-    ev = Driver(spark, sf_dir).raw("events")
     op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
@@ -447,3 +450,79 @@ def q_health_rollup(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("probes"),
                  F.count(F.when(k >= HEALTHY_K, 1)).alias("healthy"))
             .withColumn("ready", F.col("healthy") >= REQUIRED_HEALTHY))
+
+
+# ------------------------------------------------------------ load and keys
+@register("limit_lob_documents")
+def q_limit_lob_documents(spark, sf_dir):
+    from ..functions.lob import limit_lob
+    docs = limit_lob(Driver(spark, sf_dir).raw("documents").select("doc_id", "text"), ["text"])
+    return docs.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+
+
+ID_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+            "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@register("assign_ids_lineitem")
+def q_assign_ids_lineitem(spark, sf_dir):
+    from ..operators.keys import assign_ids
+    li = Driver(spark, sf_dir).raw("lineitem")
+    return assign_ids(li, "item_id", ID_ORDER).select("item_id", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+LOAD_EXCLUDE = ["emb%", "labels"]
+LOAD_PREFIX = "mig_"
+
+
+@register("full_load_summary")
+def q_full_load_summary(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sinks.target import full_load, load_summary
+    dst = scratch_path(spark, "full-load")
+    loaded = full_load(spark, sf_dir, dst, include=["%"], exclude=LOAD_EXCLUDE, prefix=LOAD_PREFIX,
+                       prep="DROP_AND_CREATE")
+    return load_summary(spark, dst, loaded)
+
+
+# ---------------------------------------------------------------- streaming
+def events_stream(spark, sf_dir):
+    """The events table followed as a file stream."""
+    from ..sources.changes import stream_changes
+    schema = Driver(spark, sf_dir).raw("events").schema
+    return stream_changes(spark, sf_dir, schema, file_name="events.parquet")
+
+
+@register("migrate_stream")
+def q_migrate_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming.cdc_stream import migrate, read_live
+    root = scratch_path(spark, "migrate")
+    migrate(spark, Driver(spark, sf_dir).raw("customer"), change_log_of(events_stream(spark, sf_dir)),
+            f"{root}/customer", "c_custkey", CUSTOMER_COLS, -1, f"{root}/_checkpoint")
+    return read_live(spark, f"{root}/customer")
+
+
+@register("reserve_stream")
+def q_reserve_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming.reserve_stream import read_results, reserve_stream
+    root = scratch_path(spark, "reserve")
+    inventory, _ = reservation_inputs(spark, sf_dir)
+    requests = events_stream(spark, sf_dir).select(
+        F.col("event_id").alias("request_id"), "user_id", F.floor("value").cast("int").alias("qty"))
+    reserve_stream(spark, inventory, requests, f"{root}/inventory", f"{root}/results", f"{root}/_checkpoint",
+                   "user_id", "request_id")
+    return read_results(spark, f"{root}/results")
+
+
+@register("period_stat_stream")
+def q_period_stat_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming.alarm_stream import period_stats_stream, read_stats
+    root = scratch_path(spark, "periods")
+    period_stats_stream(events_stream(spark, sf_dir), "ts", "value", ["event_type"], PERIOD_S, "Maximum",
+                        f"{root}/stats", f"{root}/_checkpoint", exact_scale=2)
+    out = read_stats(spark, f"{root}/stats")
+    return as_double(out.select("event_type", "period_start", F.col("value").alias("max_value"), "samples"),
+                     "max_value")

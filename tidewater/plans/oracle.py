@@ -478,3 +478,30 @@ SELECT event_type, CAST(ts AS DATE) AS day, CAST(COUNT(*) AS BIGINT) AS probes,
        CAST(COUNT(CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 1 END) AS BIGINT) AS healthy,
        COUNT(CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 1 END) >= 2 AS ready
 FROM events GROUP BY event_type, CAST(ts AS DATE)"""
+
+SQL["limit_lob_documents"] = """
+WITH long AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 32768),
+chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+          FROM long),
+run AS (SELECT doc_id, ch, i, SUM(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM chars),
+cut AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS text FROM run WHERE upto <= 32768 GROUP BY doc_id),
+res AS (SELECT doc_id, text FROM documents WHERE strlen(text) <= 32768 OR text IS NULL
+        UNION ALL SELECT doc_id, text FROM cut)
+SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS n_bytes FROM res"""
+
+SQL["assign_ids_lineitem"] = """
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
+                                   l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS item_id,
+       l_orderkey, l_linenumber, l_partkey
+FROM lineitem"""
+
+_LOADED = ["benchmark", "conversations", "customer", "documents", "events", "lineitem", "nation", "orders",
+           "pages", "part", "region", "supplier"]
+SQL["full_load_summary"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS source_table, 'mig_{t}' AS target_table, CAST(COUNT(*) AS BIGINT) AS rows FROM {t}"
+    for t in _LOADED)
+
+SQL["migrate_stream"] = SQL["apply_changes_customers"]
+SQL["reserve_stream"] = SQL["reserve_requests"]
+SQL["period_stat_stream"] = with_(HOURLY) + """
+SELECT event_type, period_start, CAST(max_value AS DOUBLE) AS max_value, samples FROM hourly"""
