@@ -18,10 +18,11 @@ Plan (exact, and safe for a key that holds a large share of all requests):
    is accepted; the first request with P > r is rejected. This settles the
    head of every key in parallel.
 4. After that first rejection the stock left is r' < that request's qty.
-   If the rest of the key has no releases, every later request with
-   qty > r' is rejected and qty = 0 is accepted when r' >= 0: also settled
-   in parallel. Only requests with 1 <= qty <= r' (or all of a key that
-   has releases) stay open, with r' as their new starting stock.
+   Up to the next release (qty < 0) the stock can only shrink, so every
+   request there with qty > r' is rejected and qty = 0 is accepted when
+   r' >= 0: also settled in parallel. Only requests with 1 <= qty <= r',
+   and everything from the next release on, stay open, with r' as their new
+   starting stock (the settled ones did not change it).
 5. Steps 1-4 repeat while more than ``serial_limit`` requests are open
    (counted); each round is checkpointed to the shared checkpoint folder
    (lineage cut, partition ids fixed, executor loss safe). The bounded rest
@@ -70,8 +71,14 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
     decided: list[DataFrame] = []
     open_rows = req
     rounds = 0
-    # after max_rounds the walk takes whatever is open: slower, still exact
-    while rounds < max_rounds and open_rows.count() > serial_limit:
+    # after max_rounds, or when a round settles nothing (keys whose tails hold
+    # releases), the walk takes whatever is open: slower, still exact
+    before = None
+    while rounds < max_rounds:
+        n_open = open_rows.count()
+        if n_open <= serial_limit or (before is not None and n_open >= before):
+            break
+        before = n_open
         checkpoint_dir(spark)
         settled, open_rows = _parallel_round(open_rows, key, seq, qty, n)
         open_rows = open_rows.checkpoint(eager=True)
@@ -92,12 +99,11 @@ def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n
     part = [*key, "_pid"]
     local = ranged.withColumn("_lp", F.sum(qty).over(
         Window.partitionBy(*part).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)))
-    chunks = local.groupBy(*part).agg(F.sum(qty).alias("_cs"), F.min(qty).alias("_qmin"))
+    chunks = local.groupBy(*part).agg(F.sum(qty).alias("_cs"))
     by_key = Window.partitionBy(*key).orderBy("_pid")
     chunks = chunks.select(
         *part,
-        F.coalesce(F.sum("_cs").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        (F.min("_qmin").over(Window.partitionBy(*key)) < 0).alias("_releases"))
+        F.coalesce(F.sum("_cs").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     pref = local.join(chunks, part).withColumn("_P", F.col("_off") + F.col("_lp"))
     # first request per chunk whose prefix sum exceeds the starting stock
     pos = F.struct(*[F.col(c) for c in seq])
@@ -109,10 +115,16 @@ def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n
                .select(*part, F.min("_fb").over(Window.partitionBy(*key)).alias("_kb")))
     j = pref.join(key_bad, part, "left")
     fb_pos, fb_before = F.col("_kb.pos"), F.col("_kb.before")
+    # first release (qty < 0) after the first rejection: from there on the
+    # stock can grow again, so later rows stay open for the next round
+    rel = (j.filter((F.col(qty) < 0) & (pos > fb_pos)).groupBy(*part).agg(F.min(pos).alias("_rc")))
+    key_rel = (chunks.select(*part).join(rel, part, "left")
+               .select(*part, F.min("_rc").over(Window.partitionBy(*key)).alias("_rel")))
+    j = j.join(key_rel, part, "left")
     r_new = F.col("_r") - fb_before
     head = F.col("_kb").isNull() | (pos < fb_pos)
     first_bad = pos == fb_pos
-    release = F.col("_releases")
+    release = F.col("_rel").isNotNull() & (pos >= F.col("_rel"))
     result = (F.when(head, F.lit(RESULT_OK))
               .when(first_bad, F.lit(RESULT_INSUFFICIENT))
               .when(release, F.lit(None))
