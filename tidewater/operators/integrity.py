@@ -113,18 +113,26 @@ def check_list_format(df: DataFrame, column: str, rule: str, min_size: int = 0,
 
 
 # ------------------------------------------------------------- key checks
-def check_unique(df: DataFrame, cols: list[str], table: str = "") -> DataFrame:
+# Case-, accent- and trailing-space-insensitive equality of the source's
+# lookup columns (unicode_ci collation with PAD SPACE).
+LOOKUP_COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def check_unique(df: DataFrame, cols: list[str], table: str = "", collation: str | None = None) -> DataFrame:
     """Primary/unique key check (CON-5).
 
     ``violations`` = rows beyond the first for each key value; keys with a
-    NULL part never collide (SQL unique semantics). One shuffle on the key
-    after map-side partial counts, so a hot key costs one row per task.
+    NULL part never collide (SQL unique semantics). With ``collation``,
+    string key parts compare under it (e.g. 'A ' equals 'a'). One shuffle on
+    the key after map-side partial counts, so a hot key costs one row per task.
     """
     all_set = F.lit(True)
     for c in cols:
         all_set = all_set & F.col(c).isNotNull()
     keyed = df.filter(all_set)
-    dup = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    strings = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    keys = [F.collate(F.col(c), collation).alias(c) if collation and c in strings else F.col(c) for c in cols]
+    dup = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return dup.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations"),
                    F.count(F.lit(1)).cast("bigint").alias("duplicate_keys")) \
         .select(F.lit(table).alias("table_name"), F.lit("unique").alias("rule"),

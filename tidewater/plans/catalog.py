@@ -493,13 +493,16 @@ def events_stream(spark, sf_dir):
     return stream_changes(spark, sf_dir, schema, file_name="events.parquet")
 
 
+MIGRATE_BUCKETS = 16
+
+
 @register("migrate_stream")
 def q_migrate_stream(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming.cdc_stream import migrate, read_live
     root = scratch_path(spark, "migrate")
     migrate(spark, Driver(spark, sf_dir).raw("customer"), change_log_of(events_stream(spark, sf_dir)),
-            f"{root}/customer", "c_custkey", CUSTOMER_COLS, -1, f"{root}/_checkpoint")
+            f"{root}/customer", "c_custkey", CUSTOMER_COLS, -1, f"{root}/_checkpoint", buckets=MIGRATE_BUCKETS)
     return read_live(spark, f"{root}/customer")
 
 
@@ -526,3 +529,24 @@ def q_period_stat_stream(spark, sf_dir):
     out = read_stats(spark, f"{root}/stats")
     return as_double(out.select("event_type", "period_start", F.col("value").alias("max_value"), "samples"),
                      "max_value")
+
+
+# ------------------------------------------------------- collation, hierarchy
+@register("check_unique_customer_email")
+def q_check_unique_customer_email(spark, sf_dir):
+    from ..operators.integrity import LOOKUP_COLLATION
+    d = Driver(spark, sf_dir)
+    return _integrity().check_unique(d.customers, ["email"], "customers", collation=LOOKUP_COLLATION)
+
+
+@register("region_hierarchy")
+def q_region_hierarchy(spark, sf_dir):
+    """Regions and nations as one tree: a nation's parent is its region."""
+    from ..operators.tree import hierarchy_paths
+    d = Driver(spark, sf_dir)
+    regions = d.raw("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"),
+                                     F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"))
+    nations = d.raw("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+                                     F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"),
+                                     F.col("n_name").alias("name"))
+    return hierarchy_paths(regions.unionByName(nations)).withColumn("depth", F.col("depth").cast("int"))

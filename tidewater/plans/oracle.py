@@ -505,3 +505,21 @@ SQL["migrate_stream"] = SQL["apply_changes_customers"]
 SQL["reserve_stream"] = SQL["reserve_requests"]
 SQL["period_stat_stream"] = with_(HOURLY) + """
 SELECT event_type, period_start, CAST(max_value AS DOUBLE) AS max_value, samples FROM hourly"""
+
+SQL["check_unique_customer_email"] = with_(CUSTOMERS) + """
+SELECT 'customers' AS table_name, 'unique' AS rule, 'email' AS column_name,
+       CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS violations, CAST(COUNT(*) AS BIGINT) AS duplicate_keys
+FROM (SELECT COUNT(*) AS n FROM c WHERE email IS NOT NULL
+      GROUP BY lower(strip_accents(rtrim(email, ' '))) HAVING COUNT(*) > 1) d"""
+
+SQL["region_hierarchy"] = """
+WITH RECURSIVE nodes AS (
+  SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name FROM region
+  UNION ALL
+  SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR), n_name FROM nation),
+walk(id, parent_id, root, depth, path) AS (
+  SELECT n.id, n.parent_id, n.id, 0, n.name FROM nodes n
+  WHERE n.parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM nodes p WHERE p.id = n.parent_id)
+  UNION ALL
+  SELECT c.id, c.parent_id, w.root, w.depth + 1, w.path || '/' || c.name FROM nodes c JOIN walk w ON c.parent_id = w.id)
+SELECT id, parent_id, root, CAST(depth AS INTEGER) AS depth, path FROM walk"""

@@ -128,3 +128,44 @@ def load_summary(spark: SparkSession, dst_root: str, loaded: list[tuple[str, str
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------ bucketed tables
+BUCKET_COL = "_bucket"
+
+
+def bucket_of(key: list[str] | str, buckets: int):
+    """Hash bucket of a key: the table's partition column."""
+    key = [key] if isinstance(key, str) else list(key)
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int) -> None:
+    """Write a keyed table partitioned by hash bucket of its key."""
+    (df.withColumn(BUCKET_COL, bucket_of(key, buckets))
+     .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(root))
+
+
+def read_bucketed(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).drop(BUCKET_COL)
+
+
+def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key: list[str] | str, buckets: int,
+                       merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite only the buckets a batch of changes touches.
+
+    The touched buckets are found with a semi-join, which Spark turns into
+    runtime partition pruning of the table scan; the merged rows are
+    checkpointed (so nothing is read from files being replaced) and written
+    with dynamic partition overwrite, which replaces exactly those buckets.
+    ``merge`` must be idempotent (re-running a batch after a failure must
+    converge) and must keep every row of a touched bucket (tombstones, not
+    removals), since a bucket missing from the output is left as it was.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    touched = changes.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct()
+    current = spark.read.parquet(root).join(touched, BUCKET_COL, "left_semi").drop(BUCKET_COL)
+    merged = merge(current, changes).withColumn(BUCKET_COL, bucket_of(key, buckets)).checkpoint(eager=True)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKET_COL).parquet(root))

@@ -13,14 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cdc import after_position, apply_changes, live, snapshot_target
-from ..sinks.target import current_version, read_current, write_version
+from ..sinks.target import (current_version, merge_into_buckets, read_bucketed, read_current, write_bucketed,
+                            write_version)
 
 
 def migrate(spark: SparkSession, snapshot: DataFrame, changes: DataFrame, target_root: str, key: str,
             columns: list[str], start_pos, checkpoint_location: str, pos: str = "pos", op: str = "op",
-            available_now: bool = True, processing_time: str | None = None):
+            available_now: bool = True, processing_time: str | None = None, buckets: int | None = None):
     """Run both phases; returns the streaming query (already finished when
-    ``available_now``). Read the result with ``read_live``."""
+    ``available_now``). Read the result with ``read_live``.
+
+    With ``buckets`` the target is partitioned by key hash and each
+    micro-batch rewrites only the buckets its keys fall in (the layout for
+    large tables); without, every batch commits a new version of the whole
+    table (atomic switch, fine for small tables).
+    """
+    if buckets is not None:
+        return _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start_pos,
+                                 checkpoint_location, pos, op, available_now, processing_time, buckets)
     if current_version(spark, target_root) is None:
         write_version(snapshot_target(snapshot.select(key, *columns), start_pos), target_root, 0)
 
@@ -43,6 +53,30 @@ def migrate(spark: SparkSession, snapshot: DataFrame, changes: DataFrame, target
     return q
 
 
+def _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start_pos, checkpoint_location,
+                      pos, op, available_now, processing_time, buckets):
+    marker = f"{target_root.rstrip('/')}/_snapshot_done"
+    if current_version(spark, marker) is None:
+        write_bucketed(snapshot_target(snapshot.select(key, *columns), start_pos), f"{target_root}/data",
+                       key, buckets)
+        write_version(spark.range(0), marker, 0)
+
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        merge_into_buckets(spark, f"{target_root}/data", batch, key, buckets,
+                           lambda cur, ch: apply_changes(cur, ch, key, columns, pos=pos, op=op))
+
+    writer = (after_position(changes, start_pos, pos).writeStream
+              .foreachBatch(apply_batch).option("checkpointLocation", checkpoint_location))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=processing_time or "1 minute")
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 def read_live(spark: SparkSession, target_root: str) -> DataFrame:
     """Current rows of a migrated table (tombstones removed)."""
+    if current_version(spark, f"{target_root.rstrip('/')}/_snapshot_done") is not None:
+        return live(read_bucketed(spark, f"{target_root}/data"))
     return live(read_current(spark, target_root))
