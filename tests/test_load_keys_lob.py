@@ -75,3 +75,21 @@ def test_versioned_write(spark):
     write_version(spark.range(3), root, 0)
     write_version(spark.range(5), root, 1)
     assert read_current(spark, root).count() == 5
+
+
+def test_list_formats_and_expr_helpers(spark):
+    from tidewater.functions.expr import endpoint_host, join_csv
+    from tidewater.operators.integrity import check_list_format
+    df = spark.createDataFrame([(["us-east-1a", "us-east-1b"], "db.example:3306"), (["us-east-1a"], "h:1"),
+                                (["bad zone", "us-east-1b"], "x:2")], "azs array<string>, ep string")
+    got = {r.rule: r.violations for r in check_list_format(df, "azs", "zone", min_size=2, table="cfg").collect()}
+    assert got == {"format": 1, "min_size": 1}
+    row = df.select(endpoint_host("ep").alias("h"), join_csv("azs").alias("csv")).first()
+    assert row.h == "db.example" and row.csv == "us-east-1a,us-east-1b"
+
+
+def test_select_changes(spark):
+    from tidewater.operators.cdc import select_changes
+    ch = spark.createDataFrame([(1, "orders"), (2, "_audit"), (3, "order_items")], "pos long, table_name string")
+    out = select_changes(ch, ["order%"], ["\\_%"], prefix="mig_").collect()
+    assert sorted(r.table_name for r in out) == ["mig_order_items", "mig_orders"]

@@ -90,3 +90,13 @@ def signed_delta_status(source_count, target_count, source_ok, target_ok) -> Col
     return (F.when(~col(source_ok) | ~col(target_ok), F.lit("ERR"))
             .when(col(source_count) == col(target_count), F.lit("MATCH"))
             .otherwise((col(target_count) - col(source_count)).cast("string")))
+
+
+def endpoint_host(c) -> Column:
+    """Host part of a ``host:port`` endpoint (split and take part, EXP-20)."""
+    return F.split(col(c), ":").getItem(0)
+
+
+def join_csv(c) -> Column:
+    """An array column joined into one comma-separated string (EXP-20)."""
+    return F.concat_ws(",", col(c))

@@ -92,3 +92,17 @@ def cdc_latency(changes: DataFrame, committed: str = "committed_at", captured: s
 def after_position(changes: DataFrame, start_pos, pos: str = "pos") -> DataFrame:
     """Changes that follow a snapshot taken at ``start_pos`` (CDC-1 phase two)."""
     return changes.filter(F.col(pos) > F.lit(start_pos))
+
+
+def select_changes(changes: DataFrame, include: list[str], exclude: list[str] | None = None,
+                   prefix: str = "", table: str = "table_name") -> DataFrame:
+    """The load's table selection (LIKE patterns) and rename applied to the
+    change log too (CDC-5), so both phases land in the same target tables."""
+    inc = F.lit(False)
+    for p in include:
+        inc = inc | F.col(table).like(p)
+    exc = F.lit(False)
+    for p in exclude or []:
+        exc = exc | F.col(table).like(p)
+    out = changes.filter(inc & ~exc)
+    return out.withColumn(table, F.concat(F.lit(prefix), F.col(table))) if prefix else out

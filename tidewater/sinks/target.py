@@ -108,6 +108,9 @@ def full_load(spark: SparkSession, src_root: str, dst_root: str, include: list[s
     chosen = select_tables(spark, list_tables(spark, src_root), include or ["%"], exclude or [])
 
     def load(name: str) -> tuple[str, str]:
+        # each table's jobs go to their own scheduler pool (shared fairly when
+        # the cluster runs spark.scheduler.mode=FAIR)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"load_{name}")
         df = read_table(spark, src_root, name)
         if lob_max_kb is not None:
             cols = (lob_columns or {}).get(name, text_columns(df)) if lob_columns is not None else text_columns(df)
