@@ -124,3 +124,10 @@ def test_parity_gate_and_audit(spark):
     assert renamed.status == "MATCH" and renamed.target_table == "mig_a"
     audit = audit_snapshot(spark, {"a": ten, "_internal": ten, "xflyway": ten}, F.lit(None).cast("timestamp"))
     assert sorted(r.table_name for r in audit.collect()) == ["a", "xflyway"]
+
+
+def test_apply_changes_broadcast_and_shuffle_plans_agree(spark):
+    ch = spark.createDataFrame([(5, "U", 1, "a2", 11), (6, "D", 2, None, None), (8, "I", 4, "d", 40)], CH)
+    a = apply_changes(_target(spark), ch, "id", ["name", "amount"])
+    b = apply_changes(_target(spark), ch, "id", ["name", "amount"], max_broadcast_rows=0)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -15,8 +15,9 @@ Applying a batch of changes to a target:
 * an update whose before-key differs from its after-key becomes a delete of
   the old key plus an upsert of the new one (``split_key_changes``).
 
-Keys are unique on both sides of the final full outer join, so it has no
-hot keys regardless of how skewed the change log is.
+Keys are unique on both sides of the final join, so it has no hot keys
+regardless of how skewed the change log is; a batch that is small after the
+per-key reduction is broadcast and the target is not shuffled at all.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .merge import latest_per_key
+from .merge import BROADCAST_BATCH_ROWS, keyed_outer_join, latest_per_key
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
 
@@ -47,7 +48,8 @@ def split_key_changes(changes: DataFrame, key: str, before_key: str, op: str = "
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list[str],
-                  pos: str = "pos", op: str = "op", keep_tombstones: bool = True) -> DataFrame:
+                  pos: str = "pos", op: str = "op", keep_tombstones: bool = True,
+                  max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """Apply a batch of changes to a target that has ``_pos`` / ``_deleted``.
 
     ``columns`` are the row columns (besides the key) taken from the change's
@@ -61,7 +63,7 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list
     if "_pos" not in target.columns:
         target = snapshot_target(target)
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [key, *columns, "_pos", "_deleted"]])
-    j = t.join(last, t[f"_t_{key}"] == last[key], "full")
+    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_rows)
     has_change = F.col(key).isNotNull()
     newer = has_change & (F.col(f"_t_{key}").isNull() | F.col("_t__pos").isNull() | (F.col("_cpos") > F.col("_t__pos")))
     is_del = F.col("_op") == DELETE

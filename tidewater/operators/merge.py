@@ -11,6 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import fits
+
+# An incoming batch up to this many rows (after one-row-per-key reduction) is
+# broadcast, so the target is never shuffled; above it a full outer join.
+BROADCAST_BATCH_ROWS = 1_000_000
+
+
+def keyed_outer_join(t: DataFrame, s: DataFrame, t_keys: list[str], s_keys: list[str],
+                     max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+    """Full outer join of a target with a batch that is unique per key, with
+    ``_in_t`` / ``_in_s`` markers (NULL when that side has no row).
+
+    Small batch (counted): target LEFT JOIN broadcast(batch) streams the
+    target without a shuffle; the batch rows with new keys are found with a
+    broadcast semi-join over the target's key columns only, and appended.
+    Large batch: one shuffled full outer join.
+    """
+    t = t.withColumn("_in_t", F.lit(True))
+    s = s.withColumn("_in_s", F.lit(True))
+    cond = None
+    for tk, sk in zip(t_keys, s_keys):
+        c = t[tk] == s[sk]
+        cond = c if cond is None else cond & c
+    if not fits(s, max_broadcast_rows):
+        return t.join(s, cond, "full")
+    sb = F.broadcast(s)
+    matched = t.join(sb, cond, "left")
+    seen = (t.select(*[F.col(k).alias(sk) for k, sk in zip(t_keys, s_keys)])
+            .join(F.broadcast(s.select(*s_keys)), s_keys, "left_semi"))
+    new = s.join(seen, s_keys, "left_anti")
+    for f in t.schema.fields:
+        new = new.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return matched.unionByName(new.select(*matched.columns))
+
 
 def latest_per_key(df: DataFrame, key: list[str], order_by: str) -> DataFrame:
     """Keep, per key, the row with the greatest ``order_by`` (the last write wins).
@@ -26,7 +60,7 @@ def latest_per_key(df: DataFrame, key: list[str], order_by: str) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_cols: list[str],
            touch: str | None = None, now: Column | None = None,
-           order_by: str | None = None) -> DataFrame:
+           order_by: str | None = None, max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
     """Keyed upsert with a per-table list of columns to overwrite (DML-1).
 
     * key in both: ``update_cols`` take the incoming value, every other
@@ -37,8 +71,9 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
 
     Duplicate keys inside the source batch: with ``order_by`` the last one
     wins (as applying the rows in order would); without it the batch must
-    be unique per key. Keys are unique on both sides, so the full outer join
-    has no hot keys.
+    be unique per key. Keys are unique on both sides, so the join has no hot
+    keys; a batch of at most ``max_broadcast_rows`` rows is broadcast and the
+    target is not shuffled (``keyed_outer_join``).
     """
     key = [key] if isinstance(key, str) else list(key)
     now = now if now is not None else F.current_timestamp()
@@ -46,13 +81,9 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
         source = latest_per_key(source, key, order_by).drop(order_by) if order_by not in target.columns \
             else latest_per_key(source, key, order_by)
     tcols = target.columns
-    t = target.select(*[F.col(c).alias(f"t__{c}") for c in tcols], F.lit(True).alias("_in_t"))
-    s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("_in_s"))
-    cond = None
-    for k in key:
-        c = t[f"t__{k}"] == s[f"s__{k}"]
-        cond = c if cond is None else cond & c
-    j = t.join(s, cond, "full")
+    t = target.select(*[F.col(c).alias(f"t__{c}") for c in tcols])
+    s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns])
+    j = keyed_outer_join(t, s, [f"t__{k}" for k in key], [f"s__{k}" for k in key], max_broadcast_rows)
     in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
     changed = F.lit(False)
     for c in update_cols:
