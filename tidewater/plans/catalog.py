@@ -506,6 +506,9 @@ def q_migrate_stream(spark, sf_dir):
     return read_live(spark, f"{root}/customer")
 
 
+RESERVE_BUCKETS = 16
+
+
 @register("reserve_stream")
 def q_reserve_stream(spark, sf_dir):
     from ..session import scratch_path
@@ -515,7 +518,7 @@ def q_reserve_stream(spark, sf_dir):
     requests = events_stream(spark, sf_dir).select(
         F.col("event_id").alias("request_id"), "user_id", F.floor("value").cast("int").alias("qty"))
     reserve_stream(spark, inventory, requests, f"{root}/inventory", f"{root}/results", f"{root}/_checkpoint",
-                   "user_id", "request_id")
+                   "user_id", "request_id", buckets=RESERVE_BUCKETS)
     return read_results(spark, f"{root}/results")
 
 

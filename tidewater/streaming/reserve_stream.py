@@ -1,26 +1,50 @@
 """Reservation over a stream of requests (RSV-2).
 
-The reserved stock is the state: it lives in a versioned inventory table.
-Each micro-batch is decided with the batch operator (``reserve``) against
-the current inventory, the results are appended under the batch id, and the
-new inventory is committed as the next version. Requests of a later batch
-arrive after those of earlier batches, so the fold continues exactly where
-the previous batch stopped. A replayed batch whose version is committed is
-skipped (results are written per batch id, so a partial write is replaced).
+The reserved stock is the state. Each micro-batch is decided with the batch
+operator (``reserve``, hot-key safe) against the current stock, the results
+are written under the batch id, and the stock is updated. Requests of a
+later batch arrive after those of earlier batches, so the fold continues
+exactly where the previous batch stopped.
+
+Two state layouts:
+
+* versioned (small inventories): the whole stock table is committed as a
+  new version per batch; a replayed, already committed batch is skipped.
+* bucketed (large inventories): the stock is partitioned by key hash and a
+  batch reads and rewrites only the buckets its keys fall in. Every stock
+  row remembers the last batch applied to it (``_batch``) and what that
+  batch took (``_last_taken``), so a replayed batch rebuilds the exact stock
+  it started from, even if some buckets were already rewritten: decisions
+  and state converge to the same result (exactly-once effect).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.reserve import reserve, reserved_totals
-from ..sinks.target import current_version, read_current, write_version
+from ..operators.reserve import RESULT_OK, reserve, reserved_totals
+from ..sinks.target import (BUCKET_COL, bucket_of, current_version, merge_into_buckets, read_current,
+                            write_bucketed, write_version)
 
 
 def reserve_stream(spark: SparkSession, inventory: DataFrame, requests: DataFrame, state_root: str,
                    results_path: str, checkpoint_location: str, key: list[str] | str, order: list[str] | str,
-                   qty: str = "qty", request_id: str = "request_id", available_now: bool = True,
-                   processing_time: str | None = None):
+                   qty: str = "qty", request_id: str = "request_id", reserved: str = "qty_reserved",
+                   available_now: bool = True, processing_time: str | None = None, buckets: int | None = None):
+    key = [key] if isinstance(key, str) else list(key)
+    decide = (_bucketed(spark, inventory, state_root, results_path, key, order, qty, request_id, reserved, buckets)
+              if buckets else _versioned(spark, inventory, state_root, results_path, key, order, qty, request_id))
+    writer = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint_location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=processing_time or "10 seconds")
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def _versioned(spark, inventory, state_root, results_path, key, order, qty, request_id):
     if current_version(spark, state_root) is None:
         write_version(inventory, state_root, 0)
 
@@ -35,14 +59,52 @@ def reserve_stream(spark: SparkSession, inventory: DataFrame, requests: DataFram
         results = spark.read.parquet(out)  # written once, read back: no recomputation
         write_version(reserved_totals(stock, results, key, qty=qty), state_root, version)
 
-    writer = requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint_location)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
-        processingTime=processing_time or "10 seconds")
-    q = writer.start()
-    if available_now:
-        q.awaitTermination()
-    return q
+    return decide
+
+
+def _bucketed(spark, inventory, state_root, results_path, key, order, qty, request_id, reserved, buckets):
+    data = f"{state_root.rstrip('/')}/data"
+    marker = f"{state_root.rstrip('/')}/_initialised"
+    if current_version(spark, marker) is None:
+        write_bucketed(inventory.withColumn("_batch", F.lit(-1).cast("long"))
+                       .withColumn("_last_taken", F.lit(0).cast("long")), data, key, buckets)
+        write_version(spark.range(0), marker, 0)
+    rtype = inventory.schema[reserved].dataType
+
+    def before(stock: DataFrame, batch_id: int) -> DataFrame:
+        """Stock as it was when this batch started."""
+        return stock.withColumn(reserved, F.when(F.col("_batch") == batch_id, F.col(reserved) - F.col("_last_taken"))
+                                .otherwise(F.col(reserved)).cast(rtype))
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        touched = batch.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct()
+        stock = before(spark.read.parquet(data).join(touched, BUCKET_COL, "left_semi").drop(BUCKET_COL), batch_id)
+        out = f"{results_path.rstrip('/')}/batch={batch_id}"
+        reserve(stock, batch, key, order, qty=qty, request_id=request_id).write.mode("overwrite").parquet(out)
+        taken = (spark.read.parquet(out).filter(F.col("result") == RESULT_OK)
+                 .groupBy(*key).agg(F.sum(qty).cast("long").alias("_taken")))
+        asked = batch.select(*key).distinct().withColumn("_asked", F.lit(True))
+
+        def update(current: DataFrame, _changes: DataFrame) -> DataFrame:
+            cur = before(current, batch_id).join(asked, key, "left").join(taken, key, "left")
+            hit = F.col("_asked").isNotNull()
+            got = F.coalesce(F.col("_taken"), F.lit(0)).cast("long")
+            return (cur.withColumn(reserved, F.when(hit, (F.col(reserved) + got).cast(rtype)).otherwise(F.col(reserved)))
+                    .withColumn("_last_taken", F.when(hit, got).otherwise(F.col("_last_taken")))
+                    .withColumn("_batch", F.when(hit, F.lit(batch_id).cast("long")).otherwise(F.col("_batch")))
+                    .drop("_asked", "_taken"))
+
+        merge_into_buckets(spark, data, batch.select(*key), key, buckets, update)
+
+    return decide
 
 
 def read_results(spark: SparkSession, results_path: str) -> DataFrame:
     return spark.read.parquet(results_path).drop("batch")
+
+
+def read_stock(spark: SparkSession, state_root: str) -> DataFrame:
+    """Current stock of either layout, without bookkeeping columns."""
+    if current_version(spark, f"{state_root.rstrip('/')}/_initialised") is not None:
+        return spark.read.parquet(f"{state_root.rstrip('/')}/data").drop(BUCKET_COL, "_batch", "_last_taken")
+    return read_current(spark, state_root)
