@@ -131,3 +131,17 @@ def test_apply_changes_broadcast_and_shuffle_plans_agree(spark):
     a = apply_changes(_target(spark), ch, "id", ["name", "amount"])
     b = apply_changes(_target(spark), ch, "id", ["name", "amount"], max_broadcast_rows=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_metric_queries_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    names = ["alarm_states", "alarm_transitions", "cdc_latency", "period_stat", "period_stat_stream"]
+    base = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
+    for tz in ("Asia/Kolkata", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        try:
+            for n in names:
+                assert sorted(map(tuple, E.queries()[n](spark, sf).collect())) == base[n], (tz, n)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")

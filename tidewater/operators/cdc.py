@@ -83,7 +83,7 @@ def cdc_latency(changes: DataFrame, committed: str = "committed_at", captured: s
     """Source latency (capture - commit) and, if given, target latency
     (apply - commit), in seconds, exact to the microsecond (CDC-4)."""
     def secs(later, earlier):
-        micros = F.unix_micros(F.col(later).cast("timestamp")) - F.unix_micros(F.col(earlier).cast("timestamp"))
+        micros = F.timestamp_diff("MICROSECOND", F.col(earlier), F.col(later))
         return (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
     out = changes.withColumn("source_latency_s", secs(captured, committed))
     if applied is not None:

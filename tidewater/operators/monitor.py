@@ -66,13 +66,29 @@ EVENT_CATEGORIES = ["creation", "deletion", "failure", "configuration change"]
 # ---------------------------------------------------------------------------
 
 
-def _slot(ts: Column, period_s: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(period_s)).cast("long")
+EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def epoch_micros(ts: Column, ntz: bool = True) -> Column:
+    """Microseconds since 1970-01-01: of the wall-clock value for
+    TIMESTAMP_NTZ (no time zone involved), of the instant for TIMESTAMP."""
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), ts)
+    return F.unix_micros(ts)
+
+
+def _is_ntz(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.TimestampNTZType)
+
+
+def _slot(ts: Column, period_s: int, ntz: bool = True) -> Column:
+    return F.floor(epoch_micros(ts, ntz) / F.lit(period_s * 1_000_000)).cast("long")
 
 
 def _slot_start(slot: Column, period_s: int, ntz: bool = True) -> Column:
-    ts = F.timestamp_seconds(slot * F.lit(period_s))
-    return ts.cast("timestamp_ntz") if ntz else ts
+    if ntz:
+        return F.timestamp_add("SECOND", slot * F.lit(period_s), F.expr(EPOCH_NTZ))
+    return F.timestamp_seconds(slot * F.lit(period_s))
 
 
 def period_stat(metrics: DataFrame, ts: str, value: str, dims: list[str], period_s: int,
@@ -89,14 +105,17 @@ def period_stat(metrics: DataFrame, ts: str, value: str, dims: list[str], period
     ntz = isinstance(metrics.schema[ts].dataType, T.TimestampNTZType)
     src = metrics
     if watermark:
-        # event-time watermarks need a zoned timestamp; same instants in the session zone
+        # event-time watermarks need a zoned timestamp: read the wall-clock
+        # value as UTC (no session time zone involved) and back again below
         if ntz:
-            src = src.withColumn(ts, F.col(ts).cast("timestamp"))
+            src = src.withColumn(ts, F.timestamp_micros(epoch_micros(F.col(ts), ntz=True)))
         src = src.withWatermark(ts, watermark)
     agg = _STATS[statistic](v)
     out = (src.groupBy(*dims, F.window(ts, f"{period_s} seconds").alias("_w"))
            .agg(agg.alias("value"), F.count(F.lit(1)).cast("long").alias("samples")))
-    start = F.col("_w.start").cast("timestamp_ntz") if ntz else F.col("_w.start")
+    start = F.col("_w.start")
+    if ntz and watermark:
+        start = F.timestamp_add("MICROSECOND", F.unix_micros(start), F.expr(EPOCH_NTZ))
     return out.select(*dims, start.alias("period_start"), "value", "samples")
 
 
@@ -106,7 +125,8 @@ def alarm_states(stats: DataFrame, dims: list[str], period_s: int, threshold, co
     """State of the rule at every slot from each series' first to last slot (OBS-2)."""
     n = int(evaluation_periods)
     cmp = _COMPARE[comparison]
-    pts = stats.select(*dims, _slot(F.col(period_start), period_s).alias("_slot"), F.col(value).alias("value"),
+    ntz = _is_ntz(stats, period_start)
+    pts = stats.select(*dims, _slot(F.col(period_start), period_s, ntz).alias("_slot"), F.col(value).alias("value"),
                        cmp(F.col(value), F.lit(threshold)).alias("_breach"))
     bounds = pts.groupBy(*dims).agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
     spine = bounds.select(*dims, "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_slot"))
@@ -123,7 +143,7 @@ def alarm_states(stats: DataFrame, dims: list[str], period_s: int, threshold, co
         state = (F.when(slots < n, INSUFFICIENT).when(brk + (slots - got) == n, ALARM).otherwise(OK))
     else:
         raise ValueError("missing must be 'ignore' or 'breaching'")
-    return j.select(*dims, _slot_start(F.col("_slot"), period_s).alias("period_start"), "value",
+    return j.select(*dims, _slot_start(F.col("_slot"), period_s, ntz).alias("period_start"), "value",
                     state.alias("state"))
 
 
@@ -132,8 +152,9 @@ def alarm_transitions(states: DataFrame, dims: list[str], period_s: int) -> Data
 
     The first slot of a series counts as coming from INSUFFICIENT.
     """
-    cur = states.select(*dims, _slot(F.col("period_start"), period_s).alias("_slot"), "period_start", "state")
-    prev = states.select(*dims, (_slot(F.col("period_start"), period_s) + 1).alias("_slot"),
+    ntz = _is_ntz(states, "period_start")
+    cur = states.select(*dims, _slot(F.col("period_start"), period_s, ntz).alias("_slot"), "period_start", "state")
+    prev = states.select(*dims, (_slot(F.col("period_start"), period_s, ntz) + 1).alias("_slot"),
                          F.col("state").alias("previous_state"))
     j = cur.join(prev, [*dims, "_slot"], "left").withColumn(
         "previous_state", F.coalesce("previous_state", F.lit(INSUFFICIENT)))
