@@ -69,3 +69,26 @@ def test_no_releases_hot_key_settles_in_parallel(spark):
                                                     max_rounds=32, partitions=8).collect()}
     assert got == brute({0: 5000}, reqs)
     assert sum(1 for v in got.values() if v == 0) > 0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), min_size=1, max_size=60),
+       st.integers(0, 200))
+def test_property_never_negative_and_exact(spark, reqs, stock):
+    rows = [(i, k, q) for i, (k, q) in enumerate(reqs)]
+    inv = spark.createDataFrame([(k, stock, 0) for k in (0, 1)], "k long, qty_on_hand long, qty_reserved long")
+    req = spark.createDataFrame(rows, "request_id long, k long, qty int")
+    res = reserve(inv, req, "k", "request_id", serial_limit=0, max_rounds=2, partitions=3)
+    got = {r.request_id: r.result for r in res.collect()}
+    assert got == brute({0: stock, 1: stock}, rows)
+    taken = {0: 0, 1: 0}
+    for rid, k, q in rows:
+        if got[rid] == 0 and k in taken:
+            taken[k] += q
+    assert all(stock - t >= 0 for t in taken.values())
+    after = {r.k: r.qty_reserved for r in reserved_totals(inv, res, "k").collect()}
+    assert after == taken

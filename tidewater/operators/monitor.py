@@ -199,7 +199,8 @@ def peer_rollup(df: DataFrame, json_col: str, required: int = 4) -> DataFrame:
     peers = F.coalesce(F.from_json(json_col, PEER_SCHEMA)["result"]["bgpPeerStatus"],
                        F.array().cast(PEER_SCHEMA["result"].dataType["bgpPeerStatus"].dataType))
     ok = F.size(F.filter(peers, lambda p: (p["status"] == "UP") & (p["state"] == "ESTABLISHED")))
-    routes = F.aggregate(peers, F.lit(0).cast("long"),
-                         lambda acc, p: acc + F.coalesce(F.size(p["advertisedRoutes"]), F.lit(0)).cast("long"))
+    # size(NULL) is -1 when ANSI mode is off, so test for NULL explicitly
+    routes = F.aggregate(peers, F.lit(0).cast("long"), lambda acc, p: acc + F.when(
+        p["advertisedRoutes"].isNull(), F.lit(0)).otherwise(F.size(p["advertisedRoutes"])).cast("long"))
     return (df.withColumn("peers", F.size(peers)).withColumn("established", ok)
             .withColumn("advertised_routes", routes).withColumn("ready", F.col("established") >= required))

@@ -117,7 +117,7 @@ class Driver:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return (self.raw("part").groupBy("p_brand").agg(F.lit(1).alias("_x"))
+        return (self.raw("part").select("p_brand").distinct()
                 .select(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("category_id"),
                         F.col("p_brand").alias("category_name")))
 
