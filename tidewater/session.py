@@ -35,11 +35,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "8g")
         .config("spark.local.dir", os.path.join(scratch, "local"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
-        .config(CHECKPOINT_CONF, os.path.join(scratch, "checkpoints"))
-        .config(SCRATCH_CONF, os.path.join(scratch, "scratch"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # the checkpoint folder comes from the configuration (spark-defaults or
+    # --conf); only when none is configured is a fresh local one used
+    checkpoint_dir(spark)
     return spark
 
 
@@ -53,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if not configured:
+    if not configured:  # only a local run without configuration gets here
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
