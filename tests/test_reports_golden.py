@@ -73,12 +73,12 @@ def test_inventory_health_and_reorder(seed, spark):
     assert len(out) == 41 and {r.stock_status for r in out} == {"OK"}
     assert reports.reorder_check(seed["inventory"]).count() == 0
     t = dt.datetime(2024, 1, 1)
-    extra = spark.createDataFrame([(100, 1, 1, 5, 5, 10, t), (101, 2, 2, 12, 4, 10, t)],
+    extra = spark.createDataFrame([(100, 1, 3, 5, 5, 10, t), (101, 2, 2, 12, 4, 10, t)],
                                   seed["inventory"].schema)
     inv = seed["inventory"].unionByName(extra)
     st = {(r.product_id, r.warehouse_id): r.stock_status
           for r in reports.inventory_health(inv, seed["products"], seed["warehouses"]).collect()}
-    assert st[(1, 1)] == "OUT_OF_STOCK" and st[(2, 2)] == "LOW_STOCK"
+    assert st[(1, 3)] == "OUT_OF_STOCK" and st[(2, 2)] == "LOW_STOCK" and st[(1, 1)] == "OK"
     inactive = seed["products"].withColumn("is_active", F.col("product_id") != 1)
     assert reports.inventory_health(seed["inventory"], inactive, seed["warehouses"]).count() == 39
 

@@ -7,6 +7,8 @@ pushes filters and the column projection of later steps into this scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -32,20 +34,27 @@ def try_read_table(spark: SparkSession, root: str, name: str) -> DataFrame | Non
 
 
 def list_tables(spark: SparkSession, root: str) -> list[str]:
-    """Names of the ``*.parquet`` tables directly under ``root``.
+    """Names of the ``*.parquet`` tables directly under ``root`` (a table is a
+    Parquet file or a folder of them).
 
-    Uses the Hadoop file system of the session, so it works on any shared
-    store the cluster can read.
+    Listed by Spark's ``binaryFile`` source reading only the path column (the
+    file contents are pruned), so it works on any store the cluster reads;
+    only the distinct table names come back to the driver.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
+    from pyspark.sql import functions as F
+    base = root.rstrip("/")
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", "*.parquet").load(base).select("path"))
+    except Exception:  # root does not exist
         return []
-    names = []
-    for st in fs.listStatus(path):
-        n = st.getPath().getName()
-        if n.endswith(".parquet") and not n.startswith((".", "_")):
-            names.append(n[: -len(".parquet")])
-    return sorted(names)
+    # first path component below root: "<table>.parquet" (a file or a folder)
+    rel = F.substring_index(F.regexp_replace("path", r"^.*?" + _escape(base.split(":", 1)[-1]) + "/", ""), "/", 1)
+    names = (files.select(F.regexp_extract(rel, r"^(.+)\.parquet$", 1).alias("n"))
+             .filter((F.col("n") != "") & ~F.col("n").startswith(".") & ~F.col("n").startswith("_"))
+             .distinct())
+    return sorted(r[0] for r in names.collect())
+
+
+def _escape(path: str) -> str:
+    return re.escape(path)
