@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import fits
 from .merge import BROADCAST_BATCH_ROWS, keyed_outer_join, latest_per_key
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
@@ -63,7 +64,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list
     if "_pos" not in target.columns:
         target = snapshot_target(target)
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [key, *columns, "_pos", "_deleted"]])
-    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_rows)
+    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_rows,
+                         small=fits(changes, max_broadcast_rows))
     has_change = F.col(key).isNotNull()
     newer = has_change & (F.col(f"_t_{key}").isNull() | F.col("_t__pos").isNull() | (F.col("_cpos") > F.col("_t__pos")))
     is_del = F.col("_op") == DELETE

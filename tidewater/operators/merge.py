@@ -19,14 +19,16 @@ BROADCAST_BATCH_ROWS = 1_000_000
 
 
 def keyed_outer_join(t: DataFrame, s: DataFrame, t_keys: list[str], s_keys: list[str],
-                     max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+                     max_broadcast_rows: int = BROADCAST_BATCH_ROWS, small: bool | None = None) -> DataFrame:
     """Full outer join of a target with a batch that is unique per key, with
     ``_in_t`` / ``_in_s`` markers (NULL when that side has no row).
 
     Small batch (counted): target LEFT JOIN broadcast(batch) streams the
     target without a shuffle; the batch rows with new keys are found with a
     broadcast semi-join over the target's key columns only, and appended.
-    Large batch: one shuffled full outer join.
+    Large batch: one shuffled full outer join. ``small`` lets the caller
+    decide from the raw batch (a cheap, early-stopping count) instead of
+    counting ``s``, which may be an aggregate.
     """
     t = t.withColumn("_in_t", F.lit(True))
     s = s.withColumn("_in_s", F.lit(True))
@@ -34,7 +36,7 @@ def keyed_outer_join(t: DataFrame, s: DataFrame, t_keys: list[str], s_keys: list
     for tk, sk in zip(t_keys, s_keys):
         c = t[tk] == s[sk]
         cond = c if cond is None else cond & c
-    if not fits(s, max_broadcast_rows):
+    if not (fits(s, max_broadcast_rows) if small is None else small):
         return t.join(s, cond, "full")
     sb = F.broadcast(s)
     matched = t.join(sb, cond, "left")
@@ -77,13 +79,14 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
     """
     key = [key] if isinstance(key, str) else list(key)
     now = now if now is not None else F.current_timestamp()
+    small = fits(source, max_broadcast_rows)  # raw batch: at least as big as the deduplicated one
     if order_by is not None:
         source = latest_per_key(source, key, order_by).drop(order_by) if order_by not in target.columns \
             else latest_per_key(source, key, order_by)
     tcols = target.columns
     t = target.select(*[F.col(c).alias(f"t__{c}") for c in tcols])
     s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns])
-    j = keyed_outer_join(t, s, [f"t__{k}" for k in key], [f"s__{k}" for k in key], max_broadcast_rows)
+    j = keyed_outer_join(t, s, [f"t__{k}" for k in key], [f"s__{k}" for k in key], max_broadcast_rows, small)
     in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
     changed = F.lit(False)
     for c in update_cols:
