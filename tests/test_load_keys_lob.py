@@ -93,3 +93,22 @@ def test_select_changes(spark):
     ch = spark.createDataFrame([(1, "orders"), (2, "_audit"), (3, "order_items")], "pos long, table_name string")
     out = select_changes(ch, ["order%"], ["\\_%"], prefix="mig_").collect()
     assert sorted(r.table_name for r in out) == ["mig_order_items", "mig_orders"]
+
+
+def test_jdbc_options_and_audit_append(spark):
+    from tidewater.operators.validate import audit_snapshot
+    from tidewater.sinks.target import append_audit
+    from tidewater.sources.jdbc import mysql_url, source_options
+    url = mysql_url("db.internal", 3306, "shop")
+    assert url.startswith("jdbc:mysql://db.internal:3306/shop?") and "useSSL=true" in url
+    opts = source_options(url, "orders", "u", "p", "order_id", 1, 1000, 8)
+    assert (opts["partitionColumn"], opts["numPartitions"], opts["lowerBound"]) == ("order_id", "8", "1")
+    assert "partitionColumn" not in source_options(url, "orders", "u", "p")
+    path = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "audit")
+    ts = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    snap = audit_snapshot(spark, {"a": spark.range(3), "b": spark.range(2)}, ts)
+    views = audit_snapshot(spark, {"v": spark.range(1)}, ts, event="view_check")
+    append_audit(snap.unionByName(views), path)
+    append_audit(snap, path)
+    got = spark.read.parquet(path)
+    assert got.count() == 5 and got.filter("event = 'view_check'").count() == 1
