@@ -145,3 +145,23 @@ def test_metric_queries_do_not_depend_on_session_time_zone(spark):
                 assert sorted(map(tuple, E.queries()[n](spark, sf).collect())) == base[n], (tz, n)
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["I", "U", "D"]), st.integers(1, 6), st.integers(0, 99)),
+                min_size=1, max_size=25),
+       st.lists(st.integers(0, 25), max_size=3))
+def test_property_any_split_equals_one_batch(spark, changes, cuts):
+    rows = [(pos, op, k, None if op == "D" else f"v{v}", None if op == "D" else v)
+            for pos, (op, k, v) in enumerate(changes)]
+    ch = spark.createDataFrame(rows, CH)
+    one = _rows(apply_changes(_target(spark), ch, "id", ["name", "amount"]))
+    bounds = sorted(set([0, *cuts, len(rows)]))
+    cur = _target(spark)
+    for lo, hi in zip(bounds, bounds[1:]):
+        cur = apply_changes(cur, ch.filter(f"pos >= {lo} AND pos < {hi}"), "id", ["name", "amount"])
+    assert _rows(cur) == one

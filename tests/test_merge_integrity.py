@@ -115,3 +115,18 @@ def test_upsert_broadcast_and_shuffle_plans_agree(seed, spark):
     b = upsert(cust, src, "customer_id", ["tier"], touch="updated_at", now=now(), max_broadcast_rows=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.count() == 31
+
+
+def test_declared_integrity_report(seed, spark):
+    rep = {(r.table_name, r.rule, r.column_name): r.violations for r in I.integrity_report(seed).collect()}
+    assert rep and all(v == 0 for v in rep.values())
+    assert ("customers", "unique", "email") in rep and ("order_items", "fk", "order_id->order_id") in rep
+    bad = dict(seed)
+    extra = seed["customers"].filter("customer_id = 1").withColumn("customer_id", F.lit(99).cast("long")) \
+        .withColumn("email", F.lit("ARJUN.SHARMA@example.com "))
+    bad["customers"] = seed["customers"].unionByName(extra)
+    bad["orders"] = seed["orders"].withColumn("status", F.when(F.col("order_id") == 1, "lost").otherwise(F.col("status")))
+    rep = {(r.table_name, r.rule, r.column_name): r.violations for r in I.integrity_report(bad).collect()}
+    assert rep[("customers", "unique", "email")] == 1   # equal under the lookup collation
+    assert rep[("orders", "domain", "status")] == 1
+    assert rep[("customers", "unique", "customer_id")] == 0

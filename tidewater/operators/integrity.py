@@ -18,9 +18,6 @@ from pyspark.sql import types as T
 from ..functions.formats import rule_pattern
 from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
-REPORT_SCHEMA = "table_name string, rule string, column_name string, violations bigint"
-
-
 # ---------------------------------------------------------------- defaults
 def apply_defaults(df: DataFrame, defaults: dict[str, object], schema: T.StructType | None = None,
                    now: Column | None = None) -> DataFrame:
@@ -214,3 +211,44 @@ def evolve(df: DataFrame, added: list[T.StructField]) -> DataFrame:
 def union_evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows written before and after an additive change, read as one table."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+# ------------------------------------------------------------ declared report
+def integrity_report(tables: dict[str, DataFrame], collated: bool = True) -> DataFrame:
+    """Every check the declared schema implies, for the tables given (CON-1..8).
+
+    Per table: one pass for not-null (non-nullable columns), enum domains,
+    ranges, text lengths and decimal fit; one key check per primary/unique
+    key (lookup columns compared under the source collation); one orphan
+    check per foreign key whose parent table is given. Columns a table does
+    not have are skipped. Output rows: (table_name, rule, column_name,
+    violations).
+    """
+    from ..schemas import COLLATED_LOOKUPS, ENUMS, FOREIGN_KEYS, LENGTHS, PRIMARY_KEYS, RANGES, SCHEMAS, \
+        UNIQUE_KEYS
+    parts: list[DataFrame] = []
+    for name, df in tables.items():
+        schema = SCHEMAS.get(name)
+        if schema is None:
+            continue
+        cols = set(df.columns)
+        rules = not_null_rules([f.name for f in schema.fields if not f.nullable and f.name in cols])
+        rules += domain_rules({c: v for (t, c), v in ENUMS.items() if t == name and c in cols})
+        rules += range_rules({c: r for c, r in RANGES.get(name, {}).items() if c in cols},
+                             lengths={c: n for c, n in LENGTHS.get(name, {}).items() if c in cols},
+                             decimals={f.name: (f.dataType.precision, f.dataType.scale) for f in schema.fields
+                                       if isinstance(f.dataType, T.DecimalType) and f.name in cols})
+        if rules:
+            parts.append(row_checks(df, name, rules))
+        for key in [PRIMARY_KEYS.get(name, [])] + UNIQUE_KEYS.get(name, []):
+            if key and set(key) <= cols:
+                lookup = collated and set(key) <= set(COLLATED_LOOKUPS.get(name, []))
+                parts.append(check_unique(df, key, name, collation=LOOKUP_COLLATION if lookup else None)
+                             .select("table_name", "rule", "column_name", "violations"))
+    for fk in FOREIGN_KEYS:
+        if fk.child in tables and fk.parent in tables and fk.column in tables[fk.child].columns:
+            parts.append(check_fk(tables[fk.child], fk.column, tables[fk.parent], fk.parent_column, fk.child))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -146,7 +146,3 @@ class Driver:
         return (stock.join(self.raw("part").select(F.col("p_partkey").alias("product_id"),
                                                     F.col("p_size").alias("reorder_point")), "product_id")
                 .select("product_id", "warehouse_id", "qty_on_hand", "qty_reserved", "reorder_point"))
-
-
-def driver(spark: SparkSession, sf_dir: str) -> Driver:
-    return Driver(spark, sf_dir)
