@@ -54,9 +54,9 @@ def test_parallel_rounds_equal_brute_force(spark):
         inv = spark.createDataFrame([(k, v, 0) for k, v in stock.items()], "k long, qty_on_hand long, qty_reserved long")
         req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
         want = brute(stock, reqs)
-        for limit, rounds in ((0, 1), (0, 3), (10 ** 9, 0)):
+        for limit, rounds in ((0, 1), (0, 3), (500, 3), (10 ** 9, 0)):
             got = {r.request_id: r.result for r in
-                   reserve(inv, req, "k", "request_id", serial_limit=limit, max_rounds=rounds, partitions=8).collect()}
+                   reserve(inv, req, "k", "request_id", key_limit=limit, max_rounds=rounds, partitions=8).collect()}
             assert got == want, (s, limit, rounds)
 
 
@@ -65,7 +65,7 @@ def test_no_releases_hot_key_settles_in_parallel(spark):
     reqs = [(i, 0, rnd.randint(1, 20)) for i in range(4000)]
     inv = spark.createDataFrame([(0, 5000, 0)], "k long, qty_on_hand long, qty_reserved long")
     req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
-    got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", serial_limit=0,
+    got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", key_limit=0,
                                                     max_rounds=32, partitions=8).collect()}
     assert got == brute({0: 5000}, reqs)
     assert sum(1 for v in got.values() if v == 0) > 0
@@ -82,7 +82,7 @@ def test_property_never_negative_and_exact(spark, reqs, stock):
     rows = [(i, k, q) for i, (k, q) in enumerate(reqs)]
     inv = spark.createDataFrame([(k, stock, 0) for k in (0, 1)], "k long, qty_on_hand long, qty_reserved long")
     req = spark.createDataFrame(rows, "request_id long, k long, qty int")
-    res = reserve(inv, req, "k", "request_id", serial_limit=0, max_rounds=2, partitions=3)
+    res = reserve(inv, req, "k", "request_id", key_limit=0, max_rounds=2, partitions=3)
     got = {r.request_id: r.result for r in res.collect()}
     assert got == brute({0: stock, 1: stock}, rows)
     taken = {0: 0, 1: 0}

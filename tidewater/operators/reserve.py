@@ -23,12 +23,13 @@ Plan (exact, and safe for a key that holds a large share of all requests):
    r' >= 0: also settled in parallel. Only requests with 1 <= qty <= r',
    and everything from the next release on, stay open, with r' as their new
    starting stock (the settled ones did not change it).
-5. Steps 1-4 repeat while more than ``serial_limit`` requests are open
-   (counted); each round is checkpointed to the shared checkpoint folder
-   (lineage cut, partition ids fixed, executor loss safe). The bounded rest
-   is decided by a streaming fold: hash-partitioned by key, sorted, and
-   walked by ``mapInPandas`` with one running number per key (nothing is
-   collected into memory).
+5. Only hot keys take steps 1-4: a per-key count (partial aggregation)
+   marks keys with more than ``key_limit`` open requests. All other keys are
+   decided by a streaming fold: hash-partitioned by key, sorted, and walked
+   by ``mapInPandas`` with one running number per key (nothing is collected
+   into memory; a key holds at most ``key_limit`` rows). Rounds repeat
+   while any key is still hot; each is checkpointed to the shared
+   checkpoint folder (lineage cut, partition ids fixed, executor loss safe).
 """
 
 from __future__ import annotations
@@ -50,14 +51,16 @@ def _available(inventory: DataFrame, key: list[str], on_hand: str, reserved: str
 
 def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, order: list[str] | str,
             qty: str = "qty", request_id: str = "request_id", on_hand: str = "qty_on_hand",
-            reserved: str = "qty_reserved", serial_limit: int = 2_000_000, max_rounds: int = 32,
+            reserved: str = "qty_reserved", key_limit: int = 1_000_000, max_rounds: int = 32,
             partitions: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Decide every request; returns the request columns plus ``result``.
 
     ``order`` (plus ``request_id`` as tie-break) is the arrival order.
-    Parallel rounds run while more than ``serial_limit`` requests are open
-    (a counted, proven bound); the ordered walk only ever sees at most that
-    many rows in total, so no task walks an unbounded key.
+    Keys with at most ``key_limit`` open requests (counted per key) are
+    decided by the ordered walk: one hash shuffle on the key, a sort, and
+    one running number per key. Keys above it are hot: they go through the
+    range-partitioned parallel rounds until each is down to ``key_limit``
+    open requests, so no task ever walks an unbounded key.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
@@ -70,20 +73,23 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
     seq = list(dict.fromkeys([*order, request_id]))
     decided: list[DataFrame] = []
     open_rows = req
-    rounds = 0
-    # after max_rounds, or when a round settles nothing (keys whose tails hold
+    # after max_rounds, or when a round settles nothing (tails full of
     # releases), the walk takes whatever is open: slower, still exact
     before = None
-    while rounds < max_rounds:
-        n_open = open_rows.count()
-        if n_open <= serial_limit or (before is not None and n_open >= before):
+    for _ in range(max_rounds):
+        hot = open_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > key_limit)
+        hot_keys = broadcast_if_small(hot.select(*key), max_broadcast_rows)
+        hot_rows = open_rows.join(hot_keys, key, "left_semi")
+        n_hot = hot_rows.count()
+        if n_hot == 0 or (before is not None and n_hot >= before):
             break
-        before = n_open
+        before = n_hot
         checkpoint_dir(spark)
-        settled, open_rows = _parallel_round(open_rows, key, seq, qty, n)
+        decided.append(_serial_fold(open_rows.join(hot_keys, key, "left_anti"), key, seq, qty, n)
+                       .select(*base_cols, "result"))
+        settled, open_rows = _parallel_round(hot_rows, key, seq, qty, n)
         open_rows = open_rows.checkpoint(eager=True)
         decided.append(settled.select(*base_cols, "result"))
-        rounds += 1
     decided.append(_serial_fold(open_rows, key, seq, qty, n).select(*base_cols, "result"))
     out = decided[0]
     for d in decided[1:]:
