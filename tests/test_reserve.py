@@ -92,3 +92,13 @@ def test_property_never_negative_and_exact(spark, reqs, stock):
     assert all(stock - t >= 0 for t in taken.values())
     after = {r.k: r.qty_reserved for r in reserved_totals(inv, res, "k").collect()}
     assert after == taken
+
+
+def test_null_keys_stand_alone(spark):
+    inv = spark.createDataFrame([(1, 10, 0)], "k long, qty_on_hand long, qty_reserved long")
+    req = spark.createDataFrame([(1, None, -5), (2, None, 0), (3, None, 1), (4, 1, 10), (5, 1, 1)],
+                                "request_id long, k long, qty int")
+    for limit in (0, 10 ** 6):
+        got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", key_limit=limit,
+                                                        partitions=3).collect()}
+        assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}, limit

@@ -71,8 +71,15 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
     req = (requests.select(*base_cols).join(inv, key, "left")
            .select(*base_cols, F.coalesce("_a0", F.lit(0)).cast("long").alias("_r")))
     seq = list(dict.fromkeys([*order, request_id]))
-    decided: list[DataFrame] = []
-    open_rows = req
+    # a NULL key matches no stock row: each such request stands alone against
+    # 0 available and changes nothing
+    null_key = F.lit(False)
+    for k in key:
+        null_key = null_key | F.col(k).isNull()
+    decided: list[DataFrame] = [
+        req.filter(null_key).select(*base_cols, F.when(F.col(qty) <= 0, F.lit(RESULT_OK))
+                                    .otherwise(F.lit(RESULT_INSUFFICIENT)).cast("int").alias("result"))]
+    open_rows = req.filter(~null_key)
     # after max_rounds, or when a round settles nothing (tails full of
     # releases), the walk takes whatever is open: slower, still exact
     before = None
@@ -146,7 +153,8 @@ def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n
 
 
 def _serial_fold(rows: DataFrame, key: list[str], seq: list[str], qty: str, n: int) -> DataFrame:
-    """Ordered fold per key over the (small) open remainder, streamed."""
+    """Ordered fold per key (each key holds a bounded number of rows), streamed
+    batch by batch with one running number per key."""
     out_schema = T.StructType(list(rows.schema.fields) + [T.StructField("result", T.IntegerType())])
     names = rows.columns
     key_idx = [names.index(k) for k in key]
