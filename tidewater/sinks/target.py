@@ -3,9 +3,10 @@
 * Prep modes: ``DO_NOTHING`` appends to what is there, ``DROP_AND_CREATE``
   replaces the table, ``TRUNCATE_BEFORE_LOAD`` empties it first (same as a
   replace for a folder of Parquet files).
-* Versioned tables: each change is written to a new ``v<N>`` folder and a
-  one-line pointer names the current version; readers follow the pointer, so
-  a failed write never leaves a half-changed table (single writer assumed).
+* Versioned tables: each change is written to a new ``v<N>`` folder, then
+  committed by a marker of its own; readers take the highest committed
+  version, so a failed write never leaves a half-changed table and nothing
+  is ever deleted in place (single writer assumed).
 * Full load: tables chosen by include/exclude LIKE patterns, renamed by one
   function that validation reuses, text columns cut to the LOB limit, and up
   to ``max_parallel`` tables written at the same time from driver threads;
@@ -39,15 +40,22 @@ def write_target(df: DataFrame, path: str, prep: str = DEFAULT_PREP) -> None:
 
 
 # ------------------------------------------------------------- versioned tables
-def _pointer(root: str) -> str:
-    return f"{root.rstrip('/')}/_current"
+def _commits(root: str) -> str:
+    return f"{root.rstrip('/')}/_commits"
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
+    """Highest committed version, or None before the first commit.
+
+    Each commit adds its own marker folder (written once, never rewritten or
+    deleted), which appears only when its write job commits; so a crash can
+    never leave a table without a current version.
+    """
     try:
-        return int(spark.read.text(_pointer(root)).first()[0])
-    except Exception:  # no pointer yet
+        row = spark.read.text(f"{_commits(root)}/*").agg(F.max(F.col("value").cast("long"))).first()
+    except Exception:  # no commit yet
         return None
+    return None if row is None or row[0] is None else int(row[0])
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
@@ -58,11 +66,11 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Write ``df`` as version ``version`` and point readers at it."""
+    """Write ``df`` as version ``version``, then commit it with a marker."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v{version}")
     spark.createDataFrame([(str(version),)], "v string").coalesce(1) \
-        .write.mode("overwrite").text(_pointer(root))
+        .write.mode("overwrite").text(f"{_commits(root)}/{version}")
 
 
 # ---------------------------------------------------------------------- audit
