@@ -165,3 +165,18 @@ def test_property_any_split_equals_one_batch(spark, changes, cuts):
     for lo, hi in zip(bounds, bounds[1:]):
         cur = apply_changes(cur, ch.filter(f"pos >= {lo} AND pos < {hi}"), "id", ["name", "amount"])
     assert _rows(cur) == one
+
+
+def test_evaluate_rule_and_tombstone_purge(spark):
+    from tidewater.operators.cdc import purge_tombstones
+    rule = next(r for r in M.ALARM_RULES if r.name == "dms-cdc-latency-high")
+    base = dt.datetime(2024, 1, 1)
+    pts = spark.createDataFrame(
+        [("CDCLatencySource", base + dt.timedelta(seconds=60 * i + s), float(v))
+         for i, peak in enumerate([50, 70, 80, 90, 30]) for s, v in ((5, peak - 20), (30, peak))]
+        + [("CPUUtilization", base, 99.0)], "metric_name string, ts timestamp_ntz, value double")
+    got = [r.state for r in M.evaluate_rule(pts, rule).orderBy("period_start").collect()]
+    assert got == ["INSUFFICIENT", "INSUFFICIENT", "OK", "ALARM", "OK"]
+    ch = spark.createDataFrame([(5, "D", 2, None, None), (9, "D", 3, None, None)], CH)
+    out = apply_changes(_target(spark), ch, "id", ["name", "amount"])
+    assert sorted(r.id for r in purge_tombstones(out, 6).collect()) == [1, 3]

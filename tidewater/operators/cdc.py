@@ -110,3 +110,12 @@ def select_changes(changes: DataFrame, include: list[str], exclude: list[str] |
         exc = exc | F.col(table).like(p)
     out = changes.filter(inc & ~exc)
     return out.withColumn(table, F.concat(F.lit(prefix), F.col(table))) if prefix else out
+
+
+def purge_tombstones(target: DataFrame, keep_after_pos) -> DataFrame:
+    """Drop tombstones at or below a log position (tombstone retention).
+
+    Once every change up to ``keep_after_pos`` has been applied, no late
+    change can still refer to those deletes, so their tombstones can go.
+    """
+    return target.filter(~F.col("_deleted") | (F.col("_pos") > F.lit(keep_after_pos)))

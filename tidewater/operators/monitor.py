@@ -204,3 +204,16 @@ def peer_rollup(df: DataFrame, json_col: str, required: int = 4) -> DataFrame:
         p["advertisedRoutes"].isNull(), F.lit(0)).otherwise(F.size(p["advertisedRoutes"])).cast("long"))
     return (df.withColumn("peers", F.size(peers)).withColumn("established", ok)
             .withColumn("advertised_routes", routes).withColumn("ready", F.col("established") >= required))
+
+
+def evaluate_rule(metrics: DataFrame, rule: AlarmRule, ts: str = "ts", value: str = "value",
+                  dims: list[str] | None = None, metric_col: str | None = "metric_name",
+                  missing: str = "ignore") -> DataFrame:
+    """States of one alarm rule over raw metric points: the rule's statistic
+    per period, then its threshold over ``evaluation_periods`` periods."""
+    dims = list(dims or [])
+    pts = metrics.filter(F.col(metric_col) == rule.metric) if metric_col and metric_col in metrics.columns \
+        else metrics
+    stats = period_stat(pts, ts, value, dims, rule.period_s, rule.statistic)
+    return alarm_states(stats, dims, rule.period_s, rule.threshold, rule.comparison, rule.evaluation_periods,
+                        missing=missing).withColumn("alarm_name", F.lit(rule.name))
