@@ -11,8 +11,9 @@ Plan (exact, and safe for a key that holds a large share of all requests):
 
 1. Requests are range-partitioned on (key, order), so a hot key is spread
    over many tasks; each (key, partition) slice is a *chunk*.
-2. Distributed prefix sums: a window inside each chunk plus chunk offsets
-   from a small per-key window over chunk totals (at most one row per
+2. Distributed prefix sums: a running sum inside each chunk (the partition
+   is sorted, so a chunk is one contiguous run: no extra shuffle) plus chunk
+   offsets from a small per-key window over chunk totals (at most one row per
    partition per key). No task ever holds a whole key.
 3. While the prefix sum P stays within the starting stock r, every request
    is accepted; the first request with P > r is rejected. This settles the
@@ -106,17 +107,18 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
 
 def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n: int):
     """One exact round of steps 1-4; returns (settled rows, open rows)."""
-    ranged = (rows.repartitionByRange(n, *key, *seq)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # range partitions sorted by (key, arrival): every chunk is a contiguous
+    # run inside one partition, so its prefix sum needs no further shuffle
+    ranged = (rows.repartitionByRange(n, *key, *seq).sortWithinPartitions(*key, *seq)
+              .withColumn("_pid", F.spark_partition_id()))
+    local = _local_prefix(ranged, key, qty).checkpoint(eager=True)
     part = [*key, "_pid"]
-    local = ranged.withColumn("_lp", F.sum(qty).over(
-        Window.partitionBy(*part).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)))
+    # chunk tables hold one row per (hot key, partition): small, and checked
     chunks = local.groupBy(*part).agg(F.sum(qty).alias("_cs"))
     by_key = Window.partitionBy(*key).orderBy("_pid")
-    chunks = chunks.select(
+    chunks = broadcast_if_small(chunks.select(
         *part,
-        F.coalesce(F.sum("_cs").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        F.coalesce(F.sum("_cs").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
     pref = local.join(chunks, part).withColumn("_P", F.col("_off") + F.col("_lp"))
     # first request per chunk whose prefix sum exceeds the starting stock
     pos = F.struct(*[F.col(c) for c in seq])
@@ -124,15 +126,15 @@ def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n
            .groupBy(*part).agg(F.min(F.struct(pos.alias("pos"), (F.col("_P") - F.col(qty)).alias("before")))
                                .alias("_fb")))
     # earliest over the key's chunks, handed back to every chunk of the key
-    key_bad = (chunks.select(*part).join(bad, part, "left")
-               .select(*part, F.min("_fb").over(Window.partitionBy(*key)).alias("_kb")))
+    key_bad = broadcast_if_small(chunks.select(*part).join(bad, part, "left")
+                                 .select(*part, F.min("_fb").over(Window.partitionBy(*key)).alias("_kb")))
     j = pref.join(key_bad, part, "left")
     fb_pos, fb_before = F.col("_kb.pos"), F.col("_kb.before")
     # first release (qty < 0) after the first rejection: from there on the
     # stock can grow again, so later rows stay open for the next round
     rel = (j.filter((F.col(qty) < 0) & (pos > fb_pos)).groupBy(*part).agg(F.min(pos).alias("_rc")))
-    key_rel = (chunks.select(*part).join(rel, part, "left")
-               .select(*part, F.min("_rc").over(Window.partitionBy(*key)).alias("_rel")))
+    key_rel = broadcast_if_small(chunks.select(*part).join(rel, part, "left")
+                                 .select(*part, F.min("_rc").over(Window.partitionBy(*key)).alias("_rel")))
     j = j.join(key_rel, part, "left")
     r_new = F.col("_r") - fb_before
     head = F.col("_kb").isNull() | (pos < fb_pos)
@@ -152,6 +154,36 @@ def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n
     return settled, open_rows
 
 
+def _local_prefix(ranged: DataFrame, key: list[str], qty: str) -> DataFrame:
+    """Running sum of ``qty`` per key inside each sorted partition (``_lp``).
+
+    Vectorised per Arrow batch (a pandas cumulative sum over runs of equal
+    keys); the running total of the last key is carried into the next batch.
+    """
+    out_schema = T.StructType(list(ranged.schema.fields) + [T.StructField("_lp", T.LongType())])
+
+    def prefix(batches):
+        import pandas as pd
+        last_key, carry = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(_lp=pd.Series(dtype="int64"))
+                continue
+            new = pd.Series(False, index=pdf.index)
+            for k in key:
+                new |= pdf[k].ne(pdf[k].shift(1))
+            first = tuple(pdf[k].iloc[0] for k in key)
+            new.iloc[0] = first != last_key
+            run = new.cumsum()
+            lp = pdf[qty].astype("int64").groupby(run).cumsum()
+            if not new.iloc[0]:
+                lp[run == run.iloc[0]] += carry
+            last_key, carry = tuple(pdf[k].iloc[-1] for k in key), int(lp.iloc[-1])
+            yield pdf.assign(_lp=lp.astype("int64"))
+
+    return ranged.mapInPandas(prefix, out_schema)
+
+
 def _serial_fold(rows: DataFrame, key: list[str], seq: list[str], qty: str, n: int) -> DataFrame:
     """Ordered fold per key (each key holds a bounded number of rows), streamed
     batch by batch with one running number per key."""
