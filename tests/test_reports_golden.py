@@ -110,3 +110,9 @@ def test_codes_and_search(seed):
     assert (8, "SAVE50NOW") not in pairs               # below the 500 minimum
     hits = reports.search_products(seed["products"], "apple laptop", n=3).collect()
     assert {r.product_id for r in hits} >= {2}
+
+
+def test_approx_distinct_option(seed):
+    exact = {r.order_date: r.unique_customers for r in reports.daily_revenue(seed["orders"]).collect()}
+    approx = {r.order_date: r.unique_customers for r in reports.daily_revenue(seed["orders"], approx=True).collect()}
+    assert exact == approx  # tiny groups: the estimate is exact
