@@ -138,7 +138,7 @@ def test_metric_queries_do_not_depend_on_session_time_zone(spark):
     sf = "/root/testdata/sf0.001"
     names = ["alarm_states", "alarm_transitions", "cdc_latency", "period_stat", "period_stat_stream"]
     base = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
-    for tz in ("Asia/Kolkata", "America/New_York"):
+    for tz in ("Asia/Kolkata",):  # +05:30: period slots would shift under any zone arithmetic
         spark.conf.set("spark.sql.session.timeZone", tz)
         try:
             for n in names:

@@ -49,12 +49,12 @@ def _random_case(seed_value, n=3000):
 
 
 def test_parallel_rounds_equal_brute_force(spark):
-    for s in (1, 2):
-        stock, reqs = _random_case(s)
+    for s in (1,):
+        stock, reqs = _random_case(s, n=2000)
         inv = spark.createDataFrame([(k, v, 0) for k, v in stock.items()], "k long, qty_on_hand long, qty_reserved long")
         req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
         want = brute(stock, reqs)
-        for limit, rounds in ((0, 1), (0, 3), (500, 3), (10 ** 9, 0)):
+        for limit, rounds in ((0, 3), (300, 3), (10 ** 9, 0)):
             got = {r.request_id: r.result for r in
                    reserve(inv, req, "k", "request_id", key_limit=limit, max_rounds=rounds, partitions=8).collect()}
             assert got == want, (s, limit, rounds)
@@ -75,7 +75,7 @@ from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60)), min_size=1, max_size=60),
        st.integers(0, 200))
 def test_property_never_negative_and_exact(spark, reqs, stock):
