@@ -1,7 +1,6 @@
 """Reservation: golden case, edges, and the parallel plan against brute force."""
 import random
 
-from pyspark.sql import functions as F
 
 from tidewater.operators.reserve import reserve, reserved_totals
 
