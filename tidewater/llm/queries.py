@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import line_dedup, mixing, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
