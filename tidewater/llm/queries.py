@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import decontaminate, line_dedup, mixing, sharding
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
