@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, line_dedup, mixing, sharding
+from . import decontaminate, fingerprint, line_dedup, mixing, quality, sharding
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality": quality.op7_quality,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
