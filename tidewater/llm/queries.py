@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, line_dedup, mixing, quality, sharding
+from . import decontaminate, fingerprint, licenses, line_dedup, mixing, quality, sharding
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op9_fingerprints": fingerprint.op9_fingerprints,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
