@@ -114,8 +114,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         store.add(part)
     # hashes that a later document than their first one holds, gathered by document (a document's own lines)
     late = (lines.join(store.table(), ["h1", "h2"]).filter(F.col("doc_id") > F.col("first"))
-            .select("doc_id", "h1", "h2").distinct()
-            .groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_late")))
+            .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_late")))
     docs = clear_of(docs, "_late", "n_lines", "n_dropped")
     joined = docs.join(late.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = docs.columns
