@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, licenses, line_dedup, mixing, quality, sharding, substring_dedup
+from . import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op5_license_scan": licenses.op5_license_scan,
