@@ -18,7 +18,6 @@ from .common import clear_of, read, shared_table
 WINDOW = 13
 SHINGLE = 3
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"       # of lower-cased text
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARE = 20                     # contaminated: 1 / SHARE of the words are hit, at least
 BROADCAST_BYTES = 4 << 20      # of benchmark text whose shingles are broadcast; beyond it, shuffled joins
@@ -122,7 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                  F.sort_array(F.collect_set("item_id")).alias("items"))
             .withColumnsRenamed({"doc_id": "_id", "_text_hash": "_th"}))
     rows = _keyed(docs.select("doc_id", "text")).select(
-        "doc_id", "_text_hash", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        "doc_id", "_text_hash", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left")
     return (out.drop("_id", "_th")
             .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
