@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
+from . import decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": licenses.op5_license_scan,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
