@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, clear_of, raw_texts, read, shared_table
+from .common import WORD, raw_texts, read, shared_table
 
 WEIGHTS = (1, 2, 3)          # of the sources in code point order, repeating; null last
 MAX_REPEAT = 3               # a target's limit, in times its source's words
