@@ -4,10 +4,10 @@ Each distinct word sequence is a node with COORDS minhashes of its shingle set.
 its own sequence of coordinates; nodes that share their first DEPTH coordinates in a tree are
 neighbours in that order and form a region. Depth adapts to the region: one of up to REGION nodes is compared as it
 is; in a larger one all nodes are compared with its pivot, and it is cut by further coordinates, down
-to DEPTHS[-1]. Sketches (a byte per coordinate) estimate a pair's similarity; pairs that may
-reach the threshold are confirmed on the full shingle sets, where of pairs surely above it only a spanning forest
-is needed, since links make components. After that the pivots of large regions are chosen once more,
-by most links, for nodes that are not yet in the pivot's component.
+to DEPTHS[-1]. Sketches (a byte per coordinate) estimate a pair's similarity. Links only matter as components, so first a
+spanning forest of each region's promising pairs is confirmed on the full shingle sets, best estimates first; then every
+promising pair whose nodes are still in different components is. The pivots of large regions are
+chosen once more, by most links.
 
 Pairs, links and components stay in Spark tables; no task gathers more than a region of REGION nodes.
 """
@@ -21,20 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, grouped, mix, raw_texts, read, shared_table, window_hashes, word_hashes
+from .common import grouped, mix, raw_texts, read, sheltered, shared_table, window_hashes, word_hashes
 
 SHINGLE = 5
-COORDS = 128
+COORDS = 512
 TREES = 24
 DEPTH = 4                          # TREES * DEPTH coordinates head the trees, each once
 DEPTHS = (4, 6, 8, 12, 16, 24)     # of regions too large to compare
-REGION = 256
+REGION = 1024                      # nodes a task compares at once
 PERCENT = 75                       # link: 100 * shared >= PERCENT * united
-LOW, SURE = 0.58, 0.91             # estimates (128 coordinates: 0.04 of spread) that may, and surely do, reach it
-U64 = np.uint64
+LOW = 0.67                         # estimates that may reach it (512 coordinates: 0.019 of spread)
+TASK_LINKS = 200_000               # links joined in one task, about
+U64, U32 = np.uint64, np.uint32
 
 _RNG = np.random.default_rng(77)
-_FACTORS = _RNG.integers(1, 1 << 63, COORDS, dtype=np.uint64) * U64(2) + U64(1)
+_FACTORS = _RNG.integers(1 << 28, 1 << 31, COORDS, dtype=np.uint32) * U32(2) + U32(1)
 _ORDERS = np.array([[*range(t * DEPTH, t * DEPTH + DEPTH),
                      *(_RNG.permutation([c for c in range(COORDS) if c // DEPTH != t]))] for t in range(TREES)])
 
@@ -64,18 +65,19 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def minhashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(sets, COORDS) least products; empty sets have zeros."""
     filled = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, COORDS), U64)
+    out = np.zeros((COORDS, len(offsets) - 1), U32)
     if len(filled):
+        short, start = (values >> U64(32)).astype(U32), offsets[filled]
         for c in range(COORDS):
-            out[filled, c] = np.minimum.reduceat(values * _FACTORS[c], offsets[filled])
-    return out
+            out[c, filled] = np.minimum.reduceat(short * _FACTORS[c], start)
+    return out.T
 
 
 def _region_keys(least: np.ndarray) -> np.ndarray:
     """(sets, TREES): a hash of each tree's first DEPTH coordinates."""
     key = np.tile(mix(np.arange(1, TREES + 1, dtype=U64)), (len(least), 1))
     for d in range(DEPTH):
-        key = mix(key ^ mix(least[:, _ORDERS[:, d]] + U64(d)))
+        key = mix(key ^ mix(least[:, _ORDERS[:, d]].astype(U64) + (U64(d) << U64(40))))
     return key
 
 
@@ -89,7 +91,7 @@ def _node_rows(docs: DataFrame) -> DataFrame:
                 values, offsets, whole = shingle_sets(texts[lo:hi])
                 least, n = minhashes(values, offsets), np.diff(offsets)
                 keys = _region_keys(least).view(np.int64)
-                sketch = ((least >> U64(24)) & U64(255)).astype(np.uint8)
+                sketch = np.ascontiguousarray((least * U32(2654435761)) >> U32(24)).astype(np.uint8)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
@@ -132,8 +134,11 @@ def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _chosen_pairs(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one or more whole regions (rows sorted by key and node) that need confirming."""
+def _chosen_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray | None = None,
+                  turn: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Promising pairs of whole regions (rows sorted by key and node): a spanning forest of them, or, with
+    labels, all whose labels differ. Then a pair is left out where an earlier tree's region (``own``: each row's
+    regions by tree, 0 for none; ``turn``: the trees before this one) has it too."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     end = np.append(start[1:], len(key))
     size = end - start
@@ -141,43 +146,49 @@ def _chosen_pairs(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: np.n
     i = np.repeat(np.arange(len(key)), after)
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
     ok = _fits(n[i], n[j])
+    if label is not None:
+        ok &= label[i] != label[j]
     i, j = i[ok], j[ok]
-    est = np.concatenate([_alike(sketch[i[s:s + 65536]], sketch[j[s:s + 65536]]) for s in range(0, len(i), 65536)]
+    if own is not None and len(i):
+        earlier = np.arange(TREES)
+        again = np.concatenate([((own[i[s:s + 16384]] == own[j[s:s + 16384]]) & (own[i[s:s + 16384]] != 0)
+                                 & (earlier < turn[i[s:s + 16384], None])).any(axis=1) for s in range(0, len(i), 16384)])
+        i, j = i[~again], j[~again]
+    est = np.concatenate([_alike(sketch[i[s:s + 16384]], sketch[j[s:s + 16384]]) for s in range(0, len(i), 16384)]
                          ) if len(i) else np.zeros(0)
     i, j, est = i[est >= LOW], j[est >= LOW], est[est >= LOW]
-    sure = est >= SURE
-    a, b, e = i[sure], j[sure], est[sure]
-    best = np.zeros(0, np.int64)
-    if len(a):  # each node's best partner, then what still joins two parts
-        both = np.concatenate([a, b])
-        edge = np.concatenate([np.arange(len(a))] * 2)
-        order = np.lexsort((edge, -e[edge], both))
-        best = np.unique(edge[order][np.flatnonzero(np.concatenate(([True], np.diff(both[order]) > 0)))])
-        part = _roots(len(key), a[best], b[best])
-        left = np.flatnonzero(part[a] != part[b])
-        while len(left):
-            pair = np.stack([np.minimum(part[a[left]], part[b[left]]), np.maximum(part[a[left]], part[b[left]])])
-            best = np.concatenate([best, left[np.unique(pair, axis=1, return_index=True)[1]]])
-            part = _roots(len(key), a[best], b[best])
-            left = left[part[a[left]] != part[b[left]]]
-        open_ = part[i] != part[j]
-    else:
-        open_ = np.ones(len(i), bool)
-    rest = ~sure & open_
-    x = np.concatenate([a[best], i[rest]])
-    y = np.concatenate([b[best], j[rest]])
-    return node[x], node[y]
+    if label is None and len(i):
+        chosen, part, left = np.zeros(0, np.int64), np.arange(len(key)), np.arange(len(i))
+        while len(left):  # each part's best pair to another part, until no pair joins two parts
+            a, b = part[i[left]], part[j[left]]
+            both, edge = np.concatenate([a, b]), np.concatenate([left, left])
+            order = np.lexsort((edge, -est[edge], both))
+            first = np.concatenate(([True], np.diff(both[order]) > 0))
+            chosen = np.union1d(chosen, edge[order][first])
+            part = _roots(len(key), i[chosen], j[chosen])
+            left = left[part[i[left]] != part[j[left]]]
+        i, j = i[chosen], j[chosen]
+    return node[i], node[j]
 
 
 def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, sketch), sorted: the last region of a batch waits for the next batch."""
+    """Rows (key, node, n, sketch, perhaps label, turn, own), sorted: a batch's last region waits for the next batch."""
     held = None
 
-    def rows_of(b: pa.RecordBatch):
-        return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3))]
+    def own_regions(lists: pa.Array) -> np.ndarray:
+        out = np.zeros((len(lists), TREES), np.int64)
+        each = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.where(lists.is_valid().to_numpy(zero_copy_only=False),
+                                                        np.diff(lists.offsets.to_numpy()), 0))
+        out[row, each.field(0).to_numpy()] = each.field(1).to_numpy()
+        return out
+
+    def rows_of(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3)),
+                *[c.to_numpy() for c in b.columns[4:6]], *map(own_regions, b.columns[6:])]
 
-    def pairs(rows) -> pa.RecordBatch:
-        a, b = _chosen_pairs(rows[1], rows[2], rows[3], rows[0])
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = _chosen_pairs(*rows)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for b in batches:
@@ -192,7 +203,7 @@ def _compare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pairs(held)
 
 
-def _blocks(key: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
+def _blocks(key: np.ndarray, rows: int = 1024) -> Iterator[tuple[int, int]]:
     """Ranges of whole regions of about ``rows`` rows."""
     s = 0
     while s < len(key):
@@ -202,8 +213,8 @@ def _blocks(key: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
         s = e
 
 
-def _compared(regions: DataFrame) -> DataFrame:
-    return (regions.select("key", "node", "n", "sketch").repartition("key").sortWithinPartitions("key", "node")
+def _compared(regions: DataFrame, *more: str) -> DataFrame:
+    return (regions.select("key", "node", "n", "sketch", *more).repartition("key").sortWithinPartitions("key", "node")
             .mapInArrow(_compare_regions, "a long, b long"))
 
 
@@ -244,27 +255,56 @@ def _counted(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
-def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(pairs a < b to confirm, the large regions' members by depth) from (node, n, keys, sketch)."""
+def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(regions to compare, regions too large if any) of all depths, from (node, n, keys, sketch)."""
     heads = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     members = shared_table(_counted(heads).join(nodes.select("node", "n", "sketch"), "node")
                            .select("key", "tree", "node", "n", "sketch", "size"), "regions")
-    pairs, large = [_compared(members.filter(F.col("size") <= REGION))], []
+    small, large = [members.filter(F.col("size") <= REGION).withColumn("turn", F.col("tree"))], []
     members = members.filter(F.col("size") > REGION)
     for depth, to in zip(DEPTHS, (*DEPTHS[1:], 0)):
         if members.isEmpty():
             break
         large.append(members)
-        pairs.append(_with_pivot(members, members.groupBy("key").agg(
-            F.min("node").alias("p"), F.min_by("n", "node").alias("pn"), F.min_by("sketch", "node").alias("ps"))))
         if to:
             members = shared_table(_counted(_deeper(members, depth, to)), "regions")
-            pairs.append(_compared(members.filter(F.col("size") <= REGION)))
+            small.append(members.filter(F.col("size") <= REGION).withColumn("turn", F.lit(TREES)))
             members = members.filter(F.col("size") > REGION)
-    out = pairs[0]
-    for more in pairs[1:]:
+    return _union(small), _union(large) if large else None
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return shared_table(out.distinct(), "pairs"), large
+    return out
+
+
+def first_pairs(small: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Pairs a < b to confirm first: spanning forests of regions, and large regions' members with their least node."""
+    pairs = _compared(small)
+    if large is not None:
+        pairs = pairs.unionByName(_with_pivot(large, large.groupBy("key").agg(
+            F.min("node").alias("p"), F.min_by("n", "node").alias("pn"), F.min_by("sketch", "node").alias("ps"))))
+    return shared_table(pairs.distinct(), "pairs")
+
+
+def later_pairs(small: DataFrame, large: DataFrame | None, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """All promising pairs between components: within regions, and of large ones' members with the member of most links."""
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    own = (small.filter(F.col("turn") < TREES).groupBy("node").agg(F.collect_list(F.struct("tree", "key")).alias("own")))
+    pairs = _compared(labelled(small).join(own, "node", "left"), "label", "turn", "own")
+    if large is not None:
+        degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("links"))
+        m = labelled(large).join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        rank = F.struct("links", "node")
+        hub = m.groupBy("key").agg(F.max_by("node", rank).alias("p"), F.max_by("n", rank).alias("pn"),
+                                   F.max_by("sketch", rank).alias("ps"), F.max_by("label", rank).alias("pl"))
+        far = m.join(hub.select("key", "pl"), "key").filter("label != pl").select("key", "node", "n", "sketch")
+        pairs = pairs.unionByName(_with_pivot(far, hub.drop("pl")))
+    return pairs.distinct()
 
 
 def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,9 +345,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable, of all linked nodes. Each round takes the least label
-    around and then the label's label, so that long chains close in few rounds."""
-    both = shared_table(links.union(links.select("b", "a")).toDF("node", "near").distinct(), "links")
+    """(node, label): the least node reachable, of all linked nodes.
+
+    Each task first joins its own links and keeps one per node, to the least node it knows; while there are several
+    tasks' worth, rounds over tables follow: a node takes the least label around, and then that label's label, so that
+    long chains close in few rounds.
+    """
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = _roots(len(nodes), at[:len(a)], at[len(a):])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])
+
+    tasks = -(-links.count() // TASK_LINKS)
+    labels = links.repartition(max(1, tasks)).mapInArrow(contract, "node long, label long")
+    if tasks <= 1:
+        return shared_table(labels, "labels")
+    edges = labels.filter("node != label")
+    both = shared_table(edges.union(edges.select("label", "node")).toDF("node", "near").distinct(), "links")
     labels = shared_table(both.groupBy("node").agg(F.min("near").alias("m"))
                           .select("node", F.least("node", "m").alias("label")), "labels")
     while True:
@@ -329,45 +387,22 @@ def with_components(docs: DataFrame) -> DataFrame:
     nodes = shared_table(rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("_th").alias("_th"), F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.first("sketch").alias("sketch")), "classes")
-    pairs, large = candidate_pairs(nodes)
-    wanted = nodes.select("node", "_th")
-    if not large:
-        wanted = wanted.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"),
-                             "node", "left_semi")
-    else:  # members of large regions may meet another pivot below
-        asked = pairs.select("a").union(pairs.select("b"))
-        for members in large[:1]:
-            asked = asked.union(members.select("node"))
-        wanted = wanted.join(asked.distinct().withColumnRenamed("a", "node"), "node", "left_semi")
-    sets = shared_table(_sets(keyed, wanted), "sets")
+    small, large = forest(nodes)
+    pairs = first_pairs(small, large)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    if large is not None:  # their members may meet another pivot
+        ends = ends.union(large.select("node"))
+    sets = shared_table(_sets(keyed, nodes.select("node", "_th").join(ends.distinct(), "node", "left_semi")), "sets")
     links = shared_table(confirmed(pairs, sets), "links")
     labels = components(links)
-    if large:
-        more = _hub_pairs(large, links, labels).join(pairs, ["a", "b"], "left_anti")
-        fresh = shared_table(confirmed(more, sets), "links")
-        if not fresh.isEmpty():
-            labels = components(links.union(fresh))
+    more = later_pairs(small, large, links, labels).join(pairs, ["a", "b"], "left_anti")
+    fresh = shared_table(confirmed(more, sets), "links")
+    if not fresh.isEmpty():
+        labels = components(labels.filter("node != label").toDF("a", "b").union(fresh))
     return rows.select("doc_id", "_th", "n", "node").join(labels, "node", "left").select(
         "doc_id", "_th", "n", F.coalesce("label", "node").alias("label"))
 
 
-def _hub_pairs(large: list[DataFrame], links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of large regions' members with the member of most links, where it is not yet in their component."""
-    degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("links"))
-    known = labels.join(degree, "node")
-    out = None
-    for members in large:
-        m = (members.select("key", "node", "n", "sketch").join(known, "node", "left")
-             .withColumn("label", F.coalesce("label", "node")).withColumn("links", F.coalesce("links", F.lit(0))))
-        rank = F.struct("links", "node")
-        hub = m.groupBy("key").agg(F.max_by("node", rank).alias("p"), F.max_by("n", rank).alias("pn"),
-                                   F.max_by("sketch", rank).alias("ps"), F.max_by("label", rank).alias("pl"))
-        far = m.join(hub.select("key", "pl"), "key").filter("label != pl").select("key", "node", "n", "sketch")
-        pairs = _with_pivot(far, hub.drop("pl"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, _th, n_shingles, component_id (least doc_id reachable) and kept (it is that document).
 
@@ -375,13 +410,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unless all of it have none; such rows are not marked kept. Rows of one id and text are copies of each other.
     """
     rows = shared_table(with_components(docs), "components")
-    least = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = shared_table(rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "label", "left")
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "_th", F.col("n").alias("n_shingles"), own.alias("component_id"),
                       F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
+@sheltered("_th", "_id", "_h")
 def dedup_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: least doc_id (nulls last), then least text hash.
 
@@ -391,7 +427,7 @@ def dedup_near(docs: DataFrame) -> DataFrame:
     first = (rows.filter("label IS NOT NULL")
              .groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_th")).alias("k"))
              .select(F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_h")).distinct())
-    keyed = clear_of(docs, "_th").withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = (keyed.filter(worded).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
             .dropDuplicates(["doc_id", "_th"]))
