@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import read, shared_table
+from tidewater.llm.common import read, shared_table, small_batches
 from tidewater.llm.decontaminate import decontaminate
 from tidewater.llm.mixing import mix_documents
 from tidewater.llm.near_dedup import dedup_near
@@ -17,21 +17,25 @@ from tidewater.llm.quality import keep_good
 from tidewater.llm.sharding import shard_documents
 
 
+@small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
+@small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return dedup_near(docs)
 
 
+@small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: whole copies, and the stretches of chosen blocks; n_chars follows the text."""
     mixed = mix_documents(docs)
@@ -40,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@small_batches
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with shard and slot."""
     return shard_documents(docs)

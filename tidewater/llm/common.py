@@ -7,8 +7,9 @@ lower-cases A-Z alone.
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from tidewater.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +35,17 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(query: Callable) -> Callable:
+    """For a query or stage: Python tasks take BATCH_ROWS rows at a time, so that long texts fit beside each other."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+            spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+        return query(spark, *args, **kwargs)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -43,6 +56,21 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def sheltered(*names: str) -> Callable:
+    """For an operator on ``docs``: columns of these names, which it uses inside, pass through untouched."""
+    taken = {n.lower() for n in names}
+
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            hidden = {c: f"_kept{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+            out = operator(docs.withColumnsRenamed(hidden), *args, **kwargs)
+            return out.withColumnsRenamed({h: c for c, h in hidden.items()})
+        return run
+
+    return wrap
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """The column's UTF-8 bytes; null gives empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, read, shared_table
+from .common import read, sheltered, shared_table
 
 WINDOW = 13
 SHINGLE = 3
@@ -129,11 +129,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))))
 
 
+@sheltered("_text_hash", "_id", "_th")
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; columns and other rows are unchanged."""
     bad = (contamination(docs, benchmark).filter("contaminated").select(
         F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_th")).distinct())
-    keyed = _keyed(clear_of(docs, "_text_hash"))
+    keyed = _keyed(docs)
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")),
                       "left_anti").select(*docs.columns)
 

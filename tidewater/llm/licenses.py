@@ -125,18 +125,22 @@ def _last_words() -> frozenset[bytes]:
 
 def identify(sentence: bytes) -> tuple[str | None, bytes]:
     """The identifier of a sentence and its text. A sentence may begin on any of its lines (a heading
-    or an unfinished line may stand before it): the longest known run of lines up to its end counts."""
-    tail = sentence[-40:].lower()
-    if normalised(tail).rsplit(b" ", 1)[-1] not in _last_words() and len(tail) == 40:
-        return None, sentence  # no known sentence ends so
+    or an unfinished line may stand before it): the longest known run of lines up to its end counts,
+    and if there is none, its first line that is known by itself."""
     known = rules()[0]
+    lines = sentence.split(b"\n")
+    tail = normalised(sentence[-40:]).rsplit(b" ", 1)[-1]
+    if len(sentence) > 40 and tail not in _last_words():  # no known sentence ends so
+        alone = lines if len(lines) > 1 else []
+        return next(((f, line) for line in alone if (f := known.get(normalised(line)))), (None, sentence))
     rest = sentence
     while True:
         if found := known.get(normalised(rest)):
             return found, rest
         _, line, rest = rest.partition(b"\n")
         if not line:
-            return None, sentence
+            break
+    return next(((f, line) for line in lines if (f := known.get(normalised(line)))), (None, sentence))
 
 
 def scan(text: bytes) -> tuple[int, int, list[tuple[str, str, int, int, bytes]]]:
@@ -211,10 +215,13 @@ inside(k, longer) AS (VALUES {covers}),
 d AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n') AS parts
       FROM documents),
 p AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM d),
-l AS (SELECT doc_id, i, s, unnest(generate_series(1, len(string_split(s, chr(10))))) AS k FROM p),
-n AS (SELECT doc_id, i, k, trim(regexp_replace(translate(array_to_string(string_split(s, chr(10))[k:], chr(10)),
+l AS (SELECT doc_id, i, string_split(s, chr(10)) AS lines, unnest(generate_series(1, len(string_split(s, chr(10))))) AS k
+      FROM p),
+r AS (SELECT doc_id, i, k, array_to_string(lines[k:], chr(10)) AS s FROM l
+      UNION ALL SELECT doc_id, i, 1000000 + k, lines[k] FROM l),
+n AS (SELECT doc_id, i, k, trim(regexp_replace(translate(s,
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' .') AS s
-      FROM l),
+      FROM r),
 f AS (SELECT n.doc_id, n.i, max(CASE WHEN n.k = 1 AND n.s <> '' THEN 1 ELSE 0 END) AS counted,
              coalesce(arg_min(known.id, CASE WHEN known.id IS NOT NULL THEN n.k END), '-') AS id
       FROM n LEFT JOIN known ON n.s = known.s GROUP BY n.doc_id, n.i),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, raw_texts, read, shared_table
+from .common import clear_of, raw_texts, read, sheltered, shared_table
 
 MIN_CHARS = 10    # code points of a key, at least
 BATCHES = 6
@@ -90,6 +90,7 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(marks or []))
 
 
+@sheltered("_late", "_id")
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``docs`` with every line dropped whose key an earlier document (smaller doc_id) holds.
 
@@ -115,7 +116,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # hashes that a later document than their first one holds, gathered by document (a document's own lines)
     late = (lines.join(store.table(), ["h1", "h2"]).filter(F.col("doc_id") > F.col("first"))
             .groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_late")))
-    docs = clear_of(docs, "_late", "n_lines", "n_dropped")
+    docs = clear_of(docs, "n_lines", "n_dropped")
     joined = docs.join(late.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = docs.columns
     at = names.index("text")

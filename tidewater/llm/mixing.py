@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, raw_texts, read, shared_table
+from .common import WORD, raw_texts, read, sheltered, shared_table
 
 WEIGHTS = (1, 2, 3)          # of the sources in code point order, repeating; null last
 MAX_REPEAT = 3               # a target's limit, in times its source's words
@@ -145,6 +145,8 @@ def mix_counts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
+@sheltered("_size", "_shard", "_shards", "_s", "_k", "_order", "_to", "_from", "_start", "_block", "_blocks", "_rounds", "_rest",
+           "source_size", "target", "taken")
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document in as many rows as it is taken.
 

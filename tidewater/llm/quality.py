@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, _slices, clear_of, crc_mod, grouped, mix, raw_texts, read
+from .common import _BYTE, _powers, _slices, clear_of, crc_mod, grouped, mix, raw_texts, read, sheltered
 
 VOCABULARY = 1 << 13
 DIMS = 64
@@ -26,7 +26,7 @@ NONZERO = 8
 CHUNK = 128               # rows of the table per shuffled piece
 TRAIN_ROWS = 20_000       # labelled rows the network is fitted on, at most
 HIDDEN = 32
-EPOCHS = 20
+EPOCHS, STEPS = 20, 1200  # at least
 PRIOR_TOKENS = 20.0     # of zero vectors in every mean, so that short texts do not get extreme ones
 THRESHOLD = 0.7
 SEED = 5
@@ -185,8 +185,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     p = [net.w1, net.b1, net.w2, np.array([net.b2])]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
     z = (x - mean) / scale
-    for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(train), max(1, len(train) // 256)):
+    batches = max(1, len(train) // 256)
+    for _ in range(max(EPOCHS, STEPS // batches)):
+        for rows in np.array_split(rng.permutation(train), batches):
             xb, yb = z[rows], y[rows]
             hidden = np.tanh(xb @ p[0] + p[1])
             out = 1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3][0], -40, 40)))
@@ -253,6 +254,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return with_score(docs, vectors, train(docs, labels, vectors))
 
 
+@sheltered("score")
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with the same columns."""
     return score_documents(docs, labels).filter(F.col("score") >= threshold).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import small_batches
 from . import decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, sharding, substring_dedup
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
+QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
 
 SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clear_of, read, shared_table
+from .common import clear_of, read, sheltered, shared_table
 
 SHARDS = 24
 RANGES = 8                 # least key ranges per shard; more for large tables
@@ -169,6 +169,7 @@ def place(keyed: DataFrame, counted: DataFrame, splitters: list[tuple[int, int]]
             .drop("_range", "_row", "_k1", "_k2"))
 
 
+@sheltered("_size", "_k1", "_k2", "_range", "_row")
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
@@ -177,7 +178,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     extra columns are kept, those named shard or slot are replaced. The texts move once.
     """
     keyed, splitters, ranges = key_ranges(docs, shards)
-    return place(_keyed(clear_of(docs, "shard", "slot", "_size", "_k1", "_k2", "_range", "_row")),
+    return place(_keyed(clear_of(docs, "shard", "slot")),
                  keyed, splitters, ranges).drop("_size")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import _powers, clear_of, grouped, mix, raw_texts, read, shared_table, window_hashes, word_hashes
+from .common import _powers, clear_of, grouped, mix, raw_texts, read, sheltered, shared_table, window_hashes, word_hashes
 
 MIN_WORDS = 35
 U64 = np.uint64
@@ -148,7 +148,7 @@ def repeated(docs: DataFrame, long: int = MIN_WORDS, keep_text: bool = True) ->
     keyed = text_key(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     runs = shared_table(_all_runs(keyed, long), "runs")
     # level 1: half windows that repeat
-    twice = runs.groupBy("anchor").agg(F.sum("n").alias("s")).filter("s > 1").select("anchor")
+    twice = shared_table(runs.groupBy("anchor").agg(F.sum("n").alias("s")).filter("s > 1").select("anchor"), "anchors")
     runs = shared_table(runs.join(twice, "anchor"), "runs-repeated")
     # level 2: whole stretches that repeat settle their windows
     stretches = shared_table(runs.groupBy("anchor", "stretch").agg(F.sum("n").alias("s"), F.min("_t1").alias("_t1")),
@@ -270,6 +270,7 @@ def _without(words: list[bytes], spans: list[dict]) -> list[bytes]:
     return out + words[at:]
 
 
+@sheltered("_t1", "_t2", "kept")
 def dedup_substrings(docs: DataFrame, long: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every word dropped that lies in a window of ``long`` words found elsewhere too.
 
@@ -277,7 +278,7 @@ def dedup_substrings(docs: DataFrame, long: int = MIN_WORDS) -> DataFrame:
     spans. Null and empty texts have no words; rows of equal text are copies of each other, whatever
     their ids; windows are judged on the input, so copies all go.
     """
-    docs = clear_of(docs, "n_words", "n_removed", "spans", "_t1", "_t2", "kept")
+    docs = clear_of(docs, "n_words", "n_removed", "spans")
     out = text_key(docs).join(repeated(docs, long), ["_t1", "_t2"])
     return out.select(*[F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")).alias("text")
                         if c == "text" else F.col(c) for c in docs.columns], "n_words", "n_removed", "spans")
