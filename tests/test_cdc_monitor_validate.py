@@ -129,7 +129,7 @@ def test_parity_gate_and_audit(spark):
 def test_apply_changes_broadcast_and_shuffle_plans_agree(spark):
     ch = spark.createDataFrame([(5, "U", 1, "a2", 11), (6, "D", 2, None, None), (8, "I", 4, "d", 40)], CH)
     a = apply_changes(_target(spark), ch, "id", ["name", "amount"])
-    b = apply_changes(_target(spark), ch, "id", ["name", "amount"], max_broadcast_rows=0)
+    b = apply_changes(_target(spark), ch, "id", ["name", "amount"], max_broadcast_bytes=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 

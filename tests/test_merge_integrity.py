@@ -112,7 +112,7 @@ def test_upsert_broadcast_and_shuffle_plans_agree(seed, spark):
     src = (cust.filter("customer_id <= 5").withColumn("tier", F.lit("gold"))
            .unionByName(cust.filter("customer_id = 1").withColumn("customer_id", F.lit(40).cast("long"))))
     a = upsert(cust, src, "customer_id", ["tier"], touch="updated_at", now=now())
-    b = upsert(cust, src, "customer_id", ["tier"], touch="updated_at", now=now(), max_broadcast_rows=0)
+    b = upsert(cust, src, "customer_id", ["tier"], touch="updated_at", now=now(), max_broadcast_bytes=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.count() == 31
 

@@ -10,8 +10,9 @@ def brute(stock, requests):
     out = {}
     for rid, key, qty in sorted(requests, key=lambda r: r[0]):
         a = avail.get(key, 0)
-        if a >= qty:
-            avail[key] = a - qty
+        if qty is not None and a >= qty:
+            if key in avail:  # without a stock row nothing changes
+                avail[key] = a - qty
             out[rid] = 0
         else:
             out[rid] = 1
@@ -43,7 +44,7 @@ def _random_case(seed_value, n=3000):
     for rid in range(n):
         key = 0 if rnd.random() < 0.4 else rnd.randint(1, 7)   # key 0 is hot; 6, 7 have no stock row
         qty = rnd.choice([0, 1, 2, 3, 5, 8, 13, 40, 90]) if rnd.random() > 0.02 else -rnd.randint(1, 30)
-        reqs.append((rid, key, qty))
+        reqs.append((rid, key, qty if rnd.random() > 0.01 else None))
     return stock, reqs
 
 

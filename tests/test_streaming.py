@@ -40,9 +40,8 @@ def test_bucketed_merge_is_idempotent(spark):
 
 
 def test_reserve_stream_layouts_equal_batch(spark):
-    from pyspark.sql import functions as F
     from tidewater.operators.reserve import reserve, reserved_totals
-    from tidewater.plans.catalog import reservation_inputs
+    from tidewater.plans.catalog import requests_of, reservation_inputs
     from tidewater.streaming.reserve_stream import read_results, read_stock, reserve_stream
     inventory, requests = reservation_inputs(spark, SF)
     want = sorted(tuple(r) for r in reserve(inventory, requests, "user_id", "request_id").collect())
@@ -50,8 +49,7 @@ def test_reserve_stream_layouts_equal_batch(spark):
         inventory, reserve(inventory, requests, "user_id", "request_id"), "user_id").collect())
     for buckets in (None, 4):
         root = scratch_path(spark, "rsv-test")
-        stream = events_stream(spark, SF).select(F.col("event_id").alias("request_id"), "user_id",
-                                                 F.floor("value").cast("int").alias("qty"))
+        stream = requests_of(events_stream(spark, SF))
         reserve_stream(spark, inventory, stream, f"{root}/inv", f"{root}/res", f"{root}/_ck", "user_id",
                        "request_id", buckets=buckets)
         got = sorted(tuple(r) for r in read_results(spark, f"{root}/res")
@@ -64,7 +62,6 @@ def test_reserve_stream_layouts_equal_batch(spark):
 
 def test_bucketed_reserve_replay_converges(spark):
     """Re-running a batch after its buckets were rewritten gives the same state."""
-    from pyspark.sql import functions as F
     from tidewater.plans.catalog import reservation_inputs
     from tidewater.streaming import reserve_stream as RS
     inventory, requests = reservation_inputs(spark, SF)

@@ -25,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import fits
-from .merge import BROADCAST_BATCH_ROWS, keyed_outer_join, latest_per_key
+from .joins import BROADCAST_BYTES, is_small
+from .merge import keyed_outer_join, latest_per_key
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
 
@@ -50,7 +50,7 @@ def split_key_changes(changes: DataFrame, key: str, before_key: str, op: str = "
 
 def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list[str],
                   pos: str = "pos", op: str = "op", keep_tombstones: bool = True,
-                  max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+                  max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Apply a batch of changes to a target that has ``_pos`` / ``_deleted``.
 
     ``columns`` are the row columns (besides the key) taken from the change's
@@ -64,8 +64,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list
     if "_pos" not in target.columns:
         target = snapshot_target(target)
     t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [key, *columns, "_pos", "_deleted"]])
-    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_rows,
-                         small=fits(changes, max_broadcast_rows))
+    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_bytes,
+                         small=is_small(changes, max_broadcast_bytes))
     has_change = F.col(key).isNotNull()
     newer = has_change & (F.col(f"_t_{key}").isNull() | F.col("_t__pos").isNull() | (F.col("_cpos") > F.col("_t__pos")))
     is_del = F.col("_op") == DELETE

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formats import rule_pattern
-from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from .joins import BROADCAST_BYTES, broadcast_if_small
 
 # ---------------------------------------------------------------- defaults
 def apply_defaults(df: DataFrame, defaults: dict[str, object], schema: T.StructType | None = None,
@@ -137,13 +137,13 @@ def check_unique(df: DataFrame, cols: list[str], table: str = "", collation: str
 
 
 def check_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
-             table: str = "", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+             table: str = "", max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Orphan check (CON-6): child rows whose non-NULL key has no parent row.
 
     The parent key set is broadcast when it is proven small; otherwise the
     anti join shuffles both key columns (only the key, after pruning).
     """
-    keys = broadcast_if_small(parent.select(F.col(parent_col).alias("_k")), max_broadcast_rows)
+    keys = broadcast_if_small(parent.select(F.col(parent_col).alias("_k")), max_broadcast_bytes)
     orphans = (child.select(F.col(child_col).alias("_k")).filter(F.col("_k").isNotNull())
                .join(keys, "_k", "left_anti"))
     return orphans.agg(F.count(F.lit(1)).cast("bigint").alias("violations")) \
@@ -153,13 +153,13 @@ def check_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: st
 
 # ------------------------------------------------------- delete / update
 def cascade_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Child rows that survive deleting the given parent keys (CON-9, CASCADE).
 
     For multi-level cascades, call again with the removed child keys
     (``removed_by_cascade``) in parent-before-child order.
     """
-    keys = broadcast_if_small(deleted_keys.select(F.col(key).alias(fk)).distinct(), max_broadcast_rows)
+    keys = broadcast_if_small(deleted_keys.select(F.col(key).alias(fk)).distinct(), max_broadcast_bytes)
     return child.join(keys, fk, "left_anti")
 
 
@@ -170,10 +170,10 @@ def removed_by_cascade(child: DataFrame, fk: str, deleted_keys: DataFrame, key:
 
 
 def set_null_on_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str,
-                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Child foreign keys pointing at deleted parents become NULL (CON-10)."""
     keys = broadcast_if_small(deleted_keys.select(F.col(key).alias("_dk")).distinct()
-                              .withColumn("_hit", F.lit(True)), max_broadcast_rows)
+                              .withColumn("_hit", F.lit(True)), max_broadcast_bytes)
     return (child.join(keys, child[fk] == keys["_dk"], "left")
             .withColumn(fk, F.when(F.col("_hit"), F.lit(None).cast(child.schema[fk].dataType))
                         .otherwise(F.col(fk)))
@@ -184,15 +184,15 @@ def check_restrict(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str)
     """Parents whose delete is refused because children still refer to them
     (CON-11): one row per blocked parent key with its number of children."""
     keys = deleted_keys.select(F.col(key).alias(fk)).distinct()
-    return (child.groupBy(fk).agg(F.count(F.lit(1)).cast("bigint").alias("child_rows"))
-            .join(keys, fk, "left_semi")
+    return (child.select(fk).join(broadcast_if_small(keys), fk, "left_semi")
+            .groupBy(fk).agg(F.count(F.lit(1)).cast("bigint").alias("child_rows"))
             .withColumnRenamed(fk, key))
 
 
 def remap_key(child: DataFrame, fk: str, mapping: DataFrame, old: str = "old_key", new: str = "new_key",
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+              max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """ON UPDATE CASCADE (CON-12): child keys follow their parent's new key."""
-    m = broadcast_if_small(mapping.select(F.col(old).alias("_old"), F.col(new).alias("_new")), max_broadcast_rows)
+    m = broadcast_if_small(mapping.select(F.col(old).alias("_old"), F.col(new).alias("_new")), max_broadcast_bytes)
     return (child.join(m, child[fk] == m["_old"], "left")
             .withColumn(fk, F.coalesce(F.col("_new").cast(child.schema[fk].dataType), F.col(fk)))
             .drop("_old", "_new"))

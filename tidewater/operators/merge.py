@@ -11,24 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import fits
-
-# An incoming batch up to this many rows (after one-row-per-key reduction) is
-# broadcast, so the target is never shuffled; above it a full outer join.
-BROADCAST_BATCH_ROWS = 1_000_000
+from .joins import BROADCAST_BYTES, is_small
 
 
 def keyed_outer_join(t: DataFrame, s: DataFrame, t_keys: list[str], s_keys: list[str],
-                     max_broadcast_rows: int = BROADCAST_BATCH_ROWS, small: bool | None = None) -> DataFrame:
+                     max_broadcast_bytes: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
     """Full outer join of a target with a batch that is unique per key, with
     ``_in_t`` / ``_in_s`` markers (NULL when that side has no row).
 
-    Small batch (counted): target LEFT JOIN broadcast(batch) streams the
+    Small batch (estimated bytes): target LEFT JOIN broadcast(batch) streams the
     target without a shuffle; the batch rows with new keys are found with a
     broadcast semi-join over the target's key columns only, and appended.
     Large batch: one shuffled full outer join. ``small`` lets the caller
-    decide from the raw batch (a cheap, early-stopping count) instead of
-    counting ``s``, which may be an aggregate.
+    decide from the raw batch instead of ``s``, which may be an aggregate.
     """
     t = t.withColumn("_in_t", F.lit(True))
     s = s.withColumn("_in_s", F.lit(True))
@@ -36,7 +31,7 @@ def keyed_outer_join(t: DataFrame, s: DataFrame, t_keys: list[str], s_keys: list
     for tk, sk in zip(t_keys, s_keys):
         c = t[tk] == s[sk]
         cond = c if cond is None else cond & c
-    if not (fits(s, max_broadcast_rows) if small is None else small):
+    if not (is_small(s, max_broadcast_bytes) if small is None else small):
         return t.join(s, cond, "full")
     sb = F.broadcast(s)
     matched = t.join(sb, cond, "left")
@@ -60,33 +55,46 @@ def latest_per_key(df: DataFrame, key: list[str], order_by: str) -> DataFrame:
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 
+def unique_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df``, failing when it runs if a key occurs twice (one shuffle on the key, counted before it)."""
+    others = [c for c in df.columns if c not in key]
+    packed = F.struct(*[F.col(c) for c in others]) if others else F.lit(True)
+    one = df.groupBy(*key).agg(F.first(packed).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    checked = one.withColumn("_r", F.when(F.col("_n") == 1, F.col("_r")).otherwise(
+        F.raise_error(F.lit(f"repeated key ({', '.join(key)}) in the batch: give order_by"))))
+    return checked.filter(F.col("_r").isNotNull()).select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
+
+
 def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_cols: list[str],
-           touch: str | None = None, now: Column | None = None,
-           order_by: str | None = None, max_broadcast_rows: int = BROADCAST_BATCH_ROWS) -> DataFrame:
+           touch: str | None = None, now: Column | None = None, touch_always: bool = False,
+           order_by: str | None = None, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Keyed upsert with a per-table list of columns to overwrite (DML-1).
 
     * key in both: ``update_cols`` take the incoming value, every other
       column keeps the target value; ``touch`` (e.g. updated_at) is set to
-      ``now`` when an updated column really changed (CON-13).
+      ``now`` when an updated column really changed (CON-13), with
+      ``touch_always`` on every match.
     * key only in source: the incoming row is inserted (``touch`` = now).
     * key only in target: unchanged.
 
     Duplicate keys inside the source batch: with ``order_by`` the last one
-    wins (as applying the rows in order would); without it the batch must
-    be unique per key. Keys are unique on both sides, so the join has no hot
-    keys; a batch of at most ``max_broadcast_rows`` rows is broadcast and the
+    wins (as applying the rows in order would); without it a repeated key
+    fails the query. Keys are unique on both sides, so the join has no hot
+    keys; a batch of at most ``max_broadcast_bytes`` rows is broadcast and the
     target is not shuffled (``keyed_outer_join``).
     """
     key = [key] if isinstance(key, str) else list(key)
     now = now if now is not None else F.current_timestamp()
-    small = fits(source, max_broadcast_rows)  # raw batch: at least as big as the deduplicated one
+    small = is_small(source, max_broadcast_bytes)  # raw batch: at least as big as the deduplicated one
     if order_by is not None:
         source = latest_per_key(source, key, order_by).drop(order_by) if order_by not in target.columns \
             else latest_per_key(source, key, order_by)
+    else:
+        source = unique_per_key(source, key)
     tcols = target.columns
     t = target.select(*[F.col(c).alias(f"t__{c}") for c in tcols])
     s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns])
-    j = keyed_outer_join(t, s, [f"t__{k}" for k in key], [f"s__{k}" for k in key], max_broadcast_rows, small)
+    j = keyed_outer_join(t, s, [f"t__{k}" for k in key], [f"s__{k}" for k in key], max_broadcast_bytes, small)
     in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
     changed = F.lit(False)
     for c in update_cols:
@@ -98,7 +106,7 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
         if c in key:
             v = F.coalesce(tc, sc)
         elif c == touch:
-            v = (F.when(in_t & in_s, F.when(changed, now).otherwise(tc))
+            v = (F.when(in_t & in_s, F.when(F.lit(touch_always) | changed, now).otherwise(tc))
                  .when(in_s, F.coalesce(sc, now)).otherwise(tc))
         elif c in update_cols:
             v = F.when(in_s, sc).otherwise(tc)

@@ -4,8 +4,9 @@ Each request (key, qty) is decided in order per key: if the available stock
 (on hand - reserved) is at least qty, the stock is reserved and the result
 is 0; otherwise nothing changes and the result is 1. A rejected request uses
 nothing, so this is an ordered fold, not a running sum. Missing inventory
-means available 0 (so qty <= 0 succeeds and changes nothing, qty > 0 fails);
-a negative qty releases stock.
+means available 0 (so qty <= 0 succeeds, qty > 0 fails, and nothing changes: a
+release without a stock row makes no stock); a NULL qty fails; a negative qty
+releases stock.
 
 Plan (exact, and safe for a key that holds a large share of all requests):
 
@@ -53,7 +54,7 @@ def _available(inventory: DataFrame, key: list[str], on_hand: str, reserved: str
 def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, order: list[str] | str,
             qty: str = "qty", request_id: str = "request_id", on_hand: str = "qty_on_hand",
             reserved: str = "qty_reserved", key_limit: int = 1_000_000, max_rounds: int = 32,
-            partitions: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+            partitions: int | None = None) -> DataFrame:
     """Decide every request; returns the request columns plus ``result``.
 
     ``order`` (plus ``request_id`` as tie-break) is the arrival order.
@@ -68,25 +69,23 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
     spark = requests.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base_cols = list(dict.fromkeys([request_id, *key, *order, qty]))
-    inv = broadcast_if_small(_available(inventory, key, on_hand, reserved), max_broadcast_rows)
+    inv = broadcast_if_small(_available(inventory, key, on_hand, reserved))
     req = (requests.select(*base_cols).join(inv, key, "left")
-           .select(*base_cols, F.coalesce("_a0", F.lit(0)).cast("long").alias("_r")))
+           .select(*base_cols, F.col("_a0").alias("_r")))
     seq = list(dict.fromkeys([*order, request_id]))
-    # a NULL key matches no stock row: each such request stands alone against
-    # 0 available and changes nothing
-    null_key = F.lit(False)
-    for k in key:
-        null_key = null_key | F.col(k).isNull()
+    # without a stock row (a NULL key has none) a request stands alone against 0 available
+    # and changes nothing; so does one without a quantity, which fails
+    alone = F.col("_r").isNull() | F.col(qty).isNull()
     decided: list[DataFrame] = [
-        req.filter(null_key).select(*base_cols, F.when(F.col(qty) <= 0, F.lit(RESULT_OK))
+        req.filter(alone).select(*base_cols, F.when(F.col(qty) <= 0, F.lit(RESULT_OK))
                                     .otherwise(F.lit(RESULT_INSUFFICIENT)).cast("int").alias("result"))]
-    open_rows = req.filter(~null_key)
+    open_rows = req.filter(~alone)
     # after max_rounds, or when a round settles nothing (tails full of
     # releases), the walk takes whatever is open: slower, still exact
     before = None
     for _ in range(max_rounds):
         hot = open_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > key_limit)
-        hot_keys = broadcast_if_small(hot.select(*key), max_broadcast_rows)
+        hot_keys = broadcast_if_small(hot.select(*key))
         hot_rows = open_rows.join(hot_keys, key, "left_semi")
         n_hot = hot_rows.count()
         if n_hot == 0 or (before is not None and n_hot >= before):

@@ -1,31 +1,37 @@
 """Self-referencing hierarchies (JOIN-13): parent walk to any depth.
 
-One self-join per level through Spark SQL's recursive CTE; each row gets
-its root, depth and the path of names from the root. Nodes whose parent is
-missing are roots. Hierarchies are catalogue-sized (categories, regions),
-and each level is an ordinary distributed join.
+One join per level: the frontier (the last level's nodes) meets its children, until it is empty. Each level is
+written to the checkpoint folder, so the plan stays short however deep the tree is. Nodes whose
+parent is missing are roots. Nodes that no root reaches lie on or below a cycle; they are
+returned too, marked, without root, depth and path.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import checkpoint_dir
 
 
 def hierarchy_paths(nodes: DataFrame, node: str = "id", parent: str = "parent_id", name: str = "name",
-                    sep: str = "/", max_depth: int = 100) -> DataFrame:
-    """(node, parent, root, depth, path) for every node reachable from a root."""
-    spark = nodes.sparkSession
-    view = f"_tree_{uuid.uuid4().hex[:10]}"
-    nodes.select(node, parent, name).createOrReplaceTempView(view)
-    sql = f"""
-    WITH RECURSIVE walk ({node}, {parent}, root, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-      SELECT n.{node}, n.{parent}, n.{node}, 0, CAST(n.{name} AS STRING)
-      FROM {view} n
-      WHERE n.{parent} IS NULL OR NOT EXISTS (SELECT 1 FROM {view} p WHERE p.{node} = n.{parent})
-      UNION ALL
-      SELECT c.{node}, c.{parent}, w.root, w.depth + 1, concat(w.path, '{sep}', c.{name})
-      FROM {view} c JOIN walk w ON c.{parent} = w.{node})
-    SELECT * FROM walk"""
-    return spark.sql(sql)
+                    sep: str = "/") -> DataFrame:
+    """(node, parent, root, depth, path, cyclic) for every node."""
+    checkpoint_dir(nodes.sparkSession)
+    n = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(name).cast("string").alias("_name"))
+    ids = n.select(F.col("_n").alias("_p")).distinct()
+    frontier = (n.join(ids, "_p", "left_anti")
+                .select("_n", "_p", F.col("_n").alias("_root"), F.lit(0).alias("_depth"), F.col("_name").alias("_path"))
+                .checkpoint())
+    done = frontier
+    while not frontier.isEmpty():
+        above = frontier.select(F.col("_n").alias("_p"), "_root", "_depth", "_path")
+        frontier = (n.join(above, "_p")
+                    .select("_n", "_p", "_root", (F.col("_depth") + 1).alias("_depth"),
+                            F.concat("_path", F.lit(sep), "_name").alias("_path"))
+                    .checkpoint())
+        done = done.union(frontier)
+    lost = n.join(done.select("_n"), "_n", "left_anti").select("_n", "_p")
+    shown = done.withColumn("_c", F.lit(False)).unionByName(lost.withColumn("_c", F.lit(True)), allowMissingColumns=True)
+    return shown.select(F.col("_n").alias(node), F.col("_p").alias(parent), F.col("_root").alias("root"),
+                        F.col("_depth").alias("depth"), F.col("_path").alias("path"), F.col("_c").alias("cyclic"))

@@ -248,7 +248,7 @@ def q_upsert_customers(spark, sf_dir):
     source = c.select("customer_id", F.upper("email").alias("email"),
                       F.when(F.col("balance") >= 5000, F.lit("platinum")).otherwise(F.col("tier")).alias("tier"),
                       "is_active")
-    return upsert(target, source, "customer_id", ["tier"], touch="updated_at",
+    return upsert(target, source, "customer_id", ["tier"], touch="updated_at", touch_always=True,
                   now=F.lit(UPSERT_NOW).cast("timestamp_ntz"))
 
 
@@ -274,13 +274,18 @@ def q_evolve_orders(spark, sf_dir):
 RESERVE_STOCK = 1000
 
 
+def requests_of(ev):
+    qty = (F.when(F.col("event_type") == "error", -F.floor("value"))
+           .when(F.col("event_id") % 97 == 0, None).otherwise(F.floor("value")).cast("int"))
+    return ev.select(F.col("event_id").alias("request_id"), "user_id", qty.alias("qty"))
+
+
 def reservation_inputs(spark, sf_dir):
     """Requests from the event stream (key = user, arrival = event id,
-    qty = whole units of the value); every user that signed up holds a stock
-    of RESERVE_STOCK units."""
+    qty = whole units of the value, given back by error events and unknown in
+    some); every user that signed up holds a stock of RESERVE_STOCK units."""
     ev = Driver(spark, sf_dir).raw("events")
-    requests = ev.select(F.col("event_id").alias("request_id"), "user_id",
-                         F.floor("value").cast("int").alias("qty"))
+    requests = requests_of(ev)
     inventory = (ev.filter(F.col("event_type") == "signup").select("user_id").distinct()
                  .select("user_id", F.lit(RESERVE_STOCK).alias("qty_on_hand"), F.lit(0).alias("qty_reserved")))
     return inventory, requests
@@ -515,8 +520,7 @@ def q_reserve_stream(spark, sf_dir):
     from ..streaming.reserve_stream import read_results, reserve_stream
     root = scratch_path(spark, "reserve")
     inventory, _ = reservation_inputs(spark, sf_dir)
-    requests = events_stream(spark, sf_dir).select(
-        F.col("event_id").alias("request_id"), "user_id", F.floor("value").cast("int").alias("qty"))
+    requests = requests_of(events_stream(spark, sf_dir))
     reserve_stream(spark, inventory, requests, f"{root}/inventory", f"{root}/results", f"{root}/_checkpoint",
                    "user_id", "request_id", buckets=RESERVE_BUCKETS)
     return read_results(spark, f"{root}/results")

@@ -54,7 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if not configured:  # only a local run without configuration gets here
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,10 +65,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared scratch root for written tables.
 
-    The root is ``spark.tidewater.scratch.dir`` if set, else a sibling of the
-    checkpoint folder, so on a cluster it lives on shared storage.
+    The root is ``spark.tidewater.scratch.dir`` if set, else the checkpoint
+    folder, so on a cluster it lives on shared storage.
     """
     root = spark.conf.get(SCRATCH_CONF, None)
     if not root:
-        root = checkpoint_dir(spark).rstrip("/") + "-scratch"
+        root = checkpoint_dir(spark).rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -8,7 +8,7 @@
   version, so a failed write never leaves a half-changed table and nothing
   is ever deleted in place (single writer assumed).
 * Full load: tables chosen by include/exclude LIKE patterns, renamed by one
-  function that validation reuses, text columns cut to the LOB limit, and up
+  function that validation reuses, declared text columns cut to the LOB limit, and up
   to ``max_parallel`` tables written at the same time from driver threads;
   within a table, executors write partitions in parallel.
 """
@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lob import LOB_MAX_KB, limit_lob
-from ..sources.tables import list_tables, read_table, table_path
+from ..sources.tables import is_missing, list_tables, read_table, table_path
 
 PREP_MODES = {"DO_NOTHING": "append", "DROP_AND_CREATE": "overwrite", "TRUNCATE_BEFORE_LOAD": "overwrite"}
 # ---- fixed values: full-load settings of the source task -------------------
@@ -53,8 +54,10 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     """
     try:
         row = spark.read.text(f"{_commits(root)}/*").agg(F.max(F.col("value").cast("long"))).first()
-    except Exception:  # no commit yet
-        return None
+    except AnalysisException as error:
+        if is_missing(error):  # no commit yet
+            return None
+        raise
     return None if row is None or row[0] is None else int(row[0])
 
 
@@ -105,12 +108,12 @@ def text_columns(df: DataFrame) -> list[str]:
 
 def full_load(spark: SparkSession, src_root: str, dst_root: str, include: list[str] | None = None,
               exclude: list[str] | None = None, prefix: str = "", prep: str = DEFAULT_PREP,
-              max_parallel: int = MAX_PARALLEL_TABLES, lob_max_kb: int | None = LOB_MAX_KB,
+              max_parallel: int = MAX_PARALLEL_TABLES, lob_max_kb: int = LOB_MAX_KB,
               lob_columns: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
     """Copy the selected tables; returns (source_table, target_table) pairs.
 
-    ``lob_columns`` names the text columns to cut per table; by default every
-    string column is cut to ``lob_max_kb`` (a no-op for short values).
+    Texts are copied whole, but for the columns that ``lob_columns`` declares per
+    table: those are cut to ``lob_max_kb``.
     """
     rename = prefix_rename(prefix)
     chosen = select_tables(spark, list_tables(spark, src_root), include or ["%"], exclude or [])
@@ -120,8 +123,7 @@ def full_load(spark: SparkSession, src_root: str, dst_root: str, include: list[s
         # the cluster runs spark.scheduler.mode=FAIR)
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"load_{name}")
         df = read_table(spark, src_root, name)
-        if lob_max_kb is not None:
-            cols = (lob_columns or {}).get(name, text_columns(df)) if lob_columns is not None else text_columns(df)
+        if cols := (lob_columns or {}).get(name):
             df = limit_lob(df, cols, lob_max_kb)
         write_target(df, table_path(dst_root, rename(name)), prep)
         return name, rename(name)
@@ -131,10 +133,13 @@ def full_load(spark: SparkSession, src_root: str, dst_root: str, include: list[s
 
 
 def load_summary(spark: SparkSession, dst_root: str, loaded: list[tuple[str, str]]) -> DataFrame:
-    """Rows now in each loaded target table (one job over all tables)."""
-    parts = [read_table(spark, dst_root, tgt).agg(F.count(F.lit(1)).cast("long").alias("rows"))
-             .select(F.lit(src).alias("source_table"), F.lit(tgt).alias("target_table"), "rows")
-             for src, tgt in loaded]
+    """Rows and bytes of text now in each loaded target table (one job over all tables)."""
+    parts = []
+    for src, tgt in loaded:
+        df = read_table(spark, dst_root, tgt)
+        size = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text_columns(df)), F.lit(0))
+        parts.append(df.agg(F.count(F.lit(1)).cast("long").alias("rows"), size.cast("long").alias("text_bytes"))
+                     .select(F.lit(src).alias("source_table"), F.lit(tgt).alias("target_table"), "rows", "text_bytes"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -152,31 +157,55 @@ def bucket_of(key: list[str] | str, buckets: int):
 
 
 def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int) -> None:
-    """Write a keyed table partitioned by hash bucket of its key."""
-    (df.withColumn(BUCKET_COL, bucket_of(key, buckets))
-     .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(root))
+    """Write a keyed table partitioned by hash bucket of its key, as its first committed version."""
+    _write_buckets(df, root, key, buckets, 0)
+    _commit_buckets(df.sparkSession, root, 0, {b: 0 for b in range(buckets)})
+
+
+def _write_buckets(df: DataFrame, root: str, key: list[str] | str, buckets: int, version: int) -> None:
+    (df.withColumn(BUCKET_COL, bucket_of(key, buckets)).repartition(BUCKET_COL)
+     .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{root.rstrip('/')}/b{version}"))
+
+
+def _commit_buckets(spark: SparkSession, root: str, version: int, at: dict[int, int]) -> None:
+    """Commit the map bucket -> version that holds it (a row per bucket)."""
+    write_version(spark.createDataFrame(sorted(at.items()), f"{BUCKET_COL} int, version int").coalesce(1), root, version)
+
+
+def _bucket_map(spark: SparkSession, root: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in read_current(spark, root).collect()}
+
+
+def _read_buckets(spark: SparkSession, root: str, at: dict[int, int]) -> DataFrame:
+    """The rows of the given buckets, each from the version that holds it."""
+    base, out = root.rstrip("/"), None
+    for version in sorted(set(at.values())):
+        own = [b for b, v in at.items() if v == version]
+        part = spark.read.parquet(f"{base}/b{version}").filter(F.col(BUCKET_COL).isin(own)).drop(BUCKET_COL)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def read_bucketed(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).drop(BUCKET_COL)
+    return _read_buckets(spark, root, _bucket_map(spark, root))
 
 
 def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key: list[str] | str, buckets: int,
-                       merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Rewrite only the buckets a batch of changes touches.
-
-    The touched buckets are found with a semi-join, which Spark turns into
-    runtime partition pruning of the table scan; the merged rows are
-    checkpointed (so nothing is read from files being replaced) and written
-    with dynamic partition overwrite, which replaces exactly those buckets.
-    ``merge`` must be idempotent (re-running a batch after a failure must
-    converge) and must keep every row of a touched bucket (tombstones, not
-    removals), since a bucket missing from the output is left as it was.
+                       merge: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None) -> None:
+    """Rewrite only the buckets a batch of changes touches, then commit them together.
+
+    The merged rows of the touched buckets go to a folder of their own; only then a new map from
+    buckets to folders is committed. Nothing that a reader or a rerun needs is overwritten: a run that dies before
+    the commit leaves the table as it was, and its rerun starts from the same rows. ``version`` (a batch's number from
+    1) makes a batch that is already committed a no-op. The driver holds one number per bucket.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    touched = changes.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct()
-    current = spark.read.parquet(root).join(touched, BUCKET_COL, "left_semi").drop(BUCKET_COL)
-    merged = merge(current, changes).withColumn(BUCKET_COL, bucket_of(key, buckets)).checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET_COL).parquet(root))
+    done = current_version(spark, root)
+    version = (done or 0) + 1 if version is None else version
+    if done is not None and done >= version:
+        return
+    at = _bucket_map(spark, root)
+    touched = sorted(r[0] for r in changes.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct().collect())
+    if touched:
+        current = _read_buckets(spark, root, {b: at[b] for b in touched})
+        _write_buckets(merge(current, changes), root, key, buckets, version)
+    _commit_buckets(spark, root, version, at | {b: version for b in touched})

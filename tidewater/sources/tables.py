@@ -7,8 +7,7 @@ pushes filters and the column projection of later steps into this scan.
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -25,36 +24,30 @@ def read_table(spark: SparkSession, root: str, name: str,
     return reader.parquet(table_path(root, name))
 
 
+def is_missing(error: Exception) -> bool:
+    """True for Spark's errors that say a path is not there or holds no table; not for storage errors."""
+    condition = getattr(error, "getCondition", lambda: None)() or ""
+    return condition in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def try_read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table, or None when it cannot be read (missing or unreadable)."""
+    """The table, or None when there is none; any other failure is raised."""
     try:
         return read_table(spark, root, name)
-    except Exception:  # analysis error: path does not exist / not parquet
-        return None
+    except AnalysisException as error:
+        if is_missing(error):
+            return None
+        raise
 
 
 def list_tables(spark: SparkSession, root: str) -> list[str]:
-    """Names of the ``*.parquet`` tables directly under ``root`` (a table is a
-    Parquet file or a folder of them).
+    """Names of the ``*.parquet`` tables directly under ``root`` (a table is a Parquet file or a folder of them).
 
-    Listed by Spark's ``binaryFile`` source reading only the path column (the
-    file contents are pruned), so it works on any store the cluster reads;
-    only the distinct table names come back to the driver.
+    Lists the folder's direct children on the store that holds it (one request, not the tables' files);
+    every name counts, also one that begins with _ or a dot. A missing folder raises.
     """
-    from pyspark.sql import functions as F
-    base = root.rstrip("/")
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", "*.parquet").load(base).select("path"))
-    except Exception:  # root does not exist
-        return []
-    # first path component below root: "<table>.parquet" (a file or a folder)
-    rel = F.substring_index(F.regexp_replace("path", r"^.*?" + _escape(base.split(":", 1)[-1]) + "/", ""), "/", 1)
-    names = (files.select(F.regexp_extract(rel, r"^(.+)\.parquet$", 1).alias("n"))
-             .filter((F.col("n") != "") & ~F.col("n").startswith(".") & ~F.col("n").startswith("_"))
-             .distinct())
-    return sorted(r[0] for r in names.collect())
-
-
-def _escape(path: str) -> str:
-    return re.escape(path)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in store.listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and n != ".parquet")

@@ -1,11 +1,12 @@
 """Metric periods over a stream (OBS-1 streaming, OBS-2/3 per micro-batch).
 
 ``period_stats_stream`` runs the same plan as the batch ``period_stat``
-with a watermark in *update* mode: each micro-batch emits the periods whose
+in *update* mode: each micro-batch emits the periods whose
 statistic changed, and ``foreachBatch`` upserts them by (dimensions,
 period) into a versioned stats table. The table is always current (open
-periods included) and equals the batch result once the input is consumed;
-the watermark still drops the state of periods that can no longer change.
+periods included) and equals the batch result once the input is consumed,
+in whatever order it arrives. A continuous run may set a ``watermark`` to
+bound its state; points later than that are then not counted.
 ``evaluate_written`` runs the alarm rule over that table (one row per metric
 and period, so it stays small).
 """
@@ -21,8 +22,10 @@ from ..sinks.target import current_version, read_current, write_version
 
 def period_stats_stream(metrics: DataFrame, ts: str, value: str, dims: list[str], period_s: int,
                         statistic: str, table_root: str, checkpoint_location: str,
-                        watermark: str = "10 minutes", exact_scale: int | None = None,
+                        watermark: str | None = None, exact_scale: int | None = None,
                         available_now: bool = True):
+    if watermark and available_now:
+        raise ValueError("a bounded run takes no watermark: it must not drop late points")
     spark = metrics.sparkSession
     stats = period_stat(metrics, ts, value, dims, period_s, statistic, exact_scale=exact_scale,
                         watermark=watermark)

@@ -62,8 +62,10 @@ def _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start
         write_version(spark.range(0), marker, 0)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         merge_into_buckets(spark, f"{target_root}/data", batch, key, buckets,
-                           lambda cur, ch: apply_changes(cur, ch, key, columns, pos=pos, op=op))
+                           lambda cur, ch: apply_changes(cur, ch, key, columns, pos=pos, op=op), batch_id + 1)
+        batch.unpersist()
 
     writer = (after_position(changes, start_pos, pos).writeStream
               .foreachBatch(apply_batch).option("checkpointLocation", checkpoint_location))

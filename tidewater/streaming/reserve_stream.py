@@ -11,21 +11,18 @@ Two state layouts:
 * versioned (small inventories): the whole stock table is committed as a
   new version per batch; a replayed, already committed batch is skipped.
 * bucketed (large inventories): the stock is partitioned by key hash and a
-  batch reads and rewrites only the buckets its keys fall in. Every stock
-  row remembers the last batch applied to it (``_batch``) and what that
-  batch took (``_last_taken``), so a replayed batch rebuilds the exact stock
-  it started from, even if some buckets were already rewritten: decisions
-  and state converge to the same result (exactly-once effect).
+  batch reads and rewrites only the buckets its keys fall in. The rewritten
+  buckets are committed together under the batch's number; a replayed batch
+  starts from the same stock, or is skipped if it was committed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.reserve import RESULT_OK, reserve, reserved_totals
-from ..sinks.target import (BUCKET_COL, bucket_of, current_version, merge_into_buckets, read_current,
-                            write_bucketed, write_version)
+from ..operators.reserve import reserve, reserved_totals
+from ..sinks.target import (current_version, merge_into_buckets, read_bucketed, read_current, write_bucketed,
+                            write_version)
 
 
 def reserve_stream(spark: SparkSession, inventory: DataFrame, requests: DataFrame, state_root: str,
@@ -66,35 +63,20 @@ def _bucketed(spark, inventory, state_root, results_path, key, order, qty, reque
     data = f"{state_root.rstrip('/')}/data"
     marker = f"{state_root.rstrip('/')}/_initialised"
     if current_version(spark, marker) is None:
-        write_bucketed(inventory.withColumn("_batch", F.lit(-1).cast("long"))
-                       .withColumn("_last_taken", F.lit(0).cast("long")), data, key, buckets)
+        write_bucketed(inventory, data, key, buckets)
         write_version(spark.range(0), marker, 0)
-    rtype = inventory.schema[reserved].dataType
-
-    def before(stock: DataFrame, batch_id: int) -> DataFrame:
-        """Stock as it was when this batch started."""
-        return stock.withColumn(reserved, F.when(F.col("_batch") == batch_id, F.col(reserved) - F.col("_last_taken"))
-                                .otherwise(F.col(reserved)).cast(rtype))
-
     def decide(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct()
-        stock = before(spark.read.parquet(data).join(touched, BUCKET_COL, "left_semi").drop(BUCKET_COL), batch_id)
+        if (current_version(spark, data) or 0) > batch_id:
+            return  # committed before a restart
+        batch.persist()
         out = f"{results_path.rstrip('/')}/batch={batch_id}"
-        reserve(stock, batch, key, order, qty=qty, request_id=request_id).write.mode("overwrite").parquet(out)
-        taken = (spark.read.parquet(out).filter(F.col("result") == RESULT_OK)
-                 .groupBy(*key).agg(F.sum(qty).cast("long").alias("_taken")))
-        asked = batch.select(*key).distinct().withColumn("_asked", F.lit(True))
 
-        def update(current: DataFrame, _changes: DataFrame) -> DataFrame:
-            cur = before(current, batch_id).join(asked, key, "left").join(taken, key, "left")
-            hit = F.col("_asked").isNotNull()
-            got = F.coalesce(F.col("_taken"), F.lit(0)).cast("long")
-            return (cur.withColumn(reserved, F.when(hit, (F.col(reserved) + got).cast(rtype)).otherwise(F.col(reserved)))
-                    .withColumn("_last_taken", F.when(hit, got).otherwise(F.col("_last_taken")))
-                    .withColumn("_batch", F.when(hit, F.lit(batch_id).cast("long")).otherwise(F.col("_batch")))
-                    .drop("_asked", "_taken"))
+        def update(stock: DataFrame, requests: DataFrame) -> DataFrame:
+            reserve(stock, requests, key, order, qty=qty, request_id=request_id).write.mode("overwrite").parquet(out)
+            return reserved_totals(stock, spark.read.parquet(out), key, qty=qty, reserved=reserved)
 
-        merge_into_buckets(spark, data, batch.select(*key), key, buckets, update)
+        merge_into_buckets(spark, data, batch, key, buckets, update, batch_id + 1)
+        batch.unpersist()
 
     return decide
 
@@ -106,5 +88,5 @@ def read_results(spark: SparkSession, results_path: str) -> DataFrame:
 def read_stock(spark: SparkSession, state_root: str) -> DataFrame:
     """Current stock of either layout, without bookkeeping columns."""
     if current_version(spark, f"{state_root.rstrip('/')}/_initialised") is not None:
-        return spark.read.parquet(f"{state_root.rstrip('/')}/data").drop(BUCKET_COL, "_batch", "_last_taken")
+        return read_bucketed(spark, f"{state_root.rstrip('/')}/data")
     return read_current(spark, state_root)
