@@ -91,6 +91,15 @@ def _slot_start(slot: Column, period_s: int, ntz: bool = True) -> Column:
     return F.timestamp_seconds(slot * F.lit(period_s))
 
 
+def period_stats(metrics: DataFrame, ts: str, value: str, dims: list[str], period_s: int,
+                 statistics: dict[str, str], exact_scale: int | None = None) -> DataFrame:
+    """Several statistics of one metric in one pass: ``statistics`` maps output columns to statistics."""
+    v = F.col(value).cast(T.DecimalType(18, exact_scale)) if exact_scale is not None else F.col(value)
+    return (metrics.groupBy(*dims, F.window(ts, f"{period_s} seconds").alias("_w"))
+            .agg(*[_STATS[s](v).alias(n) for n, s in statistics.items()], F.count(F.lit(1)).cast("long").alias("samples"))
+            .select(*dims, F.col("_w.start").alias("period_start"), *statistics, "samples"))
+
+
 def period_stat(metrics: DataFrame, ts: str, value: str, dims: list[str], period_s: int,
                 statistic: str = "Average", exact_scale: int | None = None,
                 watermark: str | None = None) -> DataFrame:

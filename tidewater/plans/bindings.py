@@ -36,6 +36,9 @@ WAREHOUSE_SLOTS = 120  # orders spread over warehouse ids 0..119
 # ---------------------------------------------------------------------------
 
 
+SOFT_DELETED = 41   # every such order is soft-deleted
+
+
 class Driver:
     """Canonical views over one scale-factor folder of driver tables."""
 
@@ -66,7 +69,7 @@ class Driver:
             F.lit(None).cast("string").alias("notes"),
             F.col("o_orderdate").alias("ordered_at"),
             F.col("o_orderdate").alias("updated_at"),
-            F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
+            F.when(F.col("o_orderkey") % SOFT_DELETED == 0, F.col("o_orderdate")).cast("timestamp_ntz").alias("deleted_at"),
             F.lit(None).cast("string").alias("created_by"),
             F.lit(None).cast("timestamp_ntz").alias("migrated_at"))
 

@@ -402,11 +402,10 @@ def hourly_max(spark, sf_dir):
 
 @register("period_stat")
 def q_period_stat(spark, sf_dir):
-    from ..operators.monitor import period_stat
+    from ..operators.monitor import period_stats
     ev = Driver(spark, sf_dir).raw("events")
-    avg = period_stat(ev, "ts", "value", ["event_type"], PERIOD_S, "Average", exact_scale=2)
-    mx = hourly_max(spark, sf_dir).select("event_type", "period_start", F.col("value").alias("max_value"))
-    out = avg.withColumnRenamed("value", "avg_value").join(mx, ["event_type", "period_start"])
+    out = period_stats(ev, "ts", "value", ["event_type"], PERIOD_S, {"avg_value": "Average", "max_value": "Maximum"},
+                       exact_scale=2)
     return as_double(out, "avg_value", "max_value")
 
 
@@ -457,6 +456,101 @@ def q_health_rollup(spark, sf_dir):
             .withColumn("ready", F.col("healthy") >= REQUIRED_HEALTHY))
 
 
+RULE_SPEED = 60     # an hour of events is a minute of metric points
+RULE_SCALE = 20.0   # event values are about this, metric points about their rule's threshold
+
+
+def rule_points(ev):
+    """Metric points of the alarm rules' metrics, dealt from the events."""
+    from ..operators.monitor import ALARM_RULES
+    threshold = {}
+    for r in ALARM_RULES:
+        threshold.setdefault(r.metric, r.threshold)
+    names = list(threshold)
+    at = F.pmod("event_id", F.lit(len(names)))
+    name = F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    scale = F.element_at(F.array(*[F.lit(threshold[n] / RULE_SCALE) for n in names]), (at + 1).cast("int"))
+    start = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    second = F.floor(F.timestamp_diff("SECOND", start, F.col("ts")) / RULE_SPEED)
+    return ev.select(name.alias("metric_name"), F.timestamp_add("SECOND", second, start).alias("ts"),
+                     (F.col("value") * scale).alias("value"))
+
+
+@register("alarm_rules")
+def q_alarm_rules(spark, sf_dir):
+    """All ten rules over raw points: how many periods each spends in each state."""
+    from ..operators.monitor import ALARM_RULES, evaluate_rule
+    points = rule_points(Driver(spark, sf_dir).raw("events"))
+    out = None
+    for rule in ALARM_RULES:
+        states = evaluate_rule(points, rule).groupBy("alarm_name", "state").agg(F.count(F.lit(1)).alias("periods"))
+        out = states if out is None else out.unionByName(states)
+    return out
+
+
+def probe(column="props"):
+    return F.from_json(column, "k int")["k"]
+
+
+@register("tunnel_rollup")
+def q_tunnel_rollup(spark, sf_dir):
+    """Per user: nested tunnel status JSON built from the probes, rolled up."""
+    from ..operators.monitor import tunnel_rollup
+    ev = Driver(spark, sf_dir).raw("events")
+    tunnel = F.struct(F.when(probe() >= HEALTHY_K, "UP").otherwise("DOWN").alias("status"),
+                      F.col("event_type").alias("reason"))
+    status = (ev.groupBy("user_id", F.pmod("event_id", F.lit(2)).alias("_g")).agg(F.collect_list(tunnel).alias("g"))
+              .groupBy("user_id").agg(F.to_json(F.collect_list("g")).alias("status")))
+    return tunnel_rollup(status, "status").select("user_id", F.col("endpoints").cast("bigint").alias("endpoints"),
+                                                  F.col("up").cast("bigint").alias("up"), "ready")
+
+
+@register("peer_rollup")
+def q_peer_rollup(spark, sf_dir):
+    """Per user: nested routing-peer JSON built from the probes, rolled up; some peers lack their routes."""
+    from ..operators.monitor import peer_rollup
+    ev = Driver(spark, sf_dir).raw("events")
+    routes = F.when(probe() % 5 != 0, F.transform(F.sequence(F.lit(0), probe() % 3), lambda i: i.cast("string")))
+    peer = F.struct(F.col("event_type").alias("name"),
+                    F.when(F.col("event_type") != "error", "ESTABLISHED").otherwise("IDLE").alias("state"),
+                    F.when(probe() >= HEALTHY_K, "UP").otherwise("DOWN").alias("status"), routes.alias("advertisedRoutes"))
+    peers = F.struct(F.collect_list(peer).alias("bgpPeerStatus"))
+    status = ev.groupBy("user_id").agg(F.to_json(F.struct(peers.alias("result"))).alias("status"))
+    return peer_rollup(status, "status").select(
+        "user_id", F.col("peers").cast("bigint").alias("peers"), F.col("established").cast("bigint").alias("established"),
+        "advertised_routes", "ready")
+
+
+@register("regional_sales_by_currency")
+def q_regional_sales_by_currency(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    out = reports.regional_sales(d.orders, d.customers, d.regions, by_currency=True)
+    return as_bigint(as_double(out, "total_revenue", "avg_order_value"), "active_customers", "total_orders")
+
+
+@register("customer_ltv_by_currency")
+def q_customer_ltv_by_currency(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    out = reports.customer_ltv(d.customers, d.orders, by_currency=True)
+    return as_bigint(as_double(out, "lifetime_value", "avg_order_value"), "total_orders")
+
+
+@register("load_parity")
+def q_load_parity(spark, sf_dir):
+    """Load, then compare both sides through the load's own rename, then the gate's view of each table."""
+    from ..operators.validate import count_parity
+    from ..session import scratch_path
+    from ..sinks.target import full_load, prefix_rename
+    from ..sources.tables import try_read_table
+    dst = scratch_path(spark, "load-parity")
+    names = [s for s, _ in full_load(spark, sf_dir, dst, include=["%"], exclude=LOAD_EXCLUDE, prefix=LOAD_PREFIX)]
+    rename = prefix_rename(LOAD_PREFIX)
+    source = {t: try_read_table(spark, sf_dir, t) for t in names}
+    target = {rename(t): try_read_table(spark, dst, rename(t)) for t in names}
+    return count_parity(spark, source, target, names, rename).withColumn(
+        "blocks_cutover", F.col("status") != "MATCH")
+
+
 # ------------------------------------------------------------ load and keys
 @register("limit_lob_documents")
 def q_limit_lob_documents(spark, sf_dir):

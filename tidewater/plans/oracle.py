@@ -47,7 +47,7 @@ o AS (
          CAST(ROUND(CAST(o_totalprice AS DECIMAL(12,2)) * 0.09, 2) AS DECIMAL(10,2)) AS tax_amount,
          CAST(0 AS DECIMAL(10,2)) AS shipping_amount,
          o_orderdate AS ordered_at,
-         CAST(NULL AS TIMESTAMP) AS deleted_at,
+         CASE WHEN o_orderkey % 41 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS deleted_at,
          CAST(NULL AS TIMESTAMP) AS migrated_at
   FROM orders),
 o2 AS (SELECT *, CAST(total_amount - tax_amount AS DECIMAL(12,2)) AS subtotal FROM o)"""
@@ -476,6 +476,67 @@ SELECT event_type, CAST(ts AS DATE) AS day, CAST(COUNT(*) AS BIGINT) AS probes,
        COUNT(CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 1 END) >= 2 AS ready
 FROM events GROUP BY event_type, CAST(ts AS DATE)"""
 
+
+
+def _rule_sql(rule, names: list[str], threshold: dict[str, float]) -> str:
+    """Periods per state of one alarm rule over the dealt metric points."""
+    n, size = rule.evaluation_periods, rule.period_s
+    agg = {"Average": "AVG", "Maximum": "MAX"}[rule.statistic]
+    sign = {"GreaterThanThreshold": ">", "LessThanThreshold": "<"}[rule.comparison]
+    return f"""
+SELECT '{rule.name}' AS alarm_name, state, CAST(COUNT(*) AS BIGINT) AS periods FROM (
+  WITH b AS (
+    SELECT CAST(datediff('second', TIMESTAMP '2024-01-01', ts) // 60 AS BIGINT) // {size} AS slot,
+           {agg}(value * CAST({threshold[rule.metric] / 20.0!r} AS DOUBLE)) {sign} {rule.threshold} AS breach
+    FROM events WHERE event_id % {len(names)} = {names.index(rule.metric)} GROUP BY 1),
+  spine AS (SELECT unnest(generate_series((SELECT MIN(slot) FROM b), (SELECT MAX(slot) FROM b))) AS slot)
+  SELECT CASE WHEN COUNT(b.slot) < {n} THEN 'INSUFFICIENT'
+              WHEN COUNT(CASE WHEN b.breach THEN 1 END) = {n} THEN 'ALARM' ELSE 'OK' END AS state
+  FROM spine s LEFT JOIN b ON b.slot BETWEEN s.slot - {n - 1} AND s.slot GROUP BY s.slot) x
+GROUP BY state"""
+
+
+def _alarm_rules_sql() -> str:
+    from ..operators.monitor import ALARM_RULES
+    threshold: dict[str, float] = {}
+    for r in ALARM_RULES:
+        threshold.setdefault(r.metric, r.threshold)
+    return "\nUNION ALL\n".join(_rule_sql(r, list(threshold), threshold) for r in ALARM_RULES)
+
+
+SQL["alarm_rules"] = _alarm_rules_sql()
+
+PROBES = "(SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) e"
+
+SQL["tunnel_rollup"] = f"""
+SELECT user_id, CAST(COUNT(*) AS BIGINT) AS endpoints, CAST(COUNT(CASE WHEN k >= 50 THEN 1 END) AS BIGINT) AS up,
+       COUNT(CASE WHEN k >= 50 THEN 1 END) >= 2 AS ready
+FROM {PROBES} GROUP BY user_id"""
+
+SQL["peer_rollup"] = f"""
+SELECT user_id, CAST(COUNT(*) AS BIGINT) AS peers,
+       CAST(COUNT(CASE WHEN k >= 50 AND event_type <> 'error' THEN 1 END) AS BIGINT) AS established,
+       CAST(SUM(CASE WHEN k % 5 = 0 THEN 0 ELSE k % 3 + 1 END) AS BIGINT) AS advertised_routes,
+       COUNT(CASE WHEN k >= 50 AND event_type <> 'error' THEN 1 END) >= 4 AS ready
+FROM {PROBES} GROUP BY user_id"""
+
+SQL["regional_sales_by_currency"] = with_(ORDERS, CUSTOMERS, REGIONS) + f"""
+, sale AS (SELECT o2.*, (SELECT region_id FROM c WHERE c.customer_id = o2.customer_id) AS place FROM o2 WHERE {REVENUE})
+SELECT r.region_name, r.country, sale.currency, CAST(COUNT(DISTINCT sale.customer_id) AS BIGINT) AS active_customers,
+       CAST(COUNT(*) AS BIGINT) AS total_orders, {dbl('SUM(sale.total_amount)')} AS total_revenue,
+       {dbl(avg6('sale.total_amount'))} AS avg_order_value
+FROM sale INNER JOIN r ON r.region_id = sale.place GROUP BY ALL"""
+
+SQL["customer_ltv_by_currency"] = with_(ORDERS, CUSTOMERS) + f"""
+, spent AS (SELECT customer_id AS k, currency, COUNT(*) AS n, SUM(total_amount) AS total, {avg6('total_amount')} AS mean,
+                   MIN(ordered_at) AS since, MAX(ordered_at) AS until
+            FROM o2 WHERE {REVENUE} GROUP BY customer_id, currency)
+SELECT c.customer_id, c.tier, concat_ws(' ', c.first_name, c.last_name) AS customer_name, spent.currency,
+       CAST(COALESCE(spent.n, 0) AS BIGINT) AS total_orders, {dbl('spent.mean')} AS avg_order_value,
+       {dbl('spent.total')} AS lifetime_value, spent.since AS first_order_date, spent.until AS latest_order_date,
+       CAST(CAST(spent.until AS DATE) - CAST(spent.since AS DATE) AS INTEGER) AS days_as_customer
+FROM c LEFT JOIN spent ON spent.k = c.customer_id"""
+
 SQL["limit_lob_documents"] = """
 WITH long AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 32768),
 chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
@@ -512,6 +573,10 @@ SQL["full_load_summary"] = "\nUNION ALL\n".join(
     + (" + ".join(f"COALESCE(SUM(strlen({c})), 0)" for c in cols.split()) or "0") + f" AS BIGINT) AS text_bytes FROM {t}"
     for t, cols in _LOADED.items())
 
+SQL["load_parity"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS source_rows, COUNT(*) AS target_rows, CAST(0 AS BIGINT) AS delta, "
+    f"'MATCH' AS status, 'MATCH' AS label, 'mig_{t}' AS target_table, FALSE AS blocks_cutover FROM {t}" for t in _LOADED)
+
 SQL["migrate_stream"] = SQL["apply_changes_customers"]
 SQL["reserve_stream"] = SQL["reserve_requests"]
 SQL["period_stat_stream"] = with_(HOURLY) + """

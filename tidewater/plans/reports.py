@@ -72,8 +72,9 @@ def inventory_health(inventory: DataFrame, products: DataFrame, warehouses: Data
 
 
 # --------------------------------------------------------------------------- Q3
-def customer_ltv(customers: DataFrame, orders: DataFrame, customer_id=None) -> DataFrame:
+def customer_ltv(customers: DataFrame, orders: DataFrame, customer_id=None, by_currency: bool = False) -> DataFrame:
     """Lifetime value per customer; customers without orders keep 0 / NULLs.
+    With ``by_currency`` one row per customer and currency.
 
     The right-side predicates of the reference's LEFT JOIN ... ON are applied
     to orders before the join (never after it), and orders are aggregated per
@@ -84,7 +85,8 @@ def customer_ltv(customers: DataFrame, orders: DataFrame, customer_id=None) -> D
     if customer_id is not None:
         o = o.filter(F.col("customer_id") == customer_id)
         c = c.filter(F.col("customer_id") == customer_id)
-    per_customer = o.groupBy("customer_id").agg(
+    money = ["currency"] if by_currency else []
+    per_customer = o.groupBy("customer_id", *money).agg(
         F.count("order_id").alias("total_orders"),
         F.sum("total_amount").alias("lifetime_value"),
         exact_avg("total_amount").alias("avg_order_value"),
@@ -92,7 +94,7 @@ def customer_ltv(customers: DataFrame, orders: DataFrame, customer_id=None) -> D
         F.max("ordered_at").alias("latest_order_date"))
     return (c.select("customer_id", full_name().alias("customer_name"), "tier")
             .join(per_customer, "customer_id", "left")
-            .select("customer_id", "customer_name", "tier",
+            .select("customer_id", "customer_name", "tier", *money,
                     F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
                     "lifetime_value", "avg_order_value", "first_order_date", "latest_order_date",
                     days_between("latest_order_date", "first_order_date").alias("days_as_customer")))
@@ -142,27 +144,30 @@ def top_products(items: DataFrame, products: DataFrame, categories: DataFrame,
 
 
 # --------------------------------------------------------------------------- Q6
-def regional_sales(orders: DataFrame, customers: DataFrame, regions: DataFrame) -> DataFrame:
-    """Distinct customers, orders, revenue and mean order value per region.
+def regional_sales(orders: DataFrame, customers: DataFrame, regions: DataFrame, by_currency: bool = False) -> DataFrame:
+    """Distinct customers, orders, revenue and mean order value per region, and
+    with ``by_currency`` per region and currency (amounts of different currencies
+    are then never added).
 
     Orders are first reduced to one row per customer (count, sum), so the
     join to customers moves one row per customer instead of one per order,
     and COUNT(DISTINCT customer_id) becomes a plain count of those rows.
     Customers without a region are dropped (inner join), as in the view.
     """
-    per_customer = _revenue_orders(orders).groupBy("customer_id").agg(
+    money = ["currency"] if by_currency else []
+    per_customer = _revenue_orders(orders).groupBy("customer_id", *money).agg(
         F.count("order_id").alias("n_orders"),
         F.sum("total_amount").alias("revenue"),
         F.count("total_amount").alias("n_amounts"))
     r = broadcast_if_small(regions.select("region_id", "region_name", "country"))
     return (per_customer.join(customers.select("customer_id", "region_id"), "customer_id")
             .join(r, "region_id")
-            .groupBy("region_name", "country")
+            .groupBy("region_name", "country", *money)
             .agg(F.count("customer_id").alias("active_customers"),
                  F.sum("n_orders").alias("total_orders"),
                  F.sum("revenue").alias("total_revenue"),
                  F.sum("n_amounts").alias("_n"))
-            .select("region_name", "country", "active_customers", "total_orders", "total_revenue",
+            .select("region_name", "country", *money, "active_customers", "total_orders", "total_revenue",
                     ratio("total_revenue", "_n").alias("avg_order_value")))
 
 
