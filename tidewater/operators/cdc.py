@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import like_any
 from .joins import BROADCAST_BYTES, is_small
 from .merge import keyed_outer_join, latest_per_key
 
@@ -41,14 +42,19 @@ def live(target: DataFrame) -> DataFrame:
     return target.filter(~F.col("_deleted")).drop("_deleted")
 
 
-def split_key_changes(changes: DataFrame, key: str, before_key: str, op: str = "op") -> DataFrame:
+def split_key_changes(changes: DataFrame, key: str | list[str], before_key: str | list[str], op: str = "op") -> DataFrame:
     """Rewrite key-changing updates as delete(old key) + upsert(new key)."""
-    moved = F.col(op).isin(UPDATE) & F.col(before_key).isNotNull() & (F.col(before_key) != F.col(key))
-    deletes = (changes.filter(moved).withColumn(key, F.col(before_key)).withColumn(op, F.lit(DELETE)))
+    key, before = ([k] if isinstance(k, str) else list(k) for k in (key, before_key))
+    known, differs = F.lit(True), F.lit(False)
+    for k, b in zip(key, before):
+        known, differs = known & F.col(b).isNotNull(), differs | (F.col(b) != F.col(k))
+    moved = F.coalesce((F.col(op) == UPDATE) & known & differs, F.lit(False))
+    deletes = (changes.filter(moved).withColumns({k: F.col(b) for k, b in zip(key, before)})
+               .withColumn(op, F.lit(DELETE)))
     return changes.withColumn(op, F.when(moved, F.lit(INSERT)).otherwise(F.col(op))).unionByName(deletes)
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list[str],
+def apply_changes(target: DataFrame, changes: DataFrame, key: str | list[str], columns: list[str],
                   pos: str = "pos", op: str = "op", keep_tombstones: bool = True,
                   max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Apply a batch of changes to a target that has ``_pos`` / ``_deleted``.
@@ -57,19 +63,19 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str, columns: list
     after-image. Deletes among equal positions are ordered after inserts and
     updates of the same position (a key change at one position).
     """
+    key = [key] if isinstance(key, str) else list(key)
     rank = F.when(F.col(op) == DELETE, 1).otherwise(0)
-    ch = changes.select(F.col(key), F.struct(F.col(pos).alias("p"), rank.alias("r")).alias("_ord"),
+    ch = changes.select(*key, F.struct(F.col(pos).alias("p"), rank.alias("r")).alias("_ord"),
                         F.col(pos).alias("_cpos"), F.col(op).alias("_op"), *[F.col(c).alias(f"_c_{c}") for c in columns])
-    last = latest_per_key(ch, [key], "_ord").drop("_ord")
+    last = latest_per_key(ch, key, "_ord").drop("_ord")
     if "_pos" not in target.columns:
         target = snapshot_target(target)
-    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [key, *columns, "_pos", "_deleted"]])
-    j = keyed_outer_join(t, last, [f"_t_{key}"], [key], max_broadcast_bytes,
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in [*key, *columns, "_pos", "_deleted"]])
+    j = keyed_outer_join(t, last, [f"_t_{k}" for k in key], key, max_broadcast_bytes,
                          small=is_small(changes, max_broadcast_bytes))
-    has_change = F.col(key).isNotNull()
-    newer = has_change & (F.col(f"_t_{key}").isNull() | F.col("_t__pos").isNull() | (F.col("_cpos") > F.col("_t__pos")))
+    newer = F.col("_in_s").isNotNull() & (F.col("_in_t").isNull() | F.col("_t__pos").isNull() | (F.col("_cpos") > F.col("_t__pos")))
     is_del = F.col("_op") == DELETE
-    out_cols = [F.coalesce(F.col(f"_t_{key}"), F.col(key)).alias(key)]
+    out_cols = [F.coalesce(F.col(f"_t_{k}"), F.col(k)).alias(k) for k in key]
     for c in columns:
         out_cols.append(F.when(newer & ~is_del, F.col(f"_c_{c}"))
                         .when(newer & is_del, F.lit(None))
@@ -102,13 +108,7 @@ def select_changes(changes: DataFrame, include: list[str], exclude: list[str] |
                    prefix: str = "", table: str = "table_name") -> DataFrame:
     """The load's table selection (LIKE patterns) and rename applied to the
     change log too (CDC-5), so both phases land in the same target tables."""
-    inc = F.lit(False)
-    for p in include:
-        inc = inc | F.col(table).like(p)
-    exc = F.lit(False)
-    for p in exclude or []:
-        exc = exc | F.col(table).like(p)
-    out = changes.filter(inc & ~exc)
+    out = changes.filter(like_any(table, include) & ~like_any(table, exclude or []))
     return out.withColumn(table, F.concat(F.lit(prefix), F.col(table))) if prefix else out
 
 

@@ -116,6 +116,25 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
     return j.select(*out)
 
 
+def upsert_rows(target: DataFrame, source: DataFrame, key: list[str], update_cols: list[str], id_col: str,
+                defaults: dict[str, object], order_by: str | None = None, touch: str | None = None,
+                now: Column | None = None) -> DataFrame:
+    """The upsert with its insert half (DML-1): new rows get the declared defaults where the batch has no
+    value, and surrogate ids that go on after the target's greatest, in key order.
+    """
+    from .integrity import apply_defaults
+    from .keys import assign_ids
+    source = latest_per_key(source, key, order_by) if order_by is not None else unique_per_key(source, key)
+    keys = target.select(*key)
+    updated = upsert(target, source.join(keys, key, "left_semi"), key, update_cols, touch=touch, now=now)
+    fresh = apply_defaults(source.join(keys, key, "left_anti"), {c: v for c, v in defaults.items() if c in target.columns},
+                           target.schema, now)
+    fresh = assign_ids(fresh, id_col, key, existing_max=target.select(id_col))
+    return updated.unionByName(fresh.select(*[
+        F.col(f.name).cast(f.dataType) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in target.schema.fields]))
+
+
 def update_where(df: DataFrame, cond: Column, sets: dict[str, Column]) -> DataFrame:
     """``UPDATE t SET c = v WHERE cond`` as a projection (DML-2)."""
     return df.withColumns({c: F.when(cond, v).otherwise(F.col(c)) for c, v in sets.items()})

@@ -1,8 +1,7 @@
 """Validation and audit (VAL-1, VAL-2, VAL-3).
 
 Count parity compares exact row counts of each table on the source and the
-target side; a side that cannot be read is an error, not a zero. All counts
-are taken in one Spark job (a union of per-table global aggregates), and the
+target side; a side that cannot be read is an error, not a zero. The
 target name of a table goes through the same rename function the loader
 used, so a prefixed load is compared with its own source table.
 """
@@ -11,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,18 +24,18 @@ COUNTS_SCHEMA = T.StructType([T.StructField("table_name", T.StringType()),
 
 
 def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
-    """(table_name, row_count, readable) for every named table; None = unreadable."""
-    parts = []
+    """(table_name, row_count, readable) for every named table; None = unreadable.
+
+    Each table is counted by a job of its own (from file footers where the store allows), so that one
+    whose files cannot be read becomes unreadable instead of failing the others.
+    """
+    rows = []
     for name, df in tables.items():
-        if df is None:
-            parts.append(spark.createDataFrame([(name, None, False)], COUNTS_SCHEMA))
-        else:
-            parts.append(df.agg(F.count(F.lit(1)).cast("long").alias("row_count"))
-                         .select(F.lit(name).alias("table_name"), "row_count", F.lit(True).alias("readable")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        try:
+            rows.append((name, None if df is None else df.count(), df is not None))
+        except (Py4JJavaError, PySparkException):
+            rows.append((name, None, False))
+    return spark.createDataFrame(rows, COUNTS_SCHEMA)
 
 
 def count_parity(spark: SparkSession, source: dict[str, DataFrame | None], target: dict[str, DataFrame | None],
@@ -92,3 +93,9 @@ def audit_snapshot(spark: SparkSession, tables: dict[str, DataFrame | None], rec
     counts = table_counts(spark, keep).filter(~starts_with_any("table_name", list(exclude_prefixes)))
     ts = recorded_at if recorded_at is not None else F.current_timestamp()
     return counts.select(F.lit(event).alias("event"), "table_name", "row_count", ts.alias("recorded_at"))
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """The appended audit rows with their ids, in order of time, event and table."""
+    from .keys import assign_ids
+    return assign_ids(spark.read.parquet(path), "audit_id", ["recorded_at", "event", "table_name"])

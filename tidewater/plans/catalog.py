@@ -252,6 +252,20 @@ def q_upsert_customers(spark, sf_dir):
                   now=F.lit(UPSERT_NOW).cast("timestamp_ntz"))
 
 
+@register("upsert_inventory")
+def q_upsert_inventory(spark, sf_dir):
+    """A delivery over the stock table: known pairs get a new quantity, new ones ids and defaults."""
+    from ..operators.keys import assign_ids
+    from ..operators.merge import upsert_rows
+    from ..schemas import DEFAULTS
+    stock = Driver(spark, sf_dir).inventory
+    target = assign_ids(stock.filter(F.col("product_id") % 5 != 0), "inventory_id", ["product_id", "warehouse_id"])
+    batch = stock.filter(F.col("product_id") % 3 != 0).select(
+        "product_id", "warehouse_id", (F.col("qty_on_hand") + 7).alias("qty_on_hand"))
+    return upsert_rows(target, batch, ["product_id", "warehouse_id"], ["qty_on_hand"], "inventory_id",
+                       DEFAULTS["inventory"])
+
+
 @register("mark_migrated")
 def q_mark_migrated(spark, sf_dir):
     from ..operators.merge import mark_migrated
@@ -262,12 +276,8 @@ def q_mark_migrated(spark, sf_dir):
 
 @register("evolve_orders")
 def q_evolve_orders(spark, sf_dir):
-    from pyspark.sql import types as T
-    d = Driver(spark, sf_dir)
-    added = [T.StructField("deleted_at", T.TimestampNTZType(), True),
-             T.StructField("created_by", T.StringType(), True),
-             T.StructField("migrated_at", T.TimestampNTZType(), True)]
-    return _integrity().evolve(d.raw("orders"), added)
+    from ..schemas import ORDERS_EVOLUTION
+    return _integrity().evolve(Driver(spark, sf_dir).raw("orders"), ORDERS_EVOLUTION)
 
 
 # -------------------------------------------------------------- reservation
@@ -388,6 +398,25 @@ def q_audit_snapshot(spark, sf_dir):
     return audit_snapshot(spark, tables, F.lit(AUDIT_TIME).cast("timestamp_ntz"))
 
 
+AUDIT_VIEWS = {"view_check": ["order_summary", "inventory_health"]}
+
+
+@register("audit_log")
+def q_audit_log(spark, sf_dir):
+    """Two appended audits, table counts and view checks, read back with ids."""
+    from ..operators.validate import audit_log, audit_snapshot
+    from ..session import scratch_path
+    from ..sinks.target import append_audit
+    from ..sources.tables import read_table
+    path = scratch_path(spark, "audit")
+    tables = {t: read_table(spark, sf_dir, t) for t in ("orders", "customer", "region")}
+    tables["_internal"] = tables["region"]   # internal tables are not audited
+    views = {v: QUERIES[v](spark, sf_dir) for names in AUDIT_VIEWS.values() for v in names}
+    append_audit(audit_snapshot(spark, tables, F.lit(AUDIT_TIME).cast("timestamp_ntz")), path)
+    append_audit(audit_snapshot(spark, views, F.lit(AUDIT_TIME).cast("timestamp_ntz"), event="view_check"), path)
+    return audit_log(spark, path)
+
+
 # --------------------------------------------------------------- monitoring
 PERIOD_S = 3600
 ALARM_THRESHOLD = 150
@@ -605,6 +634,57 @@ def q_migrate_stream(spark, sf_dir):
     return read_live(spark, f"{root}/customer")
 
 
+MOVED = 5000   # some customers change their key by this much
+
+
+def two_table_log(ev):
+    """A change log of two tables as JSON row images: customers (key user_id, some change it) and
+    stock (key of two columns)."""
+    op = (F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U"))
+    stock = F.col("event_id") % 3 == 0
+    moved = (F.col("event_id") % 50 == 7) & (op == "U") & ~stock
+    c_after = F.to_json(F.struct((F.col("user_id") + F.when(moved, MOVED).otherwise(0)).alias("user_id"),
+                                 F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("name"),
+                                 F.floor("value").alias("balance")))
+    c_before = F.to_json(F.struct("user_id"))
+    place = (F.col("event_id") % 2).alias("warehouse_id")
+    s_after = F.to_json(F.struct("user_id", place, F.floor("value").alias("qty")))
+    s_before = F.to_json(F.struct("user_id", place))
+    skipped = F.col("event_id") % 101 == 0   # a table outside the selection
+    return ev.select(F.when(skipped, "tmp_x").when(stock, "stock").otherwise("customers").alias("table_name"),
+                     F.col("event_id").alias("pos"), op.alias("op"),
+                     F.when(op != "I", F.when(stock, s_before).otherwise(c_before)).alias("before"),
+                     F.when(op != "D", F.when(stock, s_after).otherwise(c_after)).alias("after"))
+
+
+@register("migrate_tables")
+def q_migrate_tables(spark, sf_dir):
+    """Two tables from one log in three micro-batches, with late and replayed changes; live rows of both."""
+    from ..session import scratch_path
+    from ..streaming.cdc_stream import MigratedTable, migrate_tables, read_live
+    root = scratch_path(spark, "migrate-tables")
+    ev = Driver(spark, sf_dir).raw("events")
+    log = two_table_log(ev)
+    part = F.col("pos") % 4
+    for n, rows in enumerate((part.isin(0, 3), part == 2, part.isin(0, 1))):   # 0 comes twice, 1 late
+        log.filter(rows).coalesce(1).write.parquet(f"{root}/log/{n}")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{root}/log"))
+    users = ev.select("user_id").distinct()
+    tables = {
+        "customers": MigratedTable(users.select("user_id", F.lit("old").alias("name"), F.lit(0).cast("long").alias("balance")),
+                                   ["user_id"], ["name", "balance"]),
+        "stock": MigratedTable(users.select("user_id", F.lit(0).cast("long").alias("warehouse_id"),
+                                            F.lit(100).cast("long").alias("qty")), ["user_id", "warehouse_id"], ["qty"])}
+    migrate_tables(spark, tables, stream, root, f"{root}/_checkpoint", exclude=["tmp%"], prefix=LOAD_PREFIX, buckets=8)
+    c = read_live(spark, f"{root}/{LOAD_PREFIX}customers")
+    s = read_live(spark, f"{root}/{LOAD_PREFIX}stock")
+    return (c.select(F.lit("customers").alias("table_name"), "user_id", F.lit(None).cast("long").alias("warehouse_id"),
+                     "name", F.col("balance").alias("amount"), F.col("_pos").alias("pos"))
+            .unionByName(s.select(F.lit("stock").alias("table_name"), "user_id", "warehouse_id",
+                                  F.lit(None).cast("string").alias("name"), F.col("qty").alias("amount"), F.col("_pos").alias("pos"))))
+
+
 RESERVE_BUCKETS = 16
 
 

@@ -324,6 +324,15 @@ SELECT COALESCE(t.customer_id, s.customer_id) AS customer_id,
             ELSE t.updated_at END AS updated_at
 FROM tgt t FULL OUTER JOIN src s ON t.customer_id = s.customer_id"""
 
+SQL["upsert_inventory"] = with_(ITEMS, INVENTORY) + """
+, kept AS (SELECT *, row_number() OVER (ORDER BY product_id, warehouse_id) AS id FROM inv WHERE product_id % 5 <> 0),
+added AS (SELECT *, row_number() OVER (ORDER BY product_id, warehouse_id) AS id FROM inv
+          WHERE product_id % 5 = 0 AND product_id % 3 <> 0)
+SELECT id AS inventory_id, product_id, warehouse_id, qty_reserved, reorder_point,
+       CAST(qty_on_hand + CASE WHEN product_id % 3 <> 0 THEN 7 ELSE 0 END AS INTEGER) AS qty_on_hand FROM kept
+UNION ALL
+SELECT id + (SELECT MAX(id) FROM kept), product_id, warehouse_id, 0, 10, CAST(qty_on_hand + 7 AS INTEGER) FROM added"""
+
 SQL["mark_migrated"] = with_(ORDERS) + """
 SELECT order_id, status,
        COALESCE(CASE WHEN status = 'delivered' THEN ordered_at END, TIMESTAMP '2024-06-01 00:00:00') AS migrated_at
@@ -427,6 +436,15 @@ SQL["audit_snapshot"] = "\nUNION ALL\n".join(
     f"SELECT 'post_load_snapshot' AS event, '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count, "
     f"TIMESTAMP '2024-06-01 00:00:00' AS recorded_at FROM {t}" for t in _ALL)
 
+SQL["audit_log"] = f"""
+SELECT row_number() OVER (ORDER BY event, table_name) AS audit_id, event, table_name, row_count,
+       TIMESTAMP '2024-06-01 00:00:00' AS recorded_at
+FROM (SELECT 'post_load_snapshot' AS event, 'orders' AS table_name, COUNT(*) AS row_count FROM orders
+      UNION ALL SELECT 'post_load_snapshot', 'customer', COUNT(*) FROM customer
+      UNION ALL SELECT 'post_load_snapshot', 'region', COUNT(*) FROM region
+      UNION ALL SELECT 'view_check', 'order_summary', COUNT(*) FROM ({SQL['order_summary']}) a
+      UNION ALL SELECT 'view_check', 'inventory_health', COUNT(*) FROM ({SQL['inventory_health']}) b) x"""
+
 HOURLY = """
 hourly AS (
   SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS period_start,
@@ -578,6 +596,25 @@ SQL["load_parity"] = "\nUNION ALL\n".join(
     f"'MATCH' AS status, 'MATCH' AS label, 'mig_{t}' AS target_table, FALSE AS blocks_cutover FROM {t}" for t in _LOADED)
 
 SQL["migrate_stream"] = SQL["apply_changes_customers"]
+SQL["migrate_tables"] = """
+WITH e AS (SELECT *, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op,
+                  CAST(floor(value) AS BIGINT) AS amount FROM events WHERE event_id % 101 <> 0),
+ch AS (
+  SELECT 'stock' AS t, user_id, event_id % 2 AS w, event_id AS pos, 0 AS r, op, NULL AS name, amount
+  FROM e WHERE event_id % 3 = 0
+  UNION ALL
+  SELECT 'customers', user_id + CASE WHEN event_id % 50 = 7 AND op = 'U' THEN 5000 ELSE 0 END, NULL, event_id, 0, op,
+         'n' || event_id, amount FROM e WHERE event_id % 3 <> 0
+  UNION ALL
+  SELECT 'customers', user_id, NULL, event_id, 1, 'D', NULL, NULL
+  FROM e WHERE event_id % 3 <> 0 AND event_id % 50 = 7 AND op = 'U'
+  UNION ALL
+  SELECT 'customers', user_id, NULL, -1, 0, 'I', 'old', 0 FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT 'stock', user_id, 0, -1, 0, 'I', NULL, 100 FROM (SELECT DISTINCT user_id FROM events)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t, user_id, w ORDER BY pos DESC, r DESC) AS k FROM ch)
+SELECT t AS table_name, user_id, CAST(w AS BIGINT) AS warehouse_id, name, amount, pos FROM ranked WHERE k = 1 AND op <> 'D'"""
+
 SQL["reserve_stream"] = SQL["reserve_requests"]
 SQL["period_stat_stream"] = with_(HOURLY) + """
 SELECT event_type, period_start, CAST(max_value AS DOUBLE) AS max_value, samples FROM hourly"""

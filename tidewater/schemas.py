@@ -105,6 +105,7 @@ ENUMS: dict[tuple[str, str], list[str]] = {
     ("discount_codes", "discount_type"): DISCOUNT_TYPES,
 }
 
+# ---- fixed values: declared defaults, ranges, lengths and foreign keys -----
 # Column defaults (CON-2). "now" means current timestamp at write.
 DEFAULTS: dict[str, dict[str, object]] = {
     "regions": {"timezone": "UTC", "created_at": "now"},
@@ -168,6 +169,8 @@ FOREIGN_KEYS: list[ForeignKey] = [
     ForeignKey("order_items", "product_id", "products", "product_id", "RESTRICT"),
 ]
 
+# ---------------------------------------------------------------------------
+
 # Columns added after the first version of the schema (CON-14).
 ORDERS_EVOLUTION = [T.StructField("deleted_at", TS, True),
                     T.StructField("created_by", STR, True),

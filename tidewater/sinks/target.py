@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import like_any
 from ..functions.lob import LOB_MAX_KB, limit_lob
 from ..sources.tables import is_missing, list_tables, read_table, table_path
 
@@ -93,13 +94,7 @@ def select_tables(spark: SparkSession, names: list[str], include: list[str], exc
     if not names:
         return []
     tl = spark.createDataFrame([(n,) for n in names], "name string")
-    inc = F.lit(False)
-    for p in include:
-        inc = inc | F.col("name").like(p)
-    exc = F.lit(False)
-    for p in exclude:
-        exc = exc | F.col("name").like(p)
-    return sorted(r[0] for r in tl.filter(inc & ~exc).collect())
+    return sorted(r[0] for r in tl.filter(like_any("name", include) & ~like_any("name", exclude)).collect())
 
 
 def text_columns(df: DataFrame) -> list[str]:

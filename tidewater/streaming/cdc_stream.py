@@ -10,11 +10,15 @@ below each row's ``_pos`` are ignored, so replays cannot double-apply.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.cdc import after_position, apply_changes, live, snapshot_target
-from ..sinks.target import (current_version, merge_into_buckets, read_bucketed, read_current, write_bucketed,
-                            write_version)
+from ..operators.cdc import (after_position, apply_changes, live, select_changes, snapshot_target,
+                             split_key_changes)
+from ..sinks.target import (current_version, merge_into_buckets, read_bucketed, read_current, select_tables,
+                            write_bucketed, write_version)
 
 
 def migrate(spark: SparkSession, snapshot: DataFrame, changes: DataFrame, target_root: str, key: str,
@@ -77,6 +81,57 @@ def _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start
     return q
 
 
+@dataclass(frozen=True)
+class MigratedTable:
+    """A table of a migration: its snapshot (at position ``start_pos``), key columns and other columns."""
+
+    snapshot: DataFrame
+    key: list[str]
+    columns: list[str]
+
+
+def migrate_tables(spark: SparkSession, tables: dict[str, MigratedTable], changes: DataFrame, target_root: str,
+                   checkpoint_location: str, start_pos=-1, include: list[str] | None = None,
+                   exclude: list[str] | None = None, prefix: str = "", buckets: int = 16, available_now: bool = True,
+                   processing_time: str | None = None):
+    """Both phases for many tables from one change log.
+
+    ``changes``: table_name, pos, op, and the row images before and after as JSON. The load's selection and
+    rename apply to the log too; a key-changing update deletes the old key and inserts the new one; late and
+    replayed changes lose against what a row already has. Read a table with
+    ``read_live(spark, f"{target_root}/{prefix}{table}")``.
+    """
+    chosen = {prefix + t: tables[t] for t in select_tables(spark, sorted(tables), include or ["%"], exclude or [])}
+    for name, table in chosen.items():
+        root = f"{target_root.rstrip('/')}/{name}"
+        if current_version(spark, f"{root}/_snapshot_done") is None:
+            write_bucketed(snapshot_target(table.snapshot.select(*table.key, *table.columns), start_pos), f"{root}/data",
+                           table.key, buckets)
+            write_version(spark.range(0), f"{root}/_snapshot_done", 0)
+
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = select_changes(batch, include or ["%"], exclude, prefix).persist()
+        for name, table in chosen.items():
+            types = table.snapshot.select(*table.key, *table.columns).schema
+            before = F.from_json("before", table.snapshot.select(*table.key).schema)
+            rows = (batch.filter(F.col("table_name") == name)
+                    .select("pos", "op", F.from_json(F.coalesce("after", "before"), types).alias("_a"), before.alias("_b"))
+                    .select("pos", "op", "_a.*", *[F.col(f"_b.{k}").alias(f"_before_{k}") for k in table.key]))
+            rows = split_key_changes(rows, table.key, [f"_before_{k}" for k in table.key])
+            merge_into_buckets(spark, f"{target_root.rstrip('/')}/{name}/data", rows, table.key, buckets,
+                               lambda cur, ch, t=table: apply_changes(cur, ch, t.key, t.columns), batch_id + 1)
+        batch.unpersist()
+
+    writer = (after_position(changes, start_pos).writeStream
+              .foreachBatch(apply_batch).option("checkpointLocation", checkpoint_location))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=processing_time or "1 minute")
+    q = writer.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 def read_live(spark: SparkSession, target_root: str) -> DataFrame:
     """Current rows of a migrated table (tombstones removed)."""
     if current_version(spark, f"{target_root.rstrip('/')}/_snapshot_done") is not None:
