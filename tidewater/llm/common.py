@@ -8,8 +8,11 @@ lower-cases A-Z alone.
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,26 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewater_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "tidewater.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidewater_shipped = True
+
+
 def small_batches(query: Callable) -> Callable:
-    """For a query or stage: Python tasks take BATCH_ROWS rows at a time, so that long texts fit beside each other."""
+    """For a query or stage: Python tasks have this package, and take BATCH_ROWS rows at a time, so that long
+    texts fit beside each other."""
     @functools.wraps(query)
     def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
         if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
             spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
         return query(spark, *args, **kwargs)
