@@ -155,7 +155,7 @@ def repeated(docs: DataFrame, long: int = MIN_WORDS, keep_text: bool = True) ->
                              "stretches")
     settled = (runs.join(stretches.filter("s > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
                .groupBy("_t1").agg(F.collect_set("stretch").alias("settled")))
-    open_ = stretches.filter("s = 1").select("anchor").distinct()
+    open_ = shared_table(stretches.filter("s = 1").select("anchor").distinct(), "anchors-open")
     asked = (stretches.join(open_, "anchor", "left_semi")
              .groupBy("_t1").agg(F.collect_set("stretch").alias("asked")))
     # one row per text hash; map-side sets hold equal texts once, so a large group of copies does not travel
