@@ -417,6 +417,27 @@ def q_audit_log(spark, sf_dir):
     return audit_log(spark, path)
 
 
+@register("table_listing")
+def q_table_listing(spark, sf_dir):
+    """Every table in name order, with its place and exact rows."""
+    from ..operators.validate import table_counts
+    from ..sources.tables import list_tables, read_table
+    names = list_tables(spark, sf_dir)
+    place = spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "place long, table_name string")
+    counts = table_counts(spark, {n: read_table(spark, sf_dir, n) for n in names})
+    return place.join(counts, "table_name").select("place", "table_name", "row_count").orderBy("place")
+
+
+@register("orders_in_status_order")
+def q_orders_in_status_order(spark, sf_dir):
+    """Orders per status in the order in which the statuses are declared, not in that of their names."""
+    from ..schemas import ORDER_STATUSES
+    orders = Driver(spark, sf_dir).orders.filter(F.col("deleted_at").isNull())
+    ordinal = F.array_position(F.array(*map(F.lit, ORDER_STATUSES)), F.col("status"))
+    return (orders.groupBy("status").agg(F.count(F.lit(1)).alias("orders"))
+            .withColumn("ordinal", ordinal).orderBy("ordinal"))
+
+
 # --------------------------------------------------------------- monitoring
 PERIOD_S = 3600
 ALARM_THRESHOLD = 150

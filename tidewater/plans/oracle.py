@@ -10,6 +10,8 @@ exact decimal, so the two engines produce the same bits.
 
 from __future__ import annotations
 
+from ..schemas import ORDER_STATUSES
+
 
 def avg6(x: str) -> str:
     """Half-up mean to 6 places of a DECIMAL(*,2) expression, as DECIMAL(18,6)."""
@@ -445,6 +447,14 @@ FROM (SELECT 'post_load_snapshot' AS event, 'orders' AS table_name, COUNT(*) AS
       UNION ALL SELECT 'view_check', 'order_summary', COUNT(*) FROM ({SQL['order_summary']}) a
       UNION ALL SELECT 'view_check', 'inventory_health', COUNT(*) FROM ({SQL['inventory_health']}) b) x"""
 
+SQL["table_listing"] = "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS BIGINT) AS place, '{t}' AS table_name, COUNT(*) AS row_count FROM {t}"
+    for i, t in enumerate(sorted(_ALL), 1))
+
+SQL["orders_in_status_order"] = with_(ORDERS) + f"""
+SELECT status, COUNT(*) AS orders, list_position({ORDER_STATUSES!r}, status)::BIGINT AS ordinal
+FROM o2 WHERE deleted_at IS NULL GROUP BY status"""
+
 HOURLY = """
 hourly AS (
   SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS period_start,
