@@ -280,6 +280,20 @@ def q_evolve_orders(spark, sf_dir):
     return _integrity().evolve(Driver(spark, sf_dir).raw("orders"), ORDERS_EVOLUTION)
 
 
+REPORT_COLUMNS = {
+    "orders": ["order_id", "customer_id", "warehouse_id", "status", "currency", "total_amount", "tax_amount"],
+    "customers": ["customer_id", "email", "first_name", "last_name", "tier", "region_id"],
+    "regions": ["region_id", "region_name", "country"],
+}
+
+
+@register("integrity_report")
+def q_integrity_report(spark, sf_dir):
+    """Every check that the declared schema implies for three tables."""
+    d = Driver(spark, sf_dir)
+    return _integrity().integrity_report({t: getattr(d, t).select(*c) for t, c in REPORT_COLUMNS.items()})
+
+
 # -------------------------------------------------------------- reservation
 RESERVE_STOCK = 1000
 

@@ -455,6 +455,55 @@ SQL["orders_in_status_order"] = with_(ORDERS) + f"""
 SELECT status, COUNT(*) AS orders, list_position({ORDER_STATUSES!r}, status)::BIGINT AS ordinal
 FROM o2 WHERE deleted_at IS NULL GROUP BY status"""
 
+
+
+def _integrity_report_sql() -> str:
+    """One counted condition per declared rule, key and reference of the three tables."""
+    from pyspark.sql.types import DecimalType
+
+    from .. import schemas
+    columns = {
+        "orders": "order_id customer_id warehouse_id status currency total_amount tax_amount".split(),
+        "customers": "customer_id email first_name last_name tier region_id".split(),
+        "regions": "region_id region_name country".split()}
+    source, parts = {"orders": "o2", "customers": "c", "regions": "r"}, []
+
+    def row(table: str, rule: str, column: str, count: str) -> None:
+        parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, '{column}' AS column_name, "
+                     f"CAST({count} AS BIGINT) AS violations FROM {source[table]} x")
+
+    def bad(condition: str) -> str:
+        return f"COUNT(CASE WHEN {condition} THEN 1 END)"
+
+    for table, cols in columns.items():
+        for f in schemas.SCHEMAS[table].fields:
+            if f.name in cols and not f.nullable:
+                row(table, "not_null", f.name, bad(f"x.{f.name} IS NULL"))
+            if f.name in cols and isinstance(f.dataType, DecimalType):
+                row(table, "decimal", f.name, bad(f"abs(x.{f.name}) >= 1e{f.dataType.precision - f.dataType.scale}"))
+        for (t, column), values in schemas.ENUMS.items():
+            if t == table and column in cols:
+                row(table, "domain", column, bad(f"x.{column} NOT IN ({', '.join(map(repr, values))})"))
+        for column, (low, high) in schemas.RANGES.get(table, {}).items():
+            if column in cols:
+                row(table, "range", column, bad(f"x.{column} NOT BETWEEN {low} AND {high}"))
+        for column, most in schemas.LENGTHS.get(table, {}).items():
+            if column in cols:
+                row(table, "length", column, bad(f"length(x.{column}) > {most}"))
+        for key in [schemas.PRIMARY_KEYS[table], *schemas.UNIQUE_KEYS.get(table, [])]:
+            if set(key) <= set(cols):
+                folded = set(key) <= set(schemas.COLLATED_LOOKUPS.get(table, []))
+                value = ", ".join(f"lower(strip_accents(rtrim(x.{k}, ' ')))" if folded else f"x.{k}" for k in key)
+                row(table, "unique", ",".join(key), f"COUNT(x.{key[0]}) - COUNT(DISTINCT ({value}))")
+    for fk in schemas.FOREIGN_KEYS:
+        if fk.child in columns and fk.parent in columns and fk.column in columns[fk.child]:
+            row(fk.child, "fk", f"{fk.column}->{fk.parent_column}", bad(
+                f"x.{fk.column} NOT IN (SELECT {fk.parent_column} FROM {source[fk.parent]})"))
+    return with_(ORDERS, CUSTOMERS, REGIONS) + "\nUNION ALL\n".join(parts)
+
+
+SQL["integrity_report"] = _integrity_report_sql()
+
 HOURLY = """
 hourly AS (
   SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS period_start,
