@@ -168,6 +168,25 @@ def test_model_beats_counts_on_held_out_text(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_model_is_fitted_on_every_block(spark, monkeypatch):
+    """Of a corpus beyond 3 MB too; a block's words come back from its packed form."""
+    class Seen(Exception):
+        pass
+
+    def train(samples, *_):
+        raise Seen([r.block for r in samples.collect()])
+
+    monkeypatch.setattr(lm, "train", train)
+    rows = [(i, "words " * 20_000, "en", "s", 0) for i in range(30)]
+    with pytest.raises(Seen) as seen:
+        d = spark.createDataFrame(rows, SCHEMA)
+        lm.score_texts(d, d)
+    blocks = seen.value.args[0]
+    assert len(blocks) == 30 * -(-20_001 // lm.BLOCK)
+    *_, target, _, size = lm.unpacked(blocks)
+    assert (target >= 0).sum() == 30 * 20_001 and (target == lm.STOP).sum() == 30 and len(size) == 30 * 20_000
+
+
 def test_pipeline_stages(spark, tables, docs):
     """Each stage against brute force on what the stage before kept."""
     folder, rows, bench, _ = tables
