@@ -2,6 +2,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import monitor as M
@@ -180,3 +181,15 @@ def test_evaluate_rule_and_tombstone_purge(spark):
     ch = spark.createDataFrame([(5, "D", 2, None, None), (9, "D", 3, None, None)], CH)
     out = apply_changes(_target(spark), ch, "id", ["name", "amount"])
     assert sorted(r.id for r in purge_tombstones(out, 6).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("name", ["tunnel_rollup", "peer_rollup"])
+def test_rollups_keep_no_list_of_a_users_events(spark, tmp_path, name):
+    """One user holds all events: the sums are right and no row holds them all."""
+    from tidewater.plans.catalog import QUERIES
+    spark.range(3000).selectExpr("id AS event_id", "7L AS user_id", "'view' AS event_type", "'{\"k\": 99}' AS props",
+                                 "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    row = out.collect()[0].asDict()
+    assert row.get("endpoints", row.get("peers")) == row.get("up", row.get("established")) == 3000 and row["ready"]

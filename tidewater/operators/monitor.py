@@ -191,7 +191,10 @@ PEER_SCHEMA = T.StructType([T.StructField("result", T.StructType([T.StructField(
                   T.StructField("advertisedRoutes", T.ArrayType(T.StringType()))])))]))])
 
 
-def tunnel_rollup(df: DataFrame, json_col: str, required_up: int = 2) -> DataFrame:
+REQUIRED_UP, REQUIRED_PEERS = 2, 4
+
+
+def tunnel_rollup(df: DataFrame, json_col: str, required_up: int = REQUIRED_UP) -> DataFrame:
     """Nested lists of tunnel endpoints: how many are UP, and is that enough.
 
     Unparseable JSON counts as no endpoint (0 UP), like the shell fallback.
@@ -202,7 +205,7 @@ def tunnel_rollup(df: DataFrame, json_col: str, required_up: int = 2) -> DataFra
         .withColumn("ready", F.col("up") >= required_up)
 
 
-def peer_rollup(df: DataFrame, json_col: str, required: int = 4) -> DataFrame:
+def peer_rollup(df: DataFrame, json_col: str, required: int = REQUIRED_PEERS) -> DataFrame:
     """Routing peers: count of peers both UP and ESTABLISHED, peer total, and
     the total number of advertised routes; missing keys default to empty."""
     peers = F.coalesce(F.from_json(json_col, PEER_SCHEMA)["result"]["bgpPeerStatus"],

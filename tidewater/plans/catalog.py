@@ -558,31 +558,33 @@ def probe(column="props"):
 
 @register("tunnel_rollup")
 def q_tunnel_rollup(spark, sf_dir):
-    """Per user: nested tunnel status JSON built from the probes, rolled up."""
-    from ..operators.monitor import tunnel_rollup
+    """Per user: nested tunnel status JSON built from the probes, one document per event, rolled up and summed."""
+    from ..operators.monitor import REQUIRED_UP, tunnel_rollup
     ev = Driver(spark, sf_dir).raw("events")
     tunnel = F.struct(F.when(probe() >= HEALTHY_K, "UP").otherwise("DOWN").alias("status"),
                       F.col("event_type").alias("reason"))
-    status = (ev.groupBy("user_id", F.pmod("event_id", F.lit(2)).alias("_g")).agg(F.collect_list(tunnel).alias("g"))
-              .groupBy("user_id").agg(F.to_json(F.collect_list("g")).alias("status")))
-    return tunnel_rollup(status, "status").select("user_id", F.col("endpoints").cast("bigint").alias("endpoints"),
-                                                  F.col("up").cast("bigint").alias("up"), "ready")
+    status = ev.select("user_id", F.to_json(F.array(F.array(tunnel))).alias("status"))
+    return (tunnel_rollup(status, "status").groupBy("user_id")
+            .agg(F.sum("endpoints").cast("bigint").alias("endpoints"), F.sum("up").cast("bigint").alias("up"))
+            .withColumn("ready", F.col("up") >= REQUIRED_UP))
 
 
 @register("peer_rollup")
 def q_peer_rollup(spark, sf_dir):
-    """Per user: nested routing-peer JSON built from the probes, rolled up; some peers lack their routes."""
-    from ..operators.monitor import peer_rollup
+    """Per user: nested routing-peer JSON built from the probes, one document per event, rolled up and summed; some
+    peers lack their routes."""
+    from ..operators.monitor import REQUIRED_PEERS, peer_rollup
     ev = Driver(spark, sf_dir).raw("events")
     routes = F.when(probe() % 5 != 0, F.transform(F.sequence(F.lit(0), probe() % 3), lambda i: i.cast("string")))
     peer = F.struct(F.col("event_type").alias("name"),
                     F.when(F.col("event_type") != "error", "ESTABLISHED").otherwise("IDLE").alias("state"),
                     F.when(probe() >= HEALTHY_K, "UP").otherwise("DOWN").alias("status"), routes.alias("advertisedRoutes"))
-    peers = F.struct(F.collect_list(peer).alias("bgpPeerStatus"))
-    status = ev.groupBy("user_id").agg(F.to_json(F.struct(peers.alias("result"))).alias("status"))
-    return peer_rollup(status, "status").select(
-        "user_id", F.col("peers").cast("bigint").alias("peers"), F.col("established").cast("bigint").alias("established"),
-        "advertised_routes", "ready")
+    peers = F.struct(F.array(peer).alias("bgpPeerStatus"))
+    status = ev.select("user_id", F.to_json(F.struct(peers.alias("result"))).alias("status"))
+    return (peer_rollup(status, "status").groupBy("user_id")
+            .agg(F.sum("peers").cast("bigint").alias("peers"), F.sum("established").cast("bigint").alias("established"),
+                 F.sum("advertised_routes").alias("advertised_routes"))
+            .withColumn("ready", F.col("established") >= REQUIRED_PEERS))
 
 
 @register("regional_sales_by_currency")
