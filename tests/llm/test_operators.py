@@ -168,6 +168,26 @@ def test_model_beats_counts_on_held_out_text(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+APACHE = b"""   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def test_published_apache_notice():
+    """With the blank lines around its address; one sentence ends in a long run of marks."""
+    assert {m[:2] for m in licenses.scan(APACHE)[2]} == {("Apache-2.0", "permissive")}
+    assert [m[0] for m in licenses.scan(b"Released under the MIT License" + b" -" * 30)[2]] == ["MIT"]
+
+
 def test_model_is_fitted_on_every_block(spark, monkeypatch):
     """Of a corpus beyond 3 MB too; a block's words come back from its packed form."""
     class Seen(Exception):

@@ -31,6 +31,14 @@ http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
 distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
 express or implied. See the License for the specific language governing permissions and limitations under the
 License."""),
+    ("Apache-2.0", "permissive", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this
+file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""),
     ("Apache-2.0", "permissive", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-2-Clause", "permissive", """Redistribution and use in source and binary forms, with or without modification,
 are permitted provided that the following conditions are met:
@@ -129,7 +137,7 @@ def identify(sentence: bytes) -> tuple[str | None, bytes]:
     and if there is none, its first line that is known by itself."""
     known = rules()[0]
     lines = sentence.split(b"\n")
-    tail = normalised(sentence[-40:]).rsplit(b" ", 1)[-1]
+    tail = normalised(sentence).rsplit(b" ", 1)[-1]
     if len(sentence) > 40 and tail not in _last_words():  # no known sentence ends so
         alone = lines if len(lines) > 1 else []
         return next(((f, line) for line in alone if (f := known.get(normalised(line)))), (None, sentence))
