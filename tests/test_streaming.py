@@ -74,3 +74,16 @@ def test_bucketed_reserve_replay_converges(spark):
     decide(requests, 0)  # replay of the same batch
     assert sorted(tuple(r) for r in RS.read_stock(spark, f"{root}/inv").collect()) == once
     assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/res").collect()) == res1
+
+
+def test_migrate_tables_holds_no_log_part_in_one_file(spark, tmp_path, monkeypatch):
+    """Each part of the change log is written by several tasks and is one micro-batch of all its files."""
+    from tidewater import session
+    from tidewater.plans.catalog import QUERIES
+    monkeypatch.setattr(session, "scratch_path", lambda *_: f"{tmp_path}/scratch")
+    spark.range(0, 400, 1, 4).selectExpr(
+        "id AS event_id", "id % 9 AS user_id", "'view' AS event_type", "'{\"k\": 99}' AS props",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["migrate_tables"](spark, str(tmp_path)).count()
+    assert len(list((tmp_path / "scratch/_checkpoint/commits").glob("[0-9]"))) == 3
+    assert all(len(list((tmp_path / f"scratch/log/{n}").glob("*.parquet"))) > 1 for n in range(3))

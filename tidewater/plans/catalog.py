@@ -703,17 +703,16 @@ def q_migrate_tables(spark, sf_dir):
     ev = Driver(spark, sf_dir).raw("events")
     log = two_table_log(ev)
     part = F.col("pos") % 4
-    for n, rows in enumerate((part.isin(0, 3), part == 2, part.isin(0, 1))):   # 0 comes twice, 1 late
-        log.filter(rows).coalesce(1).write.parquet(f"{root}/log/{n}")
-    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-              .parquet(f"{root}/log"))
     users = ev.select("user_id").distinct()
     tables = {
         "customers": MigratedTable(users.select("user_id", F.lit("old").alias("name"), F.lit(0).cast("long").alias("balance")),
                                    ["user_id"], ["name", "balance"]),
         "stock": MigratedTable(users.select("user_id", F.lit(0).cast("long").alias("warehouse_id"),
                                             F.lit(100).cast("long").alias("qty")), ["user_id", "warehouse_id"], ["qty"])}
-    migrate_tables(spark, tables, stream, root, f"{root}/_checkpoint", exclude=["tmp%"], prefix=LOAD_PREFIX, buckets=8)
+    for n, rows in enumerate((part.isin(0, 3), part == 2, part.isin(0, 1))):   # 0 comes twice, 1 late
+        log.filter(rows).write.parquet(f"{root}/log/{n}")
+        stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{root}/log")
+        migrate_tables(spark, tables, stream, root, f"{root}/_checkpoint", exclude=["tmp%"], prefix=LOAD_PREFIX, buckets=8)
     c = read_live(spark, f"{root}/{LOAD_PREFIX}customers")
     s = read_live(spark, f"{root}/{LOAD_PREFIX}stock")
     return (c.select(F.lit("customers").alias("table_name"), "user_id", F.lit(None).cast("long").alias("warehouse_id"),
