@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .common import small_batches
-from . import decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, sharding, substring_dedup
+from . import (centroids, collocations, decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, sharding,
+               substring_dedup)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +17,8 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op13_collocations": collocations.op13_collocations,
 }
 QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
 
@@ -23,4 +26,6 @@ SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op5_license_scan": licenses.OP5_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_centroid_clustering": centroids.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
