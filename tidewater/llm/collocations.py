@@ -34,18 +34,14 @@ FILTER_BITS = 28                        # 32 MB, at every corpus size
 BLOCK_WORDS = 4_000_000                 # words counted together in a task
 ENTRIES = 1_000_000                     # distinct words held at once
 
-# A-Z lower-cased, ends of pieces as line feeds, tabs as spaces
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09",
-                         b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n\x20")
+BREAK = b"."   # stands between pieces; no word has it
+# A-Z lower-cased, and every end of a piece as BREAK
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz.........")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text in order, with b"\\n" between its pieces (and empty ones, which count as nothing)."""
-    return (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-
-
-def crc(lang: bytes, phrase: bytes) -> int:
-    return zlib.crc32(lang + b"\0" + phrase) >> (32 - FILTER_BITS)
+    """The words of a text in order, with BREAK between its pieces."""
+    return (text or "").encode().translate(_PLAIN).replace(b".", b" . ").split()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str | None]]:
@@ -68,8 +64,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, c in held.items():
-            c.pop(b"\n", 0)
-            c.pop(b"", 0)
+            c.pop(BREAK, 0)
             c[b""] = sum(c.values())
             yield _batch(lang, list(c), list(c.values()))
         held.clear()
@@ -89,19 +84,20 @@ class _Local(dict):
     """Local numbers from 1 of the words of a language that the filter lets through; 0 for the others."""
 
     def __init__(self, lang: bytes, bits: np.ndarray):
-        self.lang, self.bits, self.words = lang, bits, [b"\n"]
-        self[b"\n"] = self[b""] = 0
+        self.lang, self.bits, self.words = lang, bits, [BREAK]
+        self[BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
         n = 0
-        if _passes(self.bits, crc(self.lang, word)):
+        if _passes(self.bits, self.lang, word):
             n = len(self.words)
             self.words.append(word)
         self[word] = n
         return n
 
 
-def _passes(bits: np.ndarray, at: int) -> bool:
+def _passes(bits: np.ndarray, lang: bytes, phrase: bytes) -> bool:
+    at = zlib.crc32(lang + b"\0" + phrase) & (8 * len(bits) - 1)
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
@@ -125,7 +121,7 @@ def _pairs(ids: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 def _longer(lang: bytes, ids: np.ndarray, words: list[bytes], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of 3 and 4 words all of whose pairs of neighbours the filter lets through."""
     at, number, _, phrases, second = _pairs(ids, words)
-    allowed = np.fromiter((_passes(bits, crc(lang, p)) for p in phrases), bool, len(phrases))
+    allowed = np.fromiter((_passes(bits, lang, p) for p in phrases), bool, len(phrases))
     pair = np.full(len(ids), -1, np.int64)
     good = allowed[number]
     pair[at[good]] = number[good]
@@ -168,7 +164,7 @@ def _added_up(parts: DataFrame, least: int) -> DataFrame:
 
 def filter_of(counts: DataFrame) -> bytes:
     """A bit for the CRC of each counted phrase, as compressed bytes; its size does not depend on the corpus."""
-    at = F.shiftright(F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.encode("phrase", "UTF-8"))), 32 - FILTER_BITS)
+    at = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.encode("phrase", "UTF-8"))) % (1 << FILTER_BITS)
     words = (counts.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), "<i8")
@@ -318,7 +314,8 @@ OP13_SQL = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
 g AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
 x AS (SELECT lang, unnest([ws[i:i], ws[i:i+1], ws[i:i+2], ws[i:i+3]]) AS phrase,

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .common import small_batches
-from . import (centroids, collocations, decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, sharding,
-               substring_dedup)
+from . import (centroids, collocations, decontaminate, fingerprint, licenses, line_dedup, lm, mixing, near_dedup, quality, secrets,
+               sharding, substring_dedup)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_secret_scan": secrets.op12_secret_scan,
     "op13_collocations": collocations.op13_collocations,
 }
 QUERIES = {name: small_batches(query) for name, query in QUERIES.items()}
