@@ -3,6 +3,7 @@ import random
 
 
 from tidewater.operators.reserve import reserve, reserved_totals
+from tidewater.operators.transfer import image, transfer
 
 
 def brute(stock, requests):
@@ -48,16 +49,16 @@ def _random_case(seed_value, n=3000):
     return stock, reqs
 
 
-def test_parallel_rounds_equal_brute_force(spark):
+def test_parallel_scan_equals_brute_force(spark):
     for s in (1,):
         stock, reqs = _random_case(s, n=2000)
         inv = spark.createDataFrame([(k, v, 0) for k, v in stock.items()], "k long, qty_on_hand long, qty_reserved long")
         req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
         want = brute(stock, reqs)
-        for limit, rounds in ((0, 3), (300, 3), (10 ** 9, 0)):
+        for limit, chunk in ((0, 40), (300, 10 ** 6), (10 ** 9, 40)):
             got = {r.request_id: r.result for r in
-                   reserve(inv, req, "k", "request_id", key_limit=limit, max_rounds=rounds, partitions=8).collect()}
-            assert got == want, (s, limit, rounds)
+                   reserve(inv, req, "k", "request_id", key_limit=limit, chunk_rows=chunk, partitions=8).collect()}
+            assert got == want, (s, limit, chunk)
 
 
 def test_no_releases_hot_key_settles_in_parallel(spark):
@@ -66,7 +67,7 @@ def test_no_releases_hot_key_settles_in_parallel(spark):
     inv = spark.createDataFrame([(0, 5000, 0)], "k long, qty_on_hand long, qty_reserved long")
     req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
     got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", key_limit=0,
-                                                    max_rounds=32, partitions=8).collect()}
+                                                    chunk_rows=100, partitions=8).collect()}
     assert got == brute({0: 5000}, reqs)
     assert sum(1 for v in got.values() if v == 0) > 0
 
@@ -82,7 +83,7 @@ def test_property_never_negative_and_exact(spark, reqs, stock):
     rows = [(i, k, q) for i, (k, q) in enumerate(reqs)]
     inv = spark.createDataFrame([(k, stock, 0) for k in (0, 1)], "k long, qty_on_hand long, qty_reserved long")
     req = spark.createDataFrame(rows, "request_id long, k long, qty int")
-    res = reserve(inv, req, "k", "request_id", key_limit=0, max_rounds=2, partitions=3)
+    res = reserve(inv, req, "k", "request_id", key_limit=0, chunk_rows=4, partitions=3)
     got = {r.request_id: r.result for r in res.collect()}
     assert got == brute({0: stock, 1: stock}, rows)
     taken = {0: 0, 1: 0}
@@ -102,3 +103,46 @@ def test_null_keys_stand_alone(spark):
         got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", key_limit=limit,
                                                         partitions=3).collect()}
         assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}, limit
+
+
+def _walk(s, quantities):
+    for q in quantities:
+        s -= q if s >= q else 0
+    return s
+
+
+def test_transfer_maps_equal_walks():
+    rnd = random.Random(11)
+    kinds = [lambda: rnd.randint(1, 60), lambda: rnd.randint(-60, 60), lambda: rnd.choice([-50, 50]), lambda: rnd.choice([0, 1, 999, -7]),
+             lambda: rnd.choice([-1, 1000])]
+    for case in range(60):
+        quantities = [kinds[case % 5]() for _ in range(rnd.choice([1, 5, 200]))]
+        domain = [(-30, -30), (0, 400), (900, 1500)] if case % 2 else [(0, 2000)]
+        pieces = transfer(quantities, domain)
+        starts = [s for lo, hi in domain for s in range(lo, hi + 1)]
+        assert [s for lo, hi, _ in pieces for s in range(lo, hi + 1)] == starts
+        assert [s + d for lo, hi, d in pieces for s in range(lo, hi + 1)] == [_walk(s, quantities) for s in starts]
+        ends = {_walk(s, quantities) for s in starts}
+        assert {s for lo, hi in image(pieces) for s in range(lo, hi + 1)} == ends
+        few = image(pieces, 2)
+        assert len(few) <= 2 and all(any(lo <= e <= hi for lo, hi in few) for e in ends)
+
+
+def test_stocks_fall_together():
+    """A chunk's map over what the chunk before it allows has few pieces, whatever the starting stock was."""
+    rnd = random.Random(5)
+    runs = [[rnd.randint(1, 10 ** 6) if rnd.random() < 0.5 else -rnd.randint(1, 10 ** 6) for _ in range(5000)] for _ in range(2)]
+    ends = image(transfer(runs[0], [(0, 10 ** 8)]))
+    assert len(transfer(runs[1], ends)) <= 200
+
+
+def test_hot_key_alternating_releases_and_requests(spark):
+    rnd = random.Random(3)
+    for stock in (1000, 0, -40):
+        reqs = [(i, 0, (rnd.randint(1, 90) if i % 2 else -rnd.randint(1, 90)) if i % 11 else rnd.choice([0, 500, -300]))
+                for i in range(3000)]
+        inv = spark.createDataFrame([(0, stock, 0)], "k long, qty_on_hand long, qty_reserved long")
+        req = spark.createDataFrame(reqs, "request_id long, k long, qty int")
+        got = {r.request_id: r.result for r in reserve(inv, req, "k", "request_id", key_limit=100, chunk_rows=150,
+                                                        partitions=4).collect()}
+        assert got == brute({0: stock}, reqs), stock

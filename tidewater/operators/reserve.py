@@ -8,40 +8,36 @@ means available 0 (so qty <= 0 succeeds, qty > 0 fails, and nothing changes: a
 release without a stock row makes no stock); a NULL qty fails; a negative qty
 releases stock.
 
-Plan (exact, and safe for a key that holds a large share of all requests):
-
-1. Requests are range-partitioned on (key, order), so a hot key is spread
-   over many tasks; each (key, partition) slice is a *chunk*.
-2. Distributed prefix sums: a running sum inside each chunk (the partition
-   is sorted, so a chunk is one contiguous run: no extra shuffle) plus chunk
-   offsets from a small per-key window over chunk totals (at most one row per
-   partition per key). No task ever holds a whole key.
-3. While the prefix sum P stays within the starting stock r, every request
-   is accepted; the first request with P > r is rejected. This settles the
-   head of every key in parallel.
-4. After that first rejection the stock left is r' < that request's qty.
-   Up to the next release (qty < 0) the stock can only shrink, so every
-   request there with qty > r' is rejected and qty = 0 is accepted when
-   r' >= 0: also settled in parallel. Only requests with 1 <= qty <= r',
-   and everything from the next release on, stay open, with r' as their new
-   starting stock (the settled ones did not change it).
-5. Only hot keys take steps 1-4: a per-key count (partial aggregation)
-   marks keys with more than ``key_limit`` open requests. All other keys are
-   decided by a streaming fold: hash-partitioned by key, sorted, and walked
-   by ``mapInPandas`` with one running number per key (nothing is collected
-   into memory; a key holds at most ``key_limit`` rows). Rounds repeat
-   while any key is still hot; each is checkpointed to the shared
-   checkpoint folder (lineage cut, partition ids fixed, executor loss safe).
+Ordinary keys are decided by a streaming fold: hash-partitioned by key, sorted, and walked with one running
+number per key. Keys with more than ``key_limit`` requests (counted by partial aggregation) take a parallel
+prefix scan over transfer functions (``transfer.py``) instead, exact for any mix of requests and releases:
+
+1. Their requests are range-partitioned on (key, order), so a hot key is spread over many tasks, and cut into
+   *chunks* of at most ``chunk_rows`` requests of one key.
+2. One row per chunk (sum, least prefix sum, greatest request) gives, by windows over those rows, bounds on the
+   stock each chunk can start with.
+3. Every chunk becomes the piecewise map from starting to ending stock over its bounds. The ending stocks it
+   allows (a few intervals, as different stocks soon fall together) are the next chunk's starting stocks.
+4. Over those, every chunk's map is taken again, now of a few pieces; the maps of a key are composed in order
+   with one running number, which gives each chunk its true starting stock.
+5. All chunks are walked at once, each from its own stock.
+
+No chunk waits for another's walk, and no task walks a key: the number of passes is fixed. The requests are
+checkpointed to the shared checkpoint folder after step 1 (lineage cut, chunks fixed, executor loss safe). The driver
+holds a few numbers per chunk.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 from .joins import broadcast_if_small
+from .transfer import image, transfer
 
 RESULT_OK = 0
 RESULT_INSUFFICIENT = 1
@@ -53,16 +49,15 @@ def _available(inventory: DataFrame, key: list[str], on_hand: str, reserved: str
 
 def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, order: list[str] | str,
             qty: str = "qty", request_id: str = "request_id", on_hand: str = "qty_on_hand",
-            reserved: str = "qty_reserved", key_limit: int = 1_000_000, max_rounds: int = 32,
+            reserved: str = "qty_reserved", key_limit: int = 1_000_000, chunk_rows: int = 200_000,
             partitions: int | None = None) -> DataFrame:
     """Decide every request; returns the request columns plus ``result``.
 
     ``order`` (plus ``request_id`` as tie-break) is the arrival order.
-    Keys with at most ``key_limit`` open requests (counted per key) are
-    decided by the ordered walk: one hash shuffle on the key, a sort, and
-    one running number per key. Keys above it are hot: they go through the
-    range-partitioned parallel rounds until each is down to ``key_limit``
-    open requests, so no task ever walks an unbounded key.
+    Keys with at most ``key_limit`` requests (counted per key) are decided by the ordered walk: one hash
+    shuffle on the key, a sort, and one running number per key. Keys above it are hot: their requests are cut into
+    chunks of at most ``chunk_rows`` and scanned in parallel, so no task ever walks a key of more requests than
+    ``key_limit``.
     """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
@@ -80,23 +75,16 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
         req.filter(alone).select(*base_cols, F.when(F.col(qty) <= 0, F.lit(RESULT_OK))
                                     .otherwise(F.lit(RESULT_INSUFFICIENT)).cast("int").alias("result"))]
     open_rows = req.filter(~alone)
-    # after max_rounds, or when a round settles nothing (tails full of
-    # releases), the walk takes whatever is open: slower, still exact
-    before = None
-    for _ in range(max_rounds):
-        hot = open_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > key_limit)
+    hot = open_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > key_limit)
+    checkpoint_dir(spark)
+    hot = hot.checkpoint(eager=True)  # counted once: one row per hot key
+    n_hot = hot.agg(F.sum("_n")).first()[0]
+    if n_hot:
         hot_keys = broadcast_if_small(hot.select(*key))
-        hot_rows = open_rows.join(hot_keys, key, "left_semi")
-        n_hot = hot_rows.count()
-        if n_hot == 0 or (before is not None and n_hot >= before):
-            break
-        before = n_hot
-        checkpoint_dir(spark)
-        decided.append(_serial_fold(open_rows.join(hot_keys, key, "left_anti"), key, seq, qty, n)
+        parts = max(n, -(-n_hot // chunk_rows))
+        decided.append(_scan_chunks(open_rows.join(hot_keys, key, "left_semi"), key, seq, qty, parts, chunk_rows)
                        .select(*base_cols, "result"))
-        settled, open_rows = _parallel_round(hot_rows, key, seq, qty, n)
-        open_rows = open_rows.checkpoint(eager=True)
-        decided.append(settled.select(*base_cols, "result"))
+        open_rows = open_rows.join(hot_keys, key, "left_anti")
     decided.append(_serial_fold(open_rows, key, seq, qty, n).select(*base_cols, "result"))
     out = decided[0]
     for d in decided[1:]:
@@ -104,83 +92,107 @@ def reserve(inventory: DataFrame, requests: DataFrame, key: list[str] | str, ord
     return out
 
 
-def _parallel_round(rows: DataFrame, key: list[str], seq: list[str], qty: str, n: int):
-    """One exact round of steps 1-4; returns (settled rows, open rows)."""
-    # range partitions sorted by (key, arrival): every chunk is a contiguous
-    # run inside one partition, so its prefix sum needs no further shuffle
-    ranged = (rows.repartitionByRange(n, *key, *seq).sortWithinPartitions(*key, *seq)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = _local_prefix(ranged, key, qty).checkpoint(eager=True)
-    part = [*key, "_pid"]
-    # chunk tables hold one row per (hot key, partition): small, and checked
-    chunks = local.groupBy(*part).agg(F.sum(qty).alias("_cs"))
-    by_key = Window.partitionBy(*key).orderBy("_pid")
-    chunks = broadcast_if_small(chunks.select(
-        *part,
-        F.coalesce(F.sum("_cs").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off")))
-    pref = local.join(chunks, part).withColumn("_P", F.col("_off") + F.col("_lp"))
-    # first request per chunk whose prefix sum exceeds the starting stock
-    pos = F.struct(*[F.col(c) for c in seq])
-    bad = (pref.filter(F.col("_P") > F.col("_r"))
-           .groupBy(*part).agg(F.min(F.struct(pos.alias("pos"), (F.col("_P") - F.col(qty)).alias("before")))
-                               .alias("_fb")))
-    # earliest over the key's chunks, handed back to every chunk of the key
-    key_bad = broadcast_if_small(chunks.select(*part).join(bad, part, "left")
-                                 .select(*part, F.min("_fb").over(Window.partitionBy(*key)).alias("_kb")))
-    j = pref.join(key_bad, part, "left")
-    fb_pos, fb_before = F.col("_kb.pos"), F.col("_kb.before")
-    # first release (qty < 0) after the first rejection: from there on the
-    # stock can grow again, so later rows stay open for the next round
-    rel = (j.filter((F.col(qty) < 0) & (pos > fb_pos)).groupBy(*part).agg(F.min(pos).alias("_rc")))
-    key_rel = broadcast_if_small(chunks.select(*part).join(rel, part, "left")
-                                 .select(*part, F.min("_rc").over(Window.partitionBy(*key)).alias("_rel")))
-    j = j.join(key_rel, part, "left")
-    r_new = F.col("_r") - fb_before
-    head = F.col("_kb").isNull() | (pos < fb_pos)
-    first_bad = pos == fb_pos
-    release = F.col("_rel").isNotNull() & (pos >= F.col("_rel"))
-    result = (F.when(head, F.lit(RESULT_OK))
-              .when(first_bad, F.lit(RESULT_INSUFFICIENT))
-              .when(release, F.lit(None))
-              .when(F.col(qty) > r_new, F.lit(RESULT_INSUFFICIENT))
-              .when(F.col(qty) <= 0, F.when(r_new >= 0, F.lit(RESULT_OK)).otherwise(F.lit(RESULT_INSUFFICIENT)))
-              .otherwise(F.lit(None))).cast("int")
-    cols = [c for c in rows.columns if c != "_r"]
-    classified = j.select(*cols, "_r", r_new.alias("_r_new"), result.alias("result"))
-    settled = classified.filter(F.col("result").isNotNull()).drop("_r", "_r_new")
-    open_rows = (classified.filter(F.col("result").isNull())
-                 .select(*cols, F.col("_r_new").alias("_r")))
-    return settled, open_rows
-
-
-def _local_prefix(ranged: DataFrame, key: list[str], qty: str) -> DataFrame:
-    """Running sum of ``qty`` per key inside each sorted partition (``_lp``).
-
-    Vectorised per Arrow batch (a pandas cumulative sum over runs of equal
-    keys); the running total of the last key is carried into the next batch.
-    """
-    out_schema = T.StructType(list(ranged.schema.fields) + [T.StructField("_lp", T.LongType())])
+def _chunks(batches, width: int, limit: int):
+    """(key, (partition, number), starting stock, quantities) of the chunks of a sorted partition: runs of one key, of at
+    most ``limit`` requests. Columns: the key (``width`` of them), the quantity, the starting stock, the partition."""
+    cur, number, held, stock, pid = None, -1, [], 0, 0
+    for pdf in batches:
+        cols = [pdf[c].tolist() for c in pdf.columns]
+        pid = cols[width + 2][0] if len(pdf) else pid
+        for k, q, r in zip(zip(*cols[:width]), cols[width], cols[width + 1]):
+            if k != cur or len(held) == limit:
+                if held:
+                    yield cur, (pid, number), stock, held
+                cur, number, held, stock = k, number + 1, [], r
+            held.append(q)
+    if held:
+        yield cur, (pid, number), stock, held
+
+
+def _chunk_job(ranged: DataFrame, key: list[str], qty: str, limit: int, columns: str, rows_of) -> DataFrame:
+    """A table of (key, _pid, _no, ``columns``): ``rows_of((_pid, _no), stock, quantities)`` for every chunk."""
+    schema = T.StructType([*[ranged.schema[k] for k in key], T.StructField("_pid", T.IntegerType()),
+                           T.StructField("_no", T.LongType()), *T.StructType.fromDDL(columns).fields])
+
+    def run(batches):
+        import pandas as pd
+        for k, at, stock, held in _chunks(batches, len(key), limit):
+            yield pd.DataFrame([(*k, *at, *x) for x in rows_of(at, stock, held)], columns=schema.names)
+
+    return ranged.select(*key, qty, "_r", "_pid").mapInPandas(run, schema)
+
+
+def _scan_chunks(rows: DataFrame, key: list[str], seq: list[str], qty: str, parts: int, limit: int) -> DataFrame:
+    """Steps 1 to 5 of the parallel scan; returns the rows with their result."""
+    spark = rows.sparkSession
+    ranged = (rows.repartitionByRange(parts, *key, *seq).sortWithinPartitions(*key, *seq)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    totals = _chunk_job(ranged, key, qty, limit, "total long, low long, most long, a0 long", lambda _, stock, q: [
+        (-sum(q), min(accumulate(-x for x in q)), max(q), stock)])
+    # bounds by prefix sums X: a stock below the key's greatest request q* stays below it, one above falls by what is
+    # asked, so it is at most max(v + x, q*) after each step; likewise at least max(l + x, 0)
+    every = Window.partitionBy(*key)
+    before = every.orderBy("_pid", "_no").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = (totals.withColumn("x", F.coalesce(F.sum("total").over(before), F.lit(0)))
+               .withColumn("m", F.min(F.col("x") + F.col("low")).over(before))
+               .withColumn("top", F.greatest(F.lit(0), F.max("most").over(every))))
+    bounds = scanned.select("_pid", "_no", F.when(F.col("m").isNull(), F.col("a0")).when(F.col("a0") < 0, F.col("a0")).otherwise(
+        F.col("x") + F.greatest("a0", -F.col("m"))).alias("lo"), F.when(F.col("m").isNull(), F.col("a0")).otherwise(
+        F.col("x") + F.greatest(F.greatest("a0", "top"), F.col("top") - F.col("m"))).alias("hi"))
+    domains = spark.sparkContext.broadcast({(r[0], r[1]): [(r.lo, r.hi)] for r in bounds.collect()})
+    images = _chunk_job(ranged, key, qty, limit, "spans array<struct<lo: long, hi: long>>", lambda at, stock, q: [
+        ([{"lo": lo, "hi": hi} for lo, hi in image(transfer(q, domains.value[at]))],)])
+    previous = (images.withColumn("spans", F.lag("spans").over(every.orderBy("_pid", "_no")))
+                .filter(F.col("spans").isNotNull()).select("_pid", "_no", "spans"))
+    starts = spark.sparkContext.broadcast({(r[0], r[1]): [(x.lo, x.hi) for x in r.spans] for r in previous.collect()})
+    maps = _chunk_job(ranged, key, qty, limit, "lo long, hi long, shift long", lambda at, stock, q: transfer(
+        q, starts.value.get(at, [(stock, stock)])))
+    known = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in _compose(maps, key, parts).collect()})
+    schema = T.StructType([*rows.schema.fields, T.StructField("result", T.IntegerType())])
+    width, names = len(key), rows.columns
+    order = [*key, qty, "_pid"]
+
+    def walk(batches):
+        import pandas as pd
+        cur, number, left, stock = None, -1, 0, 0
+        for pdf in batches:
+            cols = [pdf[c].tolist() for c in order]
+            pid = cols[-1][0] if len(pdf) else 0
+            result = []
+            for k, q in zip(zip(*cols[:width]), cols[width]):
+                if k != cur or not left:
+                    cur, number, left = k, number + 1, limit
+                    stock = known.value[pid, number]  # (the task's own number is another one in a union)
+                left -= 1
+                if stock >= q:
+                    stock -= q
+                    result.append(RESULT_OK)
+                else:
+                    result.append(RESULT_INSUFFICIENT)
+            yield pdf[names].assign(result=pd.Series(result, index=pdf.index, dtype="int32"))
+
+    return ranged.mapInPandas(walk, schema)
+
 
-    def prefix(batches):
+def _compose(maps: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """(_pid, _no, start): each chunk's true starting stock, by the maps of the chunks before it."""
+    def compose(batches):
         import pandas as pd
-        last_key, carry = None, 0
+        cur, at, stock, after = None, None, 0, 0
         for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_lp=pd.Series(dtype="int64"))
-                continue
-            new = pd.Series(False, index=pdf.index)
-            for k in key:
-                new |= pdf[k].ne(pdf[k].shift(1))
-            first = tuple(pdf[k].iloc[0] for k in key)
-            new.iloc[0] = first != last_key
-            run = new.cumsum()
-            lp = pdf[qty].astype("int64").groupby(run).cumsum()
-            if not new.iloc[0]:
-                lp[run == run.iloc[0]] += carry
-            last_key, carry = tuple(pdf[k].iloc[-1] for k in key), int(lp.iloc[-1])
-            yield pdf.assign(_lp=lp.astype("int64"))
-
-    return ranged.mapInPandas(prefix, out_schema)
+            out = []
+            for *k, pid, number, lo, hi, shift in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                if k != cur:           # a key's first chunk: its map has the one true starting stock
+                    cur, at, stock, after = k, None, lo, lo
+                if (pid, number) != at:
+                    at, stock = (pid, number), after
+                    out.append((pid, number, stock))
+                if lo <= stock <= hi:
+                    after = stock + shift
+            yield pd.DataFrame(out, columns=["_pid", "_no", "start"])
+
+    return (maps.repartition(parts, *key).sortWithinPartitions(*key, "_pid", "_no", "lo")
+            .mapInPandas(compose, "_pid int, _no long, start long"))
 
 
 def _serial_fold(rows: DataFrame, key: list[str], seq: list[str], qty: str, n: int) -> DataFrame:

@@ -330,6 +330,19 @@ def q_reserve_inventory(spark, sf_dir):
     return reserved_totals(inventory, results, "user_id")
 
 
+@register("reserve_hot_keys")
+def q_reserve_hot_keys(spark, sf_dir):
+    """Few keys that hold all requests, half of which give stock back: every key is hot and scanned in chunks."""
+    from ..operators.reserve import reserve
+    ev = Driver(spark, sf_dir).raw("events")
+    qty = (F.when(F.col("user_id") % 2 == 0, -F.floor("value"))
+           .when(F.col("event_id") % 97 == 0, None).otherwise(F.floor("value")).cast("int"))
+    requests = ev.select(F.col("event_id").alias("request_id"), "event_type", qty.alias("qty"))
+    inventory = (ev.filter(F.col("event_type") != "view").select("event_type").distinct()
+                 .select("event_type", F.lit(RESERVE_STOCK).alias("qty_on_hand"), F.lit(0).alias("qty_reserved")))
+    return reserve(inventory, requests, "event_type", "request_id", key_limit=1000, chunk_rows=5000)
+
+
 # ---------------------------------------------------------------------- cdc
 CUSTOMER_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 

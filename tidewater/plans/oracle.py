@@ -11,6 +11,7 @@ exact decimal, so the two engines produce the same bits.
 from __future__ import annotations
 
 from ..schemas import ORDER_STATUSES
+from ..sources.seed import DISCOUNT_CODES
 
 
 def avg6(x: str) -> str:
@@ -116,61 +117,57 @@ REVENUE = "o2.status NOT IN ('cancelled', 'refunded') AND o2.deleted_at IS NULL"
 SQL: dict[str, str] = {}
 
 SQL["daily_revenue"] = with_(ORDERS) + f"""
-SELECT CAST(ordered_at AS DATE) AS order_date, currency,
-       CAST(COUNT(DISTINCT order_id) AS BIGINT) AS order_count,
-       CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS unique_customers,
-       {dbl('SUM(subtotal)')} AS gross_revenue,
-       {dbl('SUM(tax_amount)')} AS tax_collected,
-       {dbl('SUM(shipping_amount)')} AS shipping_revenue,
-       {dbl('SUM(total_amount)')} AS net_revenue,
-       {dbl(avg6('total_amount'))} AS avg_order_value
-FROM o2 WHERE {REVENUE}
-GROUP BY CAST(ordered_at AS DATE), currency"""
+, bought AS (SELECT customer_id, currency, CAST(ordered_at AS DATE) AS order_date, COUNT(*) AS orders,
+                    SUM(subtotal) AS subtotal, SUM(tax_amount) AS tax, SUM(shipping_amount) AS shipping,
+                    SUM(total_amount) AS total, COUNT(total_amount) AS amounts
+             FROM o2 WHERE {REVENUE} GROUP BY ALL)
+SELECT order_date, currency, CAST(SUM(orders) AS BIGINT) AS order_count,
+       CAST(COUNT(customer_id) AS BIGINT) AS unique_customers,
+       {dbl('SUM(subtotal)')} AS gross_revenue, {dbl('SUM(tax)')} AS tax_collected,
+       {dbl('SUM(shipping)')} AS shipping_revenue, {dbl('SUM(total)')} AS net_revenue,
+       {dbl(ratio6('SUM(total)', 'SUM(amounts)'))} AS avg_order_value
+FROM bought GROUP BY order_date, currency"""
 
 SQL["order_summary"] = with_(ORDERS, CUSTOMERS, REGIONS, WAREHOUSES, ITEMS) + f"""
-, lines AS (SELECT order_id AS k, COUNT(*) AS n, SUM(qty) AS units FROM oi GROUP BY order_id),
-buyer AS (SELECT customer_id AS k, concat_ws(' ', first_name, last_name) AS full_name, email, tier, region_id FROM c)
-SELECT head.order_id, head.ordered_at, head.status, {dbl('head.total_amount')} AS total_amount, head.currency,
-       CAST(COALESCE(lines.n, 0) AS BIGINT) AS line_count, CAST(lines.units AS BIGINT) AS total_units,
-       buyer.k AS customer_id, buyer.full_name AS customer_name, buyer.tier, buyer.email,
+, lines AS (SELECT order_id, COUNT(*) AS n, SUM(qty) AS units FROM oi GROUP BY order_id),
+buyer AS (SELECT *, concat_ws(' ', first_name, last_name) AS full_name FROM c)
+SELECT head.order_id, head.status, head.currency, {dbl('head.total_amount')} AS total_amount, head.ordered_at,
+       head.migrated_at, buyer.customer_id, buyer.full_name AS customer_name, buyer.email, buyer.tier,
        (SELECT region_name FROM r WHERE r.region_id = buyer.region_id) AS region_name,
        (SELECT warehouse_name FROM w WHERE w.warehouse_id = head.warehouse_id) AS warehouse_name,
-       head.migrated_at
+       CAST(COALESCE(lines.n, 0) AS BIGINT) AS line_count, CAST(lines.units AS BIGINT) AS total_units
 FROM (SELECT * FROM o2 WHERE deleted_at IS NULL) AS head
-INNER JOIN buyer ON head.customer_id = buyer.k
-LEFT JOIN lines ON lines.k = head.order_id"""
+INNER JOIN buyer ON head.customer_id = buyer.customer_id
+LEFT JOIN lines ON lines.order_id = head.order_id"""
 
 SQL["inventory_health"] = with_(ITEMS, INVENTORY, PRODUCTS, WAREHOUSES) + """
-, level AS (SELECT *, qty_on_hand - qty_reserved AS free FROM inv
-            WHERE product_id IN (SELECT product_id FROM p WHERE is_active)
-              AND warehouse_id IN (SELECT warehouse_id FROM w))
-SELECT product_id, warehouse_id, free AS qty_available, qty_on_hand, qty_reserved, reorder_point,
-       CASE WHEN free > GREATEST(reorder_point, 0) THEN 'OK' WHEN free > 0 THEN 'LOW_STOCK'
-            WHEN free <= 0 THEN 'OUT_OF_STOCK' ELSE 'OK' END AS stock_status,
-       (SELECT sku FROM p WHERE p.product_id = level.product_id) AS sku,
-       (SELECT product_name FROM p WHERE p.product_id = level.product_id) AS product_name,
-       (SELECT warehouse_name FROM w WHERE w.warehouse_id = level.warehouse_id) AS warehouse_name
-FROM level"""
+, level AS (SELECT *, qty_on_hand - qty_reserved AS free FROM inv),
+named AS (SELECT product_id, sku, product_name FROM p WHERE is_active)
+SELECT product_id, named.sku, named.product_name, warehouse_id, w.warehouse_name, level.qty_on_hand, level.qty_reserved,
+       level.free AS qty_available, level.reorder_point,
+       CASE WHEN level.free <= 0 THEN 'OUT_OF_STOCK' WHEN level.free <= level.reorder_point THEN 'LOW_STOCK'
+            ELSE 'OK' END AS stock_status
+FROM level INNER JOIN named USING (product_id) INNER JOIN w USING (warehouse_id)"""
 
 SQL["customer_ltv"] = with_(ORDERS, CUSTOMERS) + f"""
-, spent AS (SELECT customer_id AS k, COUNT(*) AS n, SUM(total_amount) AS total, {avg6('total_amount')} AS mean,
+, spent AS (SELECT customer_id, COUNT(*) AS n, SUM(total_amount) AS total, {avg6('total_amount')} AS mean,
                    MIN(ordered_at) AS since, MAX(ordered_at) AS until
             FROM o2 WHERE {REVENUE} GROUP BY customer_id)
-SELECT c.customer_id, c.tier, concat_ws(' ', c.first_name, c.last_name) AS customer_name,
-       CAST(COALESCE(spent.n, 0) AS BIGINT) AS total_orders, {dbl('spent.mean')} AS avg_order_value,
-       {dbl('spent.total')} AS lifetime_value, spent.since AS first_order_date, spent.until AS latest_order_date,
+SELECT c.customer_id, concat_ws(' ', c.first_name, c.last_name) AS customer_name, c.tier,
+       CAST(COALESCE(spent.n, 0) AS BIGINT) AS total_orders, {dbl('spent.total')} AS lifetime_value,
+       {dbl('spent.mean')} AS avg_order_value, spent.since AS first_order_date, spent.until AS latest_order_date,
        CAST(CAST(spent.until AS DATE) - CAST(spent.since AS DATE) AS INTEGER) AS days_as_customer
-FROM c LEFT JOIN spent ON spent.k = c.customer_id"""
+FROM c LEFT JOIN spent ON spent.customer_id = c.customer_id"""
 
 SQL["top_products"] = with_(ITEMS, PRODUCTS, CATEGORIES) + f"""
-, sold AS (SELECT product_id AS k, SUM(qty) AS units, SUM(line_total) AS money, {avg6('unit_price')} AS price
+, sold AS (SELECT product_id, SUM(qty) AS units, SUM(line_total) AS money, {avg6('unit_price')} AS price
            FROM oi GROUP BY product_id),
-seen AS (SELECT product_id AS k, COUNT(*) AS n FROM (SELECT DISTINCT product_id, order_id FROM oi) GROUP BY product_id)
-SELECT {dbl('sold.money')} AS total_revenue, CAST(sold.units AS BIGINT) AS units_sold,
-       {dbl('sold.price')} AS avg_selling_price, CAST(seen.n AS BIGINT) AS order_appearances,
-       p.product_name, p.sku, p.product_id,
-       (SELECT MIN(category_name) FROM cat WHERE cat.category_id = p.category_id) AS category_name
-FROM sold INNER JOIN seen ON seen.k = sold.k INNER JOIN p ON p.product_id = sold.k"""
+seen AS (SELECT product_id, COUNT(*) AS n FROM (SELECT DISTINCT product_id, order_id FROM oi) GROUP BY product_id)
+SELECT product_id, p.sku, p.product_name,
+       (SELECT MIN(category_name) FROM cat WHERE cat.category_id = p.category_id) AS category_name,
+       CAST(sold.units AS BIGINT) AS units_sold, {dbl('sold.money')} AS total_revenue,
+       CAST(seen.n AS BIGINT) AS order_appearances, {dbl('sold.price')} AS avg_selling_price
+FROM sold INNER JOIN seen USING (product_id) INNER JOIN p USING (product_id)"""
 
 SQL["top_products_n"] = f"""
 SELECT * FROM ({SQL['top_products']}) t
@@ -182,8 +179,8 @@ SQL["regional_sales"] = with_(ORDERS, CUSTOMERS, REGIONS) + f"""
            FROM o2 WHERE {REVENUE}),
 place AS (SELECT region_id, COUNT(*) AS n, COUNT(DISTINCT customer_id) AS buyers, SUM(total_amount) AS money,
                  {avg6('total_amount')} AS mean FROM sale GROUP BY region_id)
-SELECT CAST(place.n AS BIGINT) AS total_orders, CAST(place.buyers AS BIGINT) AS active_customers,
-       {dbl('place.money')} AS total_revenue, {dbl('place.mean')} AS avg_order_value, r.country, r.region_name
+SELECT r.region_name, r.country, CAST(place.buyers AS BIGINT) AS active_customers, CAST(place.n AS BIGINT) AS total_orders,
+       {dbl('place.money')} AS total_revenue, {dbl('place.mean')} AS avg_order_value
 FROM place INNER JOIN r ON r.region_id = place.region_id"""
 
 SQL["orders_by_status"] = with_(ORDERS) + f"""
@@ -210,13 +207,14 @@ SELECT product_id, CAST(created_at AS DATE) AS sale_period, CAST(SUM(qty) AS BIG
        {dbl('SUM(line_total)')} AS revenue, CAST(COUNT(*) AS BIGINT) AS line_count
 FROM oi GROUP BY product_id, CAST(created_at AS DATE)"""
 
-CODES = """
-codes AS (
-  SELECT * FROM (VALUES
-    ('WELCOME10', 'percent', 10.00, 0.00, 1000, DATE '2024-01-01', DATE '2024-12-31'),
-    ('SAVE50NOW', 'fixed', 50.00, 500.00, 500, DATE '2024-03-01', DATE '2024-06-30'),
-    ('GOLDMEMBER', 'percent', 15.00, 100.00, NULL, DATE '2024-01-01', NULL),
-    ('APAC2024', 'percent', 12.00, 200.00, 250, DATE '2024-04-01', DATE '2024-09-30'))
+def _code_row(code, kind, value, least, uses, since, until) -> str:
+    cells = [f"'{code}'", f"'{kind}'", value, least, "NULL" if uses is None else uses, f"DATE '{since}'",
+             "NULL" if until is None else f"DATE '{until}'"]
+    return f"({', '.join(map(str, cells))})"
+
+
+CODES = f"""
+codes AS (SELECT * FROM (VALUES {', '.join(_code_row(*c) for c in DISCOUNT_CODES)})
     t(code, discount_type, discount_value, min_order_amt, max_uses, valid_from, valid_until))"""
 
 SQL["codes_for_orders"] = with_(ORDERS, CODES) + f"""
@@ -344,26 +342,36 @@ SQL["evolve_orders"] = """
 SELECT *, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS VARCHAR) AS created_by,
        CAST(NULL AS TIMESTAMP) AS migrated_at FROM orders"""
 
-RESERVE_WALK = """
+def reserve_walk(key: str, qty: str, stock: str) -> str:
+    """Requests in order per key (columns ``req``, ``inv`` and the decided ``walk``)."""
+    return f"""
 WITH RECURSIVE req AS (
-  SELECT event_id AS request_id, user_id,
-         CAST(CASE WHEN event_type = 'error' THEN -floor(value) WHEN event_id % 97 = 0 THEN NULL ELSE floor(value) END
-              AS INTEGER) AS qty,
-         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+  SELECT event_id AS request_id, {key}, CAST({qty} AS INTEGER) AS qty,
+         row_number() OVER (PARTITION BY {key} ORDER BY event_id) AS rn
   FROM events),
-inv AS (SELECT DISTINCT user_id, 1000 AS qty_on_hand, 0 AS qty_reserved FROM events WHERE event_type = 'signup'),
-step AS (SELECT q.*, i.user_id IS NOT NULL AS held, COALESCE(i.qty_on_hand - i.qty_reserved, 0) AS a0
-         FROM req q LEFT JOIN inv i ON i.user_id = q.user_id),
+inv AS ({stock}),
+step AS (SELECT q.*, i.{key} IS NOT NULL AS held, COALESCE(i.qty_on_hand - i.qty_reserved, 0) AS a0
+         FROM req q LEFT JOIN inv i ON i.{key} = q.{key}),
 walk AS (
-  SELECT user_id, rn, request_id, qty, CASE WHEN a0 >= qty THEN 0 ELSE 1 END AS result,
+  SELECT {key}, rn, request_id, qty, CASE WHEN a0 >= qty THEN 0 ELSE 1 END AS result,
          CASE WHEN held AND a0 >= qty THEN a0 - qty ELSE a0 END AS avail
   FROM step WHERE rn = 1
   UNION ALL
-  SELECT q.user_id, q.rn, q.request_id, q.qty, CASE WHEN w.avail >= q.qty THEN 0 ELSE 1 END,
+  SELECT q.{key}, q.rn, q.request_id, q.qty, CASE WHEN w.avail >= q.qty THEN 0 ELSE 1 END,
          CASE WHEN q.held AND w.avail >= q.qty THEN w.avail - q.qty ELSE w.avail END
-  FROM walk w JOIN step q ON q.user_id = w.user_id AND q.rn = w.rn + 1)
+  FROM walk w JOIN step q ON q.{key} = w.{key} AND q.rn = w.rn + 1)
 """
 
+
+RESERVE_WALK = reserve_walk(
+    "user_id", "CASE WHEN event_type = 'error' THEN -floor(value) WHEN event_id % 97 = 0 THEN NULL ELSE floor(value) END",
+    "SELECT DISTINCT user_id, 1000 AS qty_on_hand, 0 AS qty_reserved FROM events WHERE event_type = 'signup'")
+
+SQL["reserve_hot_keys"] = reserve_walk(
+    "event_type", "CASE WHEN user_id % 2 = 0 THEN -floor(value) WHEN event_id % 97 = 0 THEN NULL ELSE floor(value) END",
+    "SELECT DISTINCT event_type, 1000 AS qty_on_hand, 0 AS qty_reserved FROM events WHERE event_type <> 'view'") + """
+SELECT request_id, event_type, qty, CAST(result AS INTEGER) AS result FROM walk"""
+
 SQL["reserve_requests"] = RESERVE_WALK + """
 SELECT request_id, user_id, qty, CAST(result AS INTEGER) AS result FROM walk"""
 
