@@ -87,3 +87,34 @@ def test_migrate_tables_holds_no_log_part_in_one_file(spark, tmp_path, monkeypat
     assert QUERIES["migrate_tables"](spark, str(tmp_path)).count()
     assert len(list((tmp_path / "scratch/_checkpoint/commits").glob("[0-9]"))) == 3
     assert all(len(list((tmp_path / f"scratch/log/{n}").glob("*.parquet"))) > 1 for n in range(3))
+
+
+def test_empty_tables_in_every_layout(spark, tmp_path):
+    """Migration from an empty snapshot and reservation against no stock, whole and bucketed, then with nothing at all."""
+    from tidewater.plans.catalog import requests_of
+    from tidewater.sinks.target import merge_into_buckets, read_bucketed, write_bucketed
+    from tidewater.streaming.cdc_stream import MigratedTable, migrate_tables
+    from tidewater.streaming.reserve_stream import read_results, read_stock, reserve_stream
+    snapshot = read_table(spark, SF, "customer").filter("false")
+    want = _rows(live(apply_changes(snapshot_target(snapshot), change_log(spark, SF), "c_custkey", CUSTOMER_COLS)))
+    for buckets in (None, 4):
+        root = f"{tmp_path}/mig{buckets}"
+        migrate(spark, snapshot, change_log_of(events_stream(spark, SF)), f"{root}/t", "c_custkey", CUSTOMER_COLS, -1,
+                f"{root}/_ck", buckets=buckets)
+        assert _rows(read_live(spark, f"{root}/t")) == want and want
+        stock = spark.createDataFrame([], "user_id long, qty_on_hand int, qty_reserved int")
+        reserve_stream(spark, stock, requests_of(events_stream(spark, SF)), f"{root}/inv", f"{root}/res", f"{root}/_rk",
+                       "user_id", "request_id", buckets=buckets)
+        assert read_stock(spark, f"{root}/inv").columns == stock.columns and read_stock(spark, f"{root}/inv").count() == 0
+        found = read_results(spark, f"{root}/res")
+        assert found.count() == read_table(spark, SF, "events").count() and found.filter("qty > 0 AND result = 0").count() == 0
+    # two tables, both empty, from a log for one of them
+    log = "table_name string, pos long, op string, before string, after string"
+    spark.createDataFrame([("x", 1, "I", None, '{"id": 7, "v": "a"}')], log).write.parquet(f"{tmp_path}/log")
+    tables = {t: MigratedTable(spark.createDataFrame([], "id long, v string"), ["id"], ["v"]) for t in ("x", "y")}
+    migrate_tables(spark, tables, spark.readStream.schema(log).parquet(f"{tmp_path}/log"), f"{tmp_path}/two", f"{tmp_path}/_ck", buckets=4)
+    assert [tuple(r) for r in read_live(spark, f"{tmp_path}/two/x").collect()] == [(7, "a", 1)]
+    assert read_live(spark, f"{tmp_path}/two/y").collect() == []
+    write_bucketed(spark.createDataFrame([], "id long, v string"), f"{tmp_path}/bare", "id", 4)
+    merge_into_buckets(spark, f"{tmp_path}/bare", spark.createDataFrame([], "id long"), "id", 4, lambda cur, ch: cur)
+    assert read_bucketed(spark, f"{tmp_path}/bare").columns == ["id", "v"] and read_bucketed(spark, f"{tmp_path}/bare").count() == 0

@@ -232,6 +232,62 @@ def q_remap_key_customers(spark, sf_dir):
     return _integrity().remap_key(d.customers, "region_id", mapping).select("customer_id", "region_id")
 
 
+def referring_customers(customer):
+    """Customers with the one that brought them: in each twenty, 4 and 5 brought each other, and 6 to 8 follow in a chain."""
+    at = F.col("c_custkey") % 20
+    return customer.withColumn("referrer", F.when(at == 4, F.col("c_custkey") + 1).when(at.between(5, 8), F.col("c_custkey") - 1))
+
+
+@register("purge_cycle")
+def q_purge_cycle(spark, sf_dir):
+    """A region goes, and with it nations, customers, those that they brought (in a cycle), orders and lines."""
+    from ..operators.purge import purge, purge_summary
+    from ..schemas import ForeignKey
+    d = Driver(spark, sf_dir)
+    tables = {t: d.raw(t) for t in ("region", "nation", "supplier", "orders", "lineitem")}
+    tables["customer"] = referring_customers(d.raw("customer"))
+    graph = [ForeignKey("nation", "n_regionkey", "region", "r_regionkey", "CASCADE"),
+             ForeignKey("customer", "c_nationkey", "nation", "n_nationkey", "CASCADE"),
+             ForeignKey("customer", "referrer", "customer", "c_custkey", "CASCADE"),
+             ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey", "SET NULL"),
+             ForeignKey("orders", "o_custkey", "customer", "c_custkey", "CASCADE"),
+             ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey", "CASCADE")]
+    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+            "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    done = purge(tables, {"region": tables["region"].filter(F.col("r_name") == "AFRICA")}, graph, keys)
+    return purge_summary(tables, done.tables, {"supplier": ["s_nationkey"]})
+
+
+def declared_tables(d):
+    keys = {"regions": ["region_id"], "customers": ["customer_id"], "warehouses": ["warehouse_id"], "products": ["product_id"],
+            "inventory": ["product_id", "warehouse_id"], "orders": ["order_id"], "order_items": ["item_id"]}
+    tables = {t: getattr(d, t) for t in ("regions", "customers", "warehouses", "products", "inventory", "orders")}
+    return tables | {"order_items": d.items}, keys
+
+
+@register("purge_declared")
+def q_purge_declared(spark, sf_dir):
+    """Regions, warehouses and old orders go through the declared graph: stock and lines too, references become NULL."""
+    from ..operators.purge import purge, purge_summary
+    d = Driver(spark, sf_dir)
+    tables, keys = declared_tables(d)
+    roots = {"regions": d.regions.filter(F.col("country") == "ASIA"), "warehouses": d.warehouses.filter(F.col("warehouse_id") % 7 == 0),
+             "orders": d.orders.filter(F.col("ordered_at") < F.lit(PURGE_BEFORE).cast("timestamp_ntz"))}
+    done = purge(tables, roots, keys=keys)
+    return purge_summary(tables, done.tables, {"customers": ["region_id"], "warehouses": ["region_id"], "orders": ["warehouse_id"]})
+
+
+@register("purge_refused")
+def q_purge_refused(spark, sf_dir):
+    """Customers in debt go with some of their orders: the other orders refuse it."""
+    from ..operators.purge import purge
+    d = Driver(spark, sf_dir)
+    tables, keys = declared_tables(d)
+    done = purge(tables, {"customers": d.customers.filter(F.col("balance") < 0),
+                          "orders": d.orders.filter(F.col("customer_id") % 3 == 0)}, keys=keys)
+    return done.blocked.withColumn("refused", F.lit(done.refused))
+
+
 # -------------------------------------------------------------------- merge
 UPSERT_NOW = "2024-06-01 00:00:00"
 TARGET_SNAPSHOT = "2024-01-01 00:00:00"

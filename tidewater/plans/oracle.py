@@ -363,6 +363,41 @@ walk AS (
 """
 
 
+SQL["purge_cycle"] = """
+WITH RECURSIVE c AS (SELECT *, CASE WHEN c_custkey % 20 = 4 THEN c_custkey + 1
+                               WHEN c_custkey % 20 BETWEEN 5 AND 8 THEN c_custkey - 1 END AS referrer FROM customer),
+n AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA'),
+gone AS (SELECT c_custkey FROM c WHERE c_nationkey IN (SELECT n_nationkey FROM n)
+         UNION SELECT c.c_custkey FROM c JOIN gone ON c.referrer = gone.c_custkey),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))
+SELECT 'region' AS table_name, COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE r_name = 'AFRICA') AS rows_deleted,
+       CAST(0 AS BIGINT) AS null_references FROM region
+UNION ALL SELECT 'nation', COUNT(*), COUNT(*) FILTER (WHERE n_nationkey IN (SELECT n_nationkey FROM n)), 0 FROM nation
+UNION ALL SELECT 'customer', COUNT(*), COUNT(*) FILTER (WHERE c_custkey IN (SELECT c_custkey FROM gone)), 0 FROM customer
+UNION ALL SELECT 'supplier', COUNT(*), 0, COUNT(*) FILTER (WHERE s_nationkey IN (SELECT n_nationkey FROM n)) FROM supplier
+UNION ALL SELECT 'orders', COUNT(*), COUNT(*) FILTER (WHERE o_orderkey IN (SELECT o_orderkey FROM o)), 0 FROM orders
+UNION ALL SELECT 'lineitem', COUNT(*), COUNT(*) FILTER (WHERE l_orderkey IN (SELECT o_orderkey FROM o)), 0 FROM lineitem"""
+
+SQL["purge_declared"] = with_(ORDERS, CUSTOMERS, REGIONS, WAREHOUSES, ITEMS, INVENTORY, PRODUCTS) + """
+, asia AS (SELECT region_id FROM r WHERE country = 'ASIA'),
+old AS (SELECT order_id FROM o2 WHERE ordered_at < TIMESTAMP '1996-01-01')
+SELECT 'regions' AS table_name, COUNT(*) AS rows_before, COUNT(*) FILTER (WHERE country = 'ASIA') AS rows_deleted,
+       CAST(0 AS BIGINT) AS null_references FROM r
+UNION ALL SELECT 'customers', COUNT(*), 0, COUNT(*) FILTER (WHERE region_id IN (SELECT region_id FROM asia)) FROM c
+UNION ALL SELECT 'warehouses', COUNT(*), COUNT(*) FILTER (WHERE s_suppkey % 7 = 0),
+       COUNT(*) FILTER (WHERE s_suppkey % 7 <> 0 AND s_nationkey IN (SELECT region_id FROM asia)) FROM supplier
+UNION ALL SELECT 'products', COUNT(*), 0, 0 FROM p
+UNION ALL SELECT 'inventory', COUNT(*), COUNT(*) FILTER (WHERE warehouse_id % 7 = 0), 0 FROM inv
+UNION ALL SELECT 'orders', COUNT(*), COUNT(*) FILTER (WHERE order_id IN (SELECT order_id FROM old)),
+       COUNT(*) FILTER (WHERE order_id NOT IN (SELECT order_id FROM old)
+                        AND order_id % 120 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0)) FROM o2
+UNION ALL SELECT 'order_items', COUNT(*), COUNT(*) FILTER (WHERE order_id IN (SELECT order_id FROM old)), 0 FROM oi"""
+
+SQL["purge_refused"] = """
+SELECT 'orders' AS child, 'customer_id' AS column, 'customers' AS parent, CAST(o_custkey AS VARCHAR) AS parent_key,
+       COUNT(*) AS child_rows, TRUE AS refused
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 AND o_custkey % 3 <> 0 GROUP BY o_custkey"""
+
 RESERVE_WALK = reserve_walk(
     "user_id", "CASE WHEN event_type = 'error' THEN -floor(value) WHEN event_id % 97 = 0 THEN NULL ELSE floor(value) END",
     "SELECT DISTINCT user_id, 1000 AS qty_on_hand, 0 AS qty_reserved FROM events WHERE event_type = 'signup'")

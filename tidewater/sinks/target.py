@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -152,11 +153,18 @@ def bucket_of(key: list[str] | str, buckets: int):
 
 
 def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int) -> None:
-    """Write a keyed table partitioned by hash bucket of its key, as its first committed version."""
+    """Write a keyed table partitioned by hash bucket of its key, as its first committed version. Its schema is
+    written beside it, as an empty table (or bucket) has no file to read it from."""
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1) \
+        .write.mode("overwrite").text(_schema_path(root))
     _write_buckets(df, root, key, buckets, 0)
     _commit_buckets(df.sparkSession, root, 0, {b: 0 for b in range(buckets)})
 
 
+def _schema_path(root: str) -> str:
+    return f"{root.rstrip('/')}/_schema"
+
+
 def _write_buckets(df: DataFrame, root: str, key: list[str] | str, buckets: int, version: int) -> None:
     (df.withColumn(BUCKET_COL, bucket_of(key, buckets)).repartition(BUCKET_COL)
      .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{root.rstrip('/')}/b{version}"))
@@ -174,9 +182,10 @@ def _bucket_map(spark: SparkSession, root: str) -> dict[int, int]:
 def _read_buckets(spark: SparkSession, root: str, at: dict[int, int]) -> DataFrame:
     """The rows of the given buckets, each from the version that holds it."""
     base, out = root.rstrip("/"), None
+    schema = T.StructType.fromJson(json.loads(spark.read.text(_schema_path(root)).first()[0])).add(BUCKET_COL, T.IntegerType())
     for version in sorted(set(at.values())):
         own = [b for b, v in at.items() if v == version]
-        part = spark.read.parquet(f"{base}/b{version}").filter(F.col(BUCKET_COL).isin(own)).drop(BUCKET_COL)
+        part = spark.read.schema(schema).parquet(f"{base}/b{version}").filter(F.col(BUCKET_COL).isin(own)).drop(BUCKET_COL)
         out = part if out is None else out.unionByName(part)
     return out
 
