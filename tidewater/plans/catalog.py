@@ -817,6 +817,57 @@ def q_period_stat_stream(spark, sf_dir):
                      "max_value")
 
 
+LATE_CUT, LATE_DELAY = "2024-01-16 00:00:00", "6 hours"
+
+
+def late_alarm_records(spark, sf_dir):
+    """Hourly maxima with alarm states kept by a stream that gets the first half of the events, less a fifth, and then the rest:
+    the fifth comes behind the watermark."""
+    from ..session import scratch_path
+    from ..streaming.keyed_state import alarm_records, append_records
+    root = scratch_path(spark, "alarm-state")
+    ev = Driver(spark, sf_dir).raw("events")
+    early = (F.col("ts") < F.lit(LATE_CUT).cast("timestamp_ntz")) & (F.col("event_id") % 5 != 0)
+    for n, rows in enumerate((early, ~early)):
+        ev.filter(rows).write.parquet(f"{root}/points/{n}")
+        points = spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(f"{root}/points")
+        append_records(alarm_records(points, "ts", "value", ["event_type"], PERIOD_S, "Maximum", ALARM_THRESHOLD, "GreaterThanThreshold",
+                                     ALARM_PERIODS, watermark=LATE_DELAY), f"{root}/records", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/records")
+
+
+@register("alarm_stream_states")
+def q_alarm_stream_states(spark, sf_dir):
+    """State at every closed period with points, as the stream kept it."""
+    out = late_alarm_records(spark, sf_dir).filter("kind = 'period'")
+    return out.select("event_type", "period_start", F.col("n").alias("samples"), (F.col("high") / 100).cast("double").alias("max_value"),
+                      "state", "previous_state")
+
+
+@register("alarm_stream_late")
+def q_alarm_stream_late(spark, sf_dir):
+    """Closed periods after the late points were merged into them: nothing is lost."""
+    from ..streaming.keyed_state import merged_periods
+    out = merged_periods(late_alarm_records(spark, sf_dir), ["event_type"], "Maximum")
+    return as_double(out.withColumnRenamed("value", "max_value"), "max_value")
+
+
+@register("reserve_keyed_stream")
+def q_reserve_keyed_stream(spark, sf_dir):
+    """Requests in three micro-batches, one after the other, against stock kept as state."""
+    from ..session import scratch_path
+    from ..streaming.keyed_state import append_records, reserve_keyed
+    root = scratch_path(spark, "reserve-state")
+    inventory, requests = reservation_inputs(spark, sf_dir)
+    last = requests.agg(F.max("request_id")).first()[0] or 0
+    third = F.floor(F.col("request_id") * 3 / (last + 1))
+    for n in range(3):
+        requests.filter(third == n).write.parquet(f"{root}/requests/{n}")
+        stream = spark.readStream.schema(requests.schema).option("recursiveFileLookup", "true").parquet(f"{root}/requests")
+        append_records(reserve_keyed(inventory, stream, "user_id", "request_id"), f"{root}/results", f"{root}/_checkpoint")
+    return spark.read.parquet(f"{root}/results").select("request_id", "user_id", "qty", "result")
+
+
 # ------------------------------------------------------- collation, hierarchy
 @register("check_unique_customer_email")
 def q_check_unique_customer_email(spark, sf_dir):

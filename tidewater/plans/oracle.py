@@ -588,6 +588,31 @@ SELECT event_type, period_start, previous_state, state FROM (
   FROM st) x
 WHERE (state = 'ALARM' AND previous_state <> 'ALARM') OR (state = 'OK' AND previous_state = 'ALARM')"""
 
+LATE = """
+mark AS (SELECT (epoch_ms(MAX(ts) FILTER (WHERE ts < TIMESTAMP '2024-01-16' AND event_id % 5 <> 0)) - 21600000) // 3600000 - 1 AS first,
+                (epoch_ms(MAX(ts)) - 21600000) // 3600000 - 1 AS last FROM events),
+pt AS (SELECT event_type, CAST(epoch_ms(ts) // 3600000 AS BIGINT) AS slot, CAST(value AS DECIMAL(18,2)) AS v,
+              ts < TIMESTAMP '2024-01-16' AND event_id % 5 = 0 AND epoch_ms(ts) // 3600000 <= mark.first AS late
+       FROM events, mark WHERE epoch_ms(ts) // 3600000 <= mark.last)"""
+
+SQL["alarm_stream_late"] = with_(LATE) + """
+SELECT event_type, make_timestamp(slot * 3600000000) AS period_start, CAST(MAX(v) AS DOUBLE) AS max_value,
+       CAST(COUNT(*) AS BIGINT) AS samples, CAST(COUNT(*) FILTER (WHERE late) AS BIGINT) AS late_samples
+FROM pt GROUP BY event_type, slot"""
+
+SQL["alarm_stream_states"] = with_(LATE) + """
+, on_time AS (SELECT event_type, slot, COUNT(*) AS n, MAX(v) AS top FROM pt WHERE NOT late GROUP BY event_type, slot),
+spine AS (SELECT event_type, unnest(generate_series(MIN(slot), MAX(slot))) AS slot FROM on_time GROUP BY event_type),
+w AS (SELECT s.event_type, s.slot, COUNT(t.slot) AS got, COUNT(CASE WHEN t.top > 150 THEN 1 END) AS hit
+      FROM spine s LEFT JOIN on_time t ON t.event_type = s.event_type AND t.slot BETWEEN s.slot - 1 AND s.slot GROUP BY ALL),
+st AS (SELECT event_type, slot, CASE WHEN got < 2 THEN 'INSUFFICIENT' WHEN hit = 2 THEN 'ALARM' ELSE 'OK' END AS state FROM w),
+seen AS (SELECT *, COALESCE(lag(state) OVER (PARTITION BY event_type ORDER BY slot), 'INSUFFICIENT') AS previous_state FROM st)
+SELECT event_type, make_timestamp(slot * 3600000000) AS period_start, CAST(n AS BIGINT) AS samples, CAST(top AS DOUBLE) AS max_value,
+       state, previous_state
+FROM seen JOIN on_time USING (event_type, slot)"""
+
+SQL["reserve_keyed_stream"] = SQL["reserve_requests"]
+
 SQL["filter_events"] = "SELECT * FROM events WHERE event_type IN ('error', 'signup')"
 
 SQL["health_rollup"] = """
