@@ -83,6 +83,12 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
     keys; a batch of at most ``max_broadcast_bytes`` rows is broadcast and the
     target is not shuffled (``keyed_outer_join``).
     """
+    return _upserted(target, source, key, update_cols, touch, now, touch_always, order_by, max_broadcast_bytes).drop("_fresh")
+
+
+def _upserted(target: DataFrame, source: DataFrame, key: list[str] | str, update_cols: list[str], touch: str | None,
+              now: Column | None, touch_always: bool, order_by: str | None, max_broadcast_bytes: int) -> DataFrame:
+    """The upserted table, with ``_fresh`` for the rows that the target did not have. One join."""
     key = [key] if isinstance(key, str) else list(key)
     now = now if now is not None else F.current_timestamp()
     small = is_small(source, max_broadcast_bytes)  # raw batch: at least as big as the deduplicated one
@@ -113,7 +119,7 @@ def upsert(target: DataFrame, source: DataFrame, key: list[str] | str, update_co
         else:
             v = F.when(in_t, tc).otherwise(sc)
         out.append(v.cast(target.schema[c].dataType).alias(c))
-    return j.select(*out)
+    return j.select(*out, F.col("_in_t").isNull().alias("_fresh"))
 
 
 def upsert_rows(target: DataFrame, source: DataFrame, key: list[str], update_cols: list[str], id_col: str,
@@ -122,17 +128,21 @@ def upsert_rows(target: DataFrame, source: DataFrame, key: list[str], update_col
     """The upsert with its insert half (DML-1): new rows get the declared defaults where the batch has no
     value, and surrogate ids that go on after the target's greatest, in key order.
     """
+    both = _upserted(target, source, key, update_cols, touch, now, False, order_by, BROADCAST_BYTES)
+    return both.filter(~F.col("_fresh")).drop("_fresh").unionByName(with_ids(
+        target, both.filter("_fresh").drop("_fresh"), key, id_col, defaults, now))
+
+
+def with_ids(target: DataFrame, fresh: DataFrame, order: list[str], id_col: str, defaults: dict[str, object],
+             now: Column | None = None) -> DataFrame:
+    """New rows as the target takes them: declared defaults, and ids after the target's greatest, in ``order``."""
     from .integrity import apply_defaults
     from .keys import assign_ids
-    source = latest_per_key(source, key, order_by) if order_by is not None else unique_per_key(source, key)
-    keys = target.select(*key)
-    updated = upsert(target, source.join(keys, key, "left_semi"), key, update_cols, touch=touch, now=now)
-    fresh = apply_defaults(source.join(keys, key, "left_anti"), {c: v for c, v in defaults.items() if c in target.columns},
-                           target.schema, now)
-    fresh = assign_ids(fresh, id_col, key, existing_max=target.select(id_col))
-    return updated.unionByName(fresh.select(*[
+    fresh = apply_defaults(fresh.drop(id_col), {c: v for c, v in defaults.items() if c in target.columns}, target.schema, now)
+    fresh = assign_ids(fresh, id_col, order, existing_max=target.select(id_col))
+    return fresh.select(*[
         F.col(f.name).cast(f.dataType) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in target.schema.fields]))
+        for f in target.schema.fields])
 
 
 def update_where(df: DataFrame, cond: Column, sets: dict[str, Column]) -> DataFrame:

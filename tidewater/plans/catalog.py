@@ -322,6 +322,45 @@ def q_upsert_inventory(spark, sf_dir):
                        DEFAULTS["inventory"])
 
 
+def any_key_upsert(spark, sf_dir):
+    """Customers from elsewhere: known by id, by e-mail in other spelling, or by name and region; some mean two customers
+    at once, some are new, and some new ones contradict each other."""
+    from ..operators.resolve import upsert_any_key
+    c = Driver(spark, sf_dir).customers
+    target = c.select("customer_id", "email", "last_name", "region_id", "tier", "is_active",
+                      F.lit(TARGET_SNAPSHOT).cast("timestamp_ntz").alias("updated_at"))
+    at, none, number = F.col("customer_id") % 10, F.lit(None), F.col("customer_id").cast("string")
+    spelled = F.concat(F.upper(F.replace("email", F.lit("e"), F.lit("é"))), F.lit("  "))
+
+    def some(which: int, seq: int, **columns):
+        given = {"customer_id": none.cast("long"), "email": none.cast("string"), "last_name": none.cast("string"),
+                 "region_id": none.cast("int"), "tier": F.lit("platinum"), **columns}
+        return c.filter(at == which).select(*[v.alias(n) for n, v in given.items()], F.lit(seq).alias("seq"))
+
+    new = F.concat(F.lit("new."), number, F.lit("@example.com"))
+    batch = [some(0, 1, customer_id=F.col("customer_id")), some(1, 1, email=spelled), some(1, 2, email=F.col("email"), tier=F.lit("gold")),
+             some(2, 1, last_name=F.concat("last_name", F.lit(" ")), region_id=F.col("region_id")),
+             some(3, 1, email=F.col("email"), customer_id=F.col("customer_id") - 1),
+             some(4, 1, email=new), some(4, 2, email=F.upper(new), tier=F.lit("silver")),
+             some(5, 1, email=new, last_name=F.lit("x")), some(5, 2, email=new, last_name=F.lit("y")),
+             some(6, 1, email=new, customer_id=F.col("customer_id") + 10_000_000)]
+    source = batch[0]
+    for b in batch[1:]:
+        source = source.unionByName(b)
+    return upsert_any_key(target, source, "customer_id", [["email"], ["last_name", "region_id"]], ["tier"], {"is_active": True, "updated_at": "now"},
+                          "seq", touch="updated_at", now=F.lit(UPSERT_NOW).cast("timestamp_ntz"))
+
+
+@register("upsert_any_key")
+def q_upsert_any_key(spark, sf_dir):
+    return any_key_upsert(spark, sf_dir).table
+
+
+@register("upsert_conflicts")
+def q_upsert_conflicts(spark, sf_dir):
+    return any_key_upsert(spark, sf_dir).conflicts
+
+
 @register("mark_migrated")
 def q_mark_migrated(spark, sf_dir):
     from ..operators.merge import mark_migrated

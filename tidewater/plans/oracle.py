@@ -338,6 +338,23 @@ SELECT order_id, status,
        COALESCE(CASE WHEN status = 'delivered' THEN ordered_at END, TIMESTAMP '2024-06-01 00:00:00') AS migrated_at
 FROM o"""
 
+SQL["upsert_any_key"] = with_(CUSTOMERS) + """
+, ids AS (SELECT MAX(id) AS most FROM (SELECT customer_id AS id FROM c UNION ALL SELECT customer_id + 10000000 FROM c WHERE customer_id % 10 = 6)),
+counted AS (SELECT upper('new.' || customer_id || '@example.com') AS email FROM c WHERE customer_id % 10 = 4)
+SELECT customer_id, email, last_name, region_id,
+       CASE customer_id % 10 WHEN 0 THEN 'platinum' WHEN 1 THEN 'gold' WHEN 2 THEN 'platinum' ELSE tier END AS tier, is_active,
+       CASE WHEN customer_id % 10 <= 2 THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at
+FROM c
+UNION ALL SELECT customer_id + 10000000, 'new.' || customer_id || '@example.com', NULL, NULL, 'platinum', TRUE, TIMESTAMP '2024-06-01'
+FROM c WHERE customer_id % 10 = 6
+UNION ALL SELECT most + row_number() OVER (ORDER BY email), email, NULL, NULL, 'silver', TRUE, TIMESTAMP '2024-06-01' FROM counted, ids"""
+
+SQL["upsert_conflicts"] = with_(CUSTOMERS) + """
+SELECT customer_id - 1 AS customer_id, email, NULL::VARCHAR AS last_name, NULL::INTEGER AS region_id, 'platinum' AS tier, 1 AS seq,
+       'keys of different rows' AS reason FROM c WHERE customer_id % 10 = 3
+UNION ALL SELECT NULL, 'new.' || customer_id || '@example.com', n.name, NULL, 'platinum', n.seq, 'new rows share a key'
+FROM c, (VALUES ('x', 1), ('y', 2)) n(name, seq) WHERE customer_id % 10 = 5"""
+
 SQL["evolve_orders"] = """
 SELECT *, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS VARCHAR) AS created_by,
        CAST(NULL AS TIMESTAMP) AS migrated_at FROM orders"""
