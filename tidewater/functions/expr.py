@@ -5,6 +5,8 @@ All are built-in Spark expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,3 +102,14 @@ def endpoint_host(c) -> Column:
 def join_csv(c) -> Column:
     """An array column joined into one comma-separated string (EXP-20)."""
     return F.concat_ws(",", col(c))
+
+
+def plain(text: str) -> str:
+    """The text without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+def unaccented(column: Column) -> Column:
+    """Latin letters without their accents: a character map built from Unicode's own decompositions."""
+    accented = [chr(c) for c in range(0xC0, 0x250) if len(plain(chr(c))) == 1 and plain(chr(c)) != chr(c)]
+    return F.regexp_replace(F.translate(column, "".join(accented), "".join(map(plain, accented))), r"\p{M}+", "")

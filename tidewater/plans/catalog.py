@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import reports
@@ -142,6 +142,23 @@ def q_search_products(spark, sf_dir):
     return reports.search_products(d.products, SEARCH_TEXT)
 
 
+SEARCHES = ["the thing and", "Und der Ächte", "password token", "élle que", "edition", "nothing-like-it"]
+
+
+@register("search_ranked")
+def q_search_ranked(spark, sf_dir):
+    """Documents ranked by an inverted index that was built on most of them, then got the others, new texts and deletions."""
+    from ..operators.search_index import build_index, search_index, update_index
+    from ..session import scratch_path
+    root = scratch_path(spark, "search")
+    docs = Driver(spark, sf_dir).raw("documents").select("doc_id", "text")
+    build_index(docs.filter(F.col("doc_id") % 7 != 3), "doc_id", "text", root, buckets=16)
+    changed = docs.filter(F.col("doc_id") % 11 == 5).select("doc_id", F.concat(F.substring("text", 1, 500), F.lit(" second EDITION, edition")).alias("text"))
+    update_index(spark, root, docs.filter((F.col("doc_id") % 7 == 3) & (F.col("doc_id") % 11 != 5)).unionByName(changed), "doc_id", "text",
+                 docs.filter((F.col("doc_id") % 13 == 4) & (F.col("doc_id") % 11 != 5) & (F.col("doc_id") % 7 != 3)), buckets=16)
+    return search_index(spark, root, SEARCHES, "doc_id", 20, buckets=16)
+
+
 # ---------------------------------------------------------------- integrity
 def _integrity():
     from ..operators import integrity
@@ -926,3 +943,16 @@ def q_region_hierarchy(spark, sf_dir):
                                      F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"),
                                      F.col("n_name").alias("name"))
     return hierarchy_paths(regions.unionByName(nations)).withColumn("depth", F.col("depth").cast("int"))
+
+
+@register("event_chains")
+def q_event_chains(spark, sf_dir):
+    """Each event follows its user's event before it: chains as deep as a user is busy. Every tenth user's chain is a ring."""
+    from ..operators.tree import hierarchy_paths
+    ev = Driver(spark, sf_dir).raw("events")
+    last = ev.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    nodes = ev.join(last, "user_id").select("event_id", "user_id", "event_type", F.coalesce(before, F.when(F.col("user_id") % 10 == 0, F.col("last")))
+                                            .alias("previous_id"))
+    out = hierarchy_paths(nodes, "event_id", "previous_id", "event_type", ">")
+    return out.select("event_id", "root", F.col("depth").cast("int").alias("depth"), F.md5("path").alias("path_md5"), "cyclic")

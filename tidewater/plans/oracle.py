@@ -227,6 +227,18 @@ FROM o JOIN codes k
  AND (k.max_uses IS NULL OR 0 < k.max_uses)
 WHERE o.deleted_at IS NULL"""
 
+SQL["search_ranked"] = """
+WITH asked(query) AS (VALUES ('the thing and'), ('Und der Ächte'), ('password token'), ('élle que'), ('edition'), ('nothing-like-it')),
+wanted AS (SELECT DISTINCT query, unnest(string_split_regex(lower(strip_accents(query)), '[^\\p{L}\\p{N}]+')) AS term FROM asked),
+docs AS (SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN substring(text, 1, 500) || ' second EDITION, edition' ELSE text END AS text
+         FROM documents WHERE doc_id % 13 <> 4 OR doc_id % 11 = 5 OR doc_id % 7 = 3),
+words AS (SELECT doc_id, unnest(string_split_regex(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+')) AS term FROM docs),
+postings AS (SELECT doc_id, term, COUNT(*) AS tf FROM words WHERE length(term) >= 3 GROUP BY doc_id, term),
+weights AS (SELECT term, power(log10((SELECT COUNT(*) FROM docs)::DOUBLE / COUNT(*)), 2) AS weight FROM postings GROUP BY term),
+scored AS (SELECT query, doc_id, round(SUM(tf * weight), 6) AS score, COUNT(*) AS matched_terms
+           FROM postings JOIN weights USING (term) JOIN wanted USING (term) GROUP BY query, doc_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM scored) WHERE place <= 20"""
+
 SQL["search_products"] = """
 WITH q(term) AS (VALUES ('blue'), ('widget'), ('with'), ('steel'), ('bolt')),
 tok AS (SELECT p_partkey AS product_id, p_name AS product_name,
@@ -780,3 +792,10 @@ walk(id, parent_id, root, depth, path) AS (
   UNION ALL
   SELECT c.id, c.parent_id, w.root, w.depth + 1, w.path || '/' || c.name FROM nodes c JOIN walk w ON c.parent_id = w.id)
 SELECT id, parent_id, root, CAST(depth AS INTEGER) AS depth, path, FALSE AS cyclic FROM walk"""
+
+SQL["event_chains"] = """
+WITH o AS (SELECT *, row_number() OVER w - 1 AS depth, first_value(event_id) OVER w AS root,
+                  string_agg(event_type, '>') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS path
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN root END AS root, CAST(CASE WHEN user_id % 10 <> 0 THEN depth END AS INTEGER) AS depth,
+       CASE WHEN user_id % 10 <> 0 THEN md5(path) END AS path_md5, user_id % 10 = 0 AS cyclic FROM o"""

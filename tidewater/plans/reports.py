@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import day, days_between, exact_avg, first_match, full_name, not_deleted, not_in, ratio
+from ..functions.expr import (day, days_between, exact_avg, first_match, full_name, not_deleted, not_in, plain, ratio,
+                              unaccented)
 from ..operators.joins import broadcast_if_small, range_join
 from ..schemas import EXCLUDED_REVENUE_STATUSES
 
@@ -287,9 +288,9 @@ def search_products(products: DataFrame, text: str, n: int | None = None,
     tokens. Judged within each row: nothing is shuffled.
     """
     terms = sorted({t for t in _tokens(text) if len(t) >= min_token_len})
-    plain = _unaccented(F.col("product_name"))
+    plain_name = unaccented(F.col("product_name"))
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    hits = F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}]+"), lambda t: F.array_contains(wanted, t))
+    hits = F.filter(F.split(F.lower(plain_name), r"[^\p{L}\p{N}]+"), lambda t: F.array_contains(wanted, t))
     out = (products.select("product_id", "product_name", hits.alias("_hits")).filter(F.size("_hits") > 0)
            .select("product_id", "product_name", F.size(F.array_distinct("_hits")).cast("long").alias("matched_terms"),
                    F.size("_hits").cast("long").alias("hits")))
@@ -298,17 +299,6 @@ def search_products(products: DataFrame, text: str, n: int | None = None,
     return out
 
 
-def _plain(text: str) -> str:
-    import unicodedata
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-
-
-def _unaccented(column):
-    """Latin letters without their accents: a character map built from Unicode's own decompositions."""
-    accented = [chr(c) for c in range(0xC0, 0x250) if len(_plain(chr(c))) == 1 and _plain(chr(c)) != chr(c)]
-    return F.regexp_replace(F.translate(column, "".join(accented), "".join(map(_plain, accented))), r"\p{M}+", "")
-
-
 def _tokens(text: str) -> list[str]:
     import re
-    return [t for t in re.split(r"[\W_]+", _plain(text).lower()) if t]
+    return [t for t in re.split(r"[\W_]+", plain(text).lower()) if t]

@@ -152,12 +152,12 @@ def bucket_of(key: list[str] | str, buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int, spread: int = 1) -> None:
     """Write a keyed table partitioned by hash bucket of its key, as its first committed version. Its schema is
     written beside it, as an empty table (or bucket) has no file to read it from."""
     df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1) \
         .write.mode("overwrite").text(_schema_path(root))
-    _write_buckets(df, root, key, buckets, 0)
+    _write_buckets(df, root, key, buckets, 0, spread)
     _commit_buckets(df.sparkSession, root, 0, {b: 0 for b in range(buckets)})
 
 
@@ -165,8 +165,10 @@ def _schema_path(root: str) -> str:
     return f"{root.rstrip('/')}/_schema"
 
 
-def _write_buckets(df: DataFrame, root: str, key: list[str] | str, buckets: int, version: int) -> None:
-    (df.withColumn(BUCKET_COL, bucket_of(key, buckets)).repartition(BUCKET_COL)
+def _write_buckets(df: DataFrame, root: str, key: list[str] | str, buckets: int, version: int, spread: int = 1) -> None:
+    """``spread``: tasks that may share the writing of one bucket (for keys that hold many rows)."""
+    salt = [F.pmod(F.xxhash64(*df.columns), F.lit(spread))] if spread > 1 else []
+    (df.withColumn(BUCKET_COL, bucket_of(key, buckets)).repartition(BUCKET_COL, *salt)
      .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(f"{root.rstrip('/')}/b{version}"))
 
 
@@ -190,12 +192,15 @@ def _read_buckets(spark: SparkSession, root: str, at: dict[int, int]) -> DataFra
     return out
 
 
-def read_bucketed(spark: SparkSession, root: str) -> DataFrame:
-    return _read_buckets(spark, root, _bucket_map(spark, root))
+def read_bucketed(spark: SparkSession, root: str, own: list[int] | None = None) -> DataFrame:
+    """The table, or the rows of its buckets ``own`` alone."""
+    at = _bucket_map(spark, root)
+    return _read_buckets(spark, root, at if own is None else {b: at[b] for b in own or list(at)[:1]})
 
 
 def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key: list[str] | str, buckets: int,
-                       merge: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None) -> None:
+                       merge: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None,
+                       spread: int = 1) -> None:
     """Rewrite only the buckets a batch of changes touches, then commit them together.
 
     The merged rows of the touched buckets go to a folder of their own; only then a new map from
@@ -211,5 +216,5 @@ def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key:
     touched = sorted(r[0] for r in changes.select(bucket_of(key, buckets).alias(BUCKET_COL)).distinct().collect())
     if touched:
         current = _read_buckets(spark, root, {b: at[b] for b in touched})
-        _write_buckets(merge(current, changes), root, key, buckets, version)
+        _write_buckets(merge(current, changes), root, key, buckets, version, spread)
     _commit_buckets(spark, root, version, at | {b: version for b in touched})
