@@ -193,3 +193,30 @@ def test_rollups_keep_no_list_of_a_users_events(spark, tmp_path, name):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
     row = out.collect()[0].asDict()
     assert row.get("endpoints", row.get("peers")) == row.get("up", row.get("established")) == 3000 and row["ready"]
+
+
+def test_applied_times_first_commit_counts(spark, tmp_path):
+    """Both layouts record when each change was committed; a replayed batch keeps its time, a replayed change its first."""
+    import datetime as dt
+    from tidewater.operators.cdc import cdc_latency
+    from tidewater.operators.monitor import latency_points
+    from tidewater.streaming.cdc_stream import applied_times, migrate, record_applied
+    kind = "pos long, op string, id long, v string, committed_at timestamp_ntz, captured_at timestamp_ntz"
+    start = dt.datetime(2024, 1, 1)
+    parts = [[(1, "I", 1, "a", start, start), (2, "U", 1, "b", start, start + dt.timedelta(seconds=3))],
+             [(2, "U", 1, "b", start, start + dt.timedelta(seconds=3)), (3, "D", 1, None, start, start)]]
+    for buckets in (None, 4):
+        root = f"{tmp_path}/{buckets}"
+        for n, rows in enumerate(parts):
+            spark.createDataFrame(rows, kind).write.parquet(f"{root}/log/{n}")
+            stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{root}/log")
+            migrate(spark, spark.createDataFrame([], "id long, v string"), stream, f"{root}/t", "id", ["v"], -1, f"{root}/_ck",
+                    buckets=buckets, applied_root=f"{root}/applied", clock=lambda b: start + dt.timedelta(seconds=60 * (b + 1)))
+        record_applied(spark.createDataFrame(parts[0], kind), f"{root}/applied", 0, clock=lambda b: start)
+        times = {r.pos: r.applied_at for r in applied_times(spark, f"{root}/applied").collect()}
+        assert times == {1: start + dt.timedelta(seconds=60), 2: start + dt.timedelta(seconds=60), 3: start + dt.timedelta(seconds=120)}
+    log = spark.createDataFrame([r for p in parts for r in p][:2] + [(9, "I", 5, "x", start, start)], kind)
+    out = cdc_latency(log.join(applied_times(spark, f"{root}/applied"), "pos", "left"), applied="applied_at")
+    assert {r.pos: r.target_latency_s for r in out.collect()} == {1: 60, 2: 60, 9: None}
+    assert sorted((r.metric_name, r.value) for r in latency_points(out).collect()) == [
+        ("CDCLatencySource", 0.0), ("CDCLatencySource", 0.0), ("CDCLatencySource", 3.0), ("CDCLatencyTarget", 60.0), ("CDCLatencyTarget", 60.0)]

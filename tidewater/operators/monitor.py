@@ -229,3 +229,24 @@ def evaluate_rule(metrics: DataFrame, rule: AlarmRule, ts: str = "ts", value: st
     stats = period_stat(pts, ts, value, dims, rule.period_s, rule.statistic)
     return alarm_states(stats, dims, rule.period_s, rule.threshold, rule.comparison, rule.evaluation_periods,
                         missing=missing).withColumn("alarm_name", F.lit(rule.name))
+
+
+def latency_points(latencies: DataFrame, captured: str = "captured_at", applied: str = "applied_at") -> DataFrame:
+    """The latencies of changes (``cdc_latency``) as points of the two replication metrics: the source's when a change was
+    captured, the target's when it was committed. A change that is not applied yet has no point of the second."""
+    source = latencies.select(F.lit("CDCLatencySource").alias("metric_name"), F.col(captured).alias("ts"),
+                              F.col("source_latency_s").cast("double").alias("value"))
+    target = latencies.filter(F.col(applied).isNotNull()).select(
+        F.lit("CDCLatencyTarget").alias("metric_name"), F.col(applied).alias("ts"), F.col("target_latency_s").cast("double").alias("value"))
+    return source.unionByName(target)
+
+
+def latency_alarms(points: DataFrame) -> DataFrame:
+    """(alarm_name, period_start, previous_state, state): what the declared rules on replication latency notify."""
+    out = None
+    for rule in ALARM_RULES:
+        if rule.metric in ("CDCLatencySource", "CDCLatencyTarget"):
+            states = evaluate_rule(points, rule)
+            told = alarm_transitions(states, ["alarm_name"], rule.period_s)
+            out = told if out is None else out.unionByName(told)
+    return out

@@ -846,6 +846,36 @@ def q_migrate_tables(spark, sf_dir):
                                   F.lit(None).cast("string").alias("name"), F.col("qty").alias("amount"), F.col("_pos").alias("pos"))))
 
 
+def migrated_latencies(spark, sf_dir):
+    """The change log migrated in three batches, a minute apart, with the latencies of every change."""
+    import datetime as dt
+
+    from ..operators.cdc import cdc_latency
+    from ..session import scratch_path
+    from ..streaming.cdc_stream import applied_times, migrate
+    root = scratch_path(spark, "latency")
+    log = change_log_of(Driver(spark, sf_dir).raw("events"))
+    for n in range(3):
+        log.filter(F.col("pos") % 3 == n).write.parquet(f"{root}/log/{n}")
+        stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{root}/log")
+        migrate(spark, Driver(spark, sf_dir).raw("customer"), stream, f"{root}/customer", "c_custkey", CUSTOMER_COLS, -1,
+                f"{root}/_checkpoint", applied_root=f"{root}/applied", clock=lambda b: dt.datetime(2024, 1, 31, 0, b))
+    return cdc_latency(log.join(applied_times(spark, f"{root}/applied"), "pos", "left"), applied="applied_at")
+
+
+@register("target_latency")
+def q_target_latency(spark, sf_dir):
+    out = migrated_latencies(spark, sf_dir).select("pos", "committed_at", "captured_at", "applied_at", "source_latency_s", "target_latency_s")
+    return as_double(out, "source_latency_s", "target_latency_s")
+
+
+@register("latency_alarms")
+def q_latency_alarms(spark, sf_dir):
+    """From the log to latencies, periods and alarms."""
+    from ..operators.monitor import latency_alarms, latency_points
+    return latency_alarms(latency_points(migrated_latencies(spark, sf_dir)))
+
+
 RESERVE_BUCKETS = 16
 
 

@@ -799,3 +799,27 @@ WITH o AS (SELECT *, row_number() OVER w - 1 AS depth, first_value(event_id) OVE
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN root END AS root, CAST(CASE WHEN user_id % 10 <> 0 THEN depth END AS INTEGER) AS depth,
        CASE WHEN user_id % 10 <> 0 THEN md5(path) END AS path_md5, user_id % 10 = 0 AS cyclic FROM o"""
+
+LATENCIES = CHANGES + """,
+lat AS (SELECT *, TIMESTAMP '2024-01-31' + to_minutes(pos % 3) AS applied_at FROM ch)"""
+
+
+def _seconds(later: str) -> str:
+    return f"CAST(CAST(epoch_us({later}) - epoch_us(committed_at) AS DECIMAL(20,0)) / 1000000 AS DOUBLE)"
+
+
+SQL["target_latency"] = with_(LATENCIES) + f"""
+SELECT pos, committed_at, captured_at, applied_at, {_seconds('captured_at')} AS source_latency_s,
+       {_seconds('applied_at')} AS target_latency_s FROM lat"""
+
+SQL["latency_alarms"] = with_(LATENCIES) + f""",
+points AS (SELECT 'dms-cdc-latency-high' AS alarm_name, epoch_ms(captured_at) // 60000 AS slot, {_seconds('captured_at')} AS v FROM lat
+           UNION ALL SELECT 'dms-cdc-target-latency-high', epoch_ms(applied_at) // 60000, {_seconds('applied_at')} FROM lat),
+b AS (SELECT alarm_name, slot, MAX(v) > 60 AS breach FROM points GROUP BY alarm_name, slot),
+spine AS (SELECT alarm_name, unnest(generate_series(MIN(slot), MAX(slot))) AS slot FROM b GROUP BY alarm_name),
+w AS (SELECT s.alarm_name, s.slot, COUNT(b.slot) AS got, COUNT(CASE WHEN b.breach THEN 1 END) AS hit
+      FROM spine s LEFT JOIN b ON b.alarm_name = s.alarm_name AND b.slot BETWEEN s.slot - 2 AND s.slot GROUP BY ALL),
+st AS (SELECT alarm_name, slot, CASE WHEN got < 3 THEN 'INSUFFICIENT' WHEN hit = 3 THEN 'ALARM' ELSE 'OK' END AS state FROM w),
+seen AS (SELECT *, COALESCE(lag(state) OVER (PARTITION BY alarm_name ORDER BY slot), 'INSUFFICIENT') AS previous_state FROM st)
+SELECT alarm_name, make_timestamp(CAST(slot * 60000000 AS BIGINT)) AS period_start, previous_state, state FROM seen
+WHERE (state = 'ALARM' AND previous_state <> 'ALARM') OR (state = 'OK' AND previous_state = 'ALARM')"""

@@ -10,8 +10,11 @@ below each row's ``_pos`` are ignored, so replays cannot double-apply.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,33 +22,40 @@ from ..operators.cdc import (after_position, apply_changes, live, select_changes
                              split_key_changes)
 from ..sinks.target import (current_version, merge_into_buckets, read_bucketed, read_current, select_tables,
                             write_bucketed, write_version)
+from ..sources.tables import is_missing
 
 
 def migrate(spark: SparkSession, snapshot: DataFrame, changes: DataFrame, target_root: str, key: str,
             columns: list[str], start_pos, checkpoint_location: str, pos: str = "pos", op: str = "op",
-            available_now: bool = True, processing_time: str | None = None, buckets: int | None = None):
+            available_now: bool = True, processing_time: str | None = None, buckets: int | None = None,
+            applied_root: str | None = None, clock: Callable[[int], dt.datetime] | None = None):
     """Run both phases; returns the streaming query (already finished when
     ``available_now``). Read the result with ``read_live``.
 
     With ``buckets`` the target is partitioned by key hash and each
     micro-batch rewrites only the buckets its keys fall in (the layout for
     large tables); without, every batch commits a new version of the whole
-    table (atomic switch, fine for small tables).
+    table (atomic switch, fine for small tables). With ``applied_root`` the time at which each
+    change was committed is recorded there (``record_applied``, by ``clock``; read it with ``applied_times``).
     """
+    def applied(batch: DataFrame, batch_id: int) -> None:
+        if applied_root is not None:
+            record_applied(batch, applied_root, batch_id, pos, clock)
+
     if buckets is not None:
         return _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start_pos,
-                                 checkpoint_location, pos, op, available_now, processing_time, buckets)
+                                 checkpoint_location, pos, op, available_now, processing_time, buckets, applied)
     if current_version(spark, target_root) is None:
         write_version(snapshot_target(snapshot.select(key, *columns), start_pos), target_root, 0)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         done = current_version(spark, target_root)
-        if done is not None and done >= version:
-            return  # committed before a restart
-        current = read_current(spark, target_root)
-        new = apply_changes(current, batch, key, columns, pos=pos, op=op)
-        write_version(new, target_root, version)
+        if done is None or done < version:  # else committed before a restart
+            current = read_current(spark, target_root)
+            new = apply_changes(current, batch, key, columns, pos=pos, op=op)
+            write_version(new, target_root, version)
+        applied(batch, batch_id)
 
     writer = (after_position(changes, start_pos, pos).writeStream
               .foreachBatch(apply_batch).option("checkpointLocation", checkpoint_location))
@@ -58,7 +68,7 @@ def migrate(spark: SparkSession, snapshot: DataFrame, changes: DataFrame, target
 
 
 def _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start_pos, checkpoint_location,
-                      pos, op, available_now, processing_time, buckets):
+                      pos, op, available_now, processing_time, buckets, applied):
     marker = f"{target_root.rstrip('/')}/_snapshot_done"
     if current_version(spark, marker) is None:
         write_bucketed(snapshot_target(snapshot.select(key, *columns), start_pos), f"{target_root}/data",
@@ -69,6 +79,7 @@ def _migrate_bucketed(spark, snapshot, changes, target_root, key, columns, start
         batch.persist()
         merge_into_buckets(spark, f"{target_root}/data", batch, key, buckets,
                            lambda cur, ch: apply_changes(cur, ch, key, columns, pos=pos, op=op), batch_id + 1)
+        applied(batch, batch_id)
         batch.unpersist()
 
     writer = (after_position(changes, start_pos, pos).writeStream
@@ -132,6 +143,26 @@ def migrate_tables(spark: SparkSession, tables: dict[str, MigratedTable], change
     return q
 
 
+def record_applied(batch: DataFrame, root: str, batch_id: int, pos: str = "pos",
+                   clock: Callable[[int], dt.datetime] | None = None) -> None:
+    """Write the batch's log positions with the time of its commit: now, or ``clock(batch_id)``. A batch that was
+    recorded before a restart keeps its time."""
+    path = f"{root.rstrip('/')}/batch={batch_id}"
+    try:
+        batch.sparkSession.read.parquet(path)
+        return
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+    at = clock(batch_id) if clock else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    batch.select(F.col(pos).cast("long").alias("pos"), F.lit(at).cast("timestamp_ntz").alias("applied_at")).write.mode("overwrite").parquet(path)
+
+
+def applied_times(spark: SparkSession, root: str) -> DataFrame:
+    """(pos, applied_at): when each change was first committed to the target (UTC wall clock)."""
+    return spark.read.parquet(root).groupBy("pos").agg(F.min("applied_at").alias("applied_at"))
+
+
 def read_live(spark: SparkSession, target_root: str) -> DataFrame:
     """Current rows of a migrated table (tombstones removed)."""
     if current_version(spark, f"{target_root.rstrip('/')}/_snapshot_done") is not None:
