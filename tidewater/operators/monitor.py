@@ -128,6 +128,17 @@ def period_stat(metrics: DataFrame, ts: str, value: str, dims: list[str], period
     return out.select(*dims, start.alias("period_start"), "value", "samples")
 
 
+SPINE_BLOCK = 1024
+
+
+def _spine(bounds: DataFrame, dims: list[str]) -> DataFrame:
+    """Every slot from ``_lo`` to ``_hi``, by blocks: no array holds a whole series."""
+    block = bounds.select(*dims, "_lo", "_hi", F.explode(F.sequence(
+        F.floor(F.col("_lo") / SPINE_BLOCK), F.floor(F.col("_hi") / SPINE_BLOCK))).alias("_b"))
+    first, last = F.col("_b") * SPINE_BLOCK, F.col("_b") * SPINE_BLOCK + (SPINE_BLOCK - 1)
+    return block.select(*dims, "_lo", F.explode(F.sequence(F.greatest("_lo", first), F.least("_hi", last))).alias("_slot"))
+
+
 def alarm_states(stats: DataFrame, dims: list[str], period_s: int, threshold, comparison: str,
                  evaluation_periods: int, missing: str = "ignore", value: str = "value",
                  period_start: str = "period_start") -> DataFrame:
@@ -138,7 +149,7 @@ def alarm_states(stats: DataFrame, dims: list[str], period_s: int, threshold, co
     pts = stats.select(*dims, _slot(F.col(period_start), period_s, ntz).alias("_slot"), F.col(value).alias("value"),
                        cmp(F.col(value), F.lit(threshold)).alias("_breach"))
     bounds = pts.groupBy(*dims).agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
-    spine = bounds.select(*dims, "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_slot"))
+    spine = _spine(bounds, dims)
     windows = (pts.select(*dims, "_breach", F.explode(F.sequence(F.col("_slot"), F.col("_slot") + (n - 1))).alias("_slot"))
                .groupBy(*dims, "_slot")
                .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("_breach").cast("int")).alias("_b")))
@@ -162,11 +173,16 @@ def alarm_transitions(states: DataFrame, dims: list[str], period_s: int) -> Data
     The first slot of a series counts as coming from INSUFFICIENT.
     """
     ntz = _is_ntz(states, "period_start")
-    cur = states.select(*dims, _slot(F.col("period_start"), period_s, ntz).alias("_slot"), "period_start", "state")
-    prev = states.select(*dims, (_slot(F.col("period_start"), period_s, ntz) + 1).alias("_slot"),
-                         F.col("state").alias("previous_state"))
-    j = cur.join(prev, [*dims, "_slot"], "left").withColumn(
-        "previous_state", F.coalesce("previous_state", F.lit(INSUFFICIENT)))
+    slot = _slot(F.col("period_start"), period_s, ntz)
+    # each state goes to its own slot and, as the previous one, to the next: one pass over the states
+    none = F.lit(None).cast("string")
+    both = states.select(*dims, F.explode(F.array(
+        F.struct(slot.alias("slot"), F.col("period_start"), F.col("state"), none.alias("previous_state")),
+        F.struct((slot + 1).alias("slot"), F.lit(None).cast(states.schema["period_start"].dataType).alias("period_start"),
+                 none.alias("state"), F.col("state").alias("previous_state")))).alias("_x")).select(*dims, "_x.*")
+    j = (both.groupBy(*dims, "slot").agg(*[F.max(c).alias(c) for c in ("period_start", "state", "previous_state")])
+         .filter(F.col("state").isNotNull())
+         .withColumn("previous_state", F.coalesce("previous_state", F.lit(INSUFFICIENT))))
     notify = (((F.col("state") == ALARM) & (F.col("previous_state") != ALARM))
               | ((F.col("state") == OK) & (F.col("previous_state") == ALARM)))
     return j.filter(notify).select(*dims, "period_start", "previous_state", "state")
@@ -231,6 +247,47 @@ def evaluate_rule(metrics: DataFrame, rule: AlarmRule, ts: str = "ts", value: st
                         missing=missing).withColumn("alarm_name", F.lit(rule.name))
 
 
+def evaluate_rules(metrics: DataFrame, rules: list[AlarmRule], ts: str = "ts", value: str = "value",
+                   metric_col: str = "metric_name") -> DataFrame:
+    """(alarm_name, slot, n, value, state) of many rules in one scan of the points: every slot in which a rule has a
+    datapoint. Slots without one are INSUFFICIENT and left out (``state_counts`` counts them). Points
+    meet their rules by a broadcast join (a row per rule), are added up per rule and period, and each period is
+    copied to the windows it belongs to.
+    """
+    spark = metrics.sparkSession
+    known = spark.createDataFrame([(r.name, r.metric, r.statistic, r.period_s, float(r.threshold), r.comparison, r.evaluation_periods)
+                                   for r in rules], "alarm_name string, _metric string, _stat string, _period long, _limit double, "
+                                  "_cmp string, _n int")
+    micros = epoch_micros(F.col(ts), _is_ntz(metrics, ts))
+    points = (metrics.select(F.col(metric_col).alias("_metric"), micros.alias("_us"), F.col(value).alias("_v"))
+              .filter(F.col("_us").isNotNull()).join(F.broadcast(known), "_metric")
+              .withColumn("slot", F.floor(F.col("_us") / (F.col("_period") * 1_000_000)).cast("long")))
+    group = ["alarm_name", "_stat", "_limit", "_cmp", "_n", "slot"]
+    stats = points.groupBy(*group).agg(*[agg("_v").alias(name) for name, agg in _STATS.items()])
+    v = F.coalesce(*[F.when(F.col("_stat") == name, F.col(name).cast("double")) for name in _STATS])
+    breach = F.coalesce(*[F.when(F.col("_cmp") == name, cmp(F.col("value"), F.col("_limit"))) for name, cmp in _COMPARE.items()])
+    periods = stats.withColumn("value", v).withColumn("_breach", F.coalesce(breach, F.lit(False)))
+    windows = periods.select("alarm_name", "_n", "_breach", "value", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct((F.col("slot") + k).alias("slot"), (k == 0).alias("own")))).alias("w"))
+    seen = (windows.groupBy("alarm_name", "_n", F.col("w.slot").alias("slot"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_breach").cast("int")).alias("_hit"), F.max("w.own").alias("_own"),
+                 F.max(F.when(F.col("w.own"), F.col("value"))).alias("value")).filter("_own"))
+    state = F.when(F.col("n") < F.col("_n"), INSUFFICIENT).when(F.col("_hit") == F.col("_n"), ALARM).otherwise(OK)
+    return seen.select("alarm_name", "slot", "n", "value", state.alias("state"))
+
+
+def state_counts(states: DataFrame) -> DataFrame:
+    """(alarm_name, state, periods) over each rule's first to last slot; slots that ``evaluate_rules`` left out are INSUFFICIENT."""
+    by_state = states.groupBy("alarm_name", "state").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    per_rule = by_state.groupBy("alarm_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("state", "n"))).alias("counts"), (F.max("hi") - F.min("lo") + 1).alias("slots"),
+        F.sum("n").alias("seen"))  # at most three states a rule
+    every = per_rule.select("alarm_name", F.explode(F.array(*[F.struct(F.lit(s).alias("state"), (
+        F.coalesce(F.element_at("counts", F.lit(s)), F.lit(0)) + (F.col("slots") - F.col("seen") if s == INSUFFICIENT else F.lit(0))
+    ).alias("periods")) for s in (OK, ALARM, INSUFFICIENT)])).alias("x"))
+    return every.select("alarm_name", "x.state", "x.periods").filter("periods > 0")
+
+
 def latency_points(latencies: DataFrame, captured: str = "captured_at", applied: str = "applied_at") -> DataFrame:
     """The latencies of changes (``cdc_latency``) as points of the two replication metrics: the source's when a change was
     captured, the target's when it was committed. A change that is not applied yet has no point of the second."""

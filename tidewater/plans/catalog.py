@@ -667,14 +667,9 @@ def rule_points(ev):
 
 @register("alarm_rules")
 def q_alarm_rules(spark, sf_dir):
-    """All ten rules over raw points: how many periods each spends in each state."""
-    from ..operators.monitor import ALARM_RULES, evaluate_rule
-    points = rule_points(Driver(spark, sf_dir).raw("events"))
-    out = None
-    for rule in ALARM_RULES:
-        states = evaluate_rule(points, rule).groupBy("alarm_name", "state").agg(F.count(F.lit(1)).alias("periods"))
-        out = states if out is None else out.unionByName(states)
-    return out
+    """All ten rules over raw points, in one scan: how many periods each spends in each state."""
+    from ..operators.monitor import ALARM_RULES, evaluate_rules, state_counts
+    return state_counts(evaluate_rules(rule_points(Driver(spark, sf_dir).raw("events")), ALARM_RULES))
 
 
 def probe(column="props"):
@@ -986,3 +981,45 @@ def q_event_chains(spark, sf_dir):
                                             .alias("previous_id"))
     out = hierarchy_paths(nodes, "event_id", "previous_id", "event_type", ">")
     return out.select("event_id", "root", F.col("depth").cast("int").alias("depth"), F.md5("path").alias("path_md5"), "cyclic")
+
+
+SKETCH_RANGES = [("1994-01-01", "1994-12-31"), ("1995-03-15", "1996-07-02"), (None, None)]
+
+
+@register("distinct_by_sketches")
+def q_distinct_by_sketches(spark, sf_dir):
+    """Buying customers per currency over ranges of days: from one sketch table, held against the exact counts."""
+    from ..operators.sketches import daily_sketches, error_bound, merged_distinct
+    from ..session import scratch_path
+    orders = Driver(spark, sf_dir).orders.select("ordered_at", "currency", "customer_id")
+    path = scratch_path(spark, "sketches")
+    daily_sketches(orders, "ordered_at", "customer_id", ["currency"]).write.parquet(path)
+    out = None
+    for n, (first, last) in enumerate(SKETCH_RANGES):
+        day = F.to_date("ordered_at")
+        own = orders.filter(day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))) if first else orders
+        exact = own.groupBy("currency").agg(F.countDistinct("customer_id").alias("customers"))
+        both = exact.join(merged_distinct(spark.read.parquet(path), ["currency"], first, last), "currency").select(
+            F.lit(n).alias("range_no"), "currency", "customers",
+            (F.abs(F.col("estimate") - F.col("customers")) <= F.col("customers") * error_bound() + 1).alias("within_bound"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@register("resumed_load")
+def q_resumed_load(spark, sf_dir):
+    """Orders loaded by ranges of their key; the load dies at its fourth range, is started again, and all rows are there."""
+    from ..session import scratch_path
+    from ..sinks.resume import read_loaded, resumable_load
+    root = scratch_path(spark, "resumed")
+    orders = Driver(spark, sf_dir).raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+    def die(part: int) -> None:
+        if part == 2:
+            raise InterruptedError(part)
+
+    try:
+        resumable_load(orders, root, "o_orderkey", 6, max_parallel=1, before_part=die)
+    except InterruptedError:
+        resumable_load(orders, root, "o_orderkey", 6)
+    return read_loaded(spark, root, orders.schema)

@@ -823,3 +823,11 @@ st AS (SELECT alarm_name, slot, CASE WHEN got < 3 THEN 'INSUFFICIENT' WHEN hit =
 seen AS (SELECT *, COALESCE(lag(state) OVER (PARTITION BY alarm_name ORDER BY slot), 'INSUFFICIENT') AS previous_state FROM st)
 SELECT alarm_name, make_timestamp(CAST(slot * 60000000 AS BIGINT)) AS period_start, previous_state, state FROM seen
 WHERE (state = 'ALARM' AND previous_state <> 'ALARM') OR (state = 'OK' AND previous_state = 'ALARM')"""
+
+SQL["distinct_by_sketches"] = with_(ORDERS) + """
+, ranges(range_no, first, last) AS (VALUES (0, DATE '1994-01-01', DATE '1994-12-31'), (1, DATE '1995-03-15', DATE '1996-07-02'),
+                                           (2, DATE '0001-01-01', DATE '9999-12-31'))
+SELECT range_no, currency, COUNT(DISTINCT customer_id) AS customers, TRUE AS within_bound
+FROM o2 JOIN ranges ON CAST(ordered_at AS DATE) BETWEEN first AND last GROUP BY range_no, currency"""
+
+SQL["resumed_load"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
