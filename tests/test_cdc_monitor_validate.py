@@ -220,3 +220,18 @@ def test_applied_times_first_commit_counts(spark, tmp_path):
     assert {r.pos: r.target_latency_s for r in out.collect()} == {1: 60, 2: 60, 9: None}
     assert sorted((r.metric_name, r.value) for r in latency_points(out).collect()) == [
         ("CDCLatencySource", 0.0), ("CDCLatencySource", 0.0), ("CDCLatencySource", 3.0), ("CDCLatencyTarget", 60.0), ("CDCLatencyTarget", 60.0)]
+
+
+def test_counts_raise_what_is_not_an_unreadable_table(spark, tmp_path):
+    """A missing or corrupt file makes a table unreadable; any other failure is not taken for it."""
+    import pytest
+    from tidewater.operators.validate import UNREADABLE, audit_snapshot, table_counts
+    (tmp_path / "bad.parquet").write_bytes(b"this is no table at all, it only looks like one")
+    kind = "a int"
+    tables = {"good": spark.range(3), "none": None, "bad": spark.read.schema(kind).parquet(f"{tmp_path}/bad.parquet")}
+    got = {r.table_name: (r.row_count, r.readable) for r in table_counts(spark, {k: v if k != "bad" else v.filter("a > 0") for k, v in tables.items()}).collect()}
+    assert got == {"good": (3, True), "none": (None, False), "bad": (None, False)}
+    events = {r.table_name: r.event for r in audit_snapshot(spark, {"good": spark.range(3), "none": None}).collect()}
+    assert events == {"good": "post_load_snapshot", "none": "post_load_snapshot" + UNREADABLE}
+    with pytest.raises(Exception):
+        table_counts(spark, {"fails": spark.range(3).filter("assert_true(id < 1) IS NULL")})

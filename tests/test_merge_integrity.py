@@ -130,3 +130,13 @@ def test_declared_integrity_report(seed, spark):
     assert rep[("customers", "unique", "email")] == 1   # equal under the lookup collation
     assert rep[("orders", "domain", "status")] == 1
     assert rep[("customers", "unique", "customer_id")] == 0
+
+
+def test_check_fks_in_one_scan_equal_single_checks(spark):
+    child = spark.createDataFrame([(i % 7 if i % 5 else None, i % 3, 1) for i in range(300)], "a int, b long, c int")
+    parents = [spark.createDataFrame([(0,), (1,), (2,), (3,)], "id long"), spark.createDataFrame([(1,), (1,)], "id int"),
+               spark.createDataFrame([], "id int")]
+    refs = [(c, p, "id") for c, p in zip("abc", parents)]
+    got = {r.column_name: r.violations for r in I.check_fks(child, refs, "t").collect()}
+    assert got == {f"{c}->id": I.check_fk(child, c, p, "id", "t").first().violations for c, p, _ in refs}
+    assert got["c->id"] == 300 and {r.violations for r in I.check_fks(child.filter("false"), refs, "t").collect()} == {0}

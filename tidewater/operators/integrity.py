@@ -151,6 +151,29 @@ def check_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: st
                 F.lit(f"{child_col}->{parent_col}").alias("column_name"), "violations")
 
 
+def check_fks(child: DataFrame, references: list[tuple[str, DataFrame, str]], table: str = "",
+              max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The orphan checks of all foreign keys of one table, (column, parent, parent column) each, in one scan of it.
+
+    The child's references are laid out as (number of the key, value) and counted before they are shuffled, so a
+    hot value costs one row per task; then one anti join meets the keys of all parents.
+    """
+    def keyed(n: int, c: Column) -> Column:
+        return F.struct(F.lit(n).alias("_fk"), c.cast("string").alias("_k"))
+
+    own = (child.select(F.explode(F.array(*[keyed(n, F.col(c)) for n, (c, _, _) in enumerate(references)])).alias("_x"))
+           .select("_x.*").filter(F.col("_k").isNotNull()).groupBy("_fk", "_k").agg(F.count(F.lit(1)).alias("_n")))
+    known = None
+    for n, (_, parent, pc) in enumerate(references):
+        keys = parent.select(F.lit(n).alias("_fk"), F.col(pc).cast("string").alias("_k"))
+        known = keys if known is None else known.unionByName(keys)
+    orphans = own.join(broadcast_if_small(known, max_broadcast_bytes), ["_fk", "_k"], "left_anti")
+    names = child.sparkSession.createDataFrame([(n, f"{c}->{pc}") for n, (c, _, pc) in enumerate(references)], "_fk int, column_name string")
+    return (F.broadcast(names).join(orphans.groupBy("_fk").agg(F.sum("_n").alias("_n")), "_fk", "left")
+            .select(F.lit(table).alias("table_name"), F.lit("fk").alias("rule"), "column_name",
+                    F.coalesce("_n", F.lit(0)).cast("bigint").alias("violations")))
+
+
 # ------------------------------------------------------- delete / update
 def cascade_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str,
                    max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -245,9 +268,11 @@ def integrity_report(tables: dict[str, DataFrame], collated: bool = True) -> Dat
                 lookup = collated and set(key) <= set(COLLATED_LOOKUPS.get(name, []))
                 parts.append(check_unique(df, key, name, collation=LOOKUP_COLLATION if lookup else None)
                              .select("table_name", "rule", "column_name", "violations"))
-    for fk in FOREIGN_KEYS:
-        if fk.child in tables and fk.parent in tables and fk.column in tables[fk.child].columns:
-            parts.append(check_fk(tables[fk.child], fk.column, tables[fk.parent], fk.parent_column, fk.child))
+    for child in tables:
+        own = [(fk.column, tables[fk.parent], fk.parent_column) for fk in FOREIGN_KEYS
+               if fk.child == child and fk.parent in tables and fk.column in tables[child].columns]
+        if own:
+            parts.append(check_fks(tables[child], own, child))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -9,6 +9,7 @@ used, so a prefixed load is compared with its own source table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -23,19 +24,35 @@ COUNTS_SCHEMA = T.StructType([T.StructField("table_name", T.StringType()),
                               T.StructField("readable", T.BooleanType())])
 
 
-def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
+# what Spark says of files that are not there or cannot be read as a table; all other failures are raised
+_UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "FileNotFoundException",
+               "is not a Parquet file")
+
+
+def is_unreadable(error: Exception) -> bool:
+    """True for errors that say that a table's files are missing or corrupt; not for lost executors or full disks."""
+    condition = getattr(error, "getCondition", lambda: None)() or ""
+    return condition.startswith(_UNREADABLE[:4]) or any(mark in str(error) for mark in _UNREADABLE)
+
+
+def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None], max_parallel: int = 8) -> DataFrame:
     """(table_name, row_count, readable) for every named table; None = unreadable.
 
-    Each table is counted by a job of its own (from file footers where the store allows), so that one
-    whose files cannot be read becomes unreadable instead of failing the others.
+    Each table is counted by a job of its own (from file footers where the store allows), up to ``max_parallel`` at
+    a time, so that one whose files are missing or corrupt becomes unreadable instead of failing the others. Any
+    other failure is raised.
     """
-    rows = []
-    for name, df in tables.items():
+    def count(item: tuple[str, DataFrame | None]) -> tuple[str, int | None, bool]:
+        name, df = item
         try:
-            rows.append((name, None if df is None else df.count(), df is not None))
-        except (Py4JJavaError, PySparkException):
-            rows.append((name, None, False))
-    return spark.createDataFrame(rows, COUNTS_SCHEMA)
+            return name, None if df is None else df.count(), df is not None
+        except (Py4JJavaError, PySparkException) as error:
+            if is_unreadable(error):
+                return name, None, False
+            raise
+
+    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+        return spark.createDataFrame(list(pool.map(count, tables.items())), COUNTS_SCHEMA)
 
 
 def count_parity(spark: SparkSession, source: dict[str, DataFrame | None], target: dict[str, DataFrame | None],
@@ -84,15 +101,20 @@ def cutover_gate(parity: DataFrame, raise_on_fail: bool = False) -> DataFrame:
     return out
 
 
+UNREADABLE = ":unreadable"
+
+
 def audit_snapshot(spark: SparkSession, tables: dict[str, DataFrame | None], recorded_at: Column | None = None,
                    event: str = "post_load_snapshot",
                    exclude_prefixes: tuple[str, ...] = ("_",)) -> DataFrame:
     """Audit rows (event, table_name, row_count, recorded_at) with exact counts
-    (VAL-3). Internal tables are skipped by literal prefix, not by LIKE."""
+    (VAL-3). Internal tables are skipped by literal prefix, not by LIKE. A table that cannot be read has no count,
+    and its event says so."""
     keep = {n: df for n, df in tables.items() if not n.startswith(tuple(exclude_prefixes))}
     counts = table_counts(spark, keep).filter(~starts_with_any("table_name", list(exclude_prefixes)))
     ts = recorded_at if recorded_at is not None else F.current_timestamp()
-    return counts.select(F.lit(event).alias("event"), "table_name", "row_count", ts.alias("recorded_at"))
+    said = F.when(F.col("readable"), F.lit(event)).otherwise(F.lit(event + UNREADABLE))
+    return counts.select(said.alias("event"), "table_name", "row_count", ts.alias("recorded_at"))
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:

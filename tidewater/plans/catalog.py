@@ -120,6 +120,32 @@ def q_product_sales(spark, sf_dir):
     return as_bigint(as_double(reports.product_sales(d.items), "revenue"), "units_sold")
 
 
+# one customer, warehouse or category, as the procedures take them
+ONE = 7
+
+
+@register("customer_ltv_one")
+def q_customer_ltv_one(spark, sf_dir):
+    d = Driver(spark, sf_dir)
+    out = reports.customer_ltv(d.customers, d.orders, customer_id=ONE)
+    return as_bigint(as_double(out, "lifetime_value", "avg_order_value"), "total_orders")
+
+
+@register("order_history_one")
+def q_order_history_one(spark, sf_dir):
+    return as_double(reports.order_history(Driver(spark, sf_dir).orders, customer_id=ONE, n=5), "total_amount")
+
+
+@register("reorder_check_one")
+def q_reorder_check_one(spark, sf_dir):
+    return reports.reorder_check(Driver(spark, sf_dir).inventory, warehouse_id=ONE)
+
+
+@register("browse_category_one")
+def q_browse_category_one(spark, sf_dir):
+    return as_double(reports.browse_category(Driver(spark, sf_dir).products, category_id=21), "unit_price")
+
+
 # orders are moved into the validity years of the seed codes by a fixed offset
 CODE_DAY_OFFSET = 9496  # 1998-01-01 -> 2024-01-01
 
@@ -185,7 +211,9 @@ FK_CHECKS = [  # (child table, child column, parent table, parent column)
 @register("check_foreign_keys")
 def q_check_foreign_keys(spark, sf_dir):
     d = Driver(spark, sf_dir)
-    parts = [_integrity().check_fk(d.raw(ct), cc, d.raw(pt), pc, ct) for ct, cc, pt, pc in FK_CHECKS]
+    children = dict.fromkeys(ct for ct, *_ in FK_CHECKS)
+    parts = [_integrity().check_fks(d.raw(child), [(cc, d.raw(pt), pc) for ct, cc, pt, pc in FK_CHECKS if ct == child], child)
+             for child in children]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -949,6 +977,18 @@ def q_reserve_keyed_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/results").select("request_id", "user_id", "qty", "result")
 
 
+@register("alarm_states_written")
+def q_alarm_states_written(spark, sf_dir):
+    """The alarm rule over the periods that a stream has written."""
+    from ..session import scratch_path
+    from ..streaming.alarm_stream import evaluate_written, period_stats_stream
+    root = scratch_path(spark, "written")
+    period_stats_stream(events_stream(spark, sf_dir), "ts", "value", ["event_type"], PERIOD_S, "Maximum", f"{root}/stats",
+                        f"{root}/_checkpoint", exact_scale=2)
+    states, _ = evaluate_written(spark, f"{root}/stats", ["event_type"], PERIOD_S, ALARM_THRESHOLD, "GreaterThanThreshold", ALARM_PERIODS)
+    return as_double(states, "value")
+
+
 # ------------------------------------------------------- collation, hierarchy
 @register("check_unique_customer_email")
 def q_check_unique_customer_email(spark, sf_dir):
@@ -1023,3 +1063,75 @@ def q_resumed_load(spark, sf_dir):
     except InterruptedError:
         resumable_load(orders, root, "o_orderkey", 6)
     return read_loaded(spark, root, orders.schema)
+
+
+@register("check_formats")
+def q_check_formats(spark, sf_dir):
+    """Every format rule, and lists with their least size, on values made from suppliers."""
+    from ..functions.formats import MIN_ZONES
+    integ = _integrity()
+    key = F.col("s_suppkey")
+
+    def text(*parts):
+        return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+    k = key.cast("string")
+    few = (key % 4).cast("int")
+    zones = F.transform(F.sequence(F.lit(1), few + 1), lambda i: text("us-east-", i.cast("string"), F.when(key % 9 == 0, "").otherwise("a")))
+    blocks = F.transform(F.sequence(F.lit(0), few), lambda i: text("10.0.", (key * 7 % 300).cast("string"), ".0/", (i + 22 + key % 12).cast("string")))
+    df = Driver(spark, sf_dir).raw("supplier").select(
+        text("europe-west", (key % 12).cast("string")).alias("source_region"),
+        text(F.when(key % 5 == 0, "xx").otherwise("eu"), "-west-", (key % 3).cast("string")).alias("target_region"),
+        text(F.when(key % 6 == 0, "P").otherwise("p"), "-", k, F.when(key % 7 == 0, "-").otherwise("")).alias("project_id"),
+        text(F.when(key % 8 == 0, "1").otherwise(""), "shop_", k).alias("database_name"),
+        text("3.", (key % 8).cast("string"), ".", k).alias("engine_version"),
+        text("a.b", F.when(key % 10 == 0, " ").otherwise("@"), "mail.example").alias("email"), zones.alias("zones"), blocks.alias("blocks"))
+    named = ["source_region", "target_region", "project_id", "database_name", "engine_version", "email"]
+    out = integ.row_checks(df, "suppliers", integ.format_rules({c: c for c in named}))
+    for column, rule, least in (("zones", "zone", MIN_ZONES), ("blocks", "cidr", 1)):
+        out = out.unionByName(integ.check_list_format(df, column, rule, least, "suppliers"))
+    return out
+
+
+@register("endpoint_hosts")
+def q_endpoint_hosts(spark, sf_dir):
+    """Per host of the endpoints that events came from: events, and their kinds as one CSV."""
+    from ..functions.expr import endpoint_host, join_csv
+    ev = Driver(spark, sf_dir).raw("events")
+    at = F.concat(F.lit("db-"), (F.col("user_id") % 50).cast("string"), F.when(F.col("event_id") % 3 != 0, F.concat(
+        F.lit(":"), (3306 + F.col("event_id") % 4).cast("string"))).otherwise(""))
+    return (ev.select(endpoint_host(at.alias("endpoint")).alias("host"), "event_type").groupBy("host")
+            .agg(F.count(F.lit(1)).alias("events"), F.sort_array(F.collect_set("event_type")).alias("kinds"))
+            .select("host", "events", join_csv("kinds").alias("kinds")))
+
+
+DOCUMENT_EVENTS = 12   # probes in one status document
+BROKEN = 17            # every such document is cut off
+
+
+def status_documents(ev):
+    """Status documents of DOCUMENT_EVENTS probes each, as nested lists of tunnels and as peers; some keys are missing,
+    some documents are broken."""
+    doc = F.floor(F.col("event_id") / DOCUMENT_EVENTS).alias("doc")
+    up = F.when(probe() >= HEALTHY_K, "UP").otherwise("DOWN")
+    tunnel = F.struct(F.when(F.col("event_id") % 10 != 0, up).alias("status"), F.col("event_type").alias("reason"))
+    routes = F.when(probe() % 5 != 0, F.transform(F.sequence(F.lit(0), probe() % 3), lambda i: i.cast("string")))
+    peer = F.struct(F.col("event_type").alias("name"), up.alias("status"), routes.alias("advertisedRoutes"),
+                    F.when(F.col("event_type") != "error", "ESTABLISHED").otherwise("IDLE").alias("state"))
+    both = ev.groupBy(doc).agg(*[F.collect_list(F.when(F.col("event_id") % 2 == g, tunnel)).alias(f"t{g}") for g in (0, 1)],
+                               F.collect_list(peer).alias("p"))  # DOCUMENT_EVENTS at most
+    cut = F.when(F.col("doc") % BROKEN == 5, 9).otherwise(1 << 30)
+    result = F.when(F.col("doc") % BROKEN == 6, F.to_json(F.struct(F.struct(F.lit(1).alias("other")).alias("result")))).otherwise(
+        F.to_json(F.struct(F.struct(F.col("p").alias("bgpPeerStatus")).alias("result"))))
+    return both.select("doc", F.substring(F.to_json(F.array("t0", "t1")), F.lit(1), cut).alias("tunnels"),
+                       F.substring(result, F.lit(1), cut).alias("peers_json"))
+
+
+@register("status_documents")
+def q_status_documents(spark, sf_dir):
+    """Several tunnels and peers per document, rolled up document by document."""
+    from ..operators.monitor import peer_rollup, tunnel_rollup
+    docs = status_documents(Driver(spark, sf_dir).raw("events"))
+    t = tunnel_rollup(docs, "tunnels").withColumnRenamed("ready", "tunnels_ready")
+    out = peer_rollup(t, "peers_json").withColumnRenamed("ready", "peers_ready")
+    return out.select("doc", "endpoints", "up", "tunnels_ready", "peers", "established", "advertised_routes", "peers_ready")

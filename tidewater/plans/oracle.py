@@ -10,6 +10,7 @@ exact decimal, so the two engines produce the same bits.
 
 from __future__ import annotations
 
+from ..functions.formats import FORMAT_RULES, MIN_ZONES
 from ..schemas import ORDER_STATUSES
 from ..sources.seed import DISCOUNT_CODES
 
@@ -831,3 +832,50 @@ SELECT range_no, currency, COUNT(DISTINCT customer_id) AS customers, TRUE AS wit
 FROM o2 JOIN ranges ON CAST(ordered_at AS DATE) BETWEEN first AND last GROUP BY range_no, currency"""
 
 SQL["resumed_load"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+
+
+def _off(column: str, rule: str) -> str:
+    return f"NOT regexp_matches({column}, '{FORMAT_RULES[rule]}')"
+
+
+_NAMED = ["source_region", "target_region", "project_id", "database_name", "engine_version", "email"]
+SQL["check_formats"] = """
+WITH v AS (SELECT 'europe-west' || s_suppkey % 12 AS source_region,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'xx' ELSE 'eu' END || '-west-' || s_suppkey % 3 AS target_region,
+    CASE WHEN s_suppkey % 6 = 0 THEN 'P' ELSE 'p' END || '-' || s_suppkey || CASE WHEN s_suppkey % 7 = 0 THEN '-' ELSE '' END AS project_id,
+    CASE WHEN s_suppkey % 8 = 0 THEN '1' ELSE '' END || 'shop_' || s_suppkey AS database_name,
+    '3.' || s_suppkey % 8 || '.' || s_suppkey AS engine_version,
+    CASE WHEN s_suppkey % 10 = 0 THEN 'a.b mail.example' ELSE 'a.b@mail.example' END AS email,
+    list_transform(generate_series(1, s_suppkey % 4 + 1), lambda i: 'us-east-' || i || CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'a' END) AS zones,
+    list_transform(generate_series(0, s_suppkey % 4), lambda i: '10.0.' || s_suppkey * 7 % 300 || '.0/' || (i + 22 + s_suppkey % 12)) AS blocks
+  FROM supplier)
+""" + "\nUNION ALL ".join(
+    [f"SELECT 'suppliers' AS table_name, 'format' AS rule, '{c}' AS column_name, COUNT(*) FILTER (WHERE {_off(c, c)}) AS violations FROM v"
+     for c in _NAMED]
+    + [f"SELECT 'suppliers', 'format', '{c}', COUNT(*) FILTER (WHERE len(list_filter({c}, lambda x: {_off('x', rule)})) > 0) FROM v"
+       for c, rule in (("zones", "zone"), ("blocks", "cidr"))]
+    + [f"SELECT 'suppliers', 'min_size', '{c}', COUNT(*) FILTER (WHERE len({c}) < {n}) FROM v" for c, n in (("zones", MIN_ZONES), ("blocks", 1))])
+
+SQL["endpoint_hosts"] = """
+SELECT 'db-' || user_id % 50 AS host, COUNT(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
+FROM events GROUP BY user_id % 50"""
+
+SQL["status_documents"] = """
+WITH e AS (SELECT *, event_id // 12 AS doc, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+d AS (SELECT doc, COUNT(*) AS n, COUNT(*) FILTER (WHERE k >= 50 AND event_id % 10 <> 0) AS up,
+             COUNT(*) FILTER (WHERE k >= 50 AND event_type <> 'error') AS established,
+             COALESCE(SUM(k % 3 + 1) FILTER (WHERE k % 5 <> 0), 0) AS routes FROM e GROUP BY doc),
+x AS (SELECT doc, CASE WHEN doc % 17 = 5 THEN 0 ELSE n END AS endpoints, CASE WHEN doc % 17 = 5 THEN 0 ELSE up END AS up,
+             CASE WHEN doc % 17 IN (5, 6) THEN 0 ELSE n END AS peers, CASE WHEN doc % 17 IN (5, 6) THEN 0 ELSE established END AS established,
+             CASE WHEN doc % 17 IN (5, 6) THEN 0 ELSE routes END AS advertised_routes FROM d)
+SELECT doc, endpoints::INTEGER AS endpoints, up::INTEGER AS up, up >= 2 AS tunnels_ready, peers::INTEGER AS peers,
+       established::INTEGER AS established, advertised_routes::BIGINT AS advertised_routes, established >= 4 AS peers_ready FROM x"""
+
+SQL["alarm_states_written"] = SQL["alarm_states"]
+SQL["customer_ltv_one"] = f"SELECT * FROM ({SQL['customer_ltv']}) WHERE customer_id = 7"
+SQL["order_history_one"] = with_(ORDERS) + f"""
+SELECT order_id, customer_id, ordered_at, {dbl('total_amount')} AS total_amount,
+       CAST(row_number() OVER (ORDER BY ordered_at DESC, order_id DESC) AS INTEGER) AS recency_rank
+FROM o WHERE customer_id = 7 ORDER BY recency_rank LIMIT 5"""
+SQL["reorder_check_one"] = f"SELECT * FROM ({SQL['reorder_check']}) WHERE warehouse_id = 7"
+SQL["browse_category_one"] = f"SELECT * FROM ({SQL['browse_category']}) WHERE category_id = 21"
