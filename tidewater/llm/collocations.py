@@ -31,8 +31,9 @@ from .common import read, shared_table
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCORE, ABSORBED = 2_000_000, (100, 80)  # a phrase goes if 100 * f(longer) >= 80 * a
 FILTER_BITS = 28                        # 32 MB, at every corpus size
-BLOCK_WORDS = 4_000_000                 # words counted together in a task
-ENTRIES = 1_000_000                     # distinct words held at once
+BLOCK_WORDS = 2_500_000                 # words counted together in a task
+ENTRIES = 600_000                       # distinct words held at once
+SALT = 64                               # parts of a language that are ranked by themselves first
 
 BREAK = b"."   # stands between pieces; no word has it
 # A-Z lower-cased, and every end of a piece as BREAK
@@ -300,9 +301,12 @@ def collocations(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def top_phrases(found: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` by score and occurrences (falling) and phrase (in UTF-8 byte order), with rank and phrase."""
-    out = found.withColumn("phrase", F.array_join("words", " "))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    out = found.withColumn("phrase", F.array_join("words", " ")).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(SALT)))
+    # first within parts of a language, so that no task sees more of a large one than ``top`` rows a part
+    for part in (["lang", "_part"], ["lang"]):
+        order = Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        out = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return out.drop("_part")
 
 
 def op13_collocations(spark, sf_dir: str) -> DataFrame:
