@@ -249,3 +249,19 @@ def test_full_filter_changes_nothing(spark, monkeypatch):
     wide = sorted(map(tuple, collocations.collocations(df).collect()), key=str)
     monkeypatch.setattr(collocations, "FILTER_BITS", 6)
     assert sorted(map(tuple, collocations.collocations(df).collect()), key=str) == wide
+
+
+def test_clashing_document_columns(spark):
+    """Columns that the operators use inside pass through or are not read; those that they add are replaced."""
+    rows = [(1, "token=abcdefgh12 the end", "x", 5, "y"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _fixed string, secrets int, _tested string")
+    out = secrets.find_secrets(df)
+    assert out.columns == ["doc_id", "text", "_fixed", "_tested", "secrets"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1]._fixed, got[1]._tested) == ("x", "y") and [tuple(s)[:3] for s in got[1].secrets] == [(0, 16, "assign")]
+    assert got[None].secrets == []
+    assert secrets.find_secrets(df, carry=["doc_id"]).columns == ["doc_id", "secrets"]
+    rows = [("a b", None, 7, "z", 1)] * 40
+    df = spark.createDataFrame(rows, "text string, lang string, words int, phrase string, f int")
+    assert [tuple(r) for r in collocations.collocations(df).collect()] == [("und", ["a", "b"], 40, 80, 40, 40, 1_000_000)]
+    assert collocations.collocations(df, least=41).collect() == []
