@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import integrity as I
 from tidewater.operators.merge import latest_per_key, mark_migrated, upsert
+from tidewater.operators.purge import purge
 from tidewater.schemas import DEFAULTS, SCHEMAS, U64, load_order
 
 
@@ -79,7 +80,7 @@ def test_unique_fk_and_propagation(seed, spark):
     deleted = seed["orders"].filter("order_id in (2, 6)")
     kept = I.cascade_delete(seed["order_items"], "order_id", deleted, "order_id")
     assert kept.count() == 9
-    assert I.removed_by_cascade(seed["order_items"], "order_id", deleted, "order_id").count() == 4
+    assert purge(seed, {"orders": deleted}).doomed["order_items"].count() == 4
     nulled = {r.customer_id: r.region_id for r in
               I.set_null_on_delete(seed["customers"], "region_id", seed["regions"].filter("region_id = 5"),
                                    "region_id").collect()}

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: limited-size LOB settings of the source task -----------
 LOB_MAX_KB = 32
-LOB_CHUNK_KB = 64
 # ---------------------------------------------------------------------------
 
 

@@ -177,21 +177,12 @@ def check_fks(child: DataFrame, references: list[tuple[str, DataFrame, str]], ta
 # ------------------------------------------------------- delete / update
 def cascade_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str,
                    max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Child rows that survive deleting the given parent keys (CON-9, CASCADE).
-
-    For multi-level cascades, call again with the removed child keys
-    (``removed_by_cascade``) in parent-before-child order.
-    """
+    """Child rows that survive deleting the given parent keys (CON-9, CASCADE), one level; ``purge`` follows the
+    whole graph."""
     keys = broadcast_if_small(deleted_keys.select(F.col(key).alias(fk)).distinct(), max_broadcast_bytes)
     return child.join(keys, fk, "left_anti")
 
 
-def removed_by_cascade(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str) -> DataFrame:
-    """Child rows removed by the cascade (the complement of cascade_delete)."""
-    keys = deleted_keys.select(F.col(key).alias(fk)).distinct()
-    return child.join(keys, fk, "left_semi")
-
-
 def set_null_on_delete(child: DataFrame, fk: str, deleted_keys: DataFrame, key: str,
                        max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Child foreign keys pointing at deleted parents become NULL (CON-10)."""
