@@ -19,6 +19,7 @@ WINDOW = 13
 SHINGLE = 3
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"       # of lower-cased text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PIECE = 256                    # windows that one piece of an item holds, at most
 SHARE = 20                     # contaminated: 1 / SHARE of the words are hit, at least
 BROADCAST_BYTES = 4 << 20      # of benchmark text whose shingles are broadcast; beyond it, shuffled joins
 
@@ -35,12 +36,18 @@ def _shingle(q: int, words: Column, at: Column) -> Column:
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, start, len, q): each item's windows; q words make its shingles."""
+    """(item_id, words, start, len, q): each item's windows; q words make its shingles.
+
+    A long item is cut into pieces that overlap by all but one word of a window, so that every window lies in
+    one piece, and a row holds a piece's words, not the item's; ``start`` counts from the piece's head.
+    """
     items = (benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                               _words(F.col("text")).alias("words"))
              .filter(F.size("words") > 0)
              .withColumn("len", F.least(F.lit(WINDOW), F.size("words")))
-             .withColumn("q", F.least(F.lit(SHINGLE), F.col("len"))))
+             .withColumn("q", F.least(F.lit(SHINGLE), F.col("len")))
+             .withColumn("_head", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("len"), F.lit(PIECE))))
+             .withColumn("words", F.slice("words", F.col("_head") + 1, F.lit(PIECE - 1) + F.col("len"))).drop("_head"))
     return items.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("len"))))
 
 
@@ -87,9 +94,15 @@ def window_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         low = F.element_at("starts", 1)
         prefix = prefix.select("key", "item_id", "p", "len", "starts", low.alias("low"),
                                F.slice("words", low + 1, F.element_at("starts", -1) - low + F.col("len")).alias("near"))
-        # the join keeps a segment of the document; only segments, never whole word arrays, leave it
-        matched = (positions.join(hint(shared_table(prefix, "prefix")), "key")
-                   .withColumn("from", F.expr("greatest(pos - p + low, 0)"))
+        prefix = shared_table(prefix, "prefix")
+        if small:
+            met = positions.join(F.broadcast(prefix), "key")
+        else:  # positions travel without words; each document's words come to its matches once
+            known = tokenised.dropDuplicates(["doc_id", "_text_hash"]).withColumnsRenamed({"doc_id": "_id", "_text_hash": "_th"})
+            met = (positions.select("doc_id", "_text_hash", "pos", "key").join(prefix, "key")
+                   .join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))))
+        # a segment of the document is kept; only segments, never whole word arrays, leave the join
+        matched = (met.withColumn("from", F.expr("greatest(pos - p + low, 0)"))
                    .select(F.inline(F.array(F.struct(
                        "doc_id", "_text_hash", "item_id", "len", "starts", "low", "near", "from",
                        F.expr("pos - p").alias("shift"), F.size("words").alias("n_words"),
@@ -113,11 +126,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts have no words; an item without words is in no document; repeated item ids count
     once; an empty benchmark or table gives no hits or no rows.
     """
+    # places are a set: items that share a window add nothing, a document has at most WINDOW lengths at each word
     hits = (window_hits(docs, benchmark)
-            .select("doc_id", "_text_hash", "item_id",
-                    F.expr("flatten(transform(starts, s -> sequence(s, s + len - 1)))").alias("at"))
+            .select("doc_id", "_text_hash", "item_id", "len", F.explode("starts").alias("start"))
             .groupBy("doc_id", "_text_hash")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"),
+            .agg(F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(
+                x["start"], x["start"] + x["len"] - 1))))).cast("long").alias("n_hit"),
                  F.sort_array(F.collect_set("item_id")).alias("items"))
             .withColumnsRenamed({"doc_id": "_id", "_text_hash": "_th"}))
     rows = _keyed(docs.select("doc_id", "text")).select(
