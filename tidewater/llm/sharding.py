@@ -5,9 +5,11 @@ for equal bytes are found by counting: each round deals probes evenly over every
 open key interval, counts the exact bytes below each probe over all partitions, and narrows
 the interval, until the bytes below a probe meet the tolerance. An interval that has shrunk to
 one text hash is refined by the second key, so that a large group of equal texts can be
-split; a smaller one stays whole. Then the rows move once, to key ranges.
+split; a smaller one stays whole. Then the rows move once, to shards in key order, each in as many
+tasks as its bytes ask for; the rows of a shard in each task, counted on what was written, give the
+slots.
 
-Memory: the driver holds the probes and splitters (shards x ranges per shard), never rows.
+Memory: the driver holds the probes and splitters between shards, at every size of the table.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import clear_of, read, sheltered, shared_table
 
 SHARDS = 24
-RANGES = 8                 # least key ranges per shard; more for large tables
-RANGE_BYTES = 64 << 20     # a range's bytes at most, about
+TASK_BYTES = 64 << 20      # bytes that one task sorts and numbers, about
+TASKS = 1 << 16            # such tasks at most (beyond that they sort more), which bounds the broadcast offsets
 PROBES = 64                # probes per open splitter and round
-TOLERANCE = 0.01           # of a range's bytes, left or right of a splitter's target
+TOLERANCE = 0.01           # of a shard's bytes, left or right of a splitter's target
 SPAN = 1 << 64
 
 
@@ -84,18 +86,16 @@ def _below(keyed: DataFrame, probes: dict[int | None, list[int]]) -> dict[tuple[
     return out
 
 
-def find_splitters(keyed: DataFrame, shards: int, ranges: int, total: int) -> list[tuple[int, int]]:
-    """Keys (first, second) at which the shards x ranges key ranges begin, but for the first.
+def find_splitters(keyed: DataFrame, shards: int, total: int) -> list[tuple[int, int]]:
+    """Keys (first, second) at which the shards begin, but for the first.
 
-    A splitter between shards meets TOLERANCE of a shard's bytes, one within a shard a tenth of
-    a range's; one whose interval is down to a single row takes the nearer side of that row.
+    A splitter meets TOLERANCE of a shard's bytes; one whose interval is down to a single row takes the
+    nearer side of that row.
     """
-    parts = shards * ranges
-    slack = [max(1, int(total / shards * TOLERANCE if i % ranges == 0 else total / parts / 10))
-             for i in range(parts)]
+    slack = max(1, int(total / shards * TOLERANCE))
     found: dict[int, tuple[int, int]] = {}
     # splitter -> prefix (None while on the first key), open interval [low, high), bytes below the prefix
-    state = {i: (None, 0, SPAN, 0) for i in range(1, parts)}
+    state = {i: (None, 0, SPAN, 0) for i in range(1, shards)}
     while state:
         tries = {i: [*range(low, high, max(1, -(-(high - low) // PROBES))), high]
                  for i, (_, low, high, _) in state.items()}
@@ -105,12 +105,12 @@ def find_splitters(keyed: DataFrame, shards: int, ranges: int, total: int) -> li
         below = _below(keyed, {p: sorted(v) for p, v in probes.items()})
         for i, keys in tries.items():
             prefix, _, _, before = state.pop(i)
-            want = total * i // parts - before
+            want = total * i // shards - before
             amounts = [below[prefix, k][0] for k in keys]
             j = max(x for x in range(len(keys) - 1) if x == 0 or amounts[x] <= want)
             best = j if keys[j + 1] == SPAN or want - amounts[j] <= amounts[j + 1] - want else j + 1
             single = below[prefix, keys[j + 1]][1] - below[prefix, keys[j]][1] <= 1
-            if abs(amounts[best] - want) <= slack[i] or single or (prefix is not None and keys[j + 1] - keys[j] == 1):
+            if abs(amounts[best] - want) <= slack or single or (prefix is not None and keys[j + 1] - keys[j] == 1):
                 found[i] = (keys[best], 0) if prefix is None else (prefix, keys[best])
             elif keys[j + 1] - keys[j] > 1:
                 state[i] = (prefix, keys[j], keys[j + 1], before)
@@ -119,29 +119,24 @@ def find_splitters(keyed: DataFrame, shards: int, ranges: int, total: int) -> li
     return [found[i] for i in sorted(found)]
 
 
-def key_ranges(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, list[tuple[int, int]], int]:
-    """The narrow keyed table, and the splitters of ``shards`` x ranges key ranges."""
+def shard_splitters(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """The narrow keyed table, the splitters between shards, and the bytes of all rows."""
     keyed = shared_table(_keyed(docs.select("doc_id", "text")).select(
         "doc_id", "_size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         "_k1", "_k2"), "shard-keys")
     total = keyed.agg(F.sum("_size")).first()[0] or 0
-    ranges = max(RANGES, math.ceil(total / shards / RANGE_BYTES))
-    splitters = find_splitters(keyed, shards, ranges, total) if total else []
-    return keyed, splitters, ranges
+    return keyed, find_splitters(keyed, shards, total) if total else [], total
 
 
-def place(keyed: DataFrame, counted: DataFrame, splitters: list[tuple[int, int]], ranges: int) -> DataFrame:
-    """``keyed`` with shard and slot: one exchange to the key ranges, numbered within each.
-
-    ``counted``: the narrow table the rows per range are counted on (range counts alone, which
-    are shards x ranges, go through the driver).
-    """
+def place(keyed: DataFrame, splitters: list[tuple[int, int]], total: int) -> DataFrame:
+    """``keyed`` with shard and slot: one exchange to tasks of consecutive keys, written with each row's place in
+    its task; a shard's rows in the tasks before give the offset (one number per task and shard)."""
     first = np.array([a for a, _ in splitters], np.uint64)
     second = np.array([b for _, b in splitters], np.uint64)
-    inner = np.unique(first[second > 0])  # texts split over ranges: few, each of a range's bytes or more
+    inner = np.unique(first[second > 0])  # texts split over shards: few
 
     @F.pandas_udf("int")
-    def range_of(k1: pd.Series, k2: pd.Series) -> pd.Series:
+    def shard_of(k1: pd.Series, k2: pd.Series) -> pd.Series:
         a, b = _flip(k1.to_numpy()), _flip(k2.to_numpy())
         out = np.searchsorted(first, a, side="right").astype(np.int32)
         for key in inner:
@@ -150,26 +145,21 @@ def place(keyed: DataFrame, counted: DataFrame, splitters: list[tuple[int, int]]
             out[own] = lo + np.searchsorted(second[lo:hi], b[own], side="right")
         return pd.Series(out)
 
-    sizes = dict(counted.select(range_of("_k1", "_k2").alias("r")).groupBy("r").count().collect())
-    offsets, at = np.zeros(len(splitters) + 1, np.int64), 0
-    for r in range(len(splitters) + 1):
-        at = 0 if r % ranges == 0 else at
-        offsets[r] = at
-        at += sizes.get(r, 0)
-
-    @F.pandas_udf("long")
-    def slot_of(r: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series(offsets[r.to_numpy()] + row.to_numpy() - 1)
-
-    within = Window.partitionBy("_range").orderBy("_k1", "_k2", "doc_id")
-    return (keyed.withColumn("_range", range_of("_k1", "_k2"))
-            .withColumn("_row", F.row_number().over(within))
-            .withColumn("shard", F.floor(F.col("_range") / ranges).cast("int"))
-            .withColumn("slot", slot_of("_range", "_row"))
-            .drop("_range", "_row", "_k1", "_k2"))
-
-
-@sheltered("_size", "_k1", "_k2", "_range", "_row")
+    order = ["shard", "_k1", "_k2", "doc_id"]
+    tasks = max(len(splitters) + 1, min(TASKS, math.ceil(total / TASK_BYTES)))
+    # written, so that the counts and the slots see the same places; the number's high bits tell the task
+    placed = shared_table(keyed.withColumn("shard", shard_of("_k1", "_k2")).repartitionByRange(tasks, *order)
+                          .sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "shard-rows")
+    task = F.shiftright("_at", 33).alias("_task")
+    offsets = (placed.groupBy("shard", task).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+               .withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_task")) - F.col("_n"))
+               .select(F.col("shard").alias("_shard"), "_task", (F.col("_before") - F.col("_from")).alias("_shift")))
+    return (placed.join(F.broadcast(offsets), (F.col("shard") == F.col("_shard")) & (F.shiftright("_at", 33) == F.col("_task")))
+            .withColumn("slot", F.col("_at") + F.col("_shift"))
+            .drop("_at", "_shard", "_task", "_shift", "_k1", "_k2"))
+
+
+@sheltered("_size", "_k1", "_k2", "_at", "_shard", "_task", "_shift")
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
@@ -177,14 +167,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     tolerance. Rows of equal text and id stay together; an empty table gives an empty result;
     extra columns are kept, those named shard or slot are replaced. The texts move once.
     """
-    keyed, splitters, ranges = key_ranges(docs, shards)
-    return place(_keyed(clear_of(docs, "shard", "slot")),
-                 keyed, splitters, ranges).drop("_size")
+    _, splitters, total = shard_splitters(docs, shards)
+    return place(_keyed(clear_of(docs, "shard", "slot")), splitters, total).drop("_size")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law ``bytes``."""
-    keyed, splitters, ranges = key_ranges(read(spark, sf_dir, "documents"))
-    return (place(keyed, keyed, splitters, ranges)
+    return (place(*shard_splitters(read(spark, sf_dir, "documents")))
             .select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"),
                     "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
