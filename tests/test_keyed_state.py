@@ -92,3 +92,22 @@ def test_reserve_keyed_edges(spark, tmp_path):
     got = {r.request_id: r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     # key 1 starts with 8: 4 yes, 5 no; then 4 yes, 5 no, 2 back, 2 yes. Key 2 starts with -4: -6 yes (2 left), -4 yes
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0, 10: 1, 11: 0, 12: 0}
+
+
+def test_reserve_keyed_many_keys_few_calls(spark, tmp_path):
+    """Keys share states and keep their own stock; ids beyond 2**53 stay exact beside null ones; keys of several columns."""
+    big, n = 1 << 60, 400
+    kind = "request_id long, k long, s string, qty int"
+    stock = spark.createDataFrame([(k, s, 3, 0) for k in range(n) for s in ("a", "b")], "k long, s string, qty_on_hand int, qty_reserved int")
+    batches = [[(big + 4 * k + i, k, s, 2) for k in range(n) for i, s in enumerate(("a", "b"))] + [(None, 0, "a", 1), (big + 2, 1, "a", 9)],
+               [(big + 4 * n + k, k, "a", 1 + k % 2) for k in range(n)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        append_records(reserve_keyed(stock, stream, ["k", "s"], "request_id", buckets=5), f"{tmp_path}/out", f"{tmp_path}/_ck")
+    got = {(r.request_id, r.k, r.s): r.result for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    # 3 in stock, 2 taken by all; the null id comes last and takes key (0, a)'s last one
+    want = {(r[0], r[1], r[2]): 0 for r in batches[0]} | {(big + 2, 1, "a"): 1}
+    assert got == want | {(big + 4 * n + k, k, "a"): int(k % 2 or k == 0) for k in range(n)}
+    states = [int(r[0]) for r in spark.read.format("statestore").load(f"{tmp_path}/_ck").selectExpr("size(value.groupState.keys)").collect()]
+    assert len(states) == 5 and sum(states) == 2 * n

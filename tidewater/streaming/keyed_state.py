@@ -9,7 +9,7 @@ a few rows per task. Sums are exact (integers of ``scale`` places).
 Spark drops rows behind the watermark before a keyed operator sees them. So data rows carry no event time, and a
 separate row per batch (a *beat*) carries the batch's greatest one: beats move the watermark, data always arrive.
 
-``reserve_keyed`` keeps the stock left per key. Both append their records exactly once to a file sink
+``reserve_keyed`` keeps the stock left per key, many keys to a state. Both append their records exactly once to a file sink
 (``append_records``).
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.monitor import _COMPARE, ALARM, INSUFFICIENT, OK, _is_ntz, _slot, _slot_start, epoch_micros
 from ..operators.reserve import RESULT_INSUFFICIENT, RESULT_OK
 
+KEY_BUCKETS = 1024   # states that the keys of reservations are dealt to
 PARTIAL = ["n", "m", "total", "low", "high"]   # points, those with a value, and the values' sum, least and greatest
 
 
@@ -201,33 +202,55 @@ def notifications(records: DataFrame, dims: list[str]) -> DataFrame:
     return records.filter(changed & told).select(*dims, "period_start", "previous_state", "state")
 
 
+def _identity(columns: list[Column], kinds: list[T.DataType]) -> Column:
+    """A key as one string, another one for each key."""
+    texts = [F.hex(c) if isinstance(k, T.BinaryType) else c.cast("string") for c, k in zip(columns, kinds)]
+    return texts[0] if len(texts) == 1 else F.to_json(F.struct(*[t.alias(f"k{i}") for i, t in enumerate(texts)]))
+
+
 def reserve_keyed(inventory: DataFrame, requests: DataFrame, key: list[str] | str, order: list[str] | str, qty: str = "qty",
-                  request_id: str = "request_id", on_hand: str = "qty_on_hand", reserved: str = "qty_reserved") -> DataFrame:
+                  request_id: str = "request_id", on_hand: str = "qty_on_hand", reserved: str = "qty_reserved",
+                  buckets: int = KEY_BUCKETS) -> DataFrame:
     """A stream of decided requests (their columns, and result), with the stock left per key as state.
 
     A key starts with what ``inventory`` has when its first request comes. Requests of a micro-batch are decided in order,
     after those of earlier batches; a request without a stock row or a quantity stands alone and keeps no state.
-    One task holds the requests of one key in one micro-batch (order, id and quantity). For keys with more of them than
-    that, use ``reserve_stream``, which scans hot keys in parallel.
+    Keys are dealt to ``buckets``, and a state holds the stock left of all keys of a bucket, as a call costs milliseconds and a
+    request in it microseconds; a micro-batch rewrites the states of the buckets it has requests of. One task holds
+    the requests of one bucket in one micro-batch (order, id and quantity). For keys with more of them than
+    that, use ``reserve_stream``, which scans hot keys in parallel. A checkpoint belongs to its number of buckets.
     """
     key, order = ([x] if isinstance(x, str) else list(x) for x in (key, order))
     columns = list(dict.fromkeys([request_id, *key, *order, qty]))
-    stock = inventory.select(*key, (F.col(on_hand) - F.col(reserved)).cast("long").alias("_a0"))
-    rows = requests.select(*columns).join(stock, key, "left").select(*columns, "_a0")
-    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("result", T.IntegerType())])
+    sequence = list(dict.fromkeys([*order, request_id]))
+    # the identity is the stock row's: it is one whatever equal forms the requests have their key in
+    stock = inventory.select(*key, (F.col(on_hand) - F.col(reserved)).cast("long").alias("_a0"),
+                             _identity([F.col(k) for k in key], [inventory.schema[k].dataType for k in key]).alias("_key"))
+    rows = requests.select(*columns).join(stock, key, "left").select(*columns, "_a0", "_key")
     alone = F.col("_a0").isNull() | F.col(qty).isNull()
     by_itself = F.when(F.col(qty) <= 0, F.lit(RESULT_OK)).otherwise(F.lit(RESULT_INSUFFICIENT)).cast("int")
-    sequence = list(dict.fromkeys([*order, request_id]))
+    # pandas has integers with nulls as doubles: nulls travel beside them
+    whole = [c for c in sequence if isinstance(rows.schema[c].dataType, T.IntegralType)]
+    null_of = {c: f"_null{i}" for i, c in enumerate(whole)}
+    sent = (rows.filter(~alone).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+            .withColumns({n: F.col(c).isNull() for c, n in null_of.items()})
+            .withColumns({c: F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)) for c in whole}))
+    out = [*columns, *null_of.values()]
+    schema = T.StructType([*[sent.schema[c] for c in out], T.StructField("result", T.IntegerType())])
+    by = [x for c in sequence for x in ([null_of[c], c] if c in null_of else [c])]
 
     def decide(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(batches)).sort_values(sequence)
-        left = state.get[0] if state.exists else int(own["_a0"].iloc[0])
+        own = pd.concat(list(batches), ignore_index=True).sort_values(by)
+        left = dict(zip(*state.get)) if state.exists else {}
         results = []
-        for q in own[qty].astype("int64").tolist():
-            results.append(RESULT_OK if left >= q else RESULT_INSUFFICIENT)
-            left -= q if left >= q else 0
-        state.update((left,))
-        yield own[columns].assign(result=pd.Series(results, index=own.index, dtype="int32"))
-
-    held = rows.filter(~alone).groupBy(*key).applyInPandasWithState(decide, schema, "available long", "append", GroupStateTimeout.NoTimeout)
+        for k, first, q in zip(own["_key"].tolist(), own["_a0"].astype("int64").tolist(), own[qty].astype("int64").tolist()):
+            have = left.get(k, first)
+            results.append(RESULT_OK if have >= q else RESULT_INSUFFICIENT)
+            left[k] = have - q if have >= q else have
+        state.update((list(left), list(left.values())))
+        yield own[out].assign(result=pd.Series(results, index=own.index, dtype="int32"))
+
+    held = sent.groupBy("_bucket").applyInPandasWithState(decide, schema, "keys array<string>, available array<long>", "append",
+                                                          GroupStateTimeout.NoTimeout)
+    held = held.select(*[F.when(~F.col(null_of[c]), F.col(c)).alias(c) if c in null_of else c for c in columns], "result")
     return held.unionByName(rows.filter(alone).select(*columns, by_itself.alias("result")))
