@@ -58,3 +58,22 @@ def test_empty_index(spark, tmp_path):
     assert search_index(spark, f"{tmp_path}/i", ["alpha"], "id", 3, 4).collect() == []
     update_index(spark, f"{tmp_path}/i", spark.createDataFrame([(1, "alpha"), (2, "beta")], "id long, text string"), "id", "text", None, 4)
     assert [r.id for r in search_index(spark, f"{tmp_path}/i", ["alpha"], "id", 3, 4).collect()] == [1]
+
+
+def test_postings_are_a_row_per_document_and_place(spark, tmp_path):
+    """Not one per term; terms of any script keep their place; rows of one key add up."""
+    from tidewater.sinks.target import read_bucketed
+    rows = [(i, " ".join(f"w{i % 7}x{j} common" for j in range(500)) + " слово 漢字語 𐐨𐐨𐐨") for i in range(20)]
+    rows += [(1, "common слово"), (50, " - "), (51, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    root = f"{tmp_path}/index"
+    build_index(docs, "id", "text", root, 8)
+    update_index(spark, root, docs.filter("id BETWEEN 5 AND 9"), "id", "text", docs.filter("id = 2"), 8)
+    postings, documents = (read_bucketed(spark, f"{root}/{t}") for t in ("postings", "documents"))
+    assert postings.groupBy("id", "place").count().count() <= 19 * 8 and postings.count() <= 20 * 8
+    assert documents.count() == 22
+    weight = math.log10(22 / 19) ** 2
+    for query, tf in (("слово", 1), ("漢字語", 1), ("𐐨𐐨𐐨", 1), ("common", 500)):
+        got = {r.id: r.score for r in search_index(spark, root, [query], "id", None, 8).collect()}
+        want = {i: round(tf * weight, 6) for i in range(20) if i != 2}
+        assert got == want | ({1: round((tf + 1) * weight, 6)} if query in ("слово", "common") else {})

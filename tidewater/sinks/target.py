@@ -20,7 +20,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,13 +146,15 @@ def load_summary(spark: SparkSession, dst_root: str, loaded: list[tuple[str, str
 BUCKET_COL = "_bucket"
 
 
-def bucket_of(key: list[str] | str, buckets: int):
-    """Hash bucket of a key: the table's partition column."""
+def bucket_of(key: list[str] | str | Column, buckets: int) -> Column:
+    """Hash bucket of a key: the table's partition column. A Column is the bucket's number itself."""
+    if isinstance(key, Column):
+        return key
     key = [key] if isinstance(key, str) else list(key)
     return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(df: DataFrame, root: str, key: list[str] | str, buckets: int, spread: int = 1) -> None:
+def write_bucketed(df: DataFrame, root: str, key: list[str] | str | Column, buckets: int, spread: int = 1) -> None:
     """Write a keyed table partitioned by hash bucket of its key, as its first committed version. Its schema is
     written beside it, as an empty table (or bucket) has no file to read it from."""
     df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1) \
@@ -165,7 +167,7 @@ def _schema_path(root: str) -> str:
     return f"{root.rstrip('/')}/_schema"
 
 
-def _write_buckets(df: DataFrame, root: str, key: list[str] | str, buckets: int, version: int, spread: int = 1) -> None:
+def _write_buckets(df: DataFrame, root: str, key: list[str] | str | Column, buckets: int, version: int, spread: int = 1) -> None:
     """``spread``: tasks that may share the writing of one bucket (for keys that hold many rows)."""
     salt = [F.pmod(F.xxhash64(*df.columns), F.lit(spread))] if spread > 1 else []
     (df.withColumn(BUCKET_COL, bucket_of(key, buckets)).repartition(BUCKET_COL, *salt)
@@ -198,7 +200,7 @@ def read_bucketed(spark: SparkSession, root: str, own: list[int] | None = None)
     return _read_buckets(spark, root, at if own is None else {b: at[b] for b in own or list(at)[:1]})
 
 
-def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key: list[str] | str, buckets: int,
+def merge_into_buckets(spark: SparkSession, root: str, changes: DataFrame, key: list[str] | str | Column, buckets: int,
                        merge: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None,
                        spread: int = 1) -> None:
     """Rewrite only the buckets a batch of changes touches, then commit them together.
