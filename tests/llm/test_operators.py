@@ -188,6 +188,25 @@ def test_published_apache_notice():
     assert [m[0] for m in licenses.scan(b"Released under the MIT License" + b" -" * 30)[2]] == ["MIT"]
 
 
+def test_words_are_laid_out_once(monkeypatch):
+    """Not in every step of the word model again; every occurrence is fitted."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 7, 2000)
+    spell = rng.integers(0, 300, size.sum()).astype(np.int32)
+    ids, lengths = rng.integers(0, 300, 2000).astype(np.int32), np.full(50, 40)
+    blocks = attention.blocks(ids, lengths, np.arange(lm.IDS) + 2, lm.BLOCK)
+    packed = lm.packed_blocks(*blocks[:3], np.flatnonzero(blocks[3].ravel() >= 0) // lm.BLOCK, spell, size).to_pylist()
+    counts = np.bincount(spell, minlength=lm.IDS)
+    models = tuple(attention.Model(attention.Classes(counts, c), d, b, 1) for (c, d), b in zip(lm.SETTINGS, (lm.BLOCK, lm.WORD_BLOCK)))
+    laid, fitted, plain, step = [], [], lm.word_blocks, models[1].step
+    monkeypatch.setattr(lm, "word_blocks", lambda *a: laid.append(1) or plain(*a))
+    monkeypatch.setattr(models[1], "step", lambda b, o, y, rate, state, times: fitted.append(
+        ((y >= 0).sum(axis=1) * times).sum()) or step(b, o, y, rate, state, times))
+    lm._fit_blocks(models, ({}, {}), packed, (0.01, 0.01), 0)
+    assert len(laid) == 1 < len(fitted) and round(sum(fitted)) == size.sum()
+
+
 def test_model_is_fitted_on_every_block(spark, monkeypatch):
     """Of a corpus beyond 3 MB too; a block's words come back from its packed form."""
     class Seen(Exception):
